@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, media, mixing, quality, simhash, tokens
+from . import decontaminate, media, mixing, quality, secrets, simhash, tokens, window_dedup
 from .common import read
 
 TOKENIZER = "word_bpe_49k.json"
@@ -24,6 +24,14 @@ def op3_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_report(read(spark, sf_dir, "documents"))
 
 
+def op5_randomness_battery(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.secret_report(read(spark, sf_dir, "documents"))
+
+
+def op6_count_min_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return window_dedup.window_report(read(spark, sf_dir, "documents"))
+
+
 def op8_simhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(read(spark, sf_dir, "documents"))
 
@@ -37,6 +45,16 @@ def op10_benchmark_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_quality_rules, op2_png_media, op3_source_mix, op8_simhash_components, op9_token_archives, op10_benchmark_tiles)
+    f.__name__: f
+    for f in (
+        op1_quality_rules,
+        op2_png_media,
+        op3_source_mix,
+        op5_randomness_battery,
+        op6_count_min_windows,
+        op8_simhash_components,
+        op9_token_archives,
+        op10_benchmark_tiles,
+    )
 }
 ORACLES: dict[str, str] = {"op3_source_mix": mixing.ORACLE}
