@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, media, mixing, quality, secrets, simhash, tokens, window_dedup
+from . import context_tree, decontaminate, media, mixing, quality, secrets, simhash, tokens, window_dedup
 from .common import read
 
 TOKENIZER = "word_bpe_49k.json"
@@ -32,6 +32,10 @@ def op6_count_min_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return window_dedup.window_report(read(spark, sf_dir, "documents"))
 
 
+def op7_context_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return context_tree.score(read(spark, sf_dir, "documents"))
+
+
 def op8_simhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(read(spark, sf_dir, "documents"))
 
@@ -52,6 +56,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op3_source_mix,
         op5_randomness_battery,
         op6_count_min_windows,
+        op7_context_tree,
         op8_simhash_components,
         op9_token_archives,
         op10_benchmark_tiles,
