@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import context_tree, decontaminate, media, mixing, quality, secrets, simhash, tokens, window_dedup
+from . import context_tree, decontaminate, media, mixing, quality, secrets, simhash, substring_dedup, tokens, window_dedup
 from .common import read
 
 TOKENIZER = "word_bpe_49k.json"
@@ -24,6 +24,10 @@ def op3_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_report(read(spark, sf_dir, "documents"))
 
 
+def op4_prefix_free_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.substring_report(read(spark, sf_dir, "documents"))
+
+
 def op5_randomness_battery(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.secret_report(read(spark, sf_dir, "documents"))
 
@@ -54,6 +58,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op1_quality_rules,
         op2_png_media,
         op3_source_mix,
+        op4_prefix_free_parse,
         op5_randomness_battery,
         op6_count_min_windows,
         op7_context_tree,
