@@ -144,16 +144,16 @@ def near_duplicates(docs: DataFrame, most: int = 3, shingle: int = 3) -> DataFra
     a component of null doc_ids only has a null component_id."""
     own = stored(fingerprints(docs, ["doc_id"], shingle), "fingerprints")
     labelled = component_table(own, most)
-    return join_hot(own, labelled).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    return join_hot(own, labelled.drop("root")).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def component_table(own: DataFrame, most: int) -> DataFrame:
-    """(fp, component_id) of each distinct fingerprint of ``own`` (doc_id, fp)."""
+    """(fp, root, component_id) of each distinct fingerprint of ``own`` (doc_id, fp)."""
     least = stored(own.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "distinct-fingerprints")
     roots = components(links(least.select("fp"), most))
     rooted = least.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "first_id", F.coalesce("root", "fp").alias("root"))
     heads = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    return stored(rooted.join(heads, "root").select("fp", "component_id"), "components")
+    return stored(rooted.join(heads, "root").select("fp", "root", "component_id"), "components")
 
 
 def join_hot(rows: DataFrame, labelled: DataFrame) -> DataFrame:
@@ -168,8 +168,8 @@ def one_of_each(docs: DataFrame, most: int = 3, shingle: int = 5) -> DataFrame:
     own = stored(fingerprints(keyed, ["doc_id", "_h"], shingle), "fingerprints")
     labelled = component_table(own, most)
     first = F.min(F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "fp", "_h")).alias("first")
-    heads = join_hot(own, labelled).groupBy("component_id", "fp").agg(first)
-    heads = stored(heads.groupBy("component_id").agg(F.min("first").alias("first")).select("first.doc_id", "first._h"), "heads")
+    heads = join_hot(own, labelled).groupBy("root", "fp").agg(first)
+    heads = stored(heads.groupBy("root").agg(F.min("first").alias("first")).select("first.doc_id", "first._h"), "heads")
     rows = docs.withColumn("_h", F.xxhash64(whole_text())).alias("d")
     same = F.col("d.doc_id").eqNullSafe(F.col("k.doc_id")) & (F.col("d._h") == F.col("k._h"))
     kept = rows.join(heads.alias("k"), same, "left_semi")
