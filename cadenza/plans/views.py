@@ -31,10 +31,12 @@ def subjects(spark: SparkSession, d: str) -> DataFrame:
 
 
 def metrics_wide(spark: SparkSession, d: str) -> DataFrame:
-    """One row for each (subject, trial, unit): the line with the highest number."""
+    """One row for each (subject, trial, unit): the line with the highest number, and the greatest values of equal ones."""
     lines = table(spark, d, "lineitem").join(table(spark, d, "orders").select("o_orderkey", "o_custkey"), F.col("l_orderkey") == F.col("o_orderkey"))
     rows = lines.groupBy(F.col("o_custkey").alias("subject"), F.col("l_orderkey").alias("trial"), F.concat("l_returnflag", "l_linestatus").alias("unit"))
-    return rows.agg(*[F.max_by(f"l_{c}", "l_linenumber").alias(c) for c in ("quantity", "extendedprice", "discount", "tax")])
+    names = ("quantity", "extendedprice", "discount", "tax")
+    last = rows.agg(F.max(F.struct("l_linenumber", *[f"l_{c}" for c in names])).alias("_l"))
+    return last.select("subject", "trial", "unit", *[F.col(f"_l.l_{c}").alias(c) for c in names])
 
 
 def metrics_long(spark: SparkSession, d: str) -> DataFrame:
@@ -73,9 +75,8 @@ SQL = {
         c_mktsegment AS cap_size, (c_custkey % 60 + 18)::DOUBLE AS age,
         CASE c_custkey % 5 WHEN 0 THEN 'M' WHEN 1 THEN 'F' WHEN 2 THEN 'F' WHEN 3 THEN 'M' END AS sex FROM customer""",
     "metrics_wide": """SELECT o_custkey AS subject, l_orderkey AS trial, l_returnflag || l_linestatus AS unit,
-        arg_max(l_quantity, l_linenumber) AS quantity, arg_max(l_extendedprice, l_linenumber) AS extendedprice,
-        arg_max(l_discount, l_linenumber) AS discount, arg_max(l_tax, l_linenumber) AS tax
-        FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY ALL""",
+        arg_max(l_quantity, k) AS quantity, arg_max(l_extendedprice, k) AS extendedprice, arg_max(l_discount, k) AS discount, arg_max(l_tax, k) AS tax
+        FROM (SELECT *, (l_linenumber, l_quantity, l_extendedprice, l_discount, l_tax) AS k FROM lineitem) JOIN orders ON l_orderkey = o_orderkey GROUP BY ALL""",
     "metrics_long": """SELECT subject, trial, unit, metric_name, metric_value FROM (FROM metrics_wide)
         UNPIVOT (metric_value FOR metric_name IN (quantity, extendedprice, discount, tax))""",
     "signals": """SELECT label::BIGINT AS subject, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS trial,
