@@ -8,6 +8,7 @@ import math
 
 import numpy as np
 import pandas as pd
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
@@ -45,8 +46,7 @@ def _defined(*columns: pd.Series) -> np.ndarray:
     return np.logical_and.reduce([c.notna().to_numpy() for c in columns])
 
 
-@F.pandas_udf("double")
-def t_two_sided(t: pd.Series, df: pd.Series) -> pd.Series:
+def _t_two_sided(t: pd.Series, df: pd.Series) -> pd.Series:
     """P(|T| >= |t|); null where an argument is null or df < 1."""
     ok = _defined(t, df) & (df.fillna(0).to_numpy(float) >= 1)
     out = np.full(len(t), np.nan)
@@ -56,8 +56,7 @@ def t_two_sided(t: pd.Series, df: pd.Series) -> pd.Series:
     return pd.Series(out).where(ok, None)
 
 
-@F.pandas_udf("double")
-def t_quantile(p: pd.Series, df: pd.Series) -> pd.Series:
+def _t_quantile(p: pd.Series, df: pd.Series) -> pd.Series:
     """The t with P(T <= t) = p, by bisection."""
     q, v = p.to_numpy(float), df.to_numpy(float)
     low, high = np.full(len(q), -1e4), np.full(len(q), 1e4)
@@ -69,8 +68,7 @@ def t_quantile(p: pd.Series, df: pd.Series) -> pd.Series:
     return pd.Series((low + high) / 2)
 
 
-@F.pandas_udf("double")
-def f_upper(f: pd.Series, df1: pd.Series, df2: pd.Series) -> pd.Series:
+def _f_upper(f: pd.Series, df1: pd.Series, df2: pd.Series) -> pd.Series:
     """P(F >= f)."""
     ok = _defined(f, df1, df2)
     out = np.full(len(f), np.nan)
@@ -78,3 +76,18 @@ def f_upper(f: pd.Series, df1: pd.Series, df2: pd.Series) -> pd.Series:
         x, a, b = (c[ok].to_numpy(float) for c in (f, df1, df2))
         out[ok] = beta_share(b / 2, a / 2, b / (b + a * x))
     return pd.Series(out).where(ok, None)
+
+
+def t_two_sided(t: Column | str, df: Column | str) -> Column:
+    """P(|T| >= |t|); null where an argument is null or df < 1."""
+    return F.pandas_udf(_t_two_sided, "double")(t, df)
+
+
+def t_quantile(p: Column | str, df: Column | str) -> Column:
+    """The t with P(T <= t) = p."""
+    return F.pandas_udf(_t_quantile, "double")(p, df)
+
+
+def f_upper(f: Column | str, df1: Column | str, df2: Column | str) -> Column:
+    """P(F >= f)."""
+    return F.pandas_udf(_f_upper, "double")(f, df1, df2)

@@ -303,7 +303,7 @@ def split_half_stability(df: DataFrame, keys: list[str], subject: str, strata: s
 def smooth_effect(fits: DataFrame, term: int, low: float, high: float, points: int = 200, sigma: str = "rss") -> DataFrame:
     """(keys, x, effect, low, high): a term's partial effect on a grid, others at 0, with 1.96 residual errors."""
     step = (high - low) / (points - 1)
-    grid = fits.withColumn("x", low + F.explode(F.sequence(F.lit(0), F.lit(points - 1))) * step)
+    grid = fits.withColumn("_i", F.explode(F.sequence(F.lit(0), F.lit(points - 1)))).withColumn("x", low + F.col("_i") * step).drop("_i")
     se = F.sqrt(F.col(sigma) / F.greatest(F.lit(1.0), F.col("n") - F.size("coef"))) / F.sqrt("n")
     effect = F.col("coef")[term] * F.col("x")
     return grid.withColumns({"effect": effect, "low": effect - 1.96 * se, "high": effect + 1.96 * se}).drop("coef", "rss", "r_sq", "edf", "aic", "bic")
