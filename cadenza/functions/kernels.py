@@ -107,7 +107,24 @@ def stft_power(x: np.ndarray, win: int, step: int) -> np.ndarray:
     return np.abs(np.fft.rfft(parts, axis=2)) ** 2
 
 
-def fit_aperiodic(f: np.ndarray, p: np.ndarray, low: float = 2.0, high: float = 40.0, band: tuple[float, float] = (8.0, 12.0), knee: bool = False, peaks: int = 4, threshold: float = 2.0, rounds: int = 3) -> dict[str, float | str | None]:
+def _half_height(x: np.ndarray, y: np.ndarray, i: int) -> tuple[float, float]:
+    """Where y falls to half of y[i] on either side, between bins; a side that never does mirrors the other."""
+    sides = []
+    for step in (-1, 1):
+        k = i
+        while 0 <= k + step < len(x) and y[k + step] > y[i] / 2:
+            k += step
+        n = k + step
+        if 0 <= n < len(x):
+            share = (y[k] - y[i] / 2) / (y[k] - y[n])
+            sides.append(abs(x[k] + share * (x[n] - x[k]) - x[i]))
+        else:
+            sides.append(None)
+    left, right = (s if s is not None else o if o is not None else abs(x[-1] - x[0]) / 2 for s, o in (sides, sides[::-1]))
+    return float(x[i] - left), float(x[i] + right)
+
+
+def fit_aperiodic(f: np.ndarray, p: np.ndarray, low: float = 2.0, high: float = 40.0, band: tuple[float, float] = (8.0, 12.0), knee: bool = False, peaks: int = 4, threshold: float = 2.0, rounds: int = 5) -> dict[str, float | str | None]:
     """Offset, exponent (and knee) of a 1/f spectrum with Gaussian peaks, and the strongest peak in ``band``.
 
     A robust line in log-log axes, Gaussians taken off the flattened spectrum from the highest down, and the line
@@ -121,16 +138,16 @@ def fit_aperiodic(f: np.ndarray, p: np.ndarray, low: float = 2.0, high: float =
         return empty | {"fail_reason": "powers aren't positive"}
     x, y = f[keep], np.log10(p[keep])
 
-    def line(values: np.ndarray) -> tuple[float, float, float]:
+    def line(values: np.ndarray, share: float) -> tuple[float, float, float]:
         best = None
         for k in (0.0, *np.geomspace(0.5, 200, 25)) if knee else (0.0,):
             g = np.log10(k + x**2) if k else np.log10(x)
             a = np.stack((np.ones_like(g), -g), 1)
             inside = np.ones(len(g), bool)
-            for _ in range(2):
+            for _ in range(3):
                 b = np.linalg.lstsq(a[inside], values[inside], rcond=None)[0]
                 left = values - a @ b
-                inside = left <= np.quantile(left, 0.9)
+                inside = left <= np.quantile(left, share)
             e = float(((values - a @ b)[inside] ** 2).sum())
             if best is None or e < best[0] - 1e-12:
                 best = e, (float(b[0]), float(b[1]) * (2 if k else 1), float(k))
@@ -139,18 +156,16 @@ def fit_aperiodic(f: np.ndarray, p: np.ndarray, low: float = 2.0, high: float =
     shape = lambda o, e, k: o - (np.log10(k + x ** (2 if k else 1)) * (e / 2 if k else e))
     found: list[tuple[float, float, float]] = []
     bumps = np.zeros_like(y)
-    for _ in range(rounds):
-        o, e, k = line(y - bumps)
+    for turn in range(rounds):
+        o, e, k = line(y - bumps, 0.9 if turn else 0.6)
         flat, found, bumps = y - shape(o, e, k), [], np.zeros_like(y)
         rest = flat.copy()
         for _ in range(peaks):
             i = int(rest.argmax())
             if rest[i] <= max(threshold * rest.std(), 0.05):
                 break
-            above = np.flatnonzero(rest < rest[i] / 2)
-            left = above[above < i].max(initial=-1)
-            right = above[above > i].min(initial=len(x))
-            width = max((x[min(right, len(x) - 1)] - x[max(left, 0)]) / 2.355, float(x[1] - x[0]) / 2)
+            low_side, high_side = _half_height(x, rest, i)
+            width = max((high_side - low_side) / 2.355, float(x[1] - x[0]) / 2)
             bump = rest[i] * np.exp(-((x - x[i]) ** 2) / (2 * width * width))
             found.append((float(x[i]), float(rest[i]), 2 * float(width)))
             bumps, rest = bumps + bump, rest - bump

@@ -189,7 +189,7 @@ def additive_mixed_fit(df: DataFrame, keys: list[str], smooths: list[str], linea
     Knots are quantiles over the whole table. The numbers are those of this estimator, not of a REML fit."""
     rows = df.dropna(subset=[*smooths, *linear, outcome, subject])
     shares = [i / (knots - 1) for i in range(knots)]
-    at = rows.agg(*[F.percentile(s, F.array(*map(F.lit, shares))).alias(s) for s in smooths]).first()
+    at = rows.agg(*[F.percentile(s, F.array(*map(F.lit, shares))).alias(s) for s in smooths]).first() if smooths else {}
     terms: list[str] = list(linear)
     for s in smooths:
         own = sorted(set(at[s] or []))
@@ -322,10 +322,10 @@ def fit_quality_comparison(concepts: DataFrame) -> DataFrame:
 
 def variance_components(df: DataFrame, keys: list[str], subject: str, value: str) -> DataFrame:
     """(keys, n_subjects, var_residual, var_subject, icc) by the moments of a one-way layout."""
-    own = df.where(F.col(value).isNotNull()).groupBy(*keys, subject).agg(F.count("*").alias("m"), F.sum(value).alias("s"), F.sum(F.col(value) * F.col(value)).alias("q"))
-    out = own.groupBy(*keys).agg(F.count("*").alias("k"), F.sum("m").alias("n"), F.sum("s").alias("s"), F.sum("q").alias("q"), F.sum(F.col("s") * F.col("s") / F.col("m")).alias("b"), F.sum(F.col("m") * F.col("m")).alias("mm")).where("k > 1 AND n > k")
-    between = (F.col("b") - F.col("s") * F.col("s") / F.col("n")) / (F.col("k") - 1)
-    inner = (F.col("q") - F.col("b")) / (F.col("n") - F.col("k"))
+    own = df.where(F.col(value).isNotNull()).groupBy(*keys, subject).agg(F.count("*").alias("_m"), F.sum(value).alias("_s"), F.sum(F.col(value) * F.col(value)).alias("_q"))
+    out = own.groupBy(*keys).agg(F.count("*").alias("k"), F.sum("_m").alias("n"), F.sum("_s").alias("_s"), F.sum("_q").alias("_q"), F.sum(F.col("_s") * F.col("_s") / F.col("_m")).alias("b"), F.sum(F.col("_m") * F.col("_m")).alias("mm")).where("k > 1 AND n > k")
+    between = (F.col("b") - F.col("_s") * F.col("_s") / F.col("n")) / (F.col("k") - 1)
+    inner = (F.col("_q") - F.col("b")) / (F.col("n") - F.col("k"))
     n0 = (F.col("n") - F.col("mm") / F.col("n")) / (F.col("k") - 1)
     rows = out.select(*keys, F.col("k").alias("n_subjects"), inner.alias("var_residual"), F.greatest(F.lit(0.0), (between - inner) / n0).alias("var_subject"))
     return rows.withColumn("icc", F.col("var_subject") / F.nullif(F.col("var_subject") + F.col("var_residual"), F.lit(0.0)))
