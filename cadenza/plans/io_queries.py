@@ -4,8 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from cadenza.functions import cleaning as C
 from cadenza.operators import features as E
+from cadenza.operators import joins
+from cadenza.operators import models as L
 from cadenza.operators import signals as J
+from cadenza.operators import summaries as S
+from cadenza.operators import windows as W
 from cadenza.plans import views as V
 from cadenza.plans.cleaning_queries import SPLIT
 from cadenza.plans.feature_queries import IDS, features
@@ -119,7 +124,56 @@ def latest_files(s, d):
     return scans.session_files(files, 2)
 
 
+def channels(s, d):
+    """A file of channel names for each region's nations: the ordinals are those of the file."""
+    names = V.table(s, d, "nation").orderBy("n_nationkey").select(F.col("n_name").alias("name")).coalesce(1)
+    return scans.scan_channels_tsv(s, csv(names, scratch_path(s, "channels"), "\t"), V.table(s, d, "nation").count())
+
+
+def config(s, d):
+    path = scratch_path(s, "config")
+    V.trials(s, d).groupBy().agg(F.count("*").alias("n"), F.max("laser_power").alias("top")).select(F.struct("n", "top").alias("exp")).write.json(path)
+    return scans.scan_config(s, path, {"exp.n": 0, "exp.top": 0.0, "psd.overlap": 0.5})
+
+
+def newest(s, d):
+    path = scratch_path(s, "stages")
+    V.table(s, d, "nation").selectExpr("concat('sub-', n_nationkey, if(n_nationkey % 2 = 0, '_clean', '_raw')) AS k", "n_name AS value").write.partitionBy("k").text(path)
+    files = s.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select(F.regexp_extract("path", r"k=(sub-\d+_\w+)", 1).alias("name"), "modificationTime")
+    rank = F.when(F.contains("name", F.lit("_clean")), 0).otherwise(1)
+    return W.latest_per_key(files.withColumn("subject", F.regexp_extract("name", r"sub-(\d+)", 1).cast("int")), ["subject"], rank, F.desc("modificationTime"), F.col("name"))
+
+
+def report(s, d):
+    path = scratch_path(s, "report")
+    sinks.write_report(E.channel_psd_ratios(V.psd(s, d), ["subject", "trial", "unit"], (24.0, 27.0), (20.0, 32.0), (0.0, 2.0)), path)
+    return s.read.option("header", True).schema("subject long, trial long, unit string, line_ratio double, hf_ratio double, drift_ratio double, alpha_ratio double").csv(path)
+
+
+def cv_rows(s, d):
+    path = scratch_path(s, "cv")
+    rows = S.eval_metrics(V.predictions(s, d), ["fold"], "actual", "predicted", False)
+    for k in (0, 1):
+        sinks.append_cv_rows(rows.where(f"fold % 2 = {k}"), path)
+    return s.read.parquet(path)
+
+
+MODELS = [("base", ["laser_power"], False, True, False), ("slow", ["laser_power", "slow"], True, False, False), ("tensor", ["laser_power", "slow", "fast"], False, False, True)]
+
+
 QUERIES = {
+    "a10_channels": q(channels, "ordinal name", "", "SELECT row_number() OVER (ORDER BY n_nationkey) AS ordinal, n_name AS name FROM nation"),
+    "a11_config": q(config, "exp_n", "exp_top psd_overlap", "SELECT count(*) AS exp_n, max(laser_power) AS exp_top, 0.5 AS psd_overlap FROM trials", "trials"),
+    "a13_latest_file": q(newest, "subject name", "", "SELECT n_nationkey AS subject, 'sub-' || n_nationkey || CASE n_nationkey % 2 WHEN 0 THEN '_clean' ELSE '_raw' END AS name FROM nation"),
+    "a15_read_table": q(lambda s, d: scans.read_table(s, d, "supplier"), "s_suppkey s_name", "s_acctbal", "SELECT s_suppkey, s_name, s_acctbal FROM supplier"),
+    "b1_clean_names": q(lambda s, d: C.clean_names(V.table(s, d, "customer").selectExpr("c_custkey AS ` c key `", "c_acctbal AS `acct.bal^2`")), "c_key", "acct_balr2", "SELECT c_custkey AS c_key, c_acctbal AS acct_balr2 FROM customer"),
+    "b2_normalize_colnames": q(lambda s, d: C.normalize_colnames(V.table(s, d, "customer").selectExpr("c_custkey AS `Cust-Key`", "c_acctbal AS `--`")), "cust_key", "col2", "SELECT c_custkey AS cust_key, c_acctbal AS col2 FROM customer"),
+    "b3_rename_first_match": q(lambda s, d: C.rename_first_match(V.table(s, d, "customer"), {"subject": ["id", "c_custkey"], "cap_size": ["c_mktsegment", "c_name"]}), "subject cap_size", "", "SELECT c_custkey AS subject, c_mktsegment AS cap_size FROM customer"),
+    "d19_replicates": q(lambda s, d: joins.replicates(V.subjects(s, d), 5).groupBy("cap_size", "rep").agg(F.avg("age").alias("age")), "cap_size rep", "age", "SELECT cap_size, rep, avg(age) AS age FROM subjects, range(5) AS r(rep) GROUP BY ALL", "subjects"),
+    "g6_canonical_order": q(lambda s, d: V.metrics_wide(s, d).repartition("subject").sortWithinPartitions("subject", "trial", "unit"), "subject trial unit", "tax", "SELECT subject, trial, unit, tax FROM metrics_wide", "metrics_wide"),
+    "k6_report": q(report, "subject trial unit", "line_ratio hf_ratio drift_ratio alpha_ratio"),
+    "k11_append_cv": q(cv_rows, "fold n_obs", "pearson_r", "SELECT fold, count(*) AS n_obs, corr(actual, predicted) AS pearson_r FROM predictions GROUP BY fold", "predictions"),
+    "l12_model_registry": q(lambda s, d: V.trials(s, d).select("unit").distinct().join(L.model_registry(s, MODELS)).select("unit", "name", F.size("terms").alias("n_terms"), "cap"), "unit name n_terms cap", "", "SELECT unit, name, n_terms, cap FROM (SELECT DISTINCT unit FROM trials), (VALUES ('base', 1, true), ('slow', 2, false), ('tensor', 3, false)) AS m(name, n_terms, cap)", "trials"),
     "a1_scan_behaviour": q(behaviour, "experiment subject trial", "laser_power pain_rating", "SELECT '26ByLab' AS experiment, subject, trial, laser_power, CASE WHEN trial % 5 <> 0 THEN pain_rating END AS pain_rating FROM trials", "trials"),
     "a2_scan_participants": q(participants, "subject sex", "age", "SELECT c_custkey AS subject, CASE c_custkey % 2 WHEN 0 THEN 'F' ELSE 'M' END AS sex, CASE WHEN c_custkey % 4 <> 0 THEN c_custkey % 60 + 18 END AS age FROM customer"),
     "a6_scan_ga_features": q(ga_features, "subjid trial", "paf_cog_hz sf_ratio", "SELECT subject AS subjid, trial, pain_rating AS paf_cog_hz, CASE WHEN trial % 2 <> 0 THEN laser_power END AS sf_ratio FROM trials", "trials"),
