@@ -161,7 +161,7 @@ QUERIES = {
     "l14_loso_subjects": q(lambda s, d: L.loso_cv(split_trials(s, d), ["unit"], "subject", TERMS, "pain_rating")[1], "unit n_complete", "pearson_r_mean rmse_mean mae_mean"),
     "l15_external_cv": q(lambda s, d: L.external_cv(train(s, d, "holdout"), L.solve(L.products(train(s, d, "train"), ["unit"], TERMS, "pain_rating")), ["unit"], TERMS, "pain_rating", ["cap_size"]), "unit cv_type fold_id n_obs", "pearson_r rmse mae", SPLIT + f", {TRIALS}, tr AS (SELECT * FROM m JOIN split USING (subject) WHERE split_group = 'train' AND laser_power IS NOT NULL), {ordinary(TERMS, 'unit')}, p AS (SELECT m.unit, cap_size, pain_rating AS o, b0 + b1 * laser_power + b2 * trial_z AS y FROM m JOIN f USING (unit) WHERE laser_power IS NOT NULL AND m.subject IN (SELECT subject FROM split WHERE split_group = 'holdout')) SELECT unit, CASE WHEN grouping(cap_size) = 1 THEN 'overall' ELSE 'cap_size' END AS cv_type, CASE WHEN grouping(cap_size) = 1 THEN 'all' ELSE cap_size END AS fold_id, count(*) AS n_obs, CASE WHEN count(*) >= 3 THEN corr(o, y) END AS pearson_r, sqrt(avg(pow(o - y, 2))) AS rmse, avg(abs(o - y)) AS mae FROM p GROUP BY GROUPING SETS ((unit), (unit, cap_size))", "subjects trials"),
     "l16_sensitivity_drop": q(lambda s, d: L.sensitivity_drop(split_trials(s, d), ["unit"], "experiment_id", TERMS, "pain_rating"), "unit experiment_id", "r_full r_without delta_r"),
-    "l16_sensitivity_qc": q(lambda s, d: L.sensitivity_qc(split_trials(s, d).withColumn("fit_r2", F.col("subject") % 40 / 40.0), ["unit"], "fit_r2", [0.5, 0.75, 0.85], TERMS, "pain_rating", "subject"), "unit n n_subjects", "limit r"),
+    "l16_sensitivity_qc": q(lambda s, d: L.sensitivity_qc(split_trials(s, d).withColumn("fit_r2", F.col("subject") % 10 / 10.0), ["unit"], "fit_r2", [0.3, 0.5, 0.6], TERMS, "pain_rating", "subject"), "unit n n_subjects", "limit r"),
     "l17_split_half": q(lambda s, d: L.split_half_stability(split_trials(s, d), ["unit"], "subject", "cap_size", TERMS, "pain_rating", 20), "unit rep", "r"),
     "l18_smooth_effect": q(lambda s, d: L.smooth_effect(L.solve(L.products(split_trials(s, d), ["unit"], TERMS, "pain_rating")), 1, 0.0, 2.0, 50), "unit", "x effect low high"),
     "l19_concordance": q(lambda s, d: L.smooth_concordance(*[V.trials(s, d).where(f"subject % 2 = {k}").groupBy("unit", F.col("laser_power").alias("x")).agg(F.avg("pain_rating").alias("y")) for k in (0, 1)], ["unit"]), "unit same_sign", "r", "WITH a AS (SELECT unit, laser_power AS x, avg(pain_rating) FILTER (subject % 2 = 0) AS ya, avg(pain_rating) FILTER (subject % 2 = 1) AS yb FROM trials WHERE laser_power IS NOT NULL GROUP BY ALL) SELECT unit, corr(ya, yb) AS r, corr(ya, yb) > 0 AS same_sign FROM a WHERE ya IS NOT NULL AND yb IS NOT NULL GROUP BY unit", "trials"),
