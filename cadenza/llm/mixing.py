@@ -96,7 +96,7 @@ def thresholds(sized: DataFrame, goals: DataFrame) -> DataFrame:
 
 def times_taken() -> Column:
     once_more = (F.col("hash") < F.col("threshold")) | F.coalesce(F.col("hash") == F.col("extra_hash"), F.lit(False))
-    return F.when(F.col("size") > 0, F.col("copies") + F.when(once_more & (F.col("copies") < MOST_COPIES), 1).otherwise(0)).otherwise(F.when(F.col("copies") > 0, F.col("copies")).otherwise(once_more.cast("long")))
+    return F.col("copies") + F.when(once_more & (F.col("copies") < MOST_COPIES), 1).otherwise(0)
 
 
 def plan(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -110,7 +110,7 @@ def mix_report(docs: DataFrame) -> DataFrame:
     """doc_id, size, source_size, target, taken (words, repeats counted) and copies of every document.
 
     Null texts have no words; rows with one doc_id have one hash and are taken alike; a document without words
-    takes none. A null source is a source of its own. An empty table gives an empty report."""
+    takes none, and is copied as its hash says. A null source is a source of its own. An empty table gives an empty report."""
     sized, limits = plan(docs)
     rows = join_small(sized, limits, "source_key").withColumn("copies", times_taken())
     return rows.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "copies")
@@ -148,7 +148,7 @@ l AS (SELECT k, min(CASE WHEN through > budget THEN hash END) AS threshold,
 x AS (SELECT p.k, arg_min(hash, (abs(gap - n), hash)) AS extra FROM p JOIN l USING (k)
       WHERE hash >= threshold AND (hash = threshold OR n <= gap) AND n > 0 AND abs(gap - n) < gap GROUP BY p.k)
 SELECT doc_id, size, source_size, target,
-       (copies + CASE WHEN copies < 3 AND (threshold IS NULL AND budget > 0 OR hash < threshold OR hash = extra) THEN 1 ELSE 0 END) * size AS taken,
-       copies + CASE WHEN copies < 3 AND (threshold IS NULL AND budget > 0 OR hash < threshold OR hash = extra) THEN 1 ELSE 0 END AS copies
+       (copies + CASE WHEN copies < 3 AND (threshold IS NULL OR hash < threshold OR hash = extra) THEN 1 ELSE 0 END) * size AS taken,
+       copies + CASE WHEN copies < 3 AND (threshold IS NULL OR hash < threshold OR hash = extra) THEN 1 ELSE 0 END AS copies
 FROM sized JOIN r USING (k) JOIN l USING (k) LEFT JOIN x USING (k)
 """

@@ -12,7 +12,7 @@ spanning forest.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import combinations
 
 import numpy as np
@@ -23,11 +23,14 @@ from pyspark.sql import functions as F
 
 from .common import join_small, stored, whole_text
 from .components import components
+from .vectors import mixed
 
 SEED = 42
 SEGMENT_BITS, GROUPS = 2, 6
 SEGMENTS = 64 // SEGMENT_BITS
 CELL = 256
+#: Fingerprints of the set of words by which the pipeline finds candidates.
+WORD_PRINTS = 3
 
 
 def fingerprint(text: str, shingle: int = 3) -> int:
@@ -93,8 +96,12 @@ def cells(distinct: DataFrame, most: int) -> DataFrame:
     return keyed.select("fp", F.explode(F.array(*made)).alias("cell"))
 
 
-def _forest(a: np.ndarray, b: np.ndarray, most: int) -> list[tuple[int, int]]:
-    """A spanning forest of the links between the values of ``a`` and ``b``."""
+def _bits(a: np.ndarray, b: np.int64) -> np.ndarray:
+    return np.bitwise_count(a.view(np.uint64) ^ b.view(np.uint64))
+
+
+def _forest(nodes: np.ndarray, left: np.ndarray, right: np.ndarray, near: Callable[[int, np.ndarray], np.ndarray]) -> list[tuple[int, int]]:
+    """A spanning forest of the near pairs between two sets of places in ``nodes``."""
     parent: dict[int, int] = {}
 
     def root(x: int) -> int:
@@ -103,38 +110,79 @@ def _forest(a: np.ndarray, b: np.ndarray, most: int) -> list[tuple[int, int]]:
         return x
 
     out = []
-    for x in a.tolist():
-        near = b[np.bitwise_count(b.view(np.uint64) ^ np.uint64(x & (1 << 64) - 1)) <= most]
-        for y in near.tolist():
+    for i in left.tolist():
+        x = int(nodes[i])
+        for y in nodes[right[near(i, right)]].tolist():
             if (p := root(x)) != (q := root(y)):
                 parent[p] = q
                 out.append((x, y))
     return out
 
 
-def links(distinct: DataFrame, most: int = 3) -> DataFrame:
-    """(u, v) of distinct fingerprints at Hamming distance ``most`` or less: all links of ordinary cells, a spanning
-    forest of each pair of blocks of a large one, so that nothing linked is torn apart."""
-    placed = stored(cells(distinct, most), "cells")
+def _pairs(found: list[tuple[int, int]]) -> pa.Table:
+    u, v = zip(*found) if found else ((), ())
+    return pa.table({"u": pa.array(u, pa.int64()), "v": pa.array(v, pa.int64())})
+
+
+def _linked(placed: DataFrame, near: Callable[[], Column], carried: list[str], run: Callable[[pa.Table], pa.Table]) -> DataFrame:
+    """(u, v) of the rows (cell, fp, carried) of each cell: all near pairs of an ordinary one by a join, of a
+    large one what ``run`` finds between two of its blocks. Columns of a pair are named fp_u, fp_v and so on."""
     counted = placed.groupBy("cell").agg(F.count("*").alias("n")).where("n > 1")
     shared = placed.join(counted, "cell")
     small, large = shared.where(F.col("n") <= CELL), shared.where(F.col("n") > CELL)
-    pairs = small.select("cell", F.col("fp").alias("u")).join(small.select("cell", F.col("fp").alias("v")), "cell").where("u > v")
-    near = pairs.where(_manhattan("u", "v") <= most).where(F.bit_count(F.col("u").bitwiseXOR(F.col("v"))) <= most)
+    side = lambda k: small.select("cell", *[F.col(c).alias(f"{c}_{k}") for c in ["fp", *carried]])
+    pairs = side("u").join(side("v"), "cell").where("fp_u > fp_v").where(near())
     blocks = F.ceil(F.col("n") / CELL).cast("int")
     dealt = large.withColumns({"blocks": blocks, "own": F.pmod(F.xxhash64("fp"), blocks).cast("int")})
     faced = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    faced = faced.select("cell", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "fp")
+    faced = faced.select("cell", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "fp", *carried)
+    found = faced.groupBy("cell", "i", "j").applyInArrow(run, "u long, v long")
+    return pairs.select(F.col("fp_u").alias("u"), F.col("fp_v").alias("v")).unionAll(found)
+
+
+def links(distinct: DataFrame, most: int = 3) -> DataFrame:
+    """(u, v) of distinct fingerprints at Hamming distance ``most`` or less: all links of ordinary cells, a spanning
+    forest of each pair of blocks of a large one, so that nothing linked is torn apart."""
+    placed = stored(cells(distinct, most), "cells")
+
+    def near() -> Column:
+        return (_manhattan("fp_u", "fp_v") <= most) & (F.bit_count(F.col("fp_u").bitwiseXOR(F.col("fp_v"))) <= most)
 
     def run(table: pa.Table) -> pa.Table:
         own, fp = table["own"].to_numpy(), table["fp"].to_numpy()
-        i = table["i"][0].as_py()
-        a, b = fp[own == i], fp[own != i]
-        found = _forest(a, b if len(b) else a, most)
-        u, v = zip(*found) if found else ((), ())
-        return pa.table({"u": pa.array(u, pa.int64()), "v": pa.array(v, pa.int64())})
+        mine = own == table["i"][0].as_py()
+        left, right = np.flatnonzero(mine), np.flatnonzero(~mine)
+        return _pairs(_forest(fp, left, right if len(right) else left, lambda x, rest: _bits(fp[rest], fp[x]) <= most))
+
+    return _linked(placed, near, [], run)
+
 
-    return near.select("u", "v").unionAll(faced.groupBy("cell", "i", "j").applyInArrow(run, "u long, v long"))
+def similar_links(nodes: DataFrame, most: int, check: int) -> DataFrame:
+    """(u, v) of nodes (fp: a node's number, five: its shingles' fingerprint, prints: its words' fingerprints) with a
+    pair of word fingerprints at ``most`` bits or less and shingle fingerprints at ``check`` bits or less.
+
+    Each pair comes from the first of the cells that it shares for a print, once."""
+    keyed = nodes.select("fp", "five", F.posexplode("prints").alias("turn", "w"))
+    keyed = keyed.select("*", *[k.alias(f"k{g}") for g, k in enumerate(_group_keys("w"))])
+    made = [F.struct(F.xxhash64("turn", F.lit(i), *[F.col(f"k{g}") for g in some]).alias("cell"), F.lit(some[-1]).alias("last")) for i, some in enumerate(combinations(range(GROUPS), GROUPS - most))]
+    placed = stored(keyed.select("fp", "five", "w", F.explode(F.array(*made)).alias("_c")).select("fp", "five", "w", "_c.cell", "_c.last"), "cells")
+
+    def near() -> Column:
+        bits = lambda c: F.bit_count(F.col(f"{c}_u").bitwiseXOR(F.col(f"{c}_v")))
+        agree = F.lit(0)
+        for g, (x, y) in enumerate(zip(_group_keys("w_u"), _group_keys("w_v"))):
+            agree = agree + F.when(x == y, 1 << g).otherwise(0)
+        first = F.bit_count(agree.bitwiseAND(F.call_function("shiftleft", F.lit(2), F.col("last_u")) - 1)) == GROUPS - most
+        return (bits("w") <= most) & (bits("five") <= check) & (_manhattan("w_u", "w_v") <= most) & first
+
+    def run(table: pa.Table) -> pa.Table:
+        own, fp, five, w = (table[c].to_numpy() for c in ("own", "fp", "five", "w"))
+        mine = own == table["i"][0].as_py()
+        left, right = np.flatnonzero(mine), np.flatnonzero(~mine)
+        found = _forest(fp, left, right if len(right) else left, lambda x, rest: (_bits(w[rest], w[x]) <= most) & (_bits(five[rest], five[x]) <= check))
+        return _pairs(found)
+
+    return _linked(placed, near, ["five", "w", "last"], run)
 
 
 def near_duplicates(docs: DataFrame, most: int = 3, shingle: int = 3) -> DataFrame:
@@ -143,14 +191,14 @@ def near_duplicates(docs: DataFrame, most: int = 3, shingle: int = 3) -> DataFra
     Null and empty texts have fingerprint 0 and link like any other; rows with one doc_id may lie in two components;
     a component of null doc_ids only has a null component_id."""
     own = stored(fingerprints(docs, ["doc_id"], shingle), "fingerprints")
-    labelled = component_table(own, most)
+    labelled = component_table(own, links(own.select("fp").distinct(), most))
     return join_hot(own, labelled.drop("root")).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def component_table(own: DataFrame, most: int) -> DataFrame:
-    """(fp, root, component_id) of each distinct fingerprint of ``own`` (doc_id, fp)."""
+def component_table(own: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(fp, root, component_id) of each distinct fp of ``own`` (doc_id, fp), by links (u, v) between them."""
     least = stored(own.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "distinct-fingerprints")
-    roots = components(links(least.select("fp"), most))
+    roots = components(pairs)
     rooted = least.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "first_id", F.coalesce("root", "fp").alias("root"))
     heads = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
     return stored(rooted.join(heads, "root").select("fp", "root", "component_id"), "components")
@@ -161,14 +209,45 @@ def join_hot(rows: DataFrame, labelled: DataFrame) -> DataFrame:
     return join_small(rows, labelled, "fp", "left", salts=16)
 
 
-def one_of_each(docs: DataFrame, most: int = 3, shingle: int = 5) -> DataFrame:
-    """Keeps, with the columns of ``docs``, the document with the least doc_id of each component (of rows with one
-    doc_id the least fingerprint and text hash), and one of its rows if several are equal."""
+def profile(text: str, shingle: int) -> tuple[int, list[int]]:
+    """(fingerprint of the shingles, WORD_PRINTS independent fingerprints of the set of words)."""
+    distinct = sorted(set(text.encode("utf-8", "surrogatepass").lower().split()))
+    hashes = np.fromiter((xxhash.xxh64_intdigest(w, SEED) for w in distinct), np.uint64, len(distinct))
+    out = []
+    for turn in range(WORD_PRINTS):
+        own = mixed(hashes + np.uint64(turn * 0x9E3779B97F4A7C15 & (1 << 64) - 1)).astype(">u8")
+        bits = np.unpackbits(own.view(np.uint8).reshape(-1, 8), axis=1).sum(0, dtype=np.int64)
+        out.append(int.from_bytes(np.packbits(bits * 2 > len(own)).tobytes(), "big", signed=True))
+    return fingerprint(text, shingle), out
+
+
+def profiles(docs: DataFrame, keep: list[str], shingle: int) -> DataFrame:
+    """The kept columns, five, prints, and fp: a number of the two together."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            made = [profile(x.as_py(), shingle) for x in batch.column(len(keep))]
+            columns = pa.array([m[0] for m in made], pa.int64()), pa.array([m[1] for m in made], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], *columns], names=[*keep, "five", "prints"])
+
+    rows = docs.select(*keep, whole_text().alias("_text"))
+    kinds = ", ".join(f"`{c}` {t}" for c, t in rows.dtypes[:-1])
+    return rows.mapInArrow(run, f"{kinds}, five long, prints array<long>").withColumn("fp", F.xxhash64("five", "prints"))
+
+
+def one_of_each(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, most: int = 3) -> DataFrame:
+    """Keeps, with the columns of ``docs``, one document of each group of near-duplicates: that with the least doc_id (of
+    rows with one doc_id the least numbers), and one of its rows if several are equal.
+
+    Two documents are near-duplicates if the share of equal bits of their fingerprints over shingles of five words is
+    ``similarity`` or more. That leaves too many differing bits for the grid, so candidates are the pairs within
+    ``most`` bits of one of several fingerprints of their sets of words, which edits move less."""
     keyed = docs.select("doc_id", "text", F.xxhash64(whole_text()).alias("_h"))
-    own = stored(fingerprints(keyed, ["doc_id", "_h"], shingle), "fingerprints")
-    labelled = component_table(own, most)
+    own = stored(profiles(keyed, ["doc_id", "_h"], shingle), "fingerprints")
+    nodes = own.dropDuplicates(["fp"]).select("fp", "five", "prints")
+    labelled = component_table(own, similar_links(nodes, most, int(64 * (1 - similarity) + 1e-9)))
     first = F.min(F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "fp", "_h")).alias("first")
-    heads = join_hot(own, labelled).groupBy("root", "fp").agg(first)
+    heads = join_hot(own.select("doc_id", "_h", "fp"), labelled).groupBy("root", "fp").agg(first)
     heads = stored(heads.groupBy("root").agg(F.min("first").alias("first")).select("first.doc_id", "first._h"), "heads")
     rows = docs.withColumn("_h", F.xxhash64(whole_text())).alias("d")
     same = F.col("d.doc_id").eqNullSafe(F.col("k.doc_id")) & (F.col("d._h") == F.col("k._h"))

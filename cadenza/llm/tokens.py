@@ -213,7 +213,7 @@ def write_archives(docs: DataFrame, tokenizer_path: str, partitions: int | None
 def read_archives(archives: DataFrame, wanted: list[int] | None = None) -> DataFrame:
     """One row a document, or a wanted one: part, archive, ordinal, doc_id, local_start, ids (binary)."""
     if wanted is not None:
-        hit = F.exists(F.array(*[F.lit(w).cast("long") for w in wanted]), lambda w: w.between(F.col("first_id"), F.col("last_id")))
+        hit = F.exists(F.array(*[F.lit(w).cast("long") for w in wanted]), lambda w: (F.col("first_id").isNull() | (w >= F.col("first_id"))) & (w <= F.col("last_id")))
         archives = archives.where(hit)
     chosen = None if wanted is None else set(wanted)
 

@@ -103,11 +103,47 @@ def test_simhash(documents, monkeypatch, cell):
     assert sorted(map(tuple, found)) == brute_components(prints)
 
 
-def test_one_of_each(documents):
-    kept = [r.doc_id for r in simhash.one_of_each(documents, shingle=3).collect()]
-    prints = [(r.doc_id, naive_print(r.text)) for r in documents.collect()]
-    wanted = {c for _, _, c in brute_components(prints)} | {None}  # the two equal rows without doc_id are a group
-    assert set(kept) == wanted and len(kept) == len(wanted) + 1  # two rows with doc_id 7 head groups of their own
+@pytest.mark.parametrize("cell", [256, 2])
+def test_one_of_each(documents, monkeypatch, cell):
+    monkeypatch.setattr(simhash, "CELL", cell)
+    rows = sorted({(r.doc_id is None, r.doc_id or 0, r.text or "") for r in documents.collect()})
+    made = [simhash.profile(t, 5) for _, _, t in rows]
+    parent = list(range(len(rows)))
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    bits = lambda a, b: ((a ^ b) & (1 << 64) - 1).bit_count()
+    for i, (five, prints) in enumerate(made):
+        for j in range(i):
+            if bits(five, made[j][0]) <= 12 and any(bits(a, b) <= 3 for a, b in zip(prints, made[j][1])):
+                parent[root(i)] = root(j)
+    groups = {}
+    for i, (unknown, d, _) in enumerate(rows):
+        groups.setdefault(root(i), []).append((unknown, d))
+    wanted = sorted(min(g) for g in groups.values())
+    kept = simhash.one_of_each(documents)
+    assert kept.columns == documents.columns
+    assert sorted((r.doc_id is None, r.doc_id or 0) for r in kept.collect()) == wanted
+    assert len(wanted) < len(rows)
+
+
+def test_edited_copies_go(spark):
+    rng = random.Random(4)
+    words = ["".join(rng.choices("abcdefgh", k=rng.randrange(2, 9))) for _ in range(900)]
+    docs = []
+    for i in range(40):
+        text = rng.choices(words, k=240)
+        docs.append((3 * i, " ".join(text)))
+        edited = list(text)
+        for at in rng.sample(range(240), 2):
+            edited[at] = "edit" + str(at)
+        docs.append((3 * i + 1, " ".join(edited)))
+    kept = {r.doc_id for r in simhash.one_of_each(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert {3 * i for i in range(40)} <= kept
+    assert sum(3 * i + 1 not in kept for i in range(40)) >= 36
 
 
 def test_empty_tables(spark):
