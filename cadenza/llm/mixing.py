@@ -119,9 +119,9 @@ def mix_report(docs: DataFrame) -> DataFrame:
 def mix(docs: DataFrame) -> DataFrame:
     """The mixed documents, repeated as often as they are taken, with the columns of ``docs``."""
     _, limits = plan(docs)
-    sized = sizes(docs, docs.columns)
-    rows = join_small(sized, limits, "source_key").withColumn("copies", times_taken()).where(F.col("copies") > 0)
-    return rows.select(*docs.columns, F.explode(F.sequence(F.lit(1).cast("long"), "copies")).alias("_copy")).drop("_copy")
+    rows = docs.select("doc_id", "text", "source", F.struct(*docs.columns).alias("_row"))
+    taken = join_small(sizes(rows, ["_row"]), limits, "source_key").withColumn("copies", times_taken()).where(F.col("copies") > 0)
+    return taken.select("_row", F.explode(F.sequence(F.lit(1).cast("long"), "copies"))).select("_row.*")
 
 
 ORACLE = r"""

@@ -25,6 +25,8 @@ from .common import stored, whole_text
 FIT_ROWS = 20_000
 TREES, DEPTH, LASSO, SEED = 24, 3, 0.002, 7
 
+#: The column of statistics.
+STATS = "_text_statistics"
 STATISTICS = [
     "log_bytes", "log_words", "word_length", "upper", "digits", "symbols", "marks", "pipes", "white", "non_ascii",
     "distinct_words", "top_word", "long_words", "shouted_words", "symbol_ended_words", "line_words", "repeated_lines",
@@ -59,18 +61,18 @@ def text_statistics(text: str) -> list[float]:
 
 
 def statistics(docs: DataFrame, keep: list[str] | None = None) -> DataFrame:
-    """The kept columns (doc_id) and ``stats``, an array in the order of STATISTICS."""
+    """The kept columns (doc_id) and the column STATS, an array in the order of STATISTICS."""
     keep = keep or ["doc_id"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             made = np.array([text_statistics(x.as_py()) for x in batch.column(len(keep))], float).round(9).reshape(len(batch), -1)
             stats = pa.ListArray.from_arrays(pa.array(np.arange(len(batch) + 1) * len(STATISTICS), pa.int32()), pa.array(made.ravel()))
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], stats], names=[*keep, "stats"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], stats], names=[*keep, STATS])
 
     rows = docs.select(*keep, whole_text().alias("_text"))
     kinds = ", ".join(f"`{c}` {t}" for c, t in rows.dtypes[:-1])
-    return rows.mapInArrow(run, f"{kinds}, stats array<double>")
+    return rows.mapInArrow(run, f"{kinds}, {STATS} array<double>")
 
 
 @dataclass(frozen=True)
@@ -80,7 +82,7 @@ class Rule:
     terms: tuple[tuple[int, bool, float], ...]
     weight: float = 0.0
 
-    def column(self, stats: str = "stats") -> Column:
+    def column(self, stats: str = STATS) -> Column:
         out = F.lit(True)
         for i, at_most, bound in self.terms:
             value = F.col(stats)[i]
@@ -96,7 +98,7 @@ class RuleModel:
     rules: tuple[Rule, ...]
     intercept: float
 
-    def score(self, stats: str = "stats") -> Column:
+    def score(self, stats: str = STATS) -> Column:
         """The probability of label 1, as one expression of comparisons and sums."""
         total = F.lit(self.intercept)
         for rule in self.rules:
@@ -118,13 +120,13 @@ def tree_rules(forest: RandomForestClassificationModel) -> list[Rule]:
 
 
 def fit_rules(labelled: DataFrame) -> RuleModel:
-    """``labelled``: stats and label (0 or 1). With one label only, or none, the model is a constant."""
-    rows = labelled.select("stats", F.col("label").cast("double").alias("label"))
+    """``labelled``: STATS and label (0 or 1). With one label only, or none, the model is a constant."""
+    rows = labelled.select(STATS, F.col("label").cast("double").alias("label"))
     counts = {r["label"]: r["count"] for r in rows.groupBy("label").count().collect()}
     n, good = sum(counts.values()), counts.get(1.0, 0)
     if not good or good == n:
         return RuleModel((), math.log((good + 0.5) / (n - good + 0.5)))
-    vectors = rows.select("label", array_to_vector("stats").alias("features"))
+    vectors = rows.select("label", array_to_vector(STATS).alias("features"))
     forest = RandomForestClassifier(numTrees=TREES, maxDepth=DEPTH, maxBins=64, subsamplingRate=0.5, featureSubsetStrategy="onethird", minInstancesPerNode=3, seed=SEED).fit(vectors)
     rules = tree_rules(forest)
     if not rules:
@@ -137,11 +139,11 @@ def fit_rules(labelled: DataFrame) -> RuleModel:
 
 
 def training_rows(stats: DataFrame, labels: DataFrame, most: int = FIT_ROWS) -> DataFrame:
-    """(stats, label) of labelled rows whose crc32(doc_id as text) mod 5 is not 0; of several labels of a
+    """(STATS, label) of labelled rows whose crc32(doc_id as text) mod 5 is not 0; of several labels of a
     doc_id the mean counts, and a half counts as 1; null labels don't count."""
     own = labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg((F.avg("quality") >= 0.5).cast("int").alias("label"))
     rows = stats.where(~held_out()).join(own, "doc_id")
-    return rows.select(F.xxhash64("doc_id").alias("h"), "doc_id", "stats", "label").orderBy("h", "doc_id").limit(most).select("stats", "label")
+    return rows.select(F.xxhash64("doc_id").alias("h"), "doc_id", STATS, "label").orderBy("h", "doc_id").limit(most).select(STATS, "label")
 
 
 def held_out() -> Column:
