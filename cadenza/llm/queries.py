@@ -67,4 +67,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op10_benchmark_tiles,
     )
 }
-ORACLES: dict[str, str] = {"op3_source_mix": mixing.ORACLE}
+ORACLES: dict[str, str] = {"op3_source_mix": mixing.ORACLE, "op6_count_min_windows": window_dedup.ORACLE}

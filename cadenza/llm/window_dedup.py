@@ -199,3 +199,16 @@ def chunk_number(chunk: Chunk, chunks: int) -> int:
 def window_report(docs: DataFrame) -> DataFrame:
     """The digest of ``dedup_windows``: doc_id, n_words, n_removed, kept_sha256."""
     return dedup_windows(docs).select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
+
+
+#: For tables whose doc_ids are distinct.
+ORACLE = r"""
+WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents),
+k AS (SELECT doc_id, s, array_to_string(words[s : s + 12], ' ') AS win FROM (SELECT doc_id, words, unnest(range(1, len(words) - 11)) AS s FROM w WHERE len(words) >= 13)),
+m AS (SELECT win, min(doc_id) AS first_id FROM k GROUP BY win),
+g AS (SELECT DISTINCT doc_id, unnest(range(s, s + 13)) AS i FROM k JOIN m USING (win) WHERE first_id < doc_id),
+r AS (SELECT doc_id, list(i) AS gone FROM g GROUP BY doc_id)
+SELECT w.doc_id, len(words)::BIGINT AS n_words, coalesce(len(gone), 0)::BIGINT AS n_removed,
+       sha256(array_to_string(list_filter(words, lambda x, i: NOT list_contains(coalesce(gone, []), i)), ' ')) AS kept_sha256
+FROM w LEFT JOIN r ON w.doc_id = r.doc_id
+"""
