@@ -36,7 +36,7 @@ def participants(s, d):
 
 
 def ratings(s, d):
-    rows = V.trials(s, d).orderBy("subject", "trial").selectExpr("concat('sub', subject) AS `Subject ID`", "pain_rating AS `Pain Rating`").coalesce(1)
+    rows = V.trials(s, d).orderBy("subject", "trial").selectExpr("concat('sub', subject) AS `Subject-ID`", "pain_rating AS `Pain Rating`").coalesce(1)
     return scans.scan_ratings(s, csv(rows, scratch_path(s, "ratings")), "*.csv")
 
 
@@ -46,8 +46,8 @@ def source_ga(s, d):
 
 
 def ga_features(s, d):
-    rows = V.trials(s, d).selectExpr("subject AS subjid", "trial", "cast(pain_rating AS string) AS paf", "if(trial % 2 = 0, 'bad', cast(laser_power AS string)) AS sf")
-    return scans.scan_ga_features(s, csv(rows, scratch_path(s, "ga")), {"paf_cog_hz": ["paf", "paf_hz"], "sf_ratio": ["sf"]}, "*.csv").selectExpr("cast(subjid AS bigint) AS subjid", "cast(trial AS bigint) AS trial", "paf_cog_hz", "sf_ratio")
+    rows = V.trials(s, d).selectExpr("subject AS subjid", "trial", "cast(pain_rating AS string) AS pow_slow", "if(trial % 2 = 0, 'bad', cast(laser_power AS string)) AS aperiodic_offset")
+    return scans.scan_ga_features(s, csv(rows, scratch_path(s, "ga")), glob="*.csv").selectExpr("cast(subjid AS bigint) AS subjid", "cast(trial AS bigint) AS trial", "pow_slow_alpha", "fooof_offset")
 
 
 def fits_json(s, d):
@@ -176,7 +176,7 @@ QUERIES = {
     "l12_model_registry": q(lambda s, d: V.trials(s, d).select("unit").distinct().join(L.model_registry(s, MODELS)).select("unit", "name", F.size("terms").alias("n_terms"), "cap"), "unit name n_terms cap", "", "SELECT unit, name, n_terms, cap FROM (SELECT DISTINCT unit FROM trials), (VALUES ('base', 1, true), ('slow', 2, false), ('tensor', 3, false)) AS m(name, n_terms, cap)", "trials"),
     "a1_scan_behaviour": q(behaviour, "experiment subject trial", "laser_power pain_rating", "SELECT '26ByLab' AS experiment, subject, trial, laser_power, CASE WHEN trial % 5 <> 0 THEN pain_rating END AS pain_rating FROM trials", "trials"),
     "a2_scan_participants": q(participants, "subject sex", "age", "SELECT c_custkey AS subject, CASE c_custkey % 2 WHEN 0 THEN 'F' ELSE 'M' END AS sex, CASE WHEN c_custkey % 4 <> 0 THEN c_custkey % 60 + 18 END AS age FROM customer"),
-    "a6_scan_ga_features": q(ga_features, "subjid trial", "paf_cog_hz sf_ratio", "SELECT subject AS subjid, trial, pain_rating AS paf_cog_hz, CASE WHEN trial % 2 <> 0 THEN laser_power END AS sf_ratio FROM trials", "trials"),
+    "a6_scan_ga_features": q(ga_features, "subjid trial", "pow_slow_alpha fooof_offset", "SELECT subject AS subjid, trial, pain_rating AS pow_slow_alpha, CASE WHEN trial % 2 <> 0 THEN laser_power END AS fooof_offset FROM trials", "trials"),
     "a7_scan_source_ga": q(source_ga, "subject roi", "itc_mean", "SELECT subject, unit AS roi, avg(pain_rating) AS itc_mean FROM trials GROUP BY ALL", "trials"),
     "a8_scan_ratings": q(ratings, "subject ordinal", "rating", "SELECT subject, trial AS ordinal, pain_rating AS rating FROM trials", "trials"),
     "a12_scan_signals": q(signals, "subject trial unit i", "x", "SELECT * FROM samples", "samples"),

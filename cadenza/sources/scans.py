@@ -11,16 +11,31 @@ from pyspark.sql import types as T
 
 from cadenza.functions.cleaning import clean_names, coerce_numeric, experiment_from_path, harmonize_sex, melt, no_nan, normalize_colnames, rename_first_match, require_columns
 
-# The column names that the input files use.
+# The column names that the input files use, the first one present counts.
 BEHAVIOUR_ALIASES = {
-    "subject": ["subjid", "ID", "id", "subject_id", "participant_id"],
-    "trial": ["Trial_Num", "trial_num", "Trial", "trial_number"],
-    "laser_power": ["laserpower", "Laser_Power", "power", "stim_intensity"],
-    "pain_rating": ["Painrating", "painrating", "Pain_Rating", "rating"],
+    "subject": ["subjid", "ID", "id", "participant"],
+    "trial": ["trial", "Trial", "trial_number", "Trial_Num", "trial_num"],
+    "laser_power": ["laser_power", "laser", "laser_level"],
+    "pain_rating": ["pain_rating", "pain", "rating", "Painrating"],
+}
+PARTICIPANT_ALIASES = {"subject": ["participant_id", "participant"], "age": ["age", "Age"], "sex": ["sex", "Sex", "gender", "Gender"]}
+RATING_ID = ["subjid", "subject_id", "subjectid", "id", "participant", "participant_id", "participantid", "sub", "sub_id"]
+RATING_VALUE = ["pain_rating", "painrating", "rating", "pain", "nrs", "nrs_score", "vrs", "vrs_score", "vas", "vas_score", "response", "score"]
+GA_ALIASES = {
+    "pow_slow_alpha": ["pow_slow"],
+    "pow_fast_alpha": ["pow_fast"],
+    "pow_alpha_total": ["pow_alpha"],
+    "rel_slow_alpha": ["rel_slow"],
+    "rel_fast_alpha": ["rel_fast"],
+    "slow_alpha_frac": ["slow_frac", "sf_slow_frac"],
+    "fooof_offset": ["aperiodic_offset"],
+    "fooof_exponent": ["aperiodic_exponent"],
+    "fooof_r2": ["fooof_r_2", "r2"],
+    "fooof_error": ["error"],
+    "fooof_alpha_cf": ["alpha_cf"],
+    "fooof_alpha_pw": ["alpha_pw"],
+    "fooof_alpha_bw": ["alpha_bw"],
 }
-PARTICIPANT_ALIASES = {"subject": ["participant_id", "ID", "subjid"], "age": ["Age", "AGE"], "sex": ["Sex", "SEX", "gender", "Gender"]}
-RATING_ID = ["subjid", "subject", "subject_id", "participant_id", "participant", "id", "sub", "subj", "subnum"]
-RATING_VALUE = ["rating", "pain_rating", "painrating", "pain", "score", "vas", "nrs", "response", "pain_score", "single_trial_rating", "trial_rating", "value", "y"]
 
 
 def _csv(spark: SparkSession, path: str, glob: str, sep: str = ",") -> DataFrame:
@@ -57,7 +72,7 @@ def scan_source_long(spark: SparkSession, path: str, glob: str = "*_source_trial
     return melt(rows, ["subjid", "trial", "roi"])
 
 
-def scan_ga_features(spark: SparkSession, path: str, aliases: dict[str, list[str]], glob: str = "*_spectral_ga_by_trial.csv") -> DataFrame:
+def scan_ga_features(spark: SparkSession, path: str, aliases: dict[str, list[str]] = GA_ALIASES, glob: str = "*_spectral_ga_by_trial.csv") -> DataFrame:
     """Grand-average features under their newer names, numbers where they are."""
     rows = rename_first_match(_csv(spark, path, glob).drop("_path", "_file"), aliases)
     return rows.select(*[c if c in ("subjid", "trial") or "source" in c else coerce_numeric(F.col(c)).alias(c) for c in rows.columns])
