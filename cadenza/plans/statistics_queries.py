@@ -133,7 +133,7 @@ QUERIES = {
     "f9_mask_intervals": q(lambda s, d: W.mask_to_intervals(V.samples(s, d).withColumn("bad", F.abs("x") > 0.15), ["subject", "trial"], "bad"), "subject trial start end", "", 'WITH b AS (SELECT subject, trial, i, i - row_number() OVER (PARTITION BY subject, trial ORDER BY i) AS g FROM samples WHERE abs(x) > 0.15) SELECT subject, trial, min(i) AS start, max(i) AS "end" FROM b GROUP BY subject, trial, g', "samples"),
     "f10_autocorrelation": q(lambda s, d: W.autocorrelation(V.trials(s, d), ["subject"], "trial", "pain_rating"), "subject lag n", "acf bound", "WITH x AS (SELECT subject, row_number() OVER (PARTITION BY subject ORDER BY trial) AS k, count(*) OVER (PARTITION BY subject) AS n, pain_rating - avg(pain_rating) OVER (PARTITION BY subject) AS v FROM trials), c AS (SELECT a.subject, l AS lag, max(a.n) AS n, sum(a.v * b.v) AS s FROM x a JOIN range(11) AS r(l) ON l <= least(10, floor(a.n / 3)) JOIN x b ON a.subject = b.subject AND b.k = a.k + l WHERE a.n >= 6 GROUP BY a.subject, l) SELECT subject, lag, n, s / max(s) FILTER (lag = 0) OVER (PARTITION BY subject) AS acf, 1.96 / sqrt(n) AS bound FROM c", "trials"),
     "f12_latest": q(lambda s, d: W.latest_per_key(V.table(s, d, "orders"), ["o_custkey"], F.desc("o_orderdate"), F.desc("o_orderkey")), "o_custkey o_orderkey", "", "SELECT o_custkey, o_orderkey FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) AS r FROM orders) WHERE r = 1"),
-    "f13_cumulative_offset": q(lambda s, d: W.cumulative_offset(V.signals(s, d).withColumn("n", F.size("samples") + F.col("trial") % 3), ["subject"], "trial", "n"), "subject trial offset", "", 'SELECT subject, trial, sum(n) OVER (PARTITION BY subject ORDER BY trial) - n AS "offset" FROM (SELECT subject, trial, len(samples) + trial % 3 AS n FROM signals)', "signals"),
+    "f13_cumulative_offset": q(lambda s, d: W.cumulative_offset(V.signals(s, d).withColumn("n", F.size("samples") + F.col("trial") % 3), ["subject"], "trial", "n"), "subject trial offset", "", 'SELECT subject, trial, (sum(n) OVER (PARTITION BY subject ORDER BY trial) - n)::BIGINT AS "offset" FROM (SELECT subject, trial, len(samples) + trial % 3 AS n FROM signals)', "signals"),
     "f15_first_crossing": q(lambda s, d: W.first_crossing(curve(s, d), ["metric"], "n", "power", 0.8), "metric n_required achieved", "max_power", f"WITH {CURVE} SELECT metric, min(n) FILTER (power >= 0.8) AS n_required, max(power) >= 0.8 AS achieved, max(power) AS max_power FROM curve GROUP BY metric"),
     "f16_percentile_flag": q(lambda s, d: W.percentile_flag(wide(s, d), ["unit"], "extendedprice", 0.05), "subject trial unit flag", "", "SELECT subject, trial, unit, (extendedprice < p)::INT AS flag FROM metrics_wide JOIN (SELECT unit, quantile_cont(extendedprice, 0.05) AS p FROM metrics_wide GROUP BY unit) USING (unit)", "metrics_wide"),
     "g1_extreme_trials": q(lambda s, d: S.extreme_trials(V.trials(s, d), ["subject"], "pain_rating", "laser_power"), "subject trial", "", "WITH r AS (SELECT subject, trial, row_number() OVER (PARTITION BY subject ORDER BY pain_rating, trial) AS a, row_number() OVER (PARTITION BY subject ORDER BY laser_power DESC NULLS LAST, trial) AS b, row_number() OVER (PARTITION BY subject ORDER BY laser_power NULLS FIRST, trial) AS c, row_number() OVER (PARTITION BY subject ORDER BY pain_rating DESC, trial) AS e FROM trials) SELECT subject, trial FROM r WHERE a <= 2 OR b <= 2 OR c <= 1 OR e <= 1", "trials"),
