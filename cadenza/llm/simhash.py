@@ -29,6 +29,8 @@ SEED = 42
 SEGMENT_BITS, GROUPS = 2, 6
 SEGMENTS = 64 // SEGMENT_BITS
 CELL = 256
+#: The same two bounds for candidates by words: copies with edits share many cells, so pairs are listed in small ones only.
+SIMILAR_CELL = (32, 2048)
 #: Fingerprints of the set of words by which the pipeline finds candidates.
 WORD_PRINTS = 3
 
@@ -101,21 +103,16 @@ def _bits(a: np.ndarray, b: np.int64) -> np.ndarray:
 
 
 def _forest(nodes: np.ndarray, left: np.ndarray, right: np.ndarray, near: Callable[[int, np.ndarray], np.ndarray]) -> list[tuple[int, int]]:
-    """A spanning forest of the near pairs between two sets of places in ``nodes``."""
-    parent: dict[int, int] = {}
-
-    def root(x: int) -> int:
-        while parent.setdefault(x, x) != x:
-            parent[x] = x = parent[parent[x]]
-        return x
-
-    out = []
-    for i in left.tolist():
-        x = int(nodes[i])
-        for y in nodes[right[near(i, right)]].tolist():
-            if (p := root(x)) != (q := root(y)):
-                parent[p] = q
-                out.append((x, y))
+    """A spanning forest of the near pairs between two sets of places in ``nodes``; the least nodes come first, so cells
+    that hold the same nodes tend to give the same links."""
+    out, part = [], np.arange(len(nodes))
+    for i in left[np.argsort(nodes[left])].tolist():
+        hit = right[near(i, right)]
+        hit = hit[part[hit] != part[i]]
+        if len(hit):
+            others, first = np.unique(part[hit], return_index=True)
+            out += [(int(nodes[i]), int(y)) for y in nodes[hit[first]]]
+            part[np.isin(part, others)] = part[i]
     return out
 
 
@@ -124,15 +121,15 @@ def _pairs(found: list[tuple[int, int]]) -> pa.Table:
     return pa.table({"u": pa.array(u, pa.int64()), "v": pa.array(v, pa.int64())})
 
 
-def _linked(placed: DataFrame, near: Callable[[], Column], carried: list[str], run: Callable[[pa.Table], pa.Table]) -> DataFrame:
-    """(u, v) of the rows (cell, fp, carried) of each cell: all near pairs of an ordinary one by a join, of a
-    large one what ``run`` finds between two of its blocks. Columns of a pair are named fp_u, fp_v and so on."""
+def _linked(placed: DataFrame, near: Callable[[], Column], carried: list[str], run: Callable[[pa.Table], pa.Table], small_cell: int, block: int) -> DataFrame:
+    """(u, v) of the rows (cell, fp, carried) of each cell: all near pairs of one with ``small_cell`` rows at most, by a
+    join; of a larger one what ``run`` finds between two of its blocks of about ``block``. Columns of a pair are named fp_u, fp_v and so on."""
     counted = placed.groupBy("cell").agg(F.count("*").alias("n")).where("n > 1")
     shared = placed.join(counted, "cell")
-    small, large = shared.where(F.col("n") <= CELL), shared.where(F.col("n") > CELL)
+    small, large = shared.where(F.col("n") <= small_cell), shared.where(F.col("n") > small_cell)
     side = lambda k: small.select("cell", *[F.col(c).alias(f"{c}_{k}") for c in ["fp", *carried]])
     pairs = side("u").join(side("v"), "cell").where("fp_u > fp_v").where(near())
-    blocks = F.ceil(F.col("n") / CELL).cast("int")
+    blocks = F.ceil(F.col("n") / block).cast("int")
     dealt = large.withColumns({"blocks": blocks, "own": F.pmod(F.xxhash64("fp"), blocks).cast("int")})
     faced = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     faced = faced.select("cell", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "fp", *carried)
@@ -154,7 +151,7 @@ def links(distinct: DataFrame, most: int = 3) -> DataFrame:
         left, right = np.flatnonzero(mine), np.flatnonzero(~mine)
         return _pairs(_forest(fp, left, right if len(right) else left, lambda x, rest: _bits(fp[rest], fp[x]) <= most))
 
-    return _linked(placed, near, [], run)
+    return _linked(placed, near, [], run, CELL, CELL)
 
 
 def similar_links(nodes: DataFrame, most: int, check: int) -> DataFrame:
@@ -182,7 +179,7 @@ def similar_links(nodes: DataFrame, most: int, check: int) -> DataFrame:
         found = _forest(fp, left, right if len(right) else left, lambda x, rest: (_bits(w[rest], w[x]) <= most) & (_bits(five[rest], five[x]) <= check))
         return _pairs(found)
 
-    return _linked(placed, near, ["five", "w", "last"], run)
+    return _linked(placed, near, ["five", "w", "last"], run, *SIMILAR_CELL)
 
 
 def near_duplicates(docs: DataFrame, most: int = 3, shingle: int = 3) -> DataFrame:

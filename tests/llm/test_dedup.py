@@ -103,9 +103,9 @@ def test_simhash(documents, monkeypatch, cell):
     assert sorted(map(tuple, found)) == brute_components(prints)
 
 
-@pytest.mark.parametrize("cell", [256, 2])
+@pytest.mark.parametrize("cell", [(32, 2048), (2, 2)])
 def test_one_of_each(documents, monkeypatch, cell):
-    monkeypatch.setattr(simhash, "CELL", cell)
+    monkeypatch.setattr(simhash, "SIMILAR_CELL", cell)
     rows = sorted({(r.doc_id is None, r.doc_id or 0, r.text or "") for r in documents.collect()})
     made = [simhash.profile(t, 5) for _, _, t in rows]
     parent = list(range(len(rows)))
