@@ -23,9 +23,9 @@ from pyspark.sql import functions as F
 
 from .common import join_small, stored, whole_text
 from .components import components
+from .overlap import SEED, frequent_shingles, overlap_links, parities, prefix, shingle_hashes
 from .vectors import mixed
 
-SEED = 42
 SEGMENT_BITS, GROUPS = 2, 6
 SEGMENTS = 64 // SEGMENT_BITS
 CELL = 256
@@ -37,14 +37,11 @@ WORD_PRINTS = 3
 
 def fingerprint(text: str, shingle: int = 3) -> int:
     """A bit is 1 if set in over half of the shingles' XXH64; of no word 0, of fewer words their whole sequence."""
-    words = text.encode("utf-8", "surrogatepass").lower().split()
-    if not words:
-        return 0
-    ends = np.cumsum([len(w) + 1 for w in words])
-    starts = (ends - [len(w) + 1 for w in words]).tolist()
-    joined, k = b" ".join(words), min(shingle, len(words))
-    own = xxhash.xxh64_intdigest
-    hashes = np.fromiter((own(joined[a:b], SEED) for a, b in zip(starts, (ends[k - 1 :] - 1).tolist())), np.uint64, len(words) - k + 1)
+    return majority(shingle_hashes(text, shingle))
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The fingerprint of these shingles' hashes."""
     bits = np.zeros(64, np.int64)
     for i in range(0, len(hashes), 4096):
         bits += np.unpackbits(hashes[i : i + 4096].astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(0, dtype=np.int64)
@@ -208,6 +205,10 @@ def join_hot(rows: DataFrame, labelled: DataFrame) -> DataFrame:
 
 def profile(text: str, shingle: int) -> tuple[int, list[int]]:
     """(fingerprint of the shingles, WORD_PRINTS independent fingerprints of the set of words)."""
+    return fingerprint(text, shingle), word_prints(text)
+
+
+def word_prints(text: str) -> list[int]:
     distinct = sorted(set(text.encode("utf-8", "surrogatepass").lower().split()))
     hashes = np.fromiter((xxhash.xxh64_intdigest(w, SEED) for w in distinct), np.uint64, len(distinct))
     out = []
@@ -215,34 +216,46 @@ def profile(text: str, shingle: int) -> tuple[int, list[int]]:
         own = mixed(hashes + np.uint64(turn * 0x9E3779B97F4A7C15 & (1 << 64) - 1)).astype(">u8")
         bits = np.unpackbits(own.view(np.uint8).reshape(-1, 8), axis=1).sum(0, dtype=np.int64)
         out.append(int.from_bytes(np.packbits(bits * 2 > len(own)).tobytes(), "big", signed=True))
-    return fingerprint(text, shingle), out
+    return out
 
 
-def profiles(docs: DataFrame, keep: list[str], shingle: int) -> DataFrame:
-    """The kept columns, five, prints, and fp: a number of the two together."""
+def profiles(keyed: DataFrame, keep: list[str], shingle: int, similarity: float) -> DataFrame:
+    """The kept columns, five, prints, fp: a number of the two together; and of the set of shingles s, its number, size,
+    odd, its parities, and first, its prefix."""
+    frequent, places = frequent_shingles(keyed, shingle)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            made = [profile(x.as_py(), shingle) for x in batch.column(len(keep))]
-            columns = pa.array([m[0] for m in made], pa.int64()), pa.array([m[1] for m in made], pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], *columns], names=[*keep, "five", "prints"])
-
-    rows = docs.select(*keep, whole_text().alias("_text"))
+            made = []
+            for x in batch.column(len(keep)):
+                text = x.as_py()
+                hashes = shingle_hashes(text, shingle)
+                own = np.unique(hashes)
+                number = np.uint64(xxhash.xxh64_intdigest(own.tobytes(), SEED)).view(np.int64)
+                made.append((majority(hashes), word_prints(text), number, len(own), parities(own), prefix(own, similarity, frequent, places).view(np.int64)))
+            kinds = (pa.int64(), pa.list_(pa.int64()), pa.int64(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int64()))
+            columns = [pa.array([m[i] for m in made], kind) for i, kind in enumerate(kinds)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], *columns], names=[*keep, "five", "prints", "s", "size", "odd", "first"])
+
+    rows = keyed.select(*keep, "_text")
     kinds = ", ".join(f"`{c}` {t}" for c, t in rows.dtypes[:-1])
-    return rows.mapInArrow(run, f"{kinds}, five long, prints array<long>").withColumn("fp", F.xxhash64("five", "prints"))
+    return rows.mapInArrow(run, f"{kinds}, five long, prints array<long>, s long, size int, odd array<long>, first array<long>").withColumn("fp", F.xxhash64("five", "prints"))
 
 
-def one_of_each(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, most: int = 3) -> DataFrame:
+def one_of_each(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, most: int = 3, overlap: bool = False) -> DataFrame:
     """Keeps, with the columns of ``docs``, one document of each group of near-duplicates: that with the least doc_id (of
     rows with one doc_id the least numbers), and one of its rows if several are equal.
 
     Two documents are near-duplicates if the share of equal bits of their fingerprints over shingles of five words is
     ``similarity`` or more. That leaves too many differing bits for the grid, so candidates are the pairs within
-    ``most`` bits of one of several fingerprints of their sets of words, which edits move less."""
-    keyed = docs.select("doc_id", "text", F.xxhash64(whole_text()).alias("_h"))
-    own = stored(profiles(keyed, ["doc_id", "_h"], shingle), "fingerprints")
-    nodes = own.dropDuplicates(["fp"]).select("fp", "five", "prints")
-    labelled = component_table(own, similar_links(nodes, most, int(64 * (1 - similarity) + 1e-9)))
+    ``most`` bits of one of several fingerprints of their sets of words, which edits move less; many edited copies
+    have no such fingerprint. With ``overlap``, all pairs of documents whose sets of shingles have a Jaccard similarity
+    of ``similarity`` or more are near-duplicates as well, and none of them is missed."""
+    keyed = docs.select("doc_id", whole_text().alias("_text"), F.xxhash64(whole_text()).alias("_h"))
+    own = stored(profiles(keyed, ["doc_id", "_h"], shingle, similarity), "fingerprints")
+    nodes = own.select("fp", "five", "prints").dropDuplicates(["fp"])
+    known = similar_links(nodes, most, int(64 * (1 - similarity) + 1e-9))
+    labelled = component_table(own, overlap_links(own, keyed, known, similarity, shingle) if overlap else known)
     first = F.min(F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "fp", "_h")).alias("first")
     heads = join_hot(own.select("doc_id", "_h", "fp"), labelled).groupBy("root", "fp").agg(first)
     heads = stored(heads.groupBy("root").agg(F.min("first").alias("first")).select("first.doc_id", "first._h"), "heads")

@@ -6,7 +6,7 @@ from collections import Counter
 
 import pytest
 
-from cadenza.llm import exchange, simhash, substring_dedup, window_dedup
+from cadenza.llm import exchange, overlap, simhash, substring_dedup, window_dedup
 
 SCHEMA = "doc_id long, text string, lang string, chunk int, block int"
 
@@ -170,3 +170,34 @@ def test_sketch_never_undercounts():
     for h, a in zip(hashes, answers):
         over = window_dedup.estimated_repeated(h, a, 12, 4)
         assert all(o for x, o in zip(h.tolist(), over.tolist()) if total[x] > 1)
+
+
+@pytest.mark.parametrize("small_list", [32, 2])
+def test_all_pairs_of_high_overlap_go(spark, monkeypatch, small_list):
+    monkeypatch.setattr(overlap, "LIST", small_list)
+    monkeypatch.setattr(overlap, "LIST_BLOCK", 4)
+    monkeypatch.setattr(overlap, "FREQUENT", 2)
+    rng = random.Random(9)
+    words = ["".join(rng.choices("abcdefgh", k=rng.randrange(2, 9))) for _ in range(3000)]
+    docs = []
+    for i in range(60):
+        text = rng.choices(words, k=rng.randrange(60, 900))
+        edited, n = list(text), len(text)
+        if i % 4 == 0:
+            edited = text[: n * rng.randrange(82, 96) // 100]
+        elif i % 4 == 1:
+            edited = text + rng.choices(words, k=n * rng.randrange(4, 20) // 100)
+        elif i % 4 == 2:
+            for at in rng.sample(range(n), n // 50):
+                edited[at] = "edit" + str(at)
+        else:
+            edited = text[n // 2 :] + text[: n // 2]
+        docs += [(2 * i, " ".join(text)), (2 * i + 1, " ".join(edited))]
+    docs += [(1000 + i, docs[0][1] + f" end {i}") for i in range(50)]
+    sets = {d: set(zip(*[t.split()[k:] for k in range(5)])) for d, t in docs}
+    over = [(a, b) for a in sets for b in sets if a < b and 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b])]
+    assert sum(a < 1000 and b == a + 1 for a, b in over) > 40
+    kept = {r.doc_id for r in simhash.one_of_each(spark.createDataFrame(docs, "doc_id long, text string"), overlap=True).collect()}
+    assert not [p for p in over if kept.issuperset(p)]
+    near = {d for p in over for d in p}
+    assert all(d in kept for d, _ in docs if d not in near)
