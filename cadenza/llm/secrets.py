@@ -1,7 +1,7 @@
 """Secret scans in DataFrame functions only: fixed patterns, and a randomness test battery for other tokens.
 
 The battery takes runs of TOKEN characters long enough to carry a secret, infers their encoding (hexadecimal,
-base32, base64 or its letters and digits) and asks whether they look drawn at random from its alphabet: a
+base32, base36, base64 or its letters and digits) and asks whether they look drawn at random from its alphabet: a
 chi-squared test of uniform use of the alphabet, a runs test of the halves of the alphabet, and a serial
 correlation test of neighbouring places. Random tokens pass; words, names and codes of a pattern fail.
 The p-values are combined (Bonferroni), and among the tokens of one encoding and length class the failing ones are
@@ -24,12 +24,13 @@ ASSIGN = r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?
 ASSIGN_HINT = r"(?i)password|passwd|secret|token|api_?key"
 ACCESS = r"AKIA[A-Z0-9]{14,}"
 HEX = r"[0-9a-f]{16,}"
-TOKEN = r"[A-Za-z0-9+/_-]{24,}"
+TOKEN = r"[A-Za-z0-9+/_-]{16,}"
 KINDS = ("assign", "access", "hex", "random")
 
 HEXADECIMAL, BASE32 = "0123456789ABCDEF", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 BASE64 = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
-ALPHABETS = {"hex": HEXADECIMAL, "base32": BASE32, "alnum": BASE64[:62], "base64": BASE64}
+BASE36 = "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+ALPHABETS = {"hex": HEXADECIMAL, "base32": BASE32, "base36": BASE36, "alnum": BASE64[:62], "base64": BASE64}
 #: Highest share of tokens wrongly named as not random.
 FALSE_DISCOVERIES = 0.05
 P_BINS = 400
@@ -69,13 +70,14 @@ def base_spans(docs: DataFrame) -> DataFrame:
 
 
 def encoding(token: Column) -> Column:
-    """The narrowest encoding whose alphabet and mix of characters fit, or null: words of one case, numbers
-    and names of letters only aren't encoded bytes."""
+    """The narrowest encoding whose alphabet and mix of characters fit, or null: words without a digit, numbers
+    and names of letters only aren't encoded bytes. Hexadecimal, base32 and base36 may be of either case."""
     has = lambda p: F.rlike(token, F.lit(p))
     mixed_case = has("[A-Z]") & has("[a-z]") & has("[0-9]")
     return (
         F.when((has("^[0-9a-f]+$") | has("^[0-9A-F]+$")) & has("[0-9]") & has("[A-Fa-f]"), "hex")
-        .when(has("^[A-Z2-7]+$") & has("[A-Z]") & has("[2-7]"), "base32")
+        .when((has("^[A-Z2-7]+$") & has("[A-Z]") | has("^[a-z2-7]+$") & has("[a-z]")) & has("[2-7]"), "base32")
+        .when((has("^[A-Z0-9]+$") & has("[A-Z]") | has("^[a-z0-9]+$") & has("[a-z]")) & has("[0-9]"), "base36")
         .when(mixed_case & has("^[A-Za-z0-9]+$"), "alnum")
         .when(mixed_case, "base64")
     )
@@ -90,7 +92,7 @@ def battery(token: Column, kind: str) -> Column:
     """The combined p-value of the three tests, of a token of this encoding."""
     letters = ALPHABETS[kind]
     k = len(letters)
-    plain = F.upper(token) if kind == "hex" else F.translate(token, "-_", "+/")
+    plain = F.upper(token) if kind in ("hex", "base32", "base36") else F.translate(token, "-_", "+/")
     chars = F.split(plain, "")
     places = F.transform(F.filter(chars, lambda c: c != ""), lambda c: F.position(c, F.lit(letters)) - 1)
     n = F.length(plain).cast("double")

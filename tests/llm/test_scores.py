@@ -147,6 +147,16 @@ def test_randomness_battery(spark):
     assert all(found[i].spans == "random:4:44" for i in range(60) if hits[i])
 
 
+@pytest.mark.parametrize("letters, size", [(secrets.BASE36, 32), (secrets.BASE36.lower(), 32), (secrets.BASE32.lower(), 40), (secrets.BASE64[:62], 20), (secrets.BASE64, 16)])
+def test_random_keys_of_other_encodings(spark, letters, size):
+    rng = np.random.default_rng(6)
+    rows = [(i, "key " + "".join(rng.choice(list(letters), size)) + " end") for i in range(60)]
+    plain = ["ab12" * 8, "a2" * 20, "AB12" * 8, "aaaaaaaaaaaaaaaa1111111111111111", "internationalization2internationalization"]
+    found = {r.doc_id: r for r in secrets.secret_report(spark.createDataFrame(rows + list(enumerate(plain, 60)), "doc_id long, text string")).collect()}
+    assert sum(found[i].spans == f"random:4:{4 + size}" for i in range(60)) >= 48
+    assert all(found[i].n_random == 0 for i in range(60, 64))
+
+
 def test_secrets_empty(spark):
     assert secrets.secret_report(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
