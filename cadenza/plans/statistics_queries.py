@@ -150,8 +150,8 @@ QUERIES = {
     "l3_rm_anova": q(lambda s, d: L.rm_anova(unit_means(s, d), "subject", "unit", "v"), "n k", "f df1 df2 epsilon p p_gg"),
     "l4_channel_vs_source": q(channel_vs_source, "n", "mean_diff t d_z", "WITH r AS (SELECT subject % 5 AS concept, subject, unit, pow(CASE WHEN count(*) >= 3 AND var_pop(quantity) > 0 AND var_pop(extendedprice) > 0 THEN corr(quantity, extendedprice) END, 2) AS r2 FROM metrics_wide GROUP BY ALL), b AS (SELECT concept, unit, row_number() OVER (PARTITION BY concept ORDER BY avg(r2) DESC, unit) AS k FROM r GROUP BY concept, unit), best AS (SELECT r.subject, r.r2 FROM r JOIN b USING (concept, unit) WHERE k = 1), ch AS (SELECT subject, avg(r2) AS r2 FROM r GROUP BY subject), x AS (SELECT ch.r2 - best.r2 AS d FROM ch JOIN best USING (subject)) SELECT count(d) AS n, avg(d) AS mean_diff, avg(d) / (stddev_samp(d) / sqrt(count(d))) AS t, avg(d) / stddev_samp(d) AS d_z FROM x", "metrics_wide"),
     "l5_rayleigh_fdr": q(lambda s, d: W.fdr_bh(E.rayleigh(V.phase(s, d), ["subject", "unit"]), ["unit"], "p", "subject"), "subject unit n", "r p p_adj", "WITH x AS (SELECT subject, unit, count(*) AS n, sqrt(pow(avg(cos(phase)), 2) + pow(avg(sin(phase)), 2)) AS r FROM phase GROUP BY ALL HAVING count(*) >= 5), y AS (SELECT *, n * r * r AS z FROM x), w AS (SELECT *, greatest(0, least(1, exp(-z) * (1 + (2*z - z*z) / (4*n) - (24*z - 132*z*z + 76*z*z*z - 9*z*z*z*z) / (288*n*n)))) AS p FROM y), k AS (SELECT *, row_number() OVER (PARTITION BY unit ORDER BY p, subject) AS i, count(*) OVER (PARTITION BY unit) AS m FROM w) SELECT subject, unit, n, r, p, least(1, min(p * m / i) OVER (PARTITION BY unit ORDER BY i ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)) AS p_adj FROM k", "phase"),
-    "l6_permutation_p": q(lambda s, d: L.permutation_p(replicate_rows(s, d), ["unit"], "event_id", "laser_power", "pain_rating", 20), "unit n_ge", "r p"),
-    "l7_bootstrap_ci": q(lambda s, d: L.bootstrap_ci(V.predictions(s, d), ["model"], "fold", "actual", "predicted", 100), "model metric", "ci_low median ci_high"),
+    "l6_permutation_p": q(lambda s, d: L.permutation_p(replicate_rows(s, d), ["unit"], "event_id", "laser_power", "pain_rating", 1000), "unit n_ge", "r p"),
+    "l7_bootstrap_ci": q(lambda s, d: L.bootstrap_ci(V.predictions(s, d), ["model"], "fold", "actual", "predicted", 500), "model metric", "ci_low median ci_high"),
     "l8_linear_screen": q(lambda s, d: L.linear_screen(V.metrics_long(s, d).join(wide(s, d).select("subject", "trial", "unit", F.col("extendedprice").alias("y")), ["subject", "trial", "unit"]), "y"), "unit metric_name n", "slope r2", "SELECT unit, metric_name, count(*) AS n, corr(metric_value, y) AS slope, pow(corr(metric_value, y), 2) AS r2 FROM metrics_long JOIN (SELECT subject, trial, unit, extendedprice AS y FROM metrics_wide) USING (subject, trial, unit) GROUP BY ALL", "metrics_long metrics_wide"),
     "l9_additive_mixed": q(lambda s, d: L.additive_mixed_fit(split_trials(s, d), ["unit"], ["laser_power", "trial_z"], [], "subject", "pain_rating"), "unit n n_subjects", "edf r_sq f p"),
     "l10_safe_k": q(lambda s, d: L.safe_k(V.trials(s, d), ["subject", "unit"], "laser_power", 8), "subject unit k", "", "SELECT subject, unit, greatest(3, least(8, count(DISTINCT laser_power) - 1)) AS k FROM trials GROUP BY ALL", "trials"),
@@ -162,7 +162,7 @@ QUERIES = {
     "l15_external_cv": q(lambda s, d: L.external_cv(train(s, d, "holdout"), L.solve(L.products(train(s, d, "train"), ["unit"], TERMS, "pain_rating")), ["unit"], TERMS, "pain_rating", ["cap_size"]), "unit cv_type fold_id n_obs", "pearson_r rmse mae", SPLIT + f", {TRIALS}, tr AS (SELECT * FROM m JOIN split USING (subject) WHERE split_group = 'train' AND laser_power IS NOT NULL), {ordinary(TERMS, 'unit')}, p AS (SELECT m.unit, cap_size, pain_rating AS o, b0 + b1 * laser_power + b2 * trial_z AS y FROM m JOIN f USING (unit) WHERE laser_power IS NOT NULL AND m.subject IN (SELECT subject FROM split WHERE split_group = 'holdout')) SELECT unit, CASE WHEN grouping(cap_size) = 1 THEN 'overall' ELSE 'cap_size' END AS cv_type, CASE WHEN grouping(cap_size) = 1 THEN 'all' ELSE cap_size END AS fold_id, count(*) AS n_obs, CASE WHEN count(*) >= 3 THEN corr(o, y) END AS pearson_r, sqrt(avg(pow(o - y, 2))) AS rmse, avg(abs(o - y)) AS mae FROM p GROUP BY GROUPING SETS ((unit), (unit, cap_size))", "subjects trials"),
     "l16_sensitivity_drop": q(lambda s, d: L.sensitivity_drop(split_trials(s, d), ["unit"], "experiment_id", TERMS, "pain_rating"), "unit experiment_id", "r_full r_without delta_r"),
     "l16_sensitivity_qc": q(lambda s, d: L.sensitivity_qc(split_trials(s, d).withColumn("fit_r2", F.col("subject") % 10 / 10.0), ["unit"], "fit_r2", [0.3, 0.5, 0.6], TERMS, "pain_rating", "subject"), "unit n n_subjects", "limit r"),
-    "l17_split_half": q(lambda s, d: L.split_half_stability(split_trials(s, d), ["unit"], "subject", "cap_size", TERMS, "pain_rating", 20), "unit rep", "r"),
+    "l17_split_half": q(lambda s, d: L.split_half_stability(split_trials(s, d), ["unit"], "subject", "cap_size", TERMS, "pain_rating", 50), "unit rep", "r"),
     "l18_smooth_effect": q(lambda s, d: L.smooth_effect(L.solve(L.products(split_trials(s, d), ["unit"], TERMS, "pain_rating")), 1, 0.0, 2.0, 50), "unit", "x effect low high"),
     "l19_concordance": q(lambda s, d: L.smooth_concordance(*[V.trials(s, d).where(f"subject % 2 = {k}").groupBy("unit", F.col("laser_power").alias("x")).agg(F.avg("pain_rating").alias("y")) for k in (0, 1)], ["unit"]), "unit same_sign", "r", "WITH a AS (SELECT unit, laser_power AS x, avg(pain_rating) FILTER (subject % 2 = 0) AS ya, avg(pain_rating) FILTER (subject % 2 = 1) AS yb FROM trials WHERE laser_power IS NOT NULL GROUP BY ALL) SELECT unit, corr(ya, yb) AS r, corr(ya, yb) > 0 AS same_sign FROM a WHERE ya IS NOT NULL AND yb IS NOT NULL GROUP BY unit", "trials"),
     "l20_fit_quality": q(lambda s, d: L.fit_quality_comparison(fits(s, d).groupBy("roi").agg(F.min("aic").alias("channel_aic"), F.max("aic").alias("source_aic"))), "roi", "delta_aic", f"WITH {FITS} SELECT roi, min(aic) - max(aic) AS delta_aic FROM fits GROUP BY roi"),
