@@ -13,12 +13,16 @@ SPACE = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]+"
 #: Rows up to which a small side is broadcast; its rows are a few numbers wide.
 BROADCAST_ROWS = 20_000
+#: The same where a row is one or two 64-bit keys.
+KEY_ROWS = 300_000
 
 
 def scratch_dir(spark: SparkSession) -> str:
     """The folder all executors share; one of this machine only where none is named (local tests)."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         named = "file://" + tempfile.mkdtemp(prefix="spark-scratch-")
         spark.conf.set("spark.checkpoint.dir", named)
     return named
@@ -45,17 +49,17 @@ def whole_text(text: str = "text") -> Column:
     return F.coalesce(F.col(text), F.lit(""))
 
 
-def row_key(doc_id: str = "doc_id", text: str = "text") -> Column:
-    """Tells apart rows of one doc_id with different texts; equal rows share it and all that is found for them."""
-    return F.xxhash64(F.col(doc_id), F.col(text))
+def packed_row(docs: DataFrame) -> Column:
+    """All columns of ``docs`` as one, so that columns of an operator can't clash with them."""
+    return F.struct(*[F.col("`" + c.replace("`", "``") + "`") for c in docs.columns])
 
 
-def join_small(big: DataFrame, small: DataFrame, key: str, how: str = "left", salts: int = 64) -> DataFrame:
+def join_small(big: DataFrame, small: DataFrame, key: str, how: str = "left", salts: int = 64, most: int = BROADCAST_ROWS) -> DataFrame:
     """Joins on ``key``; ``small`` has one row a key, and one key may hold a third of ``big``.
 
-    ``small`` is counted: up to BROADCAST_ROWS it is broadcast, beyond that its rows are repeated for
+    ``small`` is counted: up to ``most`` rows it is broadcast, beyond that its rows are repeated for
     ``salts`` salts that spread each key of ``big``."""
-    if small.count() <= BROADCAST_ROWS:
+    if small.count() <= most:
         return big.join(F.broadcast(small), key, how)
     salted = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     spread = big.withColumn("_salt", F.pmod(F.xxhash64(*big.columns), F.lit(salts)).cast("int"))

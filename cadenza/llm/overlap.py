@@ -1,13 +1,13 @@
-"""All pairs of documents whose sets of word shingles have a Jaccard similarity of a bound or more, by a prefix filter.
+"""Links between documents by the sets of their word shingles, with a prefix filter for candidates.
 
 Shingles have one order for all documents: those that a sample of the documents finds often come last, the most frequent
 at the very end, the others by their hash. Two sets of similarity t share one of their first n - ceil(t n) + 1 shingles
 in any such order, so no pair is lost, whatever the sample holds; it only keeps the lists of shared shingles short.
 
-A list of more than LIST documents is first linked to its least member. Pairs that links have joined already
-need no check; every other pair of a list is checked on the whole sets if its sizes and parities allow the bound. A set's
-parities are BITS bits, each of them whether an odd number of shingles falls on it: as many as differ, and no
-fewer, are the shingles that only one of two sets has.
+Every list is first linked to its least member. Pairs that links have joined already need no check; every other pair of
+a list is checked. A pair is linked if its fingerprints are near, or if its whole sets reach the similarity; texts
+are read only where sizes and parities allow that. A set's parities are BITS bits, each of them whether an odd number of
+shingles falls on it: as many as differ, and no fewer, are the shingles that only one of two sets has.
 """
 
 from __future__ import annotations
@@ -21,11 +21,12 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import join_small, stored
+from .common import KEY_ROWS, join_small, stored
 from .components import components
+from .vectors import segments, windows, words
 
 SEED = 42
-LIST, LIST_BLOCK = 32, 2048
+LIST_BLOCK = 2048
 BITS = 1024
 #: Documents of the sample, in how many of them a shingle is frequent, and the most that are told apart.
 SAMPLE, FREQUENT, FREQUENT_MOST = 4_000, 4, 50_000
@@ -43,16 +44,27 @@ def shingle_hashes(text: str, shingle: int) -> np.ndarray:
     return np.fromiter((own(joined[a:b], SEED) for a, b in zip(starts, (ends[k - 1 :] - 1).tolist())), np.uint64, len(words) - k + 1)
 
 
+def shingles(texts: list[str], shingle: int) -> Iterator[np.ndarray]:
+    """Of each text the same runs as ``shingle_hashes`` has, by a hash that is made for many texts at once."""
+    for _, _, joined, starts in segments([t.encode("utf-8", "surrogatepass").lower() for t in texts]):
+        _, _, own, offsets = words(joined, starts)
+        whole, at = windows(own, shingle), offsets.tolist()
+        for a, b in zip(at, at[1:]):
+            yield whole[a : b - shingle + 1] if b - a >= shingle else windows(own[a:b], b - a) if b > a else whole[:0]
+
+
 def prefix(distinct: np.ndarray, similarity: float, frequent: np.ndarray, places: np.ndarray) -> np.ndarray:
     """The first shingles of a sorted set, by which it meets each set of ``similarity`` or more."""
     n = len(distinct)
     if not n:
         return distinct
-    late = np.zeros(n, np.int64)
+    size = n - math.ceil(similarity * n - 1e-9) + 1
     if len(frequent):
         at = np.minimum(np.searchsorted(frequent, distinct), len(frequent) - 1)
         late = np.where(frequent[at] == distinct, places[at], 0)
-    return distinct[np.argsort(late, kind="stable")][: n - math.ceil(similarity * n - 1e-9) + 1]
+        if late.any():
+            return distinct[np.argsort(late, kind="stable")][:size]
+    return distinct[:size]
 
 
 def parities(distinct: np.ndarray) -> np.ndarray:
@@ -63,8 +75,7 @@ def parities(distinct: np.ndarray) -> np.ndarray:
 def possible(similarity: float) -> Column:
     """Whether sizes and parities of the pair size_u, odd_u, size_v, odd_v leave the similarity possible."""
     apart = F.aggregate(F.zip_with("odd_u", "odd_v", lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda a, x: a + x)
-    sizes = F.least("size_u", "size_v") >= similarity * F.greatest("size_u", "size_v") - 1e-9
-    return sizes & (apart <= (1 - similarity) / (1 + similarity) * (F.col("size_u") + F.col("size_v")) + 1e-6)
+    return apart <= (1 - similarity) / (1 + similarity) * (F.col("size_u") + F.col("size_v")) + 1e-6
 
 
 def frequent_shingles(keyed: DataFrame, shingle: int) -> tuple[np.ndarray, np.ndarray]:
@@ -72,8 +83,8 @@ def frequent_shingles(keyed: DataFrame, shingle: int) -> tuple[np.ndarray, np.nd
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for x in batch.column(0):
-                yield pa.RecordBatch.from_arrays([pa.array(np.unique(shingle_hashes(x.as_py(), shingle)).view(np.int64))], names=["token"])
+            for own in shingles(batch.column(0).to_pylist(), shingle):
+                yield pa.RecordBatch.from_arrays([pa.array(np.unique(own).view(np.int64))], names=["token"])
 
     share = max(1, keyed.count() // SAMPLE)
     some = keyed.where(F.pmod("_h", F.lit(share)) == 0).dropDuplicates(["_h"]).select("_text")
@@ -84,23 +95,35 @@ def frequent_shingles(keyed: DataFrame, shingle: int) -> tuple[np.ndarray, np.nd
     return tokens[order], np.arange(len(rows), 0, -1)[order]
 
 
+def near(bits: int) -> Column:
+    return F.bit_count(F.col("fp_u").bitwiseXOR(F.col("fp_v"))) <= bits
+
+
+def similar_sizes(similarity: float) -> Column:
+    return F.least("size_u", "size_v") >= similarity * F.greatest("size_u", "size_v") - 1e-9
+
+
+def decided(pairs: DataFrame, sets: DataFrame, keyed: DataFrame, similarity: float, shingle: int, bits: int) -> DataFrame:
+    """(u, v) as fp of those pairs (s_u, s_v, fp_u, fp_v) that are near, or whose whole sets reach the similarity."""
+    pairs = stored(pairs, "candidate-pairs")
+    links = pairs.where(near(bits)).select(F.col("fp_u").alias("u"), F.col("fp_v").alias("v")).distinct()
+    return links.unionAll(verified(pairs.where(~near(bits)).select("s_u", "s_v"), sets, keyed, similarity, shingle))
+
+
 def verified(pairs: DataFrame, sets: DataFrame, keyed: DataFrame, similarity: float, shingle: int) -> DataFrame:
     """(u, v) as fp of those pairs (s_u, s_v) whose whole sets reach the similarity; texts are read for these only."""
     of = lambda k: sets.select(*[F.col(c).alias(f"{c}_{k}") for c in ("s", "size", "odd")])
-    pairs = pairs.join(of("u"), "s_u").join(of("v"), "s_v").where(possible(similarity)).select("s_u", "s_v")
-    pairs = stored(pairs, "overlap-pairs")
+    pairs = stored(pairs.join(of("u"), "s_u").join(of("v"), "s_v").where(possible(similarity)).select("s_u", "s_v"), "overlap-pairs")
     members = pairs.select(F.col("s_u").alias("s")).unionAll(pairs.select(F.col("s_v").alias("s"))).distinct()
-    needed = sets.join(members, "s").select("s", "fp", "_h")
-    texts = join_small(keyed.select("_h", "_text"), needed.select("_h").distinct(), "_h", "left_semi").dropDuplicates(["_h"])
+    needed = stored(sets.join(members, "s").select("s", "fp", "_h"), "overlap-members")
+    texts = join_small(keyed.select("_h", "_text"), needed.select("_h").distinct(), "_h", "left_semi", most=KEY_ROWS).dropDuplicates(["_h"])
     texts = stored(needed.join(texts, "_h").select("s", "fp", "_text"), "overlap-texts")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep, last, a = [], None, None
-            for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
-                if x != last:
-                    last, a = x, np.unique(shingle_hashes(x, shingle))
-                b = np.unique(shingle_hashes(y, shingle))
+            left, right = (map(np.unique, shingles(batch.column(i).to_pylist(), shingle)) for i in (2, 3))
+            keep = []
+            for a, b in zip(left, right):
                 both = len(np.intersect1d(a, b, assume_unique=True))
                 keep.append(both >= similarity * (len(a) + len(b) - both) - 1e-9)
             yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
@@ -110,27 +133,37 @@ def verified(pairs: DataFrame, sets: DataFrame, keyed: DataFrame, similarity: fl
     return stored(whole.mapInArrow(run, "u long, v long"), "overlap-links")
 
 
-def overlap_links(own: DataFrame, keyed: DataFrame, known: DataFrame, similarity: float, shingle: int) -> DataFrame:
-    """``known`` links (u, v) between the fp of ``own`` (_h, fp, s: a number of the shingle set, size, odd: its
-    parities, first: its prefix), and links that join all other pairs of sets of ``similarity`` or more."""
+def overlap_links(own: DataFrame, keyed: DataFrame, known: DataFrame, similarity: float, shingle: int, bits: int) -> DataFrame:
+    """``known`` links (u, v) between the fingerprints fp of ``own`` (_h, fp, s: a number of the shingle set, size, odd:
+    its parities, first: its prefix), and links that join all other pairs of sets of ``similarity`` or more,
+    and all that share a shingle of their prefixes and have fingerprints at ``bits`` or less."""
     some = own.where("size > 0")
-    sets = stored(some.groupBy("s").agg(F.min(F.struct("fp", "_h", "size", "odd")).alias("m")).select("s", "m.*"), "shingle-sets")
-    equal = some.select("s", F.col("fp").alias("u")).distinct().join(sets.select("s", F.col("fp").alias("v")), "s").where("u != v").select("u", "v")
+    light = some.groupBy("s").agg(F.min(F.struct("fp", "_h", "size", "odd")).alias("m")).select("s", "m.*")
+    equal = some.select("s", F.col("fp").alias("u")).distinct().join(light.select("s", F.col("fp").alias("v")), "s").where("u != v").select("u", "v")
+    known = stored(known.unionAll(equal), "known-links")
+    sets = stored(_rooted(light, known), "shingle-sets")
     over = Window.partitionBy("token")
-    listed = some.select("s", "first").dropDuplicates(["s"]).select("s", F.explode("first").alias("token"))
-    listed = stored(listed.withColumns({"n": F.count("*").over(over), "least": F.min("s").over(over)}).where("n > 1"), "shared-shingles")
+    tokens = some.select("s", "first").dropDuplicates(["s"]).select("s", F.explode("first").alias("token"))
+    listed = tokens.withColumns({"n": F.count("*").over(over), "least": F.min("s").over(over)}).where("n > 1")
+    listed = stored(listed, "shared-shingles")
 
-    hubs = listed.where((F.col("n") > LIST) & (F.col("s") != F.col("least"))).select(F.col("s").alias("s_u"), F.col("least").alias("s_v")).distinct()
-    links = stored(known.unionAll(equal).unionAll(verified(hubs, sets, keyed, similarity, shingle)).distinct(), "overlap-known")
-    roots = components(links).withColumnRenamed("node", "fp")
-    labelled = stored(sets.join(roots, "fp", "left").select("s", "size", F.coalesce("root", "fp").alias("root")), "overlap-roots")
+    of = lambda k: sets.select(*[F.col(c).alias(f"{c}_{k}") for c in ("s", "fp", "size", "root")])
+    hubs = listed.where("s != least").select(F.col("s").alias("s_u"), F.col("least").alias("s_v")).distinct()
+    hubs = hubs.join(of("u"), "s_u").join(of("v"), "s_v").where(F.col("root_u") != F.col("root_v")).where(near(bits) | similar_sizes(similarity))
+    links = stored(known.unionAll(decided(hubs.select("s_u", "s_v", "fp_u", "fp_v"), sets, keyed, similarity, shingle, bits)), "hub-links")
 
+    labelled = stored(_rooted(sets.drop("root"), links).select("s", "fp", "size", "root"), "overlap-roots")
     apart = listed.select("token", "s", "n").join(labelled, "s")
     apart = apart.withColumns({"low": F.min("root").over(over), "high": F.max("root").over(over)}).where("low != high")
-    apart = stored(apart.select("token", "s", "size", "root", F.ceil(F.col("n") / LIST_BLOCK).cast("int").alias("blocks")), "overlap-apart")
+    apart = stored(apart.select("token", "s", "fp", "size", "root", F.ceil(F.col("n") / LIST_BLOCK).cast("int").alias("blocks")), "overlap-apart")
     left = apart.withColumn("block", F.pmod(F.xxhash64("s"), "blocks").cast("int"))
     right = apart.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    side = lambda rows, k: rows.select("token", "block", *[F.col(c).alias(f"{c}_{k}") for c in ("s", "size", "root")])
-    near = F.least("size_u", "size_v") >= similarity * F.greatest("size_u", "size_v") - 1e-9
-    pairs = side(left, "u").join(side(right, "v"), ["token", "block"]).where((F.col("s_u") > F.col("s_v")) & (F.col("root_u") != F.col("root_v")) & near)
-    return links.unionAll(verified(pairs.select("s_u", "s_v").distinct(), sets, keyed, similarity, shingle))
+    # Each block of a long list meets its whole list, in several parts.
+    side = lambda rows, k: rows.select("token", "block", *[F.col(c).alias(f"{c}_{k}") for c in ("s", "fp", "size", "root")])
+    pairs = side(left, "u").join(side(right, "v"), ["token", "block"]).where((F.col("s_u") > F.col("s_v")) & (F.col("root_u") != F.col("root_v")))
+    pairs = pairs.where(near(bits) | similar_sizes(similarity)).select("s_u", "s_v", "fp_u", "fp_v").distinct()
+    return links.unionAll(decided(pairs, sets, keyed, similarity, shingle, bits))
+
+
+def _rooted(sets: DataFrame, links: DataFrame) -> DataFrame:
+    return sets.join(components(links).withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))

@@ -21,18 +21,13 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import join_small, stored, whole_text
+from .common import KEY_ROWS, join_small, packed_row, stored, whole_text
 from .components import components
-from .overlap import SEED, frequent_shingles, overlap_links, parities, prefix, shingle_hashes
-from .vectors import mixed
+from .overlap import SEED, frequent_shingles, overlap_links, parities, prefix, shingle_hashes, shingles
 
 SEGMENT_BITS, GROUPS = 2, 6
 SEGMENTS = 64 // SEGMENT_BITS
 CELL = 256
-#: The same two bounds for candidates by words: copies with edits share many cells, so pairs are listed in small ones only.
-SIMILAR_CELL = (32, 2048)
-#: Fingerprints of the set of words by which the pipeline finds candidates.
-WORD_PRINTS = 3
 
 
 def fingerprint(text: str, shingle: int = 3) -> int:
@@ -118,29 +113,16 @@ def _pairs(found: list[tuple[int, int]]) -> pa.Table:
     return pa.table({"u": pa.array(u, pa.int64()), "v": pa.array(v, pa.int64())})
 
 
-def _linked(placed: DataFrame, near: Callable[[], Column], carried: list[str], run: Callable[[pa.Table], pa.Table], small_cell: int, block: int) -> DataFrame:
-    """(u, v) of the rows (cell, fp, carried) of each cell: all near pairs of one with ``small_cell`` rows at most, by a
-    join; of a larger one what ``run`` finds between two of its blocks of about ``block``. Columns of a pair are named fp_u, fp_v and so on."""
-    counted = placed.groupBy("cell").agg(F.count("*").alias("n")).where("n > 1")
-    shared = placed.join(counted, "cell")
-    small, large = shared.where(F.col("n") <= small_cell), shared.where(F.col("n") > small_cell)
-    side = lambda k: small.select("cell", *[F.col(c).alias(f"{c}_{k}") for c in ["fp", *carried]])
-    pairs = side("u").join(side("v"), "cell").where("fp_u > fp_v").where(near())
-    blocks = F.ceil(F.col("n") / block).cast("int")
-    dealt = large.withColumns({"blocks": blocks, "own": F.pmod(F.xxhash64("fp"), blocks).cast("int")})
-    faced = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    faced = faced.select("cell", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "fp", *carried)
-    found = faced.groupBy("cell", "i", "j").applyInArrow(run, "u long, v long")
-    return pairs.select(F.col("fp_u").alias("u"), F.col("fp_v").alias("v")).unionAll(found)
-
-
 def links(distinct: DataFrame, most: int = 3) -> DataFrame:
-    """(u, v) of distinct fingerprints at Hamming distance ``most`` or less: all links of ordinary cells, a spanning
-    forest of each pair of blocks of a large one, so that nothing linked is torn apart."""
+    """(u, v) of distinct fingerprints at Hamming distance ``most`` or less: all links of cells of CELL fingerprints at
+    most, by a join; of a larger one a spanning forest of each pair of its blocks of about CELL, so that nothing linked is torn apart."""
     placed = stored(cells(distinct, most), "cells")
-
-    def near() -> Column:
-        return (_manhattan("fp_u", "fp_v") <= most) & (F.bit_count(F.col("fp_u").bitwiseXOR(F.col("fp_v"))) <= most)
+    counted = placed.groupBy("cell").agg(F.count("*").alias("n")).where("n > 1")
+    shared = placed.join(counted, "cell")
+    small, large = shared.where(F.col("n") <= CELL), shared.where(F.col("n") > CELL)
+    side = lambda k: small.select("cell", F.col("fp").alias(f"fp_{k}"))
+    near = (_manhattan("fp_u", "fp_v") <= most) & (F.bit_count(F.col("fp_u").bitwiseXOR(F.col("fp_v"))) <= most)
+    pairs = side("u").join(side("v"), "cell").where("fp_u > fp_v").where(near)
 
     def run(table: pa.Table) -> pa.Table:
         own, fp = table["own"].to_numpy(), table["fp"].to_numpy()
@@ -148,35 +130,12 @@ def links(distinct: DataFrame, most: int = 3) -> DataFrame:
         left, right = np.flatnonzero(mine), np.flatnonzero(~mine)
         return _pairs(_forest(fp, left, right if len(right) else left, lambda x, rest: _bits(fp[rest], fp[x]) <= most))
 
-    return _linked(placed, near, [], run, CELL, CELL)
-
-
-def similar_links(nodes: DataFrame, most: int, check: int) -> DataFrame:
-    """(u, v) of nodes (fp: a node's number, five: its shingles' fingerprint, prints: its words' fingerprints) with a
-    pair of word fingerprints at ``most`` bits or less and shingle fingerprints at ``check`` bits or less.
-
-    Each pair comes from the first of the cells that it shares for a print, once."""
-    keyed = nodes.select("fp", "five", F.posexplode("prints").alias("turn", "w"))
-    keyed = keyed.select("*", *[k.alias(f"k{g}") for g, k in enumerate(_group_keys("w"))])
-    made = [F.struct(F.xxhash64("turn", F.lit(i), *[F.col(f"k{g}") for g in some]).alias("cell"), F.lit(some[-1]).alias("last")) for i, some in enumerate(combinations(range(GROUPS), GROUPS - most))]
-    placed = stored(keyed.select("fp", "five", "w", F.explode(F.array(*made)).alias("_c")).select("fp", "five", "w", "_c.cell", "_c.last"), "cells")
-
-    def near() -> Column:
-        bits = lambda c: F.bit_count(F.col(f"{c}_u").bitwiseXOR(F.col(f"{c}_v")))
-        agree = F.lit(0)
-        for g, (x, y) in enumerate(zip(_group_keys("w_u"), _group_keys("w_v"))):
-            agree = agree + F.when(x == y, 1 << g).otherwise(0)
-        first = F.bit_count(agree.bitwiseAND(F.call_function("shiftleft", F.lit(2), F.col("last_u")) - 1)) == GROUPS - most
-        return (bits("w") <= most) & (bits("five") <= check) & (_manhattan("w_u", "w_v") <= most) & first
-
-    def run(table: pa.Table) -> pa.Table:
-        own, fp, five, w = (table[c].to_numpy() for c in ("own", "fp", "five", "w"))
-        mine = own == table["i"][0].as_py()
-        left, right = np.flatnonzero(mine), np.flatnonzero(~mine)
-        found = _forest(fp, left, right if len(right) else left, lambda x, rest: (_bits(w[rest], w[x]) <= most) & (_bits(five[rest], five[x]) <= check))
-        return _pairs(found)
-
-    return _linked(placed, near, ["five", "w", "last"], run, *SIMILAR_CELL)
+    blocks = F.ceil(F.col("n") / CELL).cast("int")
+    dealt = large.withColumns({"blocks": blocks, "own": F.pmod(F.xxhash64("fp"), blocks).cast("int")})
+    faced = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    faced = faced.select("cell", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "fp")
+    found = faced.groupBy("cell", "i", "j").applyInArrow(run, "u long, v long")
+    return pairs.select(F.col("fp_u").alias("u"), F.col("fp_v").alias("v")).unionAll(found)
 
 
 def near_duplicates(docs: DataFrame, most: int = 3, shingle: int = 3) -> DataFrame:
@@ -186,16 +145,18 @@ def near_duplicates(docs: DataFrame, most: int = 3, shingle: int = 3) -> DataFra
     a component of null doc_ids only has a null component_id."""
     own = stored(fingerprints(docs, ["doc_id"], shingle), "fingerprints")
     labelled = component_table(own, links(own.select("fp").distinct(), most))
-    return join_hot(own, labelled.drop("root")).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    return join_hot(own, labelled).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def component_table(own: DataFrame, pairs: DataFrame) -> DataFrame:
-    """(fp, root, component_id) of each distinct fp of ``own`` (doc_id, fp), by links (u, v) between them."""
+    """(fp, component_id) of each distinct fp of ``own`` (doc_id, fp), by links (u, v) between them."""
     least = stored(own.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "distinct-fingerprints")
-    roots = components(pairs)
-    rooted = least.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "first_id", F.coalesce("root", "fp").alias("root"))
-    heads = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    return stored(rooted.join(heads, "root").select("fp", "root", "component_id"), "components")
+    linked = stored(least.join(components(pairs).withColumnRenamed("node", "fp"), "fp"), "linked-fingerprints")
+    heads = linked.groupBy("root").agg(F.min("first_id").alias("component_id"))
+    # One root may have a third of all fingerprints.
+    labels = join_small(linked.select("fp", "root"), heads, "root", "left", salts=16).select("fp", "component_id")
+    alone = least.join(linked, "fp", "left_anti").select("fp", F.col("first_id").alias("component_id"))
+    return stored(labels.unionAll(alone), "components")
 
 
 def join_hot(rows: DataFrame, labelled: DataFrame) -> DataFrame:
@@ -203,65 +164,51 @@ def join_hot(rows: DataFrame, labelled: DataFrame) -> DataFrame:
     return join_small(rows, labelled, "fp", "left", salts=16)
 
 
-def profile(text: str, shingle: int) -> tuple[int, list[int]]:
-    """(fingerprint of the shingles, WORD_PRINTS independent fingerprints of the set of words)."""
-    return fingerprint(text, shingle), word_prints(text)
-
-
-def word_prints(text: str) -> list[int]:
-    distinct = sorted(set(text.encode("utf-8", "surrogatepass").lower().split()))
-    hashes = np.fromiter((xxhash.xxh64_intdigest(w, SEED) for w in distinct), np.uint64, len(distinct))
-    out = []
-    for turn in range(WORD_PRINTS):
-        own = mixed(hashes + np.uint64(turn * 0x9E3779B97F4A7C15 & (1 << 64) - 1)).astype(">u8")
-        bits = np.unpackbits(own.view(np.uint8).reshape(-1, 8), axis=1).sum(0, dtype=np.int64)
-        out.append(int.from_bytes(np.packbits(bits * 2 > len(own)).tobytes(), "big", signed=True))
-    return out
-
-
 def profiles(keyed: DataFrame, keep: list[str], shingle: int, similarity: float) -> DataFrame:
-    """The kept columns, five, prints, fp: a number of the two together; and of the set of shingles s, its number, size,
-    odd, its parities, and first, its prefix."""
+    """The kept columns, fp; and of the set of shingles s, its number, size, odd, its parities, and first, its prefix."""
     frequent, places = frequent_shingles(keyed, shingle)
+    kinds = (pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int64()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             made = []
-            for x in batch.column(len(keep)):
-                text = x.as_py()
-                hashes = shingle_hashes(text, shingle)
+            for hashes in shingles(batch.column(len(keep)).to_pylist(), shingle):
                 own = np.unique(hashes)
                 number = np.uint64(xxhash.xxh64_intdigest(own.tobytes(), SEED)).view(np.int64)
-                made.append((majority(hashes), word_prints(text), number, len(own), parities(own), prefix(own, similarity, frequent, places).view(np.int64)))
-            kinds = (pa.int64(), pa.list_(pa.int64()), pa.int64(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int64()))
+                made.append((majority(hashes), number, len(own), parities(own), prefix(own, similarity, frequent, places).view(np.int64)))
             columns = [pa.array([m[i] for m in made], kind) for i, kind in enumerate(kinds)]
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], *columns], names=[*keep, "five", "prints", "s", "size", "odd", "first"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], *columns], names=[*keep, "fp", "s", "size", "odd", "first"])
 
     rows = keyed.select(*keep, "_text")
-    kinds = ", ".join(f"`{c}` {t}" for c, t in rows.dtypes[:-1])
-    return rows.mapInArrow(run, f"{kinds}, five long, prints array<long>, s long, size int, odd array<long>, first array<long>").withColumn("fp", F.xxhash64("five", "prints"))
+    types = ", ".join(f"`{c}` {t}" for c, t in rows.dtypes[:-1])
+    return rows.mapInArrow(run, f"{types}, fp long, s long, size int, odd array<long>, first array<long>")
 
 
-def one_of_each(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, most: int = 3, overlap: bool = False) -> DataFrame:
+def one_of_each(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, most: int = 3) -> DataFrame:
     """Keeps, with the columns of ``docs``, one document of each group of near-duplicates: that with the least doc_id (of
-    rows with one doc_id the least numbers), and one of its rows if several are equal.
+    rows with one doc_id the one whose text has the least hash), and one of its rows if several are equal.
+
+    Two documents are near-duplicates if the fingerprints of their five-word shingles differ in ``most`` bits or fewer
+    (found by the grid, none missed); if their sets of shingles have a Jaccard similarity of ``similarity`` or more
+    (by a prefix filter, none missed); or if they share a shingle of their prefixes and ``similarity`` of their
+    fingerprints' bits. The grid can't reach so many bits: its cells would hold all documents.
 
-    Two documents are near-duplicates if the share of equal bits of their fingerprints over shingles of five words is
-    ``similarity`` or more. That leaves too many differing bits for the grid, so candidates are the pairs within
-    ``most`` bits of one of several fingerprints of their sets of words, which edits move less; many edited copies
-    have no such fingerprint. With ``overlap``, all pairs of documents whose sets of shingles have a Jaccard similarity
-    of ``similarity`` or more are near-duplicates as well, and none of them is missed."""
+    Null and empty texts are near-duplicates of each other; a null doc_id counts as larger than all others. An empty
+    table stays empty; columns of any name are kept as they are. Texts of any length are taken whole."""
     keyed = docs.select("doc_id", whole_text().alias("_text"), F.xxhash64(whole_text()).alias("_h"))
     own = stored(profiles(keyed, ["doc_id", "_h"], shingle, similarity), "fingerprints")
-    nodes = own.select("fp", "five", "prints").dropDuplicates(["fp"])
-    known = similar_links(nodes, most, int(64 * (1 - similarity) + 1e-9))
-    labelled = component_table(own, overlap_links(own, keyed, known, similarity, shingle) if overlap else known)
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "fp", "_h")).alias("first")
-    heads = join_hot(own.select("doc_id", "_h", "fp"), labelled).groupBy("root", "fp").agg(first)
-    heads = stored(heads.groupBy("root").agg(F.min("first").alias("first")).select("first.doc_id", "first._h"), "heads")
-    rows = docs.withColumn("_h", F.xxhash64(whole_text())).alias("d")
-    same = F.col("d.doc_id").eqNullSafe(F.col("k.doc_id")) & (F.col("d._h") == F.col("k._h"))
-    kept = rows.join(heads.alias("k"), same, "left_semi")
-    if not own.groupBy("doc_id", "_h").count().where("count > 1").isEmpty():
+    known = links(own.select("fp").distinct(), most)
+    pairs = stored(overlap_links(own, keyed, known, similarity, shingle, int(64 * (1 - similarity) + 1e-9)), "near-duplicates")
+    place = F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "_h")
+    firsts = own.groupBy("fp").agg(F.min(place).alias("first"))
+    rooted = firsts.join(components(pairs).withColumnRenamed("node", "fp"), "fp", "left")
+    heads = rooted.groupBy(F.coalesce("root", "fp").alias("root")).agg(F.min("first").alias("first")).select("first.doc_id", "first._h")
+    ids = own.select("doc_id", "_h").groupBy("doc_id", "_h").agg((F.count("*") > 1).alias("repeated"))
+    same = lambda a, b: F.col(f"{a}.doc_id").eqNullSafe(F.col(f"{b}.doc_id")) & (F.col(f"{a}._h") == F.col(f"{b}._h"))
+    gone = stored(ids.alias("i").join(heads.alias("h"), same("i", "h"), "left_anti").select("doc_id", "_h"), "removed")
+    gone = F.broadcast(gone) if gone.count() <= KEY_ROWS else gone
+    rows = docs.select(packed_row(docs).alias("_row"), "doc_id", F.xxhash64(whole_text()).alias("_h"))
+    kept = rows.alias("r").join(gone.alias("g"), same("r", "g"), "left_anti")
+    if not ids.where("repeated").isEmpty():
         kept = kept.dropDuplicates(["doc_id", "_h"])
-    return kept.select(*docs.columns)
+    return kept.select("_row.*")

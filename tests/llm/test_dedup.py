@@ -1,9 +1,11 @@
 """Windows, substrings and SimHash against brute force, edge cases among real documents."""
 
 import hashlib
+import math
 import random
 from collections import Counter
 
+import numpy as np
 import pytest
 
 from cadenza.llm import exchange, overlap, simhash, substring_dedup, window_dedup
@@ -103,11 +105,30 @@ def test_simhash(documents, monkeypatch, cell):
     assert sorted(map(tuple, found)) == brute_components(prints)
 
 
-@pytest.mark.parametrize("cell", [(32, 2048), (2, 2)])
-def test_one_of_each(documents, monkeypatch, cell):
-    monkeypatch.setattr(simhash, "SIMILAR_CELL", cell)
-    rows = sorted({(r.doc_id is None, r.doc_id or 0, r.text or "") for r in documents.collect()})
-    made = [simhash.profile(t, 5) for _, _, t in rows]
+def naive_near(rows, order):
+    """Pairs of places of near-duplicates among (doc_id, text), all pairs compared."""
+    made = []
+    for _, text in rows:
+        w = (text or "").encode().lower().split()
+        runs = [tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))] if w else []
+        hashes = next(iter(overlap.shingles([text or ""], 5)))
+        assert len(hashes) == len(runs)
+        bits = sum(1 << b for b in range(64) if 2 * sum(int(h) >> b & 1 for h in hashes) > len(runs))
+        first = overlap.prefix(np.unique(hashes), 0.8, *order)
+        made.append((bits, set(runs), set(first.tolist())))
+    for i, (a, x, p) in enumerate(made):
+        for j, (b, y, q) in enumerate(made[:i]):
+            apart, both = (a ^ b).bit_count(), len(x & y)
+            if apart <= 3 or x and y and 10 * both >= 8 * (len(x) + len(y) - both) or apart <= 12 and p & q:
+                yield i, j
+
+
+@pytest.mark.parametrize("block", [2048, 3])
+def test_one_of_each(spark, documents, monkeypatch, block):
+    monkeypatch.setattr(overlap, "LIST_BLOCK", block)
+    monkeypatch.setattr(simhash, "CELL", block)
+    docs = documents.selectExpr("doc_id", "text", "doc_id % 7 AS _h", "'t' AS _text", "chunk AS root", "'r' AS _row")
+    rows = sorted({(r.doc_id is None, r.doc_id or 0, r.text or "") for r in docs.collect()})
     parent = list(range(len(rows)))
 
     def root(x):
@@ -115,18 +136,18 @@ def test_one_of_each(documents, monkeypatch, cell):
             x = parent[x]
         return x
 
-    bits = lambda a, b: ((a ^ b) & (1 << 64) - 1).bit_count()
-    for i, (five, prints) in enumerate(made):
-        for j in range(i):
-            if bits(five, made[j][0]) <= 12 and any(bits(a, b) <= 3 for a, b in zip(prints, made[j][1])):
-                parent[root(i)] = root(j)
+    keyed = docs.selectExpr("coalesce(text, '') AS _text", "xxhash64(coalesce(text, '')) AS _h")
+    for i, j in naive_near([(d, t) for _, d, t in rows], overlap.frequent_shingles(keyed, 5)):
+        parent[root(i)] = root(j)
     groups = {}
     for i, (unknown, d, _) in enumerate(rows):
         groups.setdefault(root(i), []).append((unknown, d))
     wanted = sorted(min(g) for g in groups.values())
-    kept = simhash.one_of_each(documents)
-    assert kept.columns == documents.columns
-    assert sorted((r.doc_id is None, r.doc_id or 0) for r in kept.collect()) == wanted
+    kept = simhash.one_of_each(docs)
+    assert kept.columns == docs.columns
+    rows_kept = kept.collect()
+    assert sorted((r.doc_id is None, r.doc_id or 0) for r in rows_kept) == wanted
+    assert all(r._text == "t" and r._row == "r" and r._h == (None if r.doc_id is None else int(math.fmod(r.doc_id, 7))) for r in rows_kept)
     assert len(wanted) < len(rows)
 
 
@@ -153,8 +174,6 @@ def test_empty_tables(spark):
 
 
 def test_sketch_never_undercounts():
-    import numpy as np
-
     rng = np.random.default_rng(3)
     chunks = [rng.integers(0, 400, 300).astype(np.uint64) for _ in range(5)]
     hashes = [window_dedup.mixed(c) for c in chunks]
@@ -172,9 +191,7 @@ def test_sketch_never_undercounts():
         assert all(o for x, o in zip(h.tolist(), over.tolist()) if total[x] > 1)
 
 
-@pytest.mark.parametrize("small_list", [32, 2])
-def test_all_pairs_of_high_overlap_go(spark, monkeypatch, small_list):
-    monkeypatch.setattr(overlap, "LIST", small_list)
+def test_all_pairs_of_high_overlap_go(spark, monkeypatch):
     monkeypatch.setattr(overlap, "LIST_BLOCK", 4)
     monkeypatch.setattr(overlap, "FREQUENT", 2)
     rng = random.Random(9)
@@ -197,7 +214,8 @@ def test_all_pairs_of_high_overlap_go(spark, monkeypatch, small_list):
     sets = {d: set(zip(*[t.split()[k:] for k in range(5)])) for d, t in docs}
     over = [(a, b) for a in sets for b in sets if a < b and 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b])]
     assert sum(a < 1000 and b == a + 1 for a, b in over) > 40
-    kept = {r.doc_id for r in simhash.one_of_each(spark.createDataFrame(docs, "doc_id long, text string"), overlap=True).collect()}
+    kept = {r.doc_id for r in simhash.one_of_each(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
     assert not [p for p in over if kept.issuperset(p)]
-    near = {d for p in over for d in p}
+    order = overlap.frequent_shingles(spark.createDataFrame([(t,) for _, t in docs], "_text string").selectExpr("_text", "xxhash64(_text) AS _h"), 5)
+    near = {docs[x][0] for p in naive_near(docs, order) for x in p}
     assert all(d in kept for d, _ in docs if d not in near)
