@@ -54,12 +54,12 @@ def packed_row(docs: DataFrame) -> Column:
     return F.struct(*[F.col("`" + c.replace("`", "``") + "`") for c in docs.columns])
 
 
-def join_small(big: DataFrame, small: DataFrame, key: str, how: str = "left", salts: int = 64, most: int = BROADCAST_ROWS) -> DataFrame:
+def join_small(big: DataFrame, small: DataFrame, key: str, how: str = "left", salts: int = 64, most: int | None = None) -> DataFrame:
     """Joins on ``key``; ``small`` has one row a key, and one key may hold a third of ``big``.
 
-    ``small`` is counted: up to ``most`` rows it is broadcast, beyond that its rows are repeated for
+    ``small`` is counted: up to ``most`` (BROADCAST_ROWS) rows it is broadcast, beyond that its rows are repeated for
     ``salts`` salts that spread each key of ``big``."""
-    if small.count() <= most:
+    if small.count() <= (BROADCAST_ROWS if most is None else most):
         return big.join(F.broadcast(small), key, how)
     salted = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     spread = big.withColumn("_salt", F.pmod(F.xxhash64(*big.columns), F.lit(salts)).cast("int"))

@@ -11,14 +11,14 @@ reaches and a lost executor's archive is written again.
 
 from __future__ import annotations
 
+import os
 import struct
-import unicodedata
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import regex
 import xxhash
 import zstandard
 from pyspark import TaskContext
@@ -30,8 +30,10 @@ from .common import stored, whole_text
 END_ID = 1
 FRAME_TOKENS = 16_384
 ARCHIVE_TOKENS = 4_000_000
-#: Words and pieces that a worker remembers, each; beyond, it starts anew.
+#: Words that a worker remembers; beyond, it starts anew.
 REMEMBERED = 1_000_000
+#: Texts whose new words are encoded together.
+TEXTS = 200
 
 # Fixed values of the zstd seekable format.
 SKIPPABLE_INDEX = 0x184D2A50
@@ -46,8 +48,7 @@ class WordEncoder:
     """Encodes texts as ``Tokenizer.encode(text, add_special_tokens=False)`` does, remembering words.
 
     For tokenizers that drop white space and whose normaliser and splitter never look across it, the
-    ids of a text are those of its words in order. A word of plain letters is split by the tokenizer's own
-    pattern and only its pieces are given to the model; any other word is encoded on its own.
+    ids of a text are those of its words in order. The library encodes each distinct word.
     """
 
     def __init__(self, path: str, remembered: int = REMEMBERED):
@@ -56,48 +57,26 @@ class WordEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.remembered = remembered
         self.words: dict[bytes, bytes] = {}
-        self.pieces: dict[str, bytes] = {}
-        # The splitting pattern of the vocabulary file, a fixed value.
-        self.pattern = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
-        printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
-        others = [b for b in range(256) if b not in printable]
-        self.shown = {b: chr(b) for b in printable} | {b: chr(256 + i) for i, b in enumerate(others)}
-
-    def _piece(self, piece: str) -> bytes:
-        ids = self.pieces.get(piece)
-        if ids is None:
-            if len(self.pieces) >= self.remembered:
-                self.pieces.clear()
-            shown = piece if piece.isascii() else "".join(self.shown[b] for b in piece.encode())
-            ids = self.pieces[piece] = np.array([t.id for t in self.tokenizer.model.tokenize(shown)], "<u4").tobytes()
-        return ids
-
-    def _word(self, word: bytes) -> bytes:
-        text = word.decode()
-        if "<|" in text or max(text) >= "ɐ" or min(text) <= " " or "\x7f" <= max(text) <= "\xa0" or not unicodedata.is_normalized("NFC", text):
-            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-        return b"".join(map(self._piece, self.pattern.findall(text.lower())))
-
-    def encode(self, text: str) -> bytes:
-        """The ids as little-endian unsigned 32-bit integers."""
-        known, words = self.words, text.encode("utf-8", "surrogatepass").split()
-        try:
-            return b"".join([known[w] for w in words])
-        except KeyError:
-            if len(known) >= self.remembered:
-                known.clear()
-            for w in words:
-                if w not in known:
-                    known[w] = self._word(w)
-            return b"".join([known[w] for w in words])
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """Of each text the ids as little-endian unsigned 32-bit integers."""
+        known, split = self.words, [t.encode("utf-8", "surrogatepass").split() for t in texts]
+        new = [w for w in dict.fromkeys(w for words in split for w in words) if w not in known]
+        if known and len(known) + len(new) > self.remembered:
+            known.clear()
+            new = list(dict.fromkeys(w for words in split for w in words))
+        for w, made in zip(new, self.tokenizer.encode_batch_fast([w.decode() for w in new], add_special_tokens=False)):
+            known[w] = array("I", made.ids).tobytes()
+        return [b"".join([known[w] for w in words]) for words in split]
 
 
 _ENCODERS: dict[str, WordEncoder] = {}
 
 
 def encoder(path: str) -> WordEncoder:
-    """One for each worker process and vocabulary."""
+    """One for each worker process and vocabulary; a task has one core."""
     if path not in _ENCODERS:
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         _ENCODERS[path] = WordEncoder(path)
     return _ENCODERS[path]
 
@@ -178,7 +157,10 @@ def read_documents(image: bytes, wanted: set[int] | None = None) -> Iterator[tup
 
 def write_archives(docs: DataFrame, tokenizer_path: str, partitions: int | None = None, name: str = "tokens") -> DataFrame:
     """The table of archives, stored: documents in ascending doc_id order (null first, ties by text) over
-    (part, archive). ``docs`` needs doc_id and text; null texts count as empty, other columns are left out."""
+    (part, archive). ``docs`` needs doc_id and text; null texts count as empty, other columns are left out.
+
+    A text of any length is one document in one frame of its own; repeated rows are stored each. An empty table gives
+    no archive."""
     spark = docs.sparkSession
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -195,13 +177,15 @@ def write_archives(docs: DataFrame, tokenizer_path: str, partitions: int | None
             return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(row, kinds)], names=["part", "archive", "first_id", "last_id", "n_docs", "n_tokens", "image"])
 
         for batch in batches:
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                doc_ids.append(doc_id)
-                ids.append(own.encode(text.as_py()) + end)
-                size += len(ids[-1])
-                if size >= 4 * ARCHIVE_TOKENS:
-                    yield archive()
-                    doc_ids, ids, size, number = [], [], 0, number + 1
+            for k in range(0, len(batch), TEXTS):
+                some = batch.slice(k, TEXTS)
+                for doc_id, made in zip(some.column(0).to_pylist(), own.encode(some.column(1).to_pylist())):
+                    doc_ids.append(doc_id)
+                    ids.append(made + end)
+                    size += len(ids[-1])
+                    if size >= 4 * ARCHIVE_TOKENS:
+                        yield archive()
+                        doc_ids, ids, size, number = [], [], 0, number + 1
         if ids:
             yield archive()
 

@@ -107,6 +107,14 @@ def test_token_archives(spark, data):
     assert tokens.token_index(tokens.write_archives(docs.limit(0), path)).count() == 0
 
 
+def test_words_have_the_ids_of_whole_texts():
+    own = tokens.WordEncoder(tokens.public_tokenizer("word_bpe_49k.json"), remembered=500)
+    rng = np.random.default_rng(4)
+    texts = ["".join(map(chr, rng.integers(0, 0x250, n))) for n in rng.integers(1, 12, 4000)] + ["\x7féa", "a\x85é", "é" * 5000 + " \u0301b"]
+    wanted = [np.array(own.tokenizer.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
+    assert [x for k in range(0, len(texts), 100) for x in own.encode(texts[k : k + 100])] == wanted
+
+
 def test_archive_is_plain_zstandard_and_checked():
     import io
 
