@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import stored
-from .exchange import ANSWERED, NULL_ID, Chunk, Corpus, joined, loosen, parted, split_sorted, squeeze
+from .exchange import ANSWERED, Chunk, Corpus, joined, loosen, parted, split_sorted, squeeze
 from .vectors import segments, words
 
 DEPTH = 3
@@ -43,7 +43,7 @@ def held_out(doc_id: str = "doc_id") -> Column:
 
 
 def training(chunk: Chunk) -> np.ndarray:
-    return np.array([not is_held_out(None if i == NULL_ID else i) for i in chunk.ids.tolist()], bool)
+    return np.array([not is_held_out(i) for i in chunk.doc_ids()], bool)
 
 
 def grams(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -206,7 +206,7 @@ def score(docs: DataFrame) -> DataFrame:
         log_counts, known, bits = out
         n = np.array([len(t.split()) for t in texts], np.int64) + 1
         base = log_counts + math.log10(ends + 1.0) - n * base_of
-        ids = [None if i == NULL_ID else i for i in chunk.ids.tolist()]
+        ids = chunk.doc_ids()
         size = np.array([len(t) for t in chunk.texts], np.int64)
         columns = (ids, [is_held_out(i) for i in ids], n, known.astype(np.int64) + (ends > 0), [total] * len(n), base, -bits * math.log10(2), size, bits / np.maximum(size, 1))
         kinds = (pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.int64(), pa.float64())

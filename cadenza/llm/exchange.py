@@ -1,30 +1,36 @@
 """Questions that chunks of documents ask of the whole corpus, in packed rows.
 
-A corpus is dealt by a hash of its rows into chunks of about CHUNK_BYTES of text, packed and compressed. A chunk
-sends the distinct keys of what it holds (windows, words), sorted, once each with what it knows of them; the keys of
-all chunks meet in blocks by their leading bits; a block answers each chunk in the order in which it asked. A key that
-a third of all documents hold is one entry for each chunk, however often it occurs there. Chunks and blocks
-are of bounded size: their numbers follow the corpus.
+A corpus is packed where it lies into compressed chunks of about CHUNK_BYTES of text and written once, bucketed by chunk;
+its texts are never shuffled. A chunk sends the distinct keys of what it holds (windows, words), sorted, once each with
+what it knows of them; the keys of all chunks meet in blocks by their leading bits; a block answers each chunk in the
+order in which it asked, and the answers travel to the chunk's bucket. A key that a third of all documents hold is one
+entry for each chunk, however often it occurs there. Chunks and blocks are of bounded size: their numbers follow the
+corpus. Only a text longer than a chunk makes a larger one.
 """
 
 from __future__ import annotations
 
 import struct
+import uuid
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import whole_text
+from .common import delete_at_end, scratch_dir, whole_text
 
 CHUNK_BYTES = 4_000_000
+#: Small corpora have smaller chunks, about so many.
+LEAST_CHUNKS = 64
+#: A bucket is a task of about BUCKET_CHUNKS chunks, up to BUCKETS buckets.
+BUCKET_CHUNKS, BUCKETS = 2, 20_000
 BLOCK_KEYS = 1_500_000
-#: Text that a task holds back to pack documents of one chunk together.
-PACK_BYTES = 24_000_000
+#: Stands for a null doc_id, as larger than all others.
 NULL_ID = np.iinfo(np.int64).max
 
 ASKED = "block long, chunk long, asked binary"
@@ -33,10 +39,14 @@ ANSWERED = "chunk long, block long, answer binary"
 
 @dataclass
 class Chunk:
+    number: int
     ids: np.ndarray  # doc_ids, NULL_ID for null
-    hashes: list[int]  # of the rows
+    nulls: np.ndarray
     texts: list[bytes]
 
+    def doc_ids(self) -> list[int | None]:
+        return [None if n else i for i, n in zip(self.ids.tolist(), self.nulls.tolist())]
+
 
 def squeeze(a: np.ndarray) -> bytes:
     """An array, its bytes sorted by significance, compressed."""
@@ -68,12 +78,12 @@ def parted(data: bytes) -> list[bytes]:
 class Corpus:
     """``docs`` (doc_id, text; null texts are empty) in chunks."""
 
-    def __init__(self, docs: DataFrame, chunk_bytes: int = CHUNK_BYTES):
+    def __init__(self, docs: DataFrame, chunk_bytes: int | None = None):
         self.bytes = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-        self.chunks = 1 + self.bytes // chunk_bytes
+        size = chunk_bytes or min(CHUNK_BYTES, max(CHUNK_BYTES // 16, self.bytes // LEAST_CHUNKS))
         rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole_text().alias("text"))
-        rows = rows.withColumn("h", F.xxhash64("doc_id", "text")).select(F.pmod("h", F.lit(self.chunks)).alias("chunk"), "h", "doc_id", "text")
-        self.packed = rows.mapInArrow(_pack, "chunk long, blob binary")
+        buckets = int(min(BUCKETS, 1 + self.bytes // (size * BUCKET_CHUNKS)))
+        self.packed = _bucketed(rows.mapInArrow(lambda batches: _pack(batches, size), "chunk long, blob binary"), buckets)
 
     def bits(self, keys: float) -> int:
         """Leading bits by which about so many keys, over the corpus, fall into blocks of BLOCK_KEYS."""
@@ -82,22 +92,35 @@ class Corpus:
     def ask(self, asks: Callable[[Chunk], Iterator[tuple[int, bytes]]]) -> DataFrame:
         """(block, chunk, asked) of every chunk."""
 
-        def run(table: pa.Table) -> pa.Table:
-            own = table["chunk"][0].as_py()
-            blocks, data = zip(*made) if (made := list(asks(_unpack(table)))) else ((), ())
-            return pa.table({"block": pa.array(blocks, pa.int64()), "chunk": pa.array([own] * len(blocks), pa.int64()), "asked": pa.array(data, pa.binary())})
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for number, blob in zip(batch.column(0).to_pylist(), batch.column(1)):
+                    for block, data in asks(_unpack(number, blob.as_py())):
+                        yield pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([number], pa.int64()), pa.array([data], pa.binary())], names=["block", "chunk", "asked"])
 
-        return self.packed.groupBy("chunk").applyInArrow(run, ASKED)
+        return self.packed.mapInArrow(run, ASKED)
 
     def tell(self, answers: DataFrame, tells: Callable[[Chunk, dict[int, bytes]], pa.Table], schema: str) -> DataFrame:
         """What ``tells`` makes of each chunk and its answers by block."""
 
         def run(left: pa.Table, right: pa.Table) -> pa.Table:
-            return tells(_unpack(left), dict(zip(right["block"].to_pylist(), right["answer"].to_pylist())))
+            chunk = _unpack(left["chunk"][0].as_py(), left["blob"][0].as_py())
+            return tells(chunk, dict(zip(right["block"].to_pylist(), right["answer"].to_pylist())))
 
         return self.packed.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(run, schema)
 
 
+def _bucketed(packed: DataFrame, buckets: int) -> DataFrame:
+    """``packed`` written to the shared folder in buckets by chunk, and read back. The session's catalog keeps no name of it."""
+    spark, name = packed.sparkSession, f"chunks_{uuid.uuid4().hex}"
+    path = f"{scratch_dir(spark)}/{name}"
+    packed.write.bucketBy(buckets, "chunk").option("path", path).saveAsTable(name)
+    delete_at_end(spark, path)
+    out = spark.table(name)
+    spark.sql(f"DROP TABLE {name}")
+    return out
+
+
 def answer(asked: DataFrame, answers: Callable[[list[bytes]], list[bytes]]) -> DataFrame:
     """Each block's answers to the chunks that asked it, in their order."""
 
@@ -108,42 +131,39 @@ def answer(asked: DataFrame, answers: Callable[[list[bytes]], list[bytes]]) -> D
     return asked.groupBy("block").applyInArrow(run, ANSWERED)
 
 
-def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    held: dict[int, tuple[list[bytes], list[bytes]]] = {}
-    size = 0
-    zstd = zstandard.ZstdCompressor(level=1)
+def _pack(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
+    """(chunk, blob) of a partition's documents, in their order, in chunks of about ``size`` bytes."""
+    zstd, first, made = zstandard.ZstdCompressor(level=1), TaskContext.get().partitionId() << 32, 0
+    heads: list[bytes] = []
+    texts: list[bytes] = []
+    held = 0
 
-    def flush() -> pa.RecordBatch:
-        blobs = [zstd.compress(struct.pack("<I", len(heads)) + b"".join(heads) + b"".join(texts)) for heads, texts in held.values()]
-        return pa.RecordBatch.from_arrays([pa.array(list(held), pa.int64()), pa.array(blobs, pa.binary())], names=["chunk", "blob"])
+    def chunk() -> pa.RecordBatch:
+        blob = zstd.compress(struct.pack("<I", len(heads)) + b"".join(heads) + b"".join(texts))
+        return pa.RecordBatch.from_arrays([pa.array([first + made], pa.int64()), pa.array([blob], pa.binary())], names=["chunk", "blob"])
 
     for batch in batches:
-        for chunk, h, doc_id, text in zip(*(batch.column(i).to_pylist() for i in range(3)), batch.column(3)):
+        for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
             raw = text.as_py().encode("utf-8", "surrogatepass")
-            heads, texts = held.setdefault(chunk, ([], []))
-            heads.append(struct.pack("<qqI", NULL_ID if doc_id is None else doc_id, h, len(raw)))
+            heads.append(struct.pack("<q?I", NULL_ID if doc_id is None else doc_id, doc_id is None, len(raw)))
             texts.append(raw)
-            size += len(raw) + 20
-            if size >= PACK_BYTES:
-                yield flush()
-                held, size = {}, 0
-    if held:
-        yield flush()
-
-
-def _unpack(table: pa.Table) -> Chunk:
-    """The chunk's documents by (doc_id, row hash, text): the same order however they arrive."""
-    rows = []
-    zstd = zstandard.ZstdDecompressor()
-    for blob in table["blob"]:
-        raw = zstd.decompress(blob.as_py())
-        (n,) = struct.unpack_from("<I", raw)
-        at = 4 + 20 * n
-        for doc_id, h, size in struct.iter_unpack("<qqI", raw[4:at]):
-            rows.append((doc_id, h, raw[at : at + size]))
-            at += size
-    rows.sort()
-    return Chunk(np.array([r[0] for r in rows], np.int64), [r[1] for r in rows], [r[2] for r in rows])
+            held += len(raw) + 20
+            if held >= size:
+                yield chunk()
+                heads, texts, held, made = [], [], 0, made + 1
+    if heads:
+        yield chunk()
+
+
+def _unpack(number: int, blob: bytes) -> Chunk:
+    raw = zstandard.ZstdDecompressor().decompress(blob)
+    (n,) = struct.unpack_from("<I", raw)
+    at = 4 + 13 * n
+    ids, nulls, texts = np.zeros(n, np.int64), np.zeros(n, bool), []
+    for i, (ids[i], nulls[i], size) in enumerate(struct.iter_unpack("<q?I", raw[4:at])):
+        texts.append(raw[at : at + size])
+        at += size
+    return Chunk(number, ids, nulls, texts)
 
 
 def split_sorted(keys: np.ndarray, shift: int) -> Iterator[tuple[int, int, int]]:

@@ -1,8 +1,8 @@
 """Removes words under windows that also start in a document with a smaller doc_id, by a count-min prefilter.
 
 Every chunk makes a count-min sketch of its window hashes: DEPTH rows of counters, kept as the sorted counters that
-aren't 0. The chunks' sketches are merged by adding, so an estimate is never under the true count, and a
-window with an estimate of 1 is its own only one. The second pass takes the windows estimated repeated,
+aren't 0, each as 1 or "more". The chunks' sketches are merged by adding, with "more" as 2, so an estimate is never under
+the lesser of 2 and the true count, and a window with an estimate of 1 is its own only one. The second pass takes the windows estimated repeated,
 and only these, and groups them by a 128-bit hash of their words: each gets the least doc_id that it starts in.
 
 The rows have 2**bits counters, eight times the corpus's windows or more: with two rows, about one window in
@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import stored
-from .exchange import NULL_ID, Chunk, Corpus, answer, joined, loosen, parted, split_sorted, squeeze
+from .exchange import Chunk, Corpus, answer, joined, loosen, parted, split_sorted, squeeze
 from .vectors import mixed, segments, windows, within, words
 
 WINDOW, DEPTH = 13, 2
@@ -132,10 +132,10 @@ def dedup_windows(docs: DataFrame, k: int = WINDOW) -> DataFrame:
     """doc_id, n_words, n_removed, kept (the other words joined by a space) of every row.
 
     Null and empty texts have no words. Of rows with one doc_id none has the smaller one, so they don't clear each
-    other; a null doc_id counts as larger than all others. Texts under k words have no window."""
+    other; a null doc_id counts as the largest long. Texts under k words have no window; an empty table gives no rows.
+    Texts of any length are taken whole, and other columns are left out."""
     corpus = Corpus(docs)
     guess = max(1.0, corpus.bytes / 4)
-    chunks = corpus.chunks
     bits, block_bits, key_bits = max(24, int(np.ceil(np.log2(8 * guess)))), corpus.bits(guess), corpus.bits(guess / 4)
 
     def asks(chunk: Chunk) -> Iterator[tuple[int, bytes]]:
@@ -162,7 +162,7 @@ def dedup_windows(docs: DataFrame, k: int = WINDOW) -> DataFrame:
         rows = [(-1, joined(squeeze(np.diff(doc, prepend=0).astype(np.uint32)), squeeze(np.diff(at, prepend=0).astype(np.int32)), squeeze(number)))] if len(doc) else []
         for lead, a, b in split_sorted(distinct[:, 0], 64 - key_bits):
             rows.append((lead, joined(squeeze(distinct[a:b, 0]), squeeze(distinct[a:b, 1]), squeeze(least[a:b]))))
-        return own_row(rows).append_column("chunk", pa.array([chunk_number(chunk, chunks)] * len(rows), pa.int64())).select(["block", "chunk", "asked"])
+        return own_row(rows).append_column("chunk", pa.array([chunk.number] * len(rows), pa.int64())).select(["block", "chunk", "asked"])
 
     found = stored(corpus.tell(answer(corpus.ask(asks), merge_sketches), candidates, "block long, chunk long, asked binary"), "window-candidates")
     own = found.where("block < 0").select("chunk", "block", F.col("asked").alias("answer"))
@@ -179,23 +179,19 @@ def dedup_windows(docs: DataFrame, k: int = WINDOW) -> DataFrame:
             for part in np.split(np.arange(len(doc)), np.flatnonzero(np.diff(doc)) + 1):
                 if len(part):
                     gone[int(doc[part[0]])] = at[part]
-        rows = []
+        rows, ids = [], chunk.doc_ids()
         for i, own_words in _words(chunk):
             n, removed = len(own_words), 0
             if i in gone:
                 out = covered(gone[i], k, n)
                 removed = int(out.sum())
                 own_words = [w for w, x in zip(own_words, out.tolist()) if not x]
-            rows.append((None if chunk.ids[i] == NULL_ID else int(chunk.ids[i]), n, removed, b" ".join(own_words).decode("utf-8", "surrogatepass")))
+            rows.append((ids[i], n, removed, b" ".join(own_words).decode("utf-8", "surrogatepass")))
         return pa.table([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.int64(), pa.int64(), pa.string()))], names=["doc_id", "n_words", "n_removed", "kept"])
 
     return corpus.tell(replies, clear, "doc_id long, n_words long, n_removed long, kept string")
 
 
-def chunk_number(chunk: Chunk, chunks: int) -> int:
-    return chunk.hashes[0] % chunks
-
-
 def window_report(docs: DataFrame) -> DataFrame:
     """The digest of ``dedup_windows``: doc_id, n_words, n_removed, kept_sha256."""
     return dedup_windows(docs).select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))

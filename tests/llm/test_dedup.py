@@ -37,7 +37,10 @@ def plain(rows):
     return sorted((tuple(r) for r in rows), key=lambda r: (str(r[0]), *map(str, r[1:])))
 
 
-def test_substrings(documents, small_chunks):
+@pytest.mark.parametrize("hot, stretch", [(4000, 1 << 19), (2, 700)])
+def test_substrings(documents, small_chunks, monkeypatch, hot, stretch):
+    monkeypatch.setattr(substring_dedup, "HOT", hot)
+    monkeypatch.setattr(substring_dedup, "STRETCH", stretch)
     rows = [(r.doc_id, (r.text or "").encode()) for r in documents.collect()]
     seen = Counter(t[p : p + 400] for _, t in rows for p in range(len(t) - 399))
     expected = []
@@ -51,6 +54,23 @@ def test_substrings(documents, small_chunks):
     assert plain(substring_dedup.substring_report(documents).collect()) == plain(expected)
 
 
+def test_suffix_order():
+    rng = np.random.default_rng(8)
+    for length in (9, 24, 40, 400):
+        text = np.tile(rng.integers(0, 3, 700).astype(np.uint8), 2)
+        at = np.sort(rng.choice(len(text) - length, 300, replace=False))
+        order, same = substring_dedup.suffix_order(text, at, length)
+        made = [text[i : i + length].tobytes() for i in at[order].tolist()]
+        assert made == sorted(made)
+        assert same.tolist() == [False] + [a == b for a, b in zip(made, made[1:])]
+
+
+def test_union():
+    begin, end = np.array([1, 2, 9, 12, 30]), np.array([4, 9, 11, 13, 31])
+    assert substring_dedup.union(begin, end) == [(1, 11), (12, 13), (30, 31)]
+    assert substring_dedup.union(begin[:0], end[:0]) == []
+
+
 def test_windows(documents, small_chunks):
     rows = [(r.doc_id, (r.text or "").encode().split()) for r in documents.collect()]
     order = lambda d: (d is None, d or 0)
