@@ -105,17 +105,24 @@ def naive_tree(texts, depth):
     return bits
 
 
-def test_context_tree_matches_recursion(spark):
-    rows = [(i, t) for i, t in enumerate(["abab abba", "abba baab", "abracadabra abba", "bbbb", "zebra", "cab"])]
-    taught = [t.encode() for i, t in rows if not context_tree.is_held_out(i)]
-    bits = naive_tree(taught, 3)
-    found = {r.doc_id: r.score for r in context_tree.score(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+@pytest.mark.parametrize("depth", [3, 5, 7])
+def test_context_tree_matches_recursion(spark, depth):
+    rows = [(i, t) for i, t in enumerate(["abab abba", "abba baab", "abracadabra abba", "bbbb", "zebra", "cab", "abracadabra abracadabra", "Été"])]
+    taught = [t.encode().lower() for i, t in rows if not context_tree.is_held_out(i)]
+    bits = naive_tree(taught, depth)
+    found = {r.doc_id: r.score for r in context_tree.score(spark.createDataFrame(rows, "doc_id long, text string"), depth).collect()}
     for i, t in rows:
-        padded = b"\n\n\n" + t.encode() + b"\xff"
-        expected = -sum(bits(padded[:k], padded[k]) for k in range(3, len(padded))) * math.log10(2)
+        padded = b"\n" * depth + t.encode().lower() + b"\xff"
+        expected = -sum(bits(padded[:k], padded[k]) for k in range(depth, len(padded))) * math.log10(2)
         assert found[i] == pytest.approx(expected, rel=1e-4)
 
 
+def test_log_gamma_beyond_its_table():
+    for n in (0, 7, 65_535, 65_536, 65_537, 10**9):
+        a = np.array([n])
+        assert context_tree.log_kt(a, a)[0] == pytest.approx(2 * math.lgamma(n + 0.5) - math.lgamma(2 * n + 1) - math.log(math.pi), rel=1e-9)
+
+
 def test_context_tree_empty(spark):
     assert context_tree.score(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
