@@ -1,12 +1,18 @@
 """Secret scans in DataFrame functions only: fixed patterns, and a randomness test battery for other tokens.
 
 The battery takes runs of TOKEN characters long enough to carry a secret, infers their encoding (hexadecimal,
-base32, base36, base64 or its letters and digits) and asks whether they look drawn at random from its alphabet: a
-chi-squared test of uniform use of the alphabet, a runs test of the halves of the alphabet, and a serial
-correlation test of neighbouring places. Random tokens pass; words, names and codes of a pattern fail.
-The p-values are combined (Bonferroni), and among the tokens of one encoding and length class the failing ones are
-named by Benjamini-Hochberg control of false discoveries: a long token must look as random as a short one, though
-more tests of it are powerful. Those that aren't named are spans of the kind ``random``.
+base32, base36, base64 or its letters and digits) and asks two questions.
+
+Does the token look drawn at random from the encoding's alphabet? A chi-squared test of uniform use of the alphabet, a
+runs test of the halves of the alphabet, and a serial correlation test of neighbouring places; a token that one of them
+rejects (Sidak's correction, level EXCLUDE) is a name or a code of a pattern.
+
+Can it be a name all the same? Short names pass such tests by chance. Names repeat their letters (COINCIDENCE of all
+pairs of places are equal) and seldom change between capitals, small letters and digits (CHANGES of all neighbours):
+the chances of as few equal pairs and of as many changes, combined by Fisher's method, are the token's p-value. Among the
+tokens of one encoding and length class Benjamini-Hochberg control names those of them that are secrets, so that at most
+FALSE_DISCOVERIES of the tokens named are names in expectation, as far as the two rates hold: a short token has to be
+more striking among many names than a long one. Those are spans of the kind ``random``.
 
 The sorted p-values of a class are kept as counts over P_BINS bins, never as rows: a class is at most that many sums.
 """
@@ -31,42 +37,60 @@ HEXADECIMAL, BASE32 = "0123456789ABCDEF", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 BASE64 = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
 BASE36 = "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 ALPHABETS = {"hex": HEXADECIMAL, "base32": BASE32, "base36": BASE36, "alnum": BASE64[:62], "base64": BASE64}
-#: Highest share of tokens wrongly named as not random.
+#: Level at which the battery rejects randomness.
+EXCLUDE = 0.001
+#: Of names: the share of equal characters among all pairs of places, at least twice the alphabet's own; and the share
+#: of neighbours of different kinds, in tokens of both cases and in others.
+COINCIDENCE, CHANGES = 0.06, (0.35, 0.15)
 FALSE_DISCOVERIES = 0.05
 P_BINS = 400
 
+_MATCHES = "array<struct<gap:int,size:int,found:string>>"
+_SPANS = "array<struct<start:int,end:int,found:string>>"
+
 
-def spans(text: Column, pattern: str, extra: str = "") -> Column:
-    """Array of (start, end, found) of the leftmost non-overlapping matches, in code points."""
+def matches(text: Column, pattern: str) -> Column:
+    """Array of (gap: code points since the last match, size, found) of the leftmost non-overlapping matches."""
     found, between = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1)
-    begin = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int,found:string>>").alias("out"))
+    one = lambda before, m: F.struct(F.length(before).alias("gap"), F.length(m).alias("size"), m.alias("found"))
+    return F.filter(F.zip_with(between, found, one), lambda x: x["found"].isNotNull())
 
-    def step(done: Column, pair: Column) -> Column:
-        start = done["at"] + F.length(pair["before"])
-        end = start + F.length(pair["match"])
-        one = F.struct(start.alias("start"), end.alias("end"), pair["match"].alias("found"))
-        return F.struct(end.alias("at"), F.concat(done["out"], F.array(one)).alias("out"))
 
-    pairs = F.zip_with(F.slice(between, 1, F.size(found)), found, lambda b, m: F.struct(b.alias("before"), m.alias("match")))
-    return F.aggregate(pairs, begin, step, lambda x: x["out"])
+def spans(pairs: str) -> Column:
+    """Array of (start, end, found) of a column of ``matches``, in code points.
 
+    Places are running sums. An array that grows is copied at each step, so n matches are taken in parts of about the
+    square root of n, whose starts are summed first."""
+    n = F.size(pairs)
+    part = F.greatest(F.lit(1), F.ceil(F.sqrt(n)).cast("int"))
+    parts = F.transform(F.sequence(F.lit(0), F.ceil(n / part).cast("int") - 1), lambda i: F.slice(pairs, i * part + 1, part))
+    lengths = F.transform(parts, lambda p: F.aggregate(p, F.lit(0), lambda a, x: a + x["gap"] + x["size"]))
+    begin = F.aggregate(lengths, F.array(F.lit(0)), lambda a, x: F.concat(a, F.array(F.element_at(a, -1) + x)))
 
-def _no_spans() -> Column:
-    return F.array().cast("array<struct<start:int,end:int,found:string>>")
+    def step(done: Column, x: Column) -> Column:
+        start = done["at"] + x["gap"]
+        one = F.struct(start.alias("start"), (start + x["size"]).alias("end"), x["found"].alias("found"))
+        return F.struct((start + x["size"]).alias("at"), F.concat(done["out"], F.array(one)).alias("out"))
+
+    def within(p: Column, at: Column) -> Column:
+        first = F.struct(at.alias("at"), F.array().cast(_SPANS).alias("out"))
+        return F.aggregate(F.coalesce(p, F.array().cast(_MATCHES)), first, step, lambda x: x["out"])
+
+    return F.when(n > 0, F.flatten(F.zip_with(parts, begin, within))).otherwise(F.array().cast(_SPANS))
 
 
 def base_spans(docs: DataFrame) -> DataFrame:
-    """doc_id, and arrays assign, access, hex, tokens of (start, end, found), without the texts."""
-    text = F.col("_text")
+    """doc_id, and arrays assign, access, hex, tokens of (start, end, found), without the texts.
+
+    Texts are read once; the matches, without them, are written."""
+    text, none = F.col("_text"), F.array().cast(_MATCHES)
     rows = docs.select("doc_id", whole_text().alias("_text"))
-    assigned = F.filter(spans(text, ASSIGN), lambda x: F.length(F.regexp_extract(x["found"], ASSIGN, 2)) >= 12)
-    return rows.select(
-        "doc_id",
-        F.when(F.rlike(text, F.lit(ASSIGN_HINT)), assigned).otherwise(_no_spans()).alias("assign"),
-        F.when(F.contains(text, F.lit("AKIA")), spans(text, ACCESS)).otherwise(_no_spans()).alias("access"),
-        F.when(F.rlike(text, F.lit(HEX)), spans(text, HEX)).otherwise(_no_spans()).alias("hex"),
-        F.when(F.rlike(text, F.lit(TOKEN)), F.filter(spans(text, TOKEN), lambda x: encoding(x["found"]).isNotNull())).otherwise(_no_spans()).alias("tokens"),
-    )
+    hints = {"assign": (F.rlike(text, F.lit(ASSIGN_HINT)), ASSIGN), "access": (F.contains(text, F.lit("AKIA")), ACCESS)}
+    hints |= {k: (F.rlike(text, F.lit(p)), p) for k, p in (("hex", HEX), ("tokens", TOKEN))}
+    found = stored(rows.select("doc_id", *[F.when(hint, matches(text, p)).otherwise(none).alias(k) for k, (hint, p) in hints.items()]), "secret-matches")
+    placed = found.select("doc_id", *[spans(k).alias(k) for k in hints])
+    long_value = F.filter("assign", lambda x: F.length(F.regexp_extract(x["found"], ASSIGN, 2)) >= 12)
+    return placed.withColumns({"assign": long_value, "tokens": F.filter("tokens", lambda x: encoding(x["found"]).isNotNull())})
 
 
 def encoding(token: Column) -> Column:
@@ -84,38 +108,83 @@ def encoding(token: Column) -> Column:
 
 
 def upper_tail(z: Column) -> Column:
-    """The normal distribution above z, to 0.0002: the logistic approximation of Bowling and others."""
-    return 1 / (1 + F.exp(F.least(F.lit(700.0), 0.07056 * z * z * z + 1.5976 * z)))
-
-
-def battery(token: Column, kind: str) -> Column:
-    """The combined p-value of the three tests, of a token of this encoding."""
-    letters = ALPHABETS[kind]
-    k = len(letters)
-    plain = F.upper(token) if kind in ("hex", "base32", "base36") else F.translate(token, "-_", "+/")
-    chars = F.split(plain, "")
-    places = F.transform(F.filter(chars, lambda c: c != ""), lambda c: F.position(c, F.lit(letters)) - 1)
-    n = F.length(plain).cast("double")
-    counts = [F.length(plain) - F.length(F.replace(plain, F.lit(c), F.lit(""))) for c in letters]
-    squares = reduce(lambda a, b: a + b, [(c * c).cast("double") for c in counts])
-    chi = squares * k / n - n
+    """The normal distribution above z, to 1e-7, and in its tail to about a thousandth of itself (formula 26.2.17 of Abramowitz and Stegun)."""
+    x = F.abs(z)
+    t = 1 / (1 + 0.2316419 * x)
+    series = t * (0.319381530 + t * (-0.356563782 + t * (1.781477937 + t * (-1.821255978 + t * 1.330274429))))
+    tail = F.exp(F.greatest(F.lit(-700.0), -x * x / 2)) / 2.5066282746310002 * series
+    return F.when(z >= 0, tail).otherwise(1 - tail)
+
+
+def _letters(kind: Column) -> Column:
+    return reduce(lambda rest, k: F.when(kind == k, F.lit(ALPHABETS[k])).otherwise(rest), ALPHABETS, F.lit(BASE64))
+
+
+def plain(token: Column, kind: Column) -> Column:
+    """The token in the letters of its alphabet."""
+    return F.when(kind.isin("hex", "base32", "base36"), F.upper(token)).otherwise(F.translate(token, "-_", "+/"))
+
+
+def _characters(token: Column) -> Column:
+    return F.filter(F.split(token, ""), lambda c: c != "")
+
+
+def _pairs(values: Column) -> Column:
+    return F.zip_with(F.slice(values, 1, F.size(values) - 1), F.slice(values, 2, F.size(values)), lambda a, b: F.struct(a.alias("a"), b.alias("b")))
+
+
+def token_facts(x: Column) -> Column:
+    """start, end, kind, size, k (letters of the alphabet), equal (sum of squared counts of its letters), places and
+    classes (of capitals, small letters, digits and others) of a token (start, end, found)."""
+    kind = encoding(x["found"])
+    own = plain(x["found"], kind)
+    squares = F.aggregate(F.array_distinct(_characters(own)), F.lit(0).cast("long"), lambda a, c: a + F.pow(F.length(own) - F.length(F.replace(own, c, F.lit(""))), F.lit(2)).cast("long"))
+    places = F.transform(_characters(own), lambda c: F.position(c, _letters(kind)) - 1)
+    classes = F.transform(_characters(F.regexp_replace(F.regexp_replace(F.regexp_replace(x["found"], "[a-z]", "a"), "[A-Z]", "A"), "[0-9]", "0")), lambda c: c)
+    return F.struct(x["start"].alias("start"), x["end"].alias("end"), kind.alias("kind"), F.length(own).alias("size"), F.length(_letters(kind)).alias("k"), squares.alias("equal"), places.alias("places"), classes.alias("classes"))
+
+
+def token_sums(t: Column) -> Column:
+    """The token's facts with sums in place of its arrays."""
+    mean = F.aggregate(t["places"], F.lit(0.0), lambda a, x: a + x) / t["size"]
+    half = F.floor(t["k"] / 2)
+    moved = F.size(F.filter(_pairs(t["places"]), lambda p: (p["a"] >= half) != (p["b"] >= half)))
+    joint = F.aggregate(_pairs(t["places"]), F.lit(0.0), lambda a, p: a + p["a"] * p["b"])
+    squares = F.aggregate(t["places"], F.lit(0.0), lambda a, x: a + x * x)
+    changes = F.size(F.filter(_pairs(t["classes"]), lambda p: p["a"] != p["b"]))
+    high = F.size(F.filter(t["places"], lambda x: x >= half))
+    ends = (F.element_at(t["places"], 1) + F.element_at(t["places"], -1)).cast("double")
+    sums = {"mean": mean, "high": high.cast("double"), "runs": (moved + 1).cast("double"), "joint": joint, "squares": squares, "ends": ends, "changes": changes.cast("double")}
+    return F.struct(*[t[c].alias(c) for c in ("start", "end", "kind")], t["size"].cast("double").alias("n"), t["k"].cast("double").alias("k"), t["equal"].cast("double").alias("equal"), *[v.alias(c) for c, v in sums.items()])
+
+
+def battery(t: Column) -> Column:
+    """The combined p-value of the three tests of a token that is random, from its ``token_sums``."""
+    n, k = t["n"], t["k"]
     # The exact mean and variance of the statistic for n draws from k letters.
-    z_chi = (chi - (k - 1)) / F.sqrt(2.0 * (k - 1) * (n - 1) / n)
-    pairs = F.arrays_zip(F.slice(places, 1, F.size(places) - 1).alias("a"), F.slice(places, 2, F.size(places)).alias("b"))
-    half = k // 2
-    high = F.size(F.filter(places, lambda x: x >= half)).cast("double")
-    low = n - high
-    runs = F.size(F.filter(pairs, lambda p: (p["a"] >= half) != (p["b"] >= half))) + 1
-    mean_runs = 2 * high * low / n + 1
-    var_runs = (mean_runs - 1) * (mean_runs - 2) / F.greatest(n - 1, F.lit(1.0))
-    z_runs = F.when(var_runs > 0, F.abs(runs - mean_runs) / F.sqrt(var_runs)).otherwise(F.lit(9.0))
-    total = F.aggregate(places, F.lit(0.0), lambda a, x: a + x)
-    mean = total / n
-    spread = F.aggregate(places, F.lit(0.0), lambda a, x: a + (x - mean) * (x - mean))
-    joint = F.aggregate(pairs, F.lit(0.0), lambda a, p: a + (p["a"] - mean) * (p["b"] - mean))
+    z_chi = (t["equal"] * k / n - n - (k - 1)) / F.sqrt(2.0 * (k - 1) * (n - 1) / n)
+    low = n - t["high"]
+    mean_runs = 2 * t["high"] * low / n + 1
+    var_runs = (mean_runs - 1) * (mean_runs - 2) / (n - 1)
+    z_runs = F.when(var_runs > 0, F.abs(t["runs"] - mean_runs) / F.sqrt(var_runs)).otherwise(F.lit(9.0))
+    spread = t["squares"] - n * t["mean"] * t["mean"]
+    # The sum of products of neighbours' distances from the mean.
+    joint = t["joint"] - t["mean"] * (2 * n * t["mean"] - t["ends"]) + (n - 1) * t["mean"] * t["mean"]
     z_serial = F.when(spread > 0, F.abs(joint / spread + 1 / n) * F.sqrt(n)).otherwise(F.lit(9.0))
-    worst = F.least(upper_tail(z_chi), 2 * upper_tail(z_runs), 2 * upper_tail(z_serial))
-    return F.least(F.lit(1.0), 3 * worst)
+    worst = F.least(upper_tail(z_chi), 2 * upper_tail(z_runs), 2 * upper_tail(z_serial), F.lit(1.0))
+    return 1 - F.pow(1 - worst, F.lit(3.0))
+
+
+def name_p(t: Column) -> Column:
+    """How likely a name has as few equal pairs and as many changes of kind as the token, from its ``token_sums``."""
+    n = t["n"]
+    rate = F.greatest(F.lit(COINCIDENCE), 2 / t["k"])
+    expected = n * (n - 1) / 2 * rate
+    few = upper_tail((expected - (t["equal"] - n) / 2 - 0.5) / F.sqrt(expected))
+    change = F.when(t["kind"].isin("alnum", "base64"), CHANGES[0]).otherwise(CHANGES[1])
+    many = upper_tail((t["changes"] - 0.5 - (n - 1) * change) / F.sqrt((n - 1) * change * (1 - change)))
+    both = few * many
+    return F.when(both > 0, F.least(F.lit(1.0), both * (1 - F.log(both)))).otherwise(F.lit(0.0))
 
 
 def _bin(p: Column) -> Column:
@@ -128,28 +197,28 @@ def length_class(n: Column) -> Column:
 
 
 def judged(found: DataFrame) -> DataFrame:
-    """``found`` with tokens as (start, end, found, stratum, bin)."""
-    kinds = list(ALPHABETS)
+    """``found`` with tokens as (start, end, stratum, bin, apart: it meets no base span); bin is -1 for those that aren't random."""
+    rows = found.withColumn("tokens", F.transform("tokens", token_facts))
+    rows = rows.withColumn("tokens", F.transform("tokens", token_sums))
 
-    def one(x: Column) -> Column:
-        kind = encoding(x["found"])
-        p = reduce(lambda rest, k: F.when(kind == k, battery(x["found"], k)).otherwise(rest), kinds, F.lit(0.0))
-        stratum = F.concat_ws(":", kind, length_class(F.length(x["found"])).cast("string"))
-        return F.struct(x["start"].alias("start"), x["end"].alias("end"), stratum.alias("stratum"), _bin(p).alias("bin"))
+    def one(t: Column) -> Column:
+        stratum = F.concat_ws(":", t["kind"], length_class(t["n"]).cast("string"))
+        bin_ = F.when(battery(t) < EXCLUDE, F.lit(-1)).otherwise(_bin(name_p(t)))
+        apart = ~F.exists(F.concat("assign", "access", "hex"), lambda y: (y["start"] < t["end"]) & (t["start"] < y["end"]))
+        return F.struct(t["start"].alias("start"), t["end"].alias("end"), stratum.alias("stratum"), bin_.alias("bin"), apart.alias("apart"))
 
-    clear = F.filter("tokens", lambda x: ~F.exists(F.concat("assign", "access", "hex"), lambda y: (y["start"] < x["end"]) & (x["start"] < y["end"])))
-    return found.withColumn("tokens", clear).withColumn("tokens", F.transform("tokens", one))
+    return rows.withColumn("tokens", F.transform("tokens", one))
 
 
 def named_bins(tokens: DataFrame, share: float = FALSE_DISCOVERIES) -> dict[str, int]:
-    """Of each stratum with rejections the lowest bin number whose tokens are named as not random.
+    """Of each stratum with discoveries the lowest bin number whose tokens are named.
 
     At most encodings x length classes strata come to the driver."""
     counts = tokens.select(F.explode("tokens").alias("t")).groupBy("t.stratum", "t.bin").agg(F.count("*").alias("n"))
     down = Window.partitionBy("stratum").orderBy(F.desc("bin"))
     whole = Window.partitionBy("stratum")
     ranked = counts.withColumns({"rank": F.sum("n").over(down), "all": F.sum("n").over(whole)})
-    passed = ranked.where(F.pow(F.lit(10.0), -F.col("bin") / 20.0) <= share * F.col("rank") / F.col("all"))
+    passed = ranked.where((F.col("bin") >= 0) & (F.pow(F.lit(10.0), -F.col("bin") / 20.0) <= share * F.col("rank") / F.col("all")))
     return {r["stratum"]: r["bin"] for r in passed.groupBy("stratum").agg(F.min("bin").alias("bin")).collect()}
 
 
@@ -163,19 +232,22 @@ def joined(kinds: tuple[str, ...]) -> Column:
 
 
 def scan(docs: DataFrame) -> DataFrame:
-    """doc_id, the arrays assign, access, hex, random of (start, end), of every row.
+    """doc_id, the arrays assign, access, hex, random of (start, end), and confirmed, of the tokens that the battery names
+    inside the first three, of every row.
 
-    Null and empty texts have no spans; repeated rows repeat theirs. Texts are read once; the arrays found, without the
-    texts, are written and judged."""
+    Null and empty texts have no spans; repeated rows repeat theirs; a null doc_id stays null; an empty table gives no
+    rows. Texts of any length are taken whole, and other columns are left out."""
     found = stored(judged(base_spans(docs)), "secret-candidates")
     limits = named_bins(found)
     limit = F.create_map(*[v for k, b in limits.items() for v in (F.lit(k), F.lit(b))]) if limits else F.create_map().cast("map<string,int>")
-    random = F.filter("tokens", lambda x: x["bin"] < F.coalesce(F.try_element_at(limit, x["stratum"]), F.lit(P_BINS)))
-    plain = lambda c: F.transform(c, lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end")))
-    return found.select("doc_id", *[plain(F.col(c)).alias(c) for c in ("assign", "access", "hex")], plain(random).alias("random"))
+    named = lambda apart: F.filter("tokens", lambda x: (x["apart"] == apart) & (x["bin"] >= F.coalesce(F.try_element_at(limit, x["stratum"]), F.lit(P_BINS))))
+    place = lambda c: F.transform(c, lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end")))
+    base = [place(F.col(c)).alias(c) for c in KINDS[:3]]
+    return found.select("doc_id", *base, place(named(True)).alias("random"), place(named(False)).alias("confirmed"))
 
 
 def secret_report(docs: DataFrame) -> DataFrame:
+    """doc_id, n_assign, n_access, n_hex, n_random, n_confirmed, base_sha256, spans."""
     rows = scan(docs)
-    counts = [F.size(c).cast("long").alias(f"n_{c}") for c in KINDS]
+    counts = [F.size(c).cast("long").alias(f"n_{c}") for c in (*KINDS, "confirmed")]
     return rows.select("doc_id", *counts, F.sha2(joined(KINDS[:3]).cast("binary"), 256).alias("base_sha256"), joined(KINDS).alias("spans"))
