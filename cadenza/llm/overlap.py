@@ -6,7 +6,7 @@ in any such order, so no pair is lost, whatever the sample holds; it only keeps
 
 Every list is first linked to its least member. Pairs that links have joined already need no check; every other pair of
 a list is checked. A pair is linked if its fingerprints are near, or if its whole sets reach the similarity; texts
-are read only where sizes and parities allow that. A set's parities are BITS bits, each of them whether an odd number of
+are read only where sizes and parities allow that. A set's parities are bits, each of them whether an odd number of
 shingles falls on it: as many as differ, and no fewer, are the shingles that only one of two sets has.
 """
 
@@ -27,7 +27,7 @@ from .vectors import segments, windows, words
 
 SEED = 42
 LIST_BLOCK = 2048
-BITS = 1024
+LEAST_BITS = 64
 #: Documents of the sample, in how many of them a shingle is frequent, and the most that are told apart.
 SAMPLE, FREQUENT, FREQUENT_MOST = 4_000, 4, 50_000
 
@@ -68,14 +68,25 @@ def prefix(distinct: np.ndarray, similarity: float, frequent: np.ndarray, places
 
 
 def parities(distinct: np.ndarray) -> np.ndarray:
-    odd = np.bincount((distinct >> np.uint64(20)).astype(np.int64) % BITS, minlength=BITS) & 1
+    """As many bits as shingles, up to the next power of 2 from LEAST_BITS on."""
+    bits = max(LEAST_BITS, 1 << (len(distinct) - 1).bit_length()) if len(distinct) else LEAST_BITS
+    odd = np.bincount((distinct >> np.uint64(20)).astype(np.int64) % bits, minlength=bits) & 1
     return np.packbits(odd.astype(np.uint8)).view(np.int64)
 
 
 def possible(similarity: float) -> Column:
-    """Whether sizes and parities of the pair size_u, odd_u, size_v, odd_v leave the similarity possible."""
-    apart = F.aggregate(F.zip_with("odd_u", "odd_v", lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda a, x: a + x)
-    return apart <= (1 - similarity) / (1 + similarity) * (F.col("size_u") + F.col("size_v")) + 1e-6
+    """Whether sizes and parities of the pair size_u, odd_u, size_v, odd_v leave the similarity possible.
+
+    Of sets of similar sizes one has at most twice the other's bits; its halves, laid over each other, are its parities by half as many."""
+
+    def fitted(own: str, other: str) -> Column:
+        n = F.size(other)
+        halves = F.zip_with(F.slice(own, 1, n), F.slice(own, n + 1, n), lambda a, b: a.bitwiseXOR(F.coalesce(b, F.lit(0).cast("long"))))
+        return F.when(F.size(own) > n, halves).otherwise(F.col(own))
+
+    differ = F.zip_with(fitted("odd_u", "odd_v"), fitted("odd_v", "odd_u"), lambda a, b: F.bit_count(a.bitwiseXOR(b)))
+    apart = F.aggregate(differ, F.lit(0), lambda a, x: a + x)
+    return similar_sizes(similarity) & (apart <= (1 - similarity) / (1 + similarity) * (F.col("size_u") + F.col("size_v")) + 1e-6)
 
 
 def frequent_shingles(keyed: DataFrame, shingle: int) -> tuple[np.ndarray, np.ndarray]:

@@ -187,6 +187,22 @@ def test_edited_copies_go(spark):
     assert sum(3 * i + 1 not in kept for i in range(40)) >= 36
 
 
+def test_parities_never_exclude(spark):
+    rng = np.random.default_rng(6)
+    rows, similar = [], []
+    for n in rng.integers(1, 700, 150).tolist():
+        a = rng.integers(0, 1 << 63, n).astype(np.uint64)
+        b = np.r_[a[: n - int(n * rng.random() * 0.25)], rng.integers(0, 1 << 63, int(n * rng.random() * 0.2)).astype(np.uint64)]
+        a, b = np.unique(a), np.unique(b)
+        both = len(np.intersect1d(a, b))
+        similar.append(10 * both >= 8 * (len(a) + len(b) - both))
+        rows.append((len(a), len(b), overlap.parities(a).tolist(), overlap.parities(b).tolist()))
+    table = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "i int, size_u int, size_v int, odd_u array<long>, odd_v array<long>")
+    passed = {r.i for r in table.where(overlap.possible(0.8)).collect()}
+    assert {i for i, x in enumerate(similar) if x} <= passed and 20 < sum(similar)
+    assert len(passed) < sum(similar) + 60
+
+
 def test_empty_tables(spark):
     none = spark.createDataFrame([], SCHEMA)
     for made in (substring_dedup.substring_report, window_dedup.window_report, simhash.near_duplicates, simhash.one_of_each):
