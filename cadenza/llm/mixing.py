@@ -2,8 +2,10 @@
 
 Each document has a 60-bit hash. A source's budget of words is met by the documents whose hash lies below a
 threshold: words are summed by source and hash bucket, the bucket in which the running sum passes the budget is
-found, and only its documents are summed again by finer buckets, until the threshold is one hash value. A larger
-budget takes all that a smaller one takes. Nothing is sorted but sums: at most BUCKETS rows a source.
+found, and only its documents are summed again by finer buckets, until the threshold is one hash value. What lies under
+a threshold is nested: a larger budget takes all that a smaller one takes. What is missing then is less than the
+documents of one hash have; by default (``fill``) the one document that fits the gap best is taken too, which a larger
+budget need not take. Nothing is sorted but sums: at most BUCKETS rows a source, and one row a source.
 """
 
 from __future__ import annotations
@@ -11,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, join_small, stored, whole_text
+from .common import WORD, join_small, packed_row, stored, whole_text
 
 #: Bits of the hash that each refinement looks at; five look at all 60.
 LEVEL_BITS, LEVELS = 12, 5
@@ -34,7 +36,8 @@ def targets(sized: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MO
     """(source_key, source_size, target): weights repeat over sources by code point, null last.
 
     Shares are filled like vessels: with sources in ascending order of most*size/weight, the first k are full,
-    and the others share what is left by weight. One row a source is sorted, as after any aggregation."""
+    and the others share what is left by weight. One row a source is sorted in one task: names of sources are taken to be
+    thousands, not one for each document."""
     total = sized.groupBy("source_key").agg(F.sum("size").alias("source_size"))
     by_code = Window.orderBy(F.col("source_key") == "", "source_key")
     weight = F.element_at(F.array(*map(F.lit, weights)), (F.pmod(F.row_number().over(by_code) - 1, F.lit(len(weights))) + 1).cast("int"))
@@ -58,12 +61,12 @@ def _bucket(level: int) -> Column:
     return F.shiftright("hash", LEVEL_BITS * (LEVELS - 1 - level))
 
 
-def thresholds(sized: DataFrame, goals: DataFrame) -> DataFrame:
+def thresholds(sized: DataFrame, goals: DataFrame, fill: bool = True) -> DataFrame:
     """(source_key, source_size, target, copies, threshold, extra_hash).
 
-    Every document is taken ``copies`` times, those with a hash under ``threshold`` once more, and the one with
+    Every document is taken ``copies`` times, those with a hash under ``threshold`` once more, and with ``fill`` the one with
     ``extra_hash`` too: the hash at the threshold or, if that overshoots further, the largest document
-    above it that still fits."""
+    above it that still fits. Without it extra_hash is null and takes are nested."""
     state = goals.withColumns(
         {
             "copies": F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long"),
@@ -87,6 +90,8 @@ def thresholds(sized: DataFrame, goals: DataFrame) -> DataFrame:
             ),
             "mix-thresholds",
         )
+    if not fill:
+        return state.select("source_key", "source_size", "target", "copies", F.col("prefix").alias("threshold"), F.lit(None).cast("long").alias("extra_hash"))
     above = join_small(sized, state.select("source_key", "prefix", "left"), "source_key", "inner").where(F.col("hash") >= F.col("prefix"))
     per_hash = above.where((F.col("hash") == F.col("prefix")) | (F.col("size") <= F.col("left"))).groupBy("source_key", "hash", "prefix", "left").agg(F.sum("size").alias("n"))
     gap = F.abs(F.col("left") - F.col("n"))
@@ -117,9 +122,12 @@ def mix_report(docs: DataFrame) -> DataFrame:
 
 
 def mix(docs: DataFrame) -> DataFrame:
-    """The mixed documents, repeated as often as they are taken, with the columns of ``docs``."""
+    """The mixed documents, repeated as often as they are taken, with the columns of ``docs``, whatever they are called.
+
+    Null and empty texts have no words and are taken as their hash says; a null source is a source of its own; rows with
+    one doc_id are taken alike; an empty table stays empty. Texts of any length are counted whole."""
     _, limits = plan(docs)
-    rows = docs.select("doc_id", "text", "source", F.struct(*docs.columns).alias("_row"))
+    rows = docs.select("doc_id", "text", "source", packed_row(docs).alias("_row"))
     taken = join_small(sizes(rows, ["_row"]), limits, "source_key").withColumn("copies", times_taken()).where(F.col("copies") > 0)
     return taken.select("_row", F.explode(F.sequence(F.lit(1).cast("long"), "copies"))).select("_row.*")
 

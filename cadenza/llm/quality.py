@@ -20,7 +20,7 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored, whole_text
+from .common import KEY_ROWS, join_small, packed_row, stored, whole_text
 
 FIT_ROWS = 20_000
 TREES, DEPTH, LASSO, SEED = 24, 3, 0.002, 7
@@ -116,6 +116,8 @@ def tree_rules(forest: RandomForestClassificationModel) -> list[Rule]:
             found.setdefault(tuple(sorted({term for _, term in path})))
         elif line.lstrip().startswith("Tree"):
             path = []
+        elif line.lstrip().startswith(("If", "Else")):
+            raise ValueError(f"a split of another form: {line.strip()}")
     return [Rule(x) for x in found]
 
 
@@ -150,9 +152,9 @@ def held_out() -> Column:
     return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
-def fit(docs: DataFrame, labels: DataFrame) -> tuple[DataFrame, RuleModel]:
-    """(stored statistics of every row, model)."""
-    stats = stored(statistics(docs), "quality-statistics")
+def fit(docs: DataFrame, labels: DataFrame, keep: list[str] | None = None) -> tuple[DataFrame, RuleModel]:
+    """(stored statistics of every row with the kept columns, model)."""
+    stats = stored(statistics(docs, keep), "quality-statistics")
     return stats, fit_rules(stored(training_rows(stats, labels), "quality-sample"))
 
 
@@ -165,7 +167,13 @@ def score_documents(docs: DataFrame, labels: DataFrame, threshold: float = 0.3)
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> DataFrame:
-    """The rows of ``docs`` that score at least ``threshold``, with its columns."""
-    _, model = fit(docs, labels)
-    rows = statistics(docs, docs.columns)
-    return rows.where(model.score() >= threshold).select(*docs.columns)
+    """The rows of ``docs`` that score at least ``threshold``, with its columns, whatever they are called.
+
+    A score depends on the text only, so texts are read once for their statistics and those of rejected texts leave by
+    their 64-bit hashes. Null and empty texts are scored alike; repeated rows stay or go together; a null doc_id is
+    scored like any other; an empty table stays empty. Texts of any length are taken whole."""
+    keyed = docs.select("doc_id", "text", F.xxhash64(whole_text()).alias("_h"))
+    stats, model = fit(keyed, labels, ["doc_id", "_h"])
+    rejected = stored(stats.where(model.score() < threshold).select("_h").distinct(), "rejected")
+    rows = docs.select(packed_row(docs).alias("_row"), F.xxhash64(whole_text()).alias("_h"))
+    return join_small(rows, rejected, "_h", "left_anti", most=KEY_ROWS).select("_row.*")

@@ -30,10 +30,10 @@ from .common import stored, whole_text
 END_ID = 1
 FRAME_TOKENS = 16_384
 ARCHIVE_TOKENS = 4_000_000
-#: Words that a worker remembers; beyond, it starts anew.
+#: Words that a worker remembers, and as many used before; those in use stay.
 REMEMBERED = 1_000_000
-#: Texts whose new words are encoded together.
-TEXTS = 200
+#: Marks that end a word.
+MARKS = frozenset(b"%c" % c for c in b".,;:!?")
 
 # Fixed values of the zstd seekable format.
 SKIPPABLE_INDEX = 0x184D2A50
@@ -44,30 +44,40 @@ HAS_CHECKSUMS = 0x80
 ARCHIVES = "part int, archive int, first_id long, last_id long, n_docs long, n_tokens long, image binary"
 
 
-class WordEncoder:
+class WordEncoder(dict[bytes, bytes]):
     """Encodes texts as ``Tokenizer.encode(text, add_special_tokens=False)`` does, remembering words.
 
     For tokenizers that drop white space and whose normaliser and splitter never look across it, the
-    ids of a text are those of its words in order. The library encodes each distinct word.
+    ids of a text are those of its words in order. The library encodes each distinct word; of a tokenizer that
+    lower-cases and parts letters from marks, as here, its small letters and the mark that ends it.
     """
 
     def __init__(self, path: str, remembered: int = REMEMBERED):
         from tokenizers import Tokenizer
 
+        super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
         self.remembered = remembered
-        self.words: dict[bytes, bytes] = {}
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Of each text the ids as little-endian unsigned 32-bit integers."""
-        known, split = self.words, [t.encode("utf-8", "surrogatepass").split() for t in texts]
-        new = [w for w in dict.fromkeys(w for words in split for w in words) if w not in known]
-        if known and len(known) + len(new) > self.remembered:
-            known.clear()
-            new = list(dict.fromkeys(w for words in split for w in words))
-        for w, made in zip(new, self.tokenizer.encode_batch_fast([w.decode() for w in new], add_special_tokens=False)):
-            known[w] = array("I", made.ids).tobytes()
-        return [b"".join([known[w] for w in words]) for words in split]
+        self.older: dict[bytes, bytes] = {}
+
+    def __missing__(self, word: bytes) -> bytes:
+        ids = self.older.get(word)
+        if ids is None:
+            if word[-1:] in MARKS and word[-2:-1].isalpha() and b"<|" not in word:
+                ids = self[word[:-1]] + self[word[-1:]]
+            elif (small := word.lower()) != word and b"<|" not in word:
+                ids = self[small]
+            else:
+                ids = array("I", self.tokenizer.encode(word.decode(), add_special_tokens=False).ids).tobytes()
+        self[word] = ids
+        return ids
+
+    def encode(self, text: str) -> bytes:
+        """The ids as little-endian unsigned 32-bit integers."""
+        if len(self) > self.remembered:
+            self.older = dict(self)
+            self.clear()
+        return b"".join(map(self.__getitem__, text.encode("utf-8", "surrogatepass").split()))
 
 
 _ENCODERS: dict[str, WordEncoder] = {}
@@ -177,15 +187,13 @@ def write_archives(docs: DataFrame, tokenizer_path: str, partitions: int | None
             return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(row, kinds)], names=["part", "archive", "first_id", "last_id", "n_docs", "n_tokens", "image"])
 
         for batch in batches:
-            for k in range(0, len(batch), TEXTS):
-                some = batch.slice(k, TEXTS)
-                for doc_id, made in zip(some.column(0).to_pylist(), own.encode(some.column(1).to_pylist())):
-                    doc_ids.append(doc_id)
-                    ids.append(made + end)
-                    size += len(ids[-1])
-                    if size >= 4 * ARCHIVE_TOKENS:
-                        yield archive()
-                        doc_ids, ids, size, number = [], [], 0, number + 1
+            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
+                doc_ids.append(doc_id)
+                ids.append(own.encode(text.as_py()) + end)
+                size += len(ids[-1])
+                if size >= 4 * ARCHIVE_TOKENS:
+                    yield archive()
+                    doc_ids, ids, size, number = [], [], 0, number + 1
         if ids:
             yield archive()
 

@@ -70,6 +70,22 @@ def test_mix(spark, data):
     assert mixing.mix_report(docs.limit(0)).count() == 0
 
 
+def test_takes_are_nested(spark, data):
+    sized = mixing.sizes(spark.read.parquet(f"{data}/documents.parquet")).cache()
+    goals = mixing.targets(sized)
+    before = set()
+    for share in (0.1, 0.35, 0.8, 1.3):
+        limits = mixing.thresholds(sized, goals.withColumn("target", share * goals.target), fill=False)
+        rows = sized.join(limits, "source_key").withColumn("copies", mixing.times_taken()).collect()
+        taken = {(r.doc_id, k) for r in rows for k in range(r.copies)}
+        assert before < taken
+        before = taken
+        for key in {r.source_key for r in rows}:
+            own = [r for r in rows if r.source_key == key]
+            gap = own[0].target - sum(r.copies * r["size"] for r in own)
+            assert 0 <= gap + 1e-6 and (gap < max(r["size"] for r in own) or min(r.copies for r in own) == 3)
+
+
 def test_targets_are_filled(spark):
     docs = spark.createDataFrame([(i, "w " * n, s) for i, (n, s) in enumerate([(10, "a"), (500, "b"), (500, "c"), (7, None)])], "doc_id long, text string, source string")
     got = {r.source_key: r.target for r in mixing.targets(mixing.sizes(docs)).collect()}
@@ -110,9 +126,9 @@ def test_token_archives(spark, data):
 def test_words_have_the_ids_of_whole_texts():
     own = tokens.WordEncoder(tokens.public_tokenizer("word_bpe_49k.json"), remembered=500)
     rng = np.random.default_rng(4)
-    texts = ["".join(map(chr, rng.integers(0, 0x250, n))) for n in rng.integers(1, 12, 4000)] + ["\x7féa", "a\x85é", "é" * 5000 + " \u0301b"]
+    texts = ["".join(map(chr, rng.integers(0, 0x250, n))) for n in rng.integers(1, 12, 4000)] + ["\x7féa", "a\x85é", "<|STARTOFTEXT|>. It's A.B, DON'T! a\u0301. É\u0327. x²? ĳ; ", "I\u0307. K\u0301!", "é" * 5000 + " \u0301b"]
     wanted = [np.array(own.tokenizer.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
-    assert [x for k in range(0, len(texts), 100) for x in own.encode(texts[k : k + 100])] == wanted
+    assert list(map(own.encode, texts)) == wanted
 
 
 def test_archive_is_plain_zstandard_and_checked():

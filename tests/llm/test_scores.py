@@ -40,7 +40,65 @@ def test_quality_edges(spark, documents):
     assert quality.score_documents(documents.limit(0), odd).count() == 0
 
 
+def naive_statistics(text):
+    b = text.encode()
+    if not b:
+        return [0.0] * 20
+    space, n = b"\t\n\x0b\x0c\r ", len(b)
+    words, lines, word = [], [x for x in b.split(b"\n") if x.strip(space)], b""
+    for c in b + b" ":
+        if c in space:
+            words += [word] if word else []
+            word = b""
+        else:
+            word += bytes([c])
+    w, m = max(1, len(words)), max(1, len(lines))
+    share = lambda some: sum(c in some for c in b) / n
+    pairs = list(zip(words, words[1:]))
+    return [
+        math.log(1 + n), math.log(1 + len(words)), sum(len(x) for x in words) / w, share(range(65, 91)), share(range(48, 58)), share(b"#$%&*+<=>@[]^_`{}~\\/"), share(b"!?;"), share(b"|"), share(space), share(range(128, 256)),
+        len(set(words)) / w, max([words.count(x) for x in set(words)], default=0) / w, len([x for x in words if len(x) > 20]) / w,
+        len([x for x in words if any(65 <= c <= 90 for c in x) and not any(97 <= c <= 122 for c in x)]) / w, len([x for x in words if x[-1:] in (b"#", b"$", b"%", b"&", b"*", b"!", b"|")]) / w, w / m,
+        1 - len(set(lines)) / m if lines else 0.0, len([x for x in lines if len(x) < 30]) / m, b.count(b".") / w, 1 - len(set(pairs)) / len(pairs) if pairs else 0.0,
+    ]
+
+
+def test_statistics_and_compiled_rules(spark, documents):
+    rows = documents.select("doc_id", "text").union(spark.createDataFrame([(900, "A|b | x! y! x! y!\n\n" * 30 + "z" * 3000), (901, " \n\t"), (902, "café.\n" * 50)], "doc_id long, text string"))
+    texts = sorted(((str(r.doc_id), r.text or "") for r in rows.collect()))
+    stats = quality.statistics(rows).cache()
+    found = sorted(((str(r.doc_id), list(r[quality.STATS])) for r in stats.collect()), key=lambda r: r[0])
+    naive = {}
+    for i, t in texts:
+        naive.setdefault(i, []).append([round(x, 8) for x in naive_statistics(t)])
+    for i, own in found:
+        assert any(np.allclose(own, x, atol=1e-7) for x in naive[i]), i
+    rng = np.random.default_rng(1)
+    rules = tuple(quality.Rule(tuple((int(f), bool(rng.integers(2)), float(rng.random())) for f in rng.integers(0, 20, rng.integers(1, 4))), float(rng.normal())) for _ in range(40))
+    model = quality.RuleModel(rules, -0.3)
+    for r in stats.withColumn("score", model.score()).collect():
+        total = -0.3 + sum(x.weight for x in rules if all((r[quality.STATS][i] <= b) == low for i, low, b in x.terms))
+        assert r.score == pytest.approx(1 / (1 + math.exp(-total)), abs=2e-9)
+
+
+def test_keep_good_agrees_with_scores(spark):
+    d = "/root/testdata/sf0.01"
+    docs, labels = (spark.read.parquet(f"{d}/{t}.parquet") for t in ("documents", "labels"))
+    docs = docs.selectExpr("*", "1 AS _h", "2 AS _row", "3 AS _text_statistics", "4 AS label")
+    scores = {r.doc_id: r.predicted for r in quality.score_documents(docs, labels).collect()}
+    kept = quality.keep_good(docs, labels)
+    assert kept.columns == docs.columns
+    assert sorted(r.doc_id for r in kept.collect()) == sorted(i for i, x in scores.items() if x)
+    assert kept.where("_h != 1 OR _row != 2 OR _text_statistics != 3 OR label != 4").isEmpty()
+
+
 def test_rules_follow_tree_paths():
+    class Odd:
+        toDebugString = "Forest\n  Tree 0 (weight 1.0):\n    If (feature 3 in {0.0})\n"
+
+    with pytest.raises(ValueError):
+        quality.tree_rules(Odd)
+
     class Forest:
         toDebugString = "Forest\n  Tree 0 (weight 1.0):\n    If (feature 3 <= 0.5)\n     If (feature 1 > 2.0E-3)\n      Predict: 0.0\n     Else (feature 1 <= 2.0E-3)\n      Predict: 1.0\n    Else (feature 3 > 0.5)\n     Predict: 1.0\n"
 
