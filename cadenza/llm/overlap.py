@@ -53,6 +53,13 @@ def shingles(texts: list[str], shingle: int) -> Iterator[np.ndarray]:
             yield whole[a : b - shingle + 1] if b - a >= shingle else windows(own[a:b], b - a) if b > a else whole[:0]
 
 
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 200) -> Iterator[pa.RecordBatch]:
+    """The batches in smaller ones, so that few texts are held as Python objects."""
+    for batch in batches:
+        for k in range(0, len(batch), rows):
+            yield batch.slice(k, rows)
+
+
 def prefix(distinct: np.ndarray, similarity: float, frequent: np.ndarray, places: np.ndarray) -> np.ndarray:
     """The first shingles of a sorted set, by which it meets each set of ``similarity`` or more."""
     n = len(distinct)
@@ -93,7 +100,7 @@ def frequent_shingles(keyed: DataFrame, shingle: int) -> tuple[np.ndarray, np.nd
     """(sorted shingles, their places from 1 by rising frequency) of a sample of distinct texts; at most FREQUENT_MOST come to the driver."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             for own in shingles(batch.column(0).to_pylist(), shingle):
                 yield pa.RecordBatch.from_arrays([pa.array(np.unique(own).view(np.int64))], names=["token"])
 
@@ -131,7 +138,7 @@ def verified(pairs: DataFrame, sets: DataFrame, keyed: DataFrame, similarity: fl
     texts = stored(needed.join(texts, "_h").select("s", "fp", "_text"), "overlap-texts")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches, 50):
             left, right = (map(np.unique, shingles(batch.column(i).to_pylist(), shingle)) for i in (2, 3))
             keep = []
             for a, b in zip(left, right):

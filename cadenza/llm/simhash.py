@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from .common import KEY_ROWS, join_small, packed_row, stored, whole_text
 from .components import components
-from .overlap import SEED, frequent_shingles, overlap_links, parities, prefix, shingle_hashes, shingles
+from .overlap import SEED, frequent_shingles, overlap_links, parities, prefix, shingle_hashes, shingles, slices
 
 SEGMENT_BITS, GROUPS = 2, 6
 SEGMENTS = 64 // SEGMENT_BITS
@@ -170,14 +170,14 @@ def profiles(keyed: DataFrame, keep: list[str], shingle: int, similarity: float)
     kinds = (pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int64()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for some in slices(batches):
             made = []
-            for hashes in shingles(batch.column(len(keep)).to_pylist(), shingle):
+            for hashes in shingles(some.column(len(keep)).to_pylist(), shingle):
                 own = np.unique(hashes)
                 number = np.uint64(xxhash.xxh64_intdigest(own.tobytes(), SEED)).view(np.int64)
                 made.append((majority(hashes), number, len(own), parities(own), prefix(own, similarity, frequent, places).view(np.int64)))
             columns = [pa.array([m[i] for m in made], kind) for i, kind in enumerate(kinds)]
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], *columns], names=[*keep, "fp", "s", "size", "odd", "first"])
+            yield pa.RecordBatch.from_arrays([*some.columns[: len(keep)], *columns], names=[*keep, "fp", "s", "size", "odd", "first"])
 
     rows = keyed.select(*keep, "_text")
     types = ", ".join(f"`{c}` {t}" for c, t in rows.dtypes[:-1])

@@ -31,7 +31,7 @@ END_ID = 1
 FRAME_TOKENS = 16_384
 ARCHIVE_TOKENS = 4_000_000
 #: Words that a worker remembers, and as many used before; those in use stay.
-REMEMBERED = 1_000_000
+REMEMBERED = 250_000
 #: Marks that end a word.
 MARKS = frozenset(b"%c" % c for c in b".,;:!?")
 
