@@ -3,7 +3,9 @@ are keys of one aggregation, and each system of equations is solved in a task of
 
 from __future__ import annotations
 
+import functools
 import math
+from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
@@ -14,7 +16,7 @@ from cadenza.functions.distributions import f_upper, t_quantile, t_two_sided
 from cadenza.operators.filters import guarded_corr
 from cadenza.operators.joins import unit_pairs
 from cadenza.operators.summaries import eval_metrics
-from cadenza.operators.windows import fdr_bh
+from cadenza.operators.windows import avg_rank, fdr_bh
 
 
 def paired_ttest(df: DataFrame, keys: list[str], x: str, y: str, least: int = 3) -> DataFrame:
@@ -94,16 +96,77 @@ def model_matrix_guards(df: DataFrame, keys: list[str], factors: list[str]) -> D
     return df.groupBy(*keys).agg(*[(F.count_distinct(f) > 1).alias(f"use_{f}") for f in factors])
 
 
+# Names, metrics and covariates of the listed models: channels, channels with aperiodic terms, regions.
+# (name, metrics, aperiodic covariates, cap as a factor, metrics as a tensor product)
+MODELS = {
+    "channel": [
+        ("m00_baseline", [], False, False, False),
+        ("m01_baseline_cap", [], False, True, False),
+        ("m02_paf_cog", ["paf_cog_hz"], False, False, False),
+        ("m03_pow_slow", ["pow_slow_alpha"], False, False, False),
+        ("m04_pow_fast", ["pow_fast_alpha"], False, False, False),
+        ("m05_sf_ratio", ["sf_ratio"], False, False, False),
+        ("m06_sf_logratio", ["sf_logratio"], False, False, False),
+        ("m07_sf_balance", ["sf_balance"], False, False, False),
+        ("m08_slow_frac", ["slow_alpha_frac"], False, False, False),
+        ("m09_sf_logratio_cap", ["sf_logratio"], False, True, False),
+        ("m10_sf_balance_cap", ["sf_balance"], False, True, False),
+        ("m11_slow_frac_cap", ["slow_alpha_frac"], False, True, False),
+        ("m12_bi_pre", ["bi_pre"], False, False, False),
+        ("m13_lr_pre", ["lr_pre"], False, False, False),
+        ("m14_cog_pre", ["cog_pre"], False, False, False),
+        ("m15_psi_cog", ["psi_cog"], False, False, False),
+        ("m16_delta_erd", ["delta_erd"], False, False, False),
+        ("m17_bi_pre_cap", ["bi_pre"], False, True, False),
+        ("m18_psi_cog_cap", ["psi_cog"], False, True, False),
+    ],
+    "aperiodic": [
+        ("m00_baseline", [], False, False, False),
+        ("m01_baseline_aperiodic", [], True, False, False),
+        ("m02_sf_logratio", ["sf_logratio"], False, False, False),
+        ("m03_sf_balance", ["sf_balance"], False, False, False),
+        ("m04_slow_frac", ["slow_alpha_frac"], False, False, False),
+        ("m05_sf_logratio_aperiodic", ["sf_logratio"], True, False, False),
+        ("m06_sf_balance_aperiodic", ["sf_balance"], True, False, False),
+        ("m07_slow_frac_aperiodic", ["slow_alpha_frac"], True, False, False),
+        ("m08_bi_pre", ["bi_pre"], False, False, False),
+        ("m09_cog_pre", ["cog_pre"], False, False, False),
+        ("m10_psi_cog", ["psi_cog"], False, False, False),
+        ("m11_delta_erd", ["delta_erd"], False, False, False),
+        ("m12_bi_pre_aperiodic", ["bi_pre"], True, False, False),
+        ("m13_psi_cog_aperiodic", ["psi_cog"], True, False, False),
+        ("m14_delta_erd_aperiodic", ["delta_erd"], True, False, False),
+    ],
+    "region": [
+        ("m00_baseline", [], False, False, False),
+        ("m01_bi_pre", ["BI_pre"], False, False, False),
+        ("m02_lr_pre", ["LR_pre"], False, False, False),
+        ("m03_cog_pre", ["CoG_pre"], False, False, False),
+        ("m04_psi_cog", ["psi_cog"], False, False, False),
+        ("m05_tensor_slow_fast", ["pow_slow", "pow_fast"], False, False, True),
+        ("m06_phase", ["sin_phase", "cos_phase"], False, False, False),
+        ("m07_delta_erd", ["delta_ERD"], False, False, False),
+        ("m08_n2p2_amp", ["n2p2_amp"], False, False, False),
+        ("m09_bi_delta_erd", ["BI_pre", "delta_ERD"], False, False, False),
+        ("m10_bi_n2p2", ["BI_pre", "n2p2_amp"], False, False, False),
+        ("m11_full_combined", ["BI_pre", "delta_ERD", "n2p2_amp"], False, False, False),
+        ("m12_fooof_baseline", [], True, False, False),
+        ("m13_fooof_bi_pre", ["BI_pre"], True, False, False),
+        ("m14_fooof_lr_pre", ["LR_pre"], True, False, False),
+    ],
+}
+
+
 def model_registry(spark, models: list[tuple[str, list[str], bool, bool, bool]]) -> DataFrame:
     """(name, terms, aperiodic, cap, tensor), to be joined with units."""
     return spark.createDataFrame(models, "name string, terms array<string>, aperiodic boolean, cap boolean, tensor boolean")
 
 
-def products(df: DataFrame, keys: list[str], terms: list[str], outcome: str) -> DataFrame:
-    """(keys, n, yy, xy array, xx array of rows): sums of products of the terms and an intercept.
+def products(df: DataFrame, keys: list[str], terms: list[str], outcome: str, one: Column | None = None) -> DataFrame:
+    """(keys, n, yy, xy array, xx array of rows): sums of products of the terms and an intercept (``one``, where it isn't 1).
 
     A row of sums for each key, made by partial sums on each node; downdates and replicates use nothing else."""
-    names = [F.lit(1.0), *[F.col(t).cast("double") for t in terms]]
+    names = [F.lit(1.0) if one is None else one, *[F.col(t).cast("double") for t in terms]]
     rows = df.where(F.lit(True) if not terms else F.expr(" AND ".join(f"`{c}` IS NOT NULL" for c in [*terms, outcome])))
     y = F.col(outcome).cast("double")
     xx = F.array(*[F.sum(a * b) for a in names for b in names])
@@ -118,10 +181,11 @@ def _solved(n: float, yy: float, sy: float, xy: np.ndarray, xx: np.ndarray, ridg
     tss = yy - sy * sy / n
     edf = float(np.trace(np.linalg.lstsq(a, xx.reshape(k, k), rcond=1e-12)[0]))
     loglik = -0.5 * n * (math.log(2 * math.pi * max(rss, 1e-300) / n) + 1)
-    return {"coef": b.tolist(), "rss": rss, "r_sq": 1 - rss / tss if tss > 0 else None, "edf": edf, "aic": 2 * (edf + 1) - 2 * loglik, "bic": math.log(n) * (edf + 1) - 2 * loglik}
+    fit = {"coef": b.tolist(), "rss": rss, "r_sq": 1 - rss / tss if tss > 0 else None, "edf": edf, "aic": 2 * (edf + 1) - 2 * loglik, "bic": math.log(n) * (edf + 1) - 2 * loglik}
+    return fit | {"means": (xx[:k] / n).tolist(), "inverse": np.linalg.pinv(a).ravel().tolist()}
 
 
-FIT = "coef array<double>, rss double, r_sq double, edf double, aic double, bic double"
+FIT = "coef array<double>, rss double, r_sq double, edf double, aic double, bic double, means array<double>, inverse array<double>"
 
 
 def solve(sums: DataFrame, ridge: float = 0.0) -> DataFrame:
@@ -130,7 +194,7 @@ def solve(sums: DataFrame, ridge: float = 0.0) -> DataFrame:
     @F.pandas_udf(f"struct<{', '.join(x.replace(' ', ':', 1) for x in FIT.split(', '))}>")
     def run(n: pd.Series, yy: pd.Series, sy: pd.Series, xy: pd.Series, xx: pd.Series) -> pd.DataFrame:
         made = [_solved(float(a), b, c, np.asarray(d, float), np.asarray(e, float), ridge) for a, b, c, d, e in zip(n, yy, sy, xy, xx)]
-        return pd.DataFrame(made, columns=["coef", "rss", "r_sq", "edf", "aic", "bic"])
+        return pd.DataFrame(made, columns=[x.split()[0] for x in FIT.split(", ")])
 
     keep = [c for c in sums.columns if c not in ("yy", "sy", "xy", "xx")]
     return sums.withColumn("_f", run("n", "yy", "sy", "xy", "xx")).select(*keep, "_f.*")
@@ -182,33 +246,111 @@ def spline_basis(df: DataFrame, column: str, knots: list[float], name: str) -> t
     return df.withColumns(made), list(made)
 
 
-def additive_mixed_fit(df: DataFrame, keys: list[str], smooths: list[str], linear: list[str], subject: str, outcome: str, knots: int = 5, ridge: float = 1e-3) -> DataFrame:
-    """Splines of ``smooths`` and linear terms, with subjects' intercepts taken out by centring within subjects
-    (the limit of a ridge block of intercepts); adds F and p against the model of intercepts only, and dev_expl.
+#: Penalties that are tried, as shares of the rows.
+PENALTIES = (0.0, 1e-4, 1e-3, 1e-2, 0.1, 1.0)
+#: Levels that a factor may have.
+LEVELS = 64
+
+
+def dummies(df: DataFrame, factor: str) -> tuple[DataFrame, list[str]]:
+    """Adds a column of 0 and 1 for each level but the first."""
+    levels = [r[0] for r in df.select(factor).where(F.col(factor).isNotNull()).distinct().orderBy(factor).limit(LEVELS + 1).collect()]
+    if len(levels) > LEVELS:
+        raise ValueError(f"{factor} has more than {LEVELS} levels")
+    made = {f"{factor}_{i}": (F.col(factor) == F.lit(v)).cast("double") for i, v in enumerate(levels[1:], 1)}
+    return df.withColumns(made), list(made)
+
 
-    Knots are quantiles over the whole table. The numbers are those of this estimator, not of a REML fit."""
-    rows = df.dropna(subset=[*smooths, *linear, outcome, subject])
+def additive_mixed_fit(
+    df: DataFrame, keys: list[str], smooths: list[str], linear: list[str], subject: str, outcome: str,
+    factors: list[str] | None = None, tensors: list[tuple[str, str]] | None = None, group: str | None = None, knots: int = 5, penalties: tuple[float, ...] = PENALTIES,
+) -> DataFrame:
+    """Splines of ``smooths``, tensor products of spline pairs, linear terms and factors, random intercepts of
+    subjects and of a ``group`` above them: (keys, n, n_subjects, terms, coef, penalty, rss, edf, r_sq, dev_expl, aic, bic, f,
+    p, and of each term term_edf, term_f, term_p).
+
+    Subjects' intercepts are taken out by the transform of generalised least squares: of each column a share of the
+    subject's mean, from the moments of a one-way layout, is subtracted, so terms that differ between subjects only
+    are estimated too. Groups' intercepts are penalised columns. One penalty on bends, products and groups is
+    chosen by generalised cross-validation. f and p are those of all terms together. Knots are quantiles of the whole table, to a ten-thousandth of the ranks. The
+    numbers are those of this estimator, not of a REML fit."""
+    tensors, factors = tensors or [], factors or []
+    curves = list(dict.fromkeys([*smooths, *(c for pair in tensors for c in pair)]))
+    rows = df.dropna(subset=[*curves, *linear, *factors, outcome, subject, *([group] if group else [])])
     shares = [i / (knots - 1) for i in range(knots)]
-    at = rows.agg(*[F.percentile(s, F.array(*map(F.lit, shares))).alias(s) for s in smooths]).first() if smooths else {}
-    terms: list[str] = list(linear)
-    for s in smooths:
+    at = rows.agg(*[F.percentile_approx(s, F.array(*map(F.lit, shares)), F.lit(10_000)).alias(s) for s in curves]).first() if curves else {}
+    basis: dict[str, list[str]] = {}
+    for s in curves:
         own = sorted(set(at[s] or []))
-        if len(own) >= 3:
-            rows, made = spline_basis(rows, s, own, f"s_{s}")
-            terms += made
-        else:
-            terms.append(s)
+        rows, basis[s] = spline_basis(rows, s, own, f"s_{s}") if len(own) >= 3 else (rows.withColumn(f"s_{s}_0", F.col(s)), [f"s_{s}_0"])
+    blocks = {c: ([c], []) for c in linear}
+    for f in factors:
+        rows, made = dummies(rows, f)
+        blocks[f] = made, []
+    for s in smooths:
+        blocks[s] = basis[s], basis[s][1:]
+    for a, b in tensors:
+        made = {f"t_{i}_{j}_{a}": F.col(i) * F.col(j) for i in basis[a] for j in basis[b]}
+        rows = rows.withColumns(made)
+        mains = [c for s in (a, b) if s not in smooths for c in basis[s]]
+        blocks[f"{a}:{b}"] = [*mains, *made], [*(c for c in mains if not c.endswith("_0")), *made]
+    if group:
+        rows, made = dummies(rows, group)
+        blocks[group] = made, made
+    blocks = {k: v for k, v in blocks.items() if v[0]}
+    terms = [c for columns, _ in blocks.values() for c in columns]
+    soft = {c for _, columns in blocks.values() for c in columns}
+
     within = [*keys, subject]
-    means = rows.groupBy(*within).agg(*[F.avg(c).alias(f"_m_{c}") for c in [*terms, outcome]])
-    centred = rows.join(means, within).select(*within, *[(F.col(c) - F.col(f"_m_{c}")).alias(c) for c in [*terms, outcome]])
-    spread = centred.groupBy(*keys).agg(*[F.stddev_pop(c).alias(f"_s_{c}") for c in terms])
-    scaled = centred.join(spread, keys).select(*within, outcome, *[F.coalesce(F.col(c) / F.nullif(F.col(f"_s_{c}"), F.lit(0.0)), F.lit(0.0)).alias(c) for c in terms])
-    groups = scaled.groupBy(*keys).agg(F.count_distinct(subject).alias("n_subjects"))
-    fits = solve(products(scaled, keys, terms, outcome), ridge).join(groups, keys)
+    ratio = variance_components(rows, keys, subject, outcome).select(*keys, F.coalesce(F.col("var_subject") / F.nullif("var_residual", F.lit(0.0)), F.lit(0.0)).alias("_v"))
+    means = rows.groupBy(*within).agg(F.count("*").alias("_n"), *[F.avg(c).alias(f"_m_{c}") for c in [*terms, outcome]]).join(ratio, keys, "left")
+    means = means.withColumn("_theta", 1 - 1 / F.sqrt(1 + F.col("_n") * F.coalesce("_v", F.lit(0.0))))
+    moved = rows.join(means, within).select(*within, "_theta", *[(F.col(c) - F.col("_theta") * F.col(f"_m_{c}")).alias(c) for c in [*terms, outcome]])
+    spread = moved.groupBy(*keys).agg(*[F.stddev_pop(c).alias(f"_s_{c}") for c in terms], F.count_distinct(subject).alias("n_subjects"))
+    scaled = moved.join(spread, keys).select(*keys, "n_subjects", outcome, "_theta", *[F.coalesce(F.col(c) / F.nullif(F.col(f"_s_{c}"), F.lit(0.0)), F.lit(0.0)).alias(c) for c in terms])
+    sums = products(scaled, [*keys, "n_subjects"], terms, outcome, 1 - F.col("_theta"))
+    place = {c: i for i, c in enumerate(terms, 1)}
+    fits = _solve_additive(sums, [c in soft for c in terms], [[place[c] for c in columns] for columns, _ in blocks.values()], penalties)
+    left = F.greatest(F.lit(1.0), F.col("n") - F.col("edf"))
+    p = F.transform(F.arrays_zip("term_f", "term_edf"), lambda t: F.struct(t["term_f"].alias("f"), t["term_edf"].alias("d")))
+    # The distribution takes columns, so the terms, a few, are named one by one.
+    fits = fits.withColumn("_t", p).withColumn("terms", F.array(*map(F.lit, blocks)).cast("array<string>"))
+    fits = fits.withColumn("term_p", F.array(*[f_upper(F.col("_t")[i]["f"], F.col("_t")[i]["d"], left) for i in range(len(blocks))])).drop("_t")
     df1 = F.col("edf") - 1
-    df2 = F.greatest(F.lit(1.0), F.col("n") - F.col("n_subjects") - df1)
-    f = (F.col("r_sq") / F.nullif(df1, F.lit(0.0))) / F.nullif((1 - F.col("r_sq")) / df2, F.lit(0.0))
-    return fits.withColumns({"f": f, "dev_expl": F.col("r_sq"), "terms": F.array(*map(F.lit, terms))}).withColumn("p", f_upper(F.col("f"), df1, df2))
+    f = (F.col("r_sq") / F.nullif(df1, F.lit(0.0))) / F.nullif((1 - F.col("r_sq")) / left, F.lit(0.0))
+    return fits.withColumns({"f": f, "dev_expl": F.col("r_sq")}).withColumn("p", f_upper(F.col("f"), df1, left))
+
+
+def _solve_additive(sums: DataFrame, soft: list[bool], blocks: list[list[int]], penalties: tuple[float, ...]) -> DataFrame:
+    """Penalised fits to rows of ``products`` of standardised terms, the penalty with the least n rss / (n - edf)^2."""
+    kinds = "coef array<double>, penalty double, rss double, r_sq double, edf double, aic double, bic double, term_edf array<double>, term_f array<double>"
+    ridge = np.diag([0.0, *map(float, soft)])
+
+    def one(n: float, yy: float, xy: np.ndarray, xx: np.ndarray) -> list:
+        k = len(xy)
+        xx, best = xx.reshape(k, k), None
+        for penalty in penalties:
+            s = np.linalg.pinv(xx + penalty * n * ridge, rcond=1e-11, hermitian=True)
+            b, hat = s @ xy, s @ xx
+            edf, rss = float(np.trace(hat)), max(float(yy - 2 * b @ xy + b @ xx @ b), 1e-300)
+            score = n * rss / max(n - edf, 1.0) ** 2
+            if best is None or score < best[0] * (1 - 1e-9):
+                best = score, penalty, s, b, hat, edf, rss
+        _, penalty, s, b, hat, edf, rss = best
+        null = yy - xy[0] ** 2 / xx[0, 0] if xx[0, 0] > 0 else yy
+        sigma = rss / max(n - edf, 1.0)
+        own = [max(float(np.trace(hat[np.ix_(j, j)])), 1e-9) for j in blocks]
+        f = [float(b[j] @ np.linalg.pinv(s[np.ix_(j, j)], rcond=1e-9, hermitian=True) @ b[j] / sigma / e) for j, e in zip(blocks, own)]
+        loglik = -0.5 * n * (math.log(2 * math.pi * rss / n) + 1)
+        return [b.tolist(), penalty, rss, 1 - rss / null if null > 0 else None, edf, 2 * (edf + 1) - 2 * loglik, math.log(n) * (edf + 1) - 2 * loglik, own, f]
+
+    @F.pandas_udf(f"struct<{', '.join(x.replace(' ', ':', 1) for x in kinds.split(', '))}>")
+    def run(n: pd.Series, yy: pd.Series, xy: pd.Series, xx: pd.Series) -> pd.DataFrame:
+        made = [one(float(a), b, np.asarray(c, float), np.asarray(e, float)) for a, b, c, e in zip(n, yy, xy, xx)]
+        return pd.DataFrame(made, columns=[x.split()[0] for x in kinds.split(", ")])
+
+    keep = [c for c in sums.columns if c not in ("yy", "sy", "xy", "xx")]
+    return sums.withColumn("_f", run("n", "yy", "xy", "xx")).select(*keep, "_f.*")
 
 
 def seeded(seed: int, *columns: str) -> Column:
@@ -234,20 +376,30 @@ def permutation_p(df: DataFrame, keys: list[str], row: str, x: str, y: str, n_pe
 
 def bootstrap_ci(df: DataFrame, keys: list[str], subject: str, x: str, y: str, n_boot: int = 500, seed: int = 42) -> DataFrame:
     """(keys, metric, ci_low, median, ci_high): subjects drawn with replacement; the metrics follow from each subject's
-    sums, weighted by how often a replicate drew it, so rows aren't repeated."""
+    sums, weighted by how often a replicate drew it, so rows aren't repeated. spearman_rho is the correlation, in a
+    replicate, of the rows' ranks among all rows: ranks aren't made anew for each replicate."""
     e = F.col(x) - F.col(y)
-    a, b = F.col(x), F.col(y)
-    sums = df.where(a.isNotNull() & b.isNotNull()).groupBy(*keys, subject).agg(F.count("*").alias("n"), *[F.sum(v).alias(c) for c, v in (("sx", a), ("sy", b), ("sxx", a * a), ("syy", b * b), ("sxy", a * b), ("se", e * e), ("sa", F.abs(e)))])
+    a, b, p, q = F.col(x), F.col(y), F.col("_p"), F.col("_q")
+    rows = avg_rank(avg_rank(df.where(a.isNotNull() & b.isNotNull()), keys, x, "_p"), keys, y, "_q")
+    # Ranks are centred, about, so that sums of their squares stay exact.
+    half = rows.groupBy(*keys).agg((F.count("*") / 2).alias("_h"))
+    rows = rows.join(half, keys).withColumns({"_p": p - F.col("_h"), "_q": q - F.col("_h")})
+    summed = {"sx": a, "sy": b, "sxx": a * a, "syy": b * b, "sxy": a * b, "se": e * e, "sa": F.abs(e), "px": p, "py": q, "pxx": p * p, "pyy": q * q, "pxy": p * q}
+    sums = rows.groupBy(*keys, subject).agg(F.count("*").alias("n"), *[F.sum(v).alias(c) for c, v in summed.items()])
     w = Window.partitionBy(*keys)
     placed = sums.withColumns({"_k": F.row_number().over(w.orderBy(subject)) - 1, "_m": F.count("*").over(w)})
     draws = placed.select(*keys, "_m", "_k", F.explode(F.sequence(F.lit(1), F.lit(n_boot))).alias("rep"))
     drawn = draws.withColumn("_d", F.floor(seeded(seed, "rep", "_k") * F.col("_m"))).groupBy(*keys, "rep", F.col("_d").alias("_k")).agg(F.count("*").alias("c"))
-    total = drawn.join(placed.drop("_m"), [*keys, "_k"]).groupBy(*keys, "rep").agg(*[F.sum(F.col(c) * F.col("c")).alias(c) for c in ("n", "sx", "sy", "sxx", "syy", "sxy", "se", "sa")])
+    total = drawn.join(placed.drop("_m"), [*keys, "_k"]).groupBy(*keys, "rep").agg(*[F.sum(F.col(c) * F.col("c")).alias(c) for c in ("n", *summed)])
     n = F.col("n")
-    cov, vx, vy = (F.col(p) - F.col(q) * F.col(r) / n for p, q, r in (("sxy", "sx", "sy"), ("sxx", "sx", "sx"), ("syy", "sy", "sy")))
-    pearson = F.when((vx > 1e-12) & (vy > 1e-12), cov / F.sqrt(F.nullif(vx * vy, F.lit(0.0))))
-    metrics = total.select(*keys, "rep", pearson.alias("pearson_r"), (pearson * pearson).alias("r_sq"), F.sqrt(F.col("se") / n).alias("rmse"), (F.col("sa") / n).alias("mae"))
-    long = metrics.unpivot([*keys, "rep"], ["pearson_r", "r_sq", "rmse", "mae"], "metric", "value")
+
+    def correlation(k: str) -> Column:
+        cov, vx, vy = (F.col(k + u) - F.col(k + v) * F.col(k + w) / n for u, v, w in (("xy", "x", "y"), ("xx", "x", "x"), ("yy", "y", "y")))
+        return F.when((vx > 1e-12) & (vy > 1e-12), cov / F.sqrt(F.nullif(vx * vy, F.lit(0.0))))
+
+    pearson = correlation("s")
+    metrics = total.select(*keys, "rep", pearson.alias("pearson_r"), (pearson * pearson).alias("r_sq"), F.sqrt(F.col("se") / n).alias("rmse"), (F.col("sa") / n).alias("mae"), correlation("p").alias("spearman_rho"))
+    long = metrics.unpivot([*keys, "rep"], ["pearson_r", "r_sq", "rmse", "mae", "spearman_rho"], "metric", "value")
     q = F.percentile("value", F.array(F.lit(0.025), F.lit(0.5), F.lit(0.975)))
     return long.groupBy(*keys, "metric").agg(q.alias("_q")).select(*keys, "metric", *[F.col("_q")[i].alias(c) for i, c in enumerate(("ci_low", "median", "ci_high"))])
 
@@ -300,13 +452,21 @@ def split_half_stability(df: DataFrame, keys: list[str], subject: str, strata: s
     return fits.join(whole, keys).select(*keys, "rep", corr("n", "xx", "a", "b").alias("r"))
 
 
-def smooth_effect(fits: DataFrame, term: int, low: float, high: float, points: int = 200, sigma: str = "rss") -> DataFrame:
-    """(keys, x, effect, low, high): a term's partial effect on a grid, others at 0, with 1.96 residual errors."""
+def smooth_effect(fits: DataFrame, term: int, low: float, high: float, points: int = 200, basis: list[Callable[[Column], Column]] | None = None) -> DataFrame:
+    """(keys, x, effect, se, low, high): on a grid the partial effect of the term whose columns begin at ``term`` of fits of
+    ``solve``, from its mean, with its own standard error at each x and 1.96 of it on either side.
+
+    ``basis`` gives the columns' values at x (one, x itself, for a linear term)."""
+    basis = basis or [lambda x: x]
     step = (high - low) / (points - 1)
     grid = fits.withColumn("_i", F.explode(F.sequence(F.lit(0), F.lit(points - 1)))).withColumn("x", low + F.col("_i") * step).drop("_i")
-    se = F.sqrt(F.col(sigma) / F.greatest(F.lit(1.0), F.col("n") - F.size("coef"))) / F.sqrt("n")
-    effect = F.col("coef")[term] * F.col("x")
-    return grid.withColumns({"effect": effect, "low": effect - 1.96 * se, "high": effect + 1.96 * se}).drop("coef", "rss", "r_sq", "edf", "aic", "bic")
+    k = F.size("coef")
+    apart = [g(F.col("x")) - F.col("means")[term + i] for i, g in enumerate(basis)]
+    effect = functools.reduce(lambda a, b: a + b, [F.col("coef")[term + i] * v for i, v in enumerate(apart)])
+    form = functools.reduce(lambda a, b: a + b, [v * w * F.col("inverse")[k * (term + i) + term + j] for i, v in enumerate(apart) for j, w in enumerate(apart)])
+    se = F.sqrt(F.greatest(F.lit(0.0), form) * F.col("rss") / F.greatest(F.lit(1.0), F.col("n") - F.col("edf")))
+    out = grid.withColumns({"effect": effect, "se": se, "low": effect - 1.96 * se, "high": effect + 1.96 * se})
+    return out.drop(*[x.split()[0] for x in FIT.split(", ")])
 
 
 def smooth_concordance(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
@@ -331,6 +491,16 @@ def variance_components(df: DataFrame, keys: list[str], subject: str, value: str
     return rows.withColumn("icc", F.col("var_subject") / F.nullif(F.col("var_subject") + F.col("var_residual"), F.lit(0.0)))
 
 
+def results_report(tests: dict[str, tuple[DataFrame, str, str, str | None]], level: float = 0.05) -> DataFrame:
+    """(what, name, statistic, value, p, significant): the flat rows of a report, of tables by their title with the columns
+    that name a row, its statistic and its p-value (or none)."""
+    parts = []
+    for title, (rows, name, value, p) in tests.items():
+        own = F.col(p) if p else F.lit(None).cast("double")
+        parts.append(rows.select(F.lit(title).alias("what"), F.expr(name).cast("string").alias("name"), F.lit(value).alias("statistic"), F.col(value).cast("double").alias("value"), own.alias("p"), (own < level).alias("significant")))
+    return functools.reduce(lambda a, b: a.unionAll(b), parts)
+
+
 def required_sample(curve: DataFrame, keys: list[str], target: float, have: int) -> DataFrame:
     """n_required of each key and whether ``have`` subjects suffice."""
     from cadenza.operators.windows import first_crossing

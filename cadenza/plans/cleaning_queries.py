@@ -28,16 +28,6 @@ split AS (SELECT subject, cap_size, CASE WHEN least(j, greatest(1, ceil(round(0.
   THEN 'train' ELSE 'holdout' END AS split_group FROM ranked)"""
 
 QUERIES = {
-    "a3_cap_size": q(lambda s, d: V.subjects(s, d).select("experiment_id", "cap_size").dropDuplicates(["experiment_id", "cap_size"]), "experiment_id cap_size", "", "SELECT DISTINCT experiment_id, cap_size FROM subjects", "subjects"),
-    "a4_metrics_long": q(lambda s, d: C.melt(V.metrics_wide(s, d).withColumnsRenamed({"quantity": "Quantity"}), ["subject", "trial", "unit"]), "subject trial unit metric_name", "metric_value", "SELECT * FROM metrics_long", "metrics_long"),
-    "a5_source_long": q(
-        lambda s, d: C.melt(V.metrics_wide(s, d).selectExpr("subject AS subjid", "trial", "unit AS roi", "cast(discount AS string) AS Discount", "if(quantity > 40, 'bad', cast(quantity AS string)) AS Quantity"), ["subjid", "trial", "roi"]),
-        "subjid trial roi metric_name", "metric_value",
-        "SELECT subject AS subjid, trial, unit AS roi, 'discount' AS metric_name, discount AS metric_value FROM metrics_wide UNION ALL SELECT subject, trial, unit, 'quantity', quantity FROM metrics_wide WHERE quantity <= 40", "metrics_wide",
-    ),
-    "a9_montage_duplicates": q(
-        lambda s, d: V.table(s, d, "part").groupBy(F.col("p_name").alias("raw_label")).agg(F.count("*").alias("n")).where("n > 1"), "raw_label n", "", "SELECT p_name AS raw_label, count(*) AS n FROM part GROUP BY 1 HAVING count(*) > 1",
-    ),
     "b4_harmonize_sex": q(
         lambda s, d: V.table(s, d, "customer").select("c_custkey", C.harmonize_sex(F.element_at(F.array(*map(F.lit, ("M", "female", " F ", "male", "?"))), (F.col("c_custkey") % 5 + 1).cast("int"))).alias("sex")),
         "c_custkey sex", "", "SELECT c_custkey, CASE lower(trim(CASE c_custkey % 5 WHEN 0 THEN 'M' WHEN 1 THEN 'female' WHEN 2 THEN ' F ' WHEN 3 THEN 'male' ELSE '?' END)) WHEN 'm' THEN 'M' WHEN 'male' THEN 'M' WHEN 'f' THEN 'F' WHEN 'female' THEN 'F' END AS sex FROM customer",
@@ -98,12 +88,12 @@ QUERIES = {
         "WITH c AS (SELECT p_brand AS m, avg(p_retailprice) AS aic FROM part WHERE p_size <= 25 GROUP BY 1), e AS (SELECT p_brand AS m, avg(p_retailprice) AS aic FROM part WHERE p_size > 45 GROUP BY 1), k AS (SELECT DISTINCT p_type AS concept, p_brand AS m FROM part) SELECT concept, k.m AS channel_model, k.m AS source_model, c.aic AS channel_aic, e.aic AS source_aic FROM k JOIN c USING (m) LEFT JOIN e ON e.m = k.m",
     ),
     "d11_epochs_long": q(
-        lambda s, d: joins.epochs_long(V.samples(s, d).where("trial <= 20").select("subject", "trial", F.col("i"), "x").groupBy("subject", "i").agg(F.sum("x").alias("x")), V.trials(s, d).selectExpr("subject % 10 AS subject", "event_id", "(event_id % 70) AS at"), 2, 5),
+        lambda s, d: joins.epochs_long(V.samples(s, d).groupBy("subject", "i").agg(F.sum("x").alias("x")), V.trials(s, d).selectExpr("subject % 10 AS subject", "event_id", "(event_id % 70) AS at"), 2, 5),
         "subject event_id offset", "x",
-        "WITH r AS (SELECT subject, i, sum(x) AS x FROM samples WHERE trial <= 20 GROUP BY ALL), e AS (SELECT subject % 10 AS subject, event_id, event_id % 70 AS pos FROM trials) SELECT r.subject, event_id, i - pos AS \"offset\", x FROM r JOIN e ON r.subject = e.subject AND i BETWEEN pos - 2 AND pos + 5", "samples trials",
+        "WITH r AS (SELECT subject, i, sum(x) AS x FROM samples GROUP BY ALL), e AS (SELECT subject % 10 AS subject, event_id, event_id % 70 AS pos FROM trials) SELECT r.subject, event_id, i - pos AS \"offset\", x FROM r JOIN e ON r.subject = e.subject AND i BETWEEN pos - 2 AND pos + 5", "samples trials",
     ),
     "d12_nearest_sample": q(lambda s, d: joins.nearest_sample(V.samples(s, d), ["subject", "trial"], 200.0), "subject trial", "x t_ms", "SELECT subject, trial, arg_min(x, (abs(t_ms - 200), t_ms)) AS x, arg_min(t_ms, (abs(t_ms - 200), t_ms)) AS t_ms FROM samples GROUP BY ALL", "samples"),
-    "d13_align_ordinal": q(lambda s, d: joins.align_by_ordinal(V.signals(s, d).select("subject", "trial"), V.trials(s, d).selectExpr("subject", "event_id", "pain_rating").where("subject < 10"), ["subject"], "trial", "event_id", "pain_rating"), "subject trial ordinal", "pain_rating", "WITH a AS (SELECT subject, trial, row_number() OVER (PARTITION BY subject ORDER BY trial) AS ordinal FROM signals), b AS (SELECT subject, pain_rating, row_number() OVER (PARTITION BY subject ORDER BY event_id) AS ordinal FROM trials WHERE subject < 10) SELECT a.subject, a.trial, a.ordinal, pain_rating FROM a LEFT JOIN b ON a.subject = b.subject AND a.ordinal = b.ordinal", "signals trials"),
+    "d13_align_ordinal": q(lambda s, d: joins.align_by_ordinal(V.signals(s, d).select("subject", "trial"), V.trials(s, d).selectExpr("subject", "event_id", "pain_rating"), ["subject"], "trial", "event_id", "pain_rating"), "subject trial ordinal", "pain_rating", "WITH a AS (SELECT subject, trial, row_number() OVER (PARTITION BY subject ORDER BY trial) AS ordinal FROM signals), b AS (SELECT subject, pain_rating, row_number() OVER (PARTITION BY subject ORDER BY event_id) AS ordinal FROM trials) SELECT a.subject, a.trial, a.ordinal, pain_rating FROM a LEFT JOIN b ON a.subject = b.subject AND a.ordinal = b.ordinal", "signals trials"),
     "d14_relabel": q(lambda s, d: joins.relabel(V.trials(s, d), s.createDataFrame([("CLICK", "Cz"), ("View", "Pz")], "raw string, std string"), "unit", "raw", "std"), "subject trial unit", "", "SELECT subject, trial, CASE upper(unit) WHEN 'CLICK' THEN 'Cz' WHEN 'VIEW' THEN 'Pz' ELSE unit END AS unit FROM trials", "trials"),
     "d15_label_events": q(lambda s, d: joins.label_events(V.trials(s, d), _map(s), "unit"), "subject trial condition intensity", "", "SELECT subject, trial, CASE unit WHEN 'click' THEN 'stim' WHEN 'view' THEN 'rest' WHEN 'purchase' THEN 'stim' ELSE 'unknown' END AS condition, CASE unit WHEN 'click' THEN 'high' WHEN 'view' THEN 'none' WHEN 'purchase' THEN 'low' ELSE 'unknown' END AS intensity FROM trials", "trials"),
     "d16_interpolate": q(

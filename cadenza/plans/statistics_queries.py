@@ -99,6 +99,31 @@ def channel_vs_source(s, d):
     return L.ttest_statistics(both, ["g"], "channel", "source")
 
 
+def covariates(s, d):
+    """Trials with their subject's age, sex, cap and experiment."""
+    people = V.subjects(s, d).select("subject", (F.col("age") / 50.0).alias("age"), "sex")
+    return split_trials(s, d).join(people, "subject")
+
+
+def r_squared(terms, by, name, rows):
+    """SQL of the share of variance that the two-term least-squares fit explains, of each group."""
+    x, y = terms
+    return f"""{name}_s AS (SELECT {by}, count(*) AS n, count(DISTINCT subject) AS people, covar_pop({x}, {x}) AS xx, covar_pop({y}, {y}) AS zz, covar_pop({x}, {y}) AS xz, covar_pop({x}, pain_rating) AS xy, covar_pop({y}, pain_rating) AS zy, var_pop(pain_rating) AS yy FROM {rows} GROUP BY {by}),
+    {name} AS (SELECT {by}, n, people, sqrt(greatest(0, ((xy * zz - zy * xz) * xy + (zy * xx - xy * xz) * zy) / (xx * zz - xz * xz) / yy)) AS r FROM {name}_s)"""
+
+
+def report(s, d):
+    """Paired tests, model fits and effects of one data set as flat rows."""
+    return L.results_report(
+        {
+            "paired tests": (L.ttest_statistics(two_metrics(s, d), ["g"], "x", "y"), "g", "t", None),
+            "model fits": (fits(s, d), "concat(roi, ' ', model_name)", "aic", "p"),
+            "screens": (L.linear_screen(V.metrics_long(s, d).join(wide(s, d).select("subject", "trial", "unit", F.col("extendedprice").alias("y")), ["subject", "trial", "unit"]), "y"), "concat(unit, ' ', metric_name)", "r2", None),
+        },
+        0.1,
+    )
+
+
 def replicate_rows(s, d):
     return V.trials(s, d).where("laser_power IS NOT NULL")
 
@@ -146,6 +171,7 @@ QUERIES = {
     "l1_paired_ttest": q(lambda s, d: L.ttest_statistics(two_metrics(s, d), ["g"], "x", "y"), "g n", "mean_diff t d_z", f"WITH {TWO} SELECT g, count(x - y) AS n, avg(x - y) AS mean_diff, avg(x - y) / (stddev_samp(x - y) / sqrt(count(x - y))) AS t, avg(x - y) / stddev_samp(x - y) AS d_z FROM two GROUP BY g HAVING count(x - y) >= 3", "trials"),
     "l1_paired_ttest_p": q(lambda s, d: L.paired_ttest(two_metrics(s, d), ["g"], "x", "y"), "g n", "mean_diff t df p d_z se"),
     "l2_pairwise_fdr": q(lambda s, d: L.pairwise_paired_fdr(unit_means(s, d), "subject", "unit", "v"), "unit_a unit_b n", "t p p_adj"),
+    "l2_pairwise_t": q(lambda s, d: L.pairwise_paired_fdr(unit_means(s, d), "subject", "unit", "v"), "unit_a unit_b n", "mean_diff t df d_z", "WITH m AS (SELECT subject, unit, avg(pain_rating) AS v FROM trials GROUP BY ALL), x AS (SELECT a.unit AS unit_a, b.unit AS unit_b, a.v - b.v AS e FROM m a JOIN m b ON a.subject = b.subject AND a.unit < b.unit) SELECT unit_a, unit_b, count(e) AS n, avg(e) AS mean_diff, avg(e) / (stddev_samp(e) / sqrt(count(e))) AS t, count(e) - 1 AS df, avg(e) / stddev_samp(e) AS d_z FROM x GROUP BY ALL HAVING count(e) >= 3", "trials"),
     "l3_rm_anova_f": q(lambda s, d: L.rm_anova_sums(unit_means(s, d), "subject", "unit", "v"), "n k", "f df1 df2", "WITH c AS (SELECT subject, unit, avg(pain_rating) AS v FROM trials GROUP BY ALL), f AS (SELECT * FROM c WHERE subject IN (SELECT subject FROM c GROUP BY subject HAVING count(*) = (SELECT count(DISTINCT unit) FROM c))), g AS (SELECT avg(v) AS g FROM f), a AS (SELECT subject, avg(v) AS m FROM f GROUP BY subject), b AS (SELECT unit, avg(v) AS m FROM f GROUP BY unit), x AS (SELECT count(*) AS n, sum(pow(m - g, 2)) AS ss FROM a, g), y AS (SELECT count(*) AS k, sum(pow(m - g, 2)) AS ss FROM b, g), z AS (SELECT sum(pow(f.v - a.m - b.m + g, 2)) AS ss FROM f JOIN a USING (subject) JOIN b USING (unit), g) SELECT n, k, (n * y.ss / (k - 1)) / (z.ss / ((k - 1) * (n - 1))) AS f, k - 1 AS df1, (k - 1) * (n - 1) AS df2 FROM x, y, z", "trials"),
     "l3_rm_anova": q(lambda s, d: L.rm_anova(unit_means(s, d), "subject", "unit", "v"), "n k", "f df1 df2 epsilon p p_gg"),
     "l4_channel_vs_source": q(channel_vs_source, "n", "mean_diff t d_z", "WITH r AS (SELECT subject % 5 AS concept, subject, unit, pow(CASE WHEN count(*) >= 3 AND var_pop(quantity) > 0 AND var_pop(extendedprice) > 0 THEN corr(quantity, extendedprice) END, 2) AS r2 FROM metrics_wide GROUP BY ALL), b AS (SELECT concept, unit, row_number() OVER (PARTITION BY concept ORDER BY avg(r2) DESC, unit) AS k FROM r GROUP BY concept, unit), best AS (SELECT r.subject, r.r2 FROM r JOIN b USING (concept, unit) WHERE k = 1), ch AS (SELECT subject, avg(r2) AS r2 FROM r GROUP BY subject), x AS (SELECT ch.r2 - best.r2 AS d FROM ch JOIN best USING (subject)) SELECT count(d) AS n, avg(d) AS mean_diff, avg(d) / (stddev_samp(d) / sqrt(count(d))) AS t, avg(d) / stddev_samp(d) AS d_z FROM x", "metrics_wide"),
@@ -153,22 +179,22 @@ QUERIES = {
     "l6_permutation_p": q(lambda s, d: L.permutation_p(replicate_rows(s, d), ["unit"], "event_id", "laser_power", "pain_rating", 1000), "unit n_ge", "r p"),
     "l7_bootstrap_ci": q(lambda s, d: L.bootstrap_ci(V.predictions(s, d), ["model"], "fold", "actual", "predicted", 500), "model metric", "ci_low median ci_high"),
     "l8_linear_screen": q(lambda s, d: L.linear_screen(V.metrics_long(s, d).join(wide(s, d).select("subject", "trial", "unit", F.col("extendedprice").alias("y")), ["subject", "trial", "unit"]), "y"), "unit metric_name n", "slope r2", "SELECT unit, metric_name, count(*) AS n, corr(metric_value, y) AS slope, pow(corr(metric_value, y), 2) AS r2 FROM metrics_long JOIN (SELECT subject, trial, unit, extendedprice AS y FROM metrics_wide) USING (subject, trial, unit) GROUP BY ALL", "metrics_long metrics_wide"),
-    "l9_additive_mixed": q(lambda s, d: L.additive_mixed_fit(split_trials(s, d), ["unit"], ["laser_power", "trial_z"], [], "subject", "pain_rating"), "unit n n_subjects", "edf r_sq f p"),
+    "l9_additive_mixed": q(lambda s, d: L.additive_mixed_fit(covariates(s, d), ["unit"], ["laser_power", "trial_z"], ["age"], "subject", "pain_rating", ["sex", "cap_size"], [("laser_power", "trial_z")], "experiment_id").selectExpr("*", "posexplode(terms) AS (term, name)").selectExpr("*", "term_edf[term] AS own_edf", "term_f[term] AS own_f", "term_p[term] AS own_p"), "unit n n_subjects name", "penalty edf r_sq aic bic f p own_edf own_f own_p"),
     "l10_safe_k": q(lambda s, d: L.safe_k(V.trials(s, d), ["subject", "unit"], "laser_power", 8), "subject unit k", "", "SELECT subject, unit, greatest(3, least(8, count(DISTINCT laser_power) - 1)) AS k FROM trials GROUP BY ALL", "trials"),
     "l11_guards": q(lambda s, d: L.model_matrix_guards(wide(s, d), ["subject"], ["unit", "discount"]), "subject use_unit use_discount", "", "SELECT subject, count(DISTINCT unit) > 1 AS use_unit, count(DISTINCT discount) > 1 AS use_discount FROM metrics_wide GROUP BY subject", "metrics_wide"),
     "l13_predict": q(lambda s, d: L.predict(train(s, d, "holdout"), L.solve(L.products(train(s, d, "train"), ["unit"], TERMS, "pain_rating")), ["unit"], TERMS), "subject trial unit", "predicted", SPLIT + f", {TRIALS}, tr AS (SELECT * FROM m JOIN split USING (subject) WHERE split_group = 'train' AND laser_power IS NOT NULL), {ordinary(TERMS, 'unit')} SELECT m.subject, m.trial, m.unit, b0 + b1 * laser_power + b2 * trial_z AS predicted FROM m JOIN f USING (unit) WHERE laser_power IS NOT NULL AND m.subject IN (SELECT subject FROM split WHERE split_group = 'holdout')", "subjects trials"),
     "l14_loso_cv": q(lambda s, d: L.loso_cv(split_trials(s, d), ["unit"], "cap_size", TERMS, "pain_rating")[0], "unit cap_size n_obs", "pearson_r rmse mae", f"WITH {TRIALS}, g AS (SELECT DISTINCT cap_size AS fold FROM m), tr AS (SELECT m.*, fold FROM m, g WHERE cap_size <> fold AND laser_power IS NOT NULL), {ordinary(TERMS, 'unit, fold')}, p AS (SELECT m.unit, cap_size, pain_rating, b0 + b1 * laser_power + b2 * trial_z AS y FROM m JOIN f ON f.unit = m.unit AND f.fold = m.cap_size WHERE laser_power IS NOT NULL) SELECT unit, cap_size, count(*) AS n_obs, corr(pain_rating, y) AS pearson_r, sqrt(avg(pow(pain_rating - y, 2))) AS rmse, avg(abs(pain_rating - y)) AS mae FROM p GROUP BY unit, cap_size", "trials subjects"),
     "l14_loso_subjects": q(lambda s, d: L.loso_cv(split_trials(s, d), ["unit"], "subject", TERMS, "pain_rating")[1], "unit n_complete", "pearson_r_mean rmse_mean mae_mean"),
-    "l15_external_cv": q(lambda s, d: L.external_cv(train(s, d, "holdout"), L.solve(L.products(train(s, d, "train"), ["unit"], TERMS, "pain_rating")), ["unit"], TERMS, "pain_rating", ["cap_size"]), "unit cv_type fold_id n_obs", "pearson_r rmse mae", SPLIT + f", {TRIALS}, tr AS (SELECT * FROM m JOIN split USING (subject) WHERE split_group = 'train' AND laser_power IS NOT NULL), {ordinary(TERMS, 'unit')}, p AS (SELECT m.unit, cap_size, pain_rating AS o, b0 + b1 * laser_power + b2 * trial_z AS y FROM m JOIN f USING (unit) WHERE laser_power IS NOT NULL AND m.subject IN (SELECT subject FROM split WHERE split_group = 'holdout')) SELECT unit, CASE WHEN grouping(cap_size) = 1 THEN 'overall' ELSE 'cap_size' END AS cv_type, CASE WHEN grouping(cap_size) = 1 THEN 'all' ELSE cap_size END AS fold_id, count(*) AS n_obs, CASE WHEN count(*) >= 3 THEN corr(o, y) END AS pearson_r, sqrt(avg(pow(o - y, 2))) AS rmse, avg(abs(o - y)) AS mae FROM p GROUP BY GROUPING SETS ((unit), (unit, cap_size))", "subjects trials"),
-    "l16_sensitivity_drop": q(lambda s, d: L.sensitivity_drop(split_trials(s, d), ["unit"], "experiment_id", TERMS, "pain_rating"), "unit experiment_id", "r_full r_without delta_r"),
-    "l16_sensitivity_qc": q(lambda s, d: L.sensitivity_qc(split_trials(s, d).withColumn("fit_r2", F.col("subject") % 10 / 10.0), ["unit"], "fit_r2", [0.3, 0.5, 0.6], TERMS, "pain_rating", "subject"), "unit n n_subjects", "limit r"),
+    "l15_external_cv": q(lambda s, d: L.external_cv(train(s, d, "holdout"), L.solve(L.products(train(s, d, "train"), ["unit"], TERMS, "pain_rating")), ["unit"], TERMS, "pain_rating", ["cap_size", "subject"]), "unit cv_type fold_id n_obs", "pearson_r rmse mae", SPLIT + f", {TRIALS}, tr AS (SELECT * FROM m JOIN split USING (subject) WHERE split_group = 'train' AND laser_power IS NOT NULL), {ordinary(TERMS, 'unit')}, p AS (SELECT m.unit, cap_size, m.subject, pain_rating AS o, b0 + b1 * laser_power + b2 * trial_z AS y FROM m JOIN f USING (unit) WHERE laser_power IS NOT NULL AND m.subject IN (SELECT subject FROM split WHERE split_group = 'holdout')) SELECT unit, CASE WHEN grouping(cap_size) = 0 THEN 'cap_size' WHEN grouping(subject) = 0 THEN 'subject' ELSE 'overall' END AS cv_type, CASE WHEN grouping(cap_size) = 0 THEN cap_size WHEN grouping(subject) = 0 THEN subject::VARCHAR ELSE 'all' END AS fold_id, count(*) AS n_obs, CASE WHEN count(*) >= 3 AND var_pop(o) > 0 AND var_pop(y) > 0 THEN corr(o, y) END AS pearson_r, sqrt(avg(pow(o - y, 2))) AS rmse, avg(abs(o - y)) AS mae FROM p GROUP BY GROUPING SETS ((unit), (unit, cap_size), (unit, subject))", "subjects trials"),
+    "l16_sensitivity_drop": q(lambda s, d: L.sensitivity_drop(split_trials(s, d), ["unit"], "experiment_id", TERMS, "pain_rating"), "unit experiment_id", "r_full r_without delta_r", f"WITH {TRIALS}, ok AS (SELECT * FROM m WHERE laser_power IS NOT NULL AND pain_rating IS NOT NULL), g AS (SELECT DISTINCT experiment_id AS fold FROM ok), tr AS (SELECT ok.*, fold FROM ok, g WHERE experiment_id <> fold), {r_squared(TERMS, 'unit', 'w', 'ok')}, {r_squared(TERMS, 'unit, fold', 'o', 'tr')} SELECT unit, fold AS experiment_id, w.r AS r_full, o.r AS r_without, o.r - w.r AS delta_r FROM o JOIN w USING (unit) WHERE (unit, fold) IN (SELECT (unit, experiment_id) FROM ok)", "subjects trials"),
+    "l16_sensitivity_qc": q(lambda s, d: L.sensitivity_qc(split_trials(s, d).withColumn("fit_r2", F.col("subject") % 10 / 10.0), ["unit"], "fit_r2", [0.3, 0.5, 0.6], TERMS, "pain_rating", "subject"), "unit n n_subjects", "limit r", f"WITH {TRIALS}, ok AS (SELECT m.*, lim FROM m, (VALUES (3), (5), (6)) AS v(lim) WHERE subject % 10 >= lim), pe AS (SELECT unit, lim, count(DISTINCT subject) AS n_subjects FROM ok GROUP BY ALL), tr AS (SELECT * FROM ok WHERE laser_power IS NOT NULL AND pain_rating IS NOT NULL), {r_squared(TERMS, 'unit, lim', 'w', 'tr')} SELECT unit, lim / 10.0 AS \"limit\", n, n_subjects, r FROM w JOIN pe USING (unit, lim) WHERE n_subjects >= 5", "subjects trials"),
     "l17_split_half": q(lambda s, d: L.split_half_stability(split_trials(s, d), ["unit"], "subject", "cap_size", TERMS, "pain_rating", 50), "unit rep", "r"),
-    "l18_smooth_effect": q(lambda s, d: L.smooth_effect(L.solve(L.products(split_trials(s, d), ["unit"], TERMS, "pain_rating")), 1, 0.0, 2.0, 50), "unit", "x effect low high"),
+    "l18_smooth_effect": q(lambda s, d: L.smooth_effect(L.solve(L.products(split_trials(s, d), ["unit"], TERMS, "pain_rating")), 1, 0.0, 2.0), "unit", "x effect se low high", f"WITH {TRIALS}, tr AS (SELECT * FROM m WHERE laser_power IS NOT NULL), s AS (SELECT unit, count(*) AS n, avg(laser_power) AS mx, covar_pop(laser_power, laser_power) AS xx, covar_pop(trial_z, trial_z) AS zz, covar_pop(laser_power, trial_z) AS xz, covar_pop(laser_power, pain_rating) AS xy, covar_pop(trial_z, pain_rating) AS zy, var_pop(pain_rating) AS yy FROM tr GROUP BY unit), b AS (SELECT *, (xy * zz - zy * xz) / (xx * zz - xz * xz) AS b1, (zy * xx - xy * xz) / (xx * zz - xz * xz) AS b2 FROM s), v AS (SELECT *, sqrt(n * (yy - b1 * xy - b2 * zy) / (n - 3) * zz / (n * (xx * zz - xz * xz))) AS sb FROM b), x AS (SELECT unit, k * 2.0 / 199 AS x, b1 * (k * 2.0 / 199 - mx) AS effect, abs(k * 2.0 / 199 - mx) * sb AS se FROM v, range(200) AS r(k)) SELECT unit, x, effect, se, effect - 1.96 * se AS low, effect + 1.96 * se AS high FROM x", "subjects trials"),
     "l19_concordance": q(lambda s, d: L.smooth_concordance(*[V.trials(s, d).where(f"subject % 2 = {k}").groupBy("unit", F.col("laser_power").alias("x")).agg(F.avg("pain_rating").alias("y")) for k in (0, 1)], ["unit"]), "unit same_sign", "r", "WITH a AS (SELECT unit, laser_power AS x, avg(pain_rating) FILTER (subject % 2 = 0) AS ya, avg(pain_rating) FILTER (subject % 2 = 1) AS yb FROM trials WHERE laser_power IS NOT NULL GROUP BY ALL) SELECT unit, corr(ya, yb) AS r, corr(ya, yb) > 0 AS same_sign FROM a WHERE ya IS NOT NULL AND yb IS NOT NULL GROUP BY unit", "trials"),
     "l20_fit_quality": q(lambda s, d: L.fit_quality_comparison(fits(s, d).groupBy("roi").agg(F.min("aic").alias("channel_aic"), F.max("aic").alias("source_aic"))), "roi", "delta_aic", f"WITH {FITS} SELECT roi, min(aic) - max(aic) AS delta_aic FROM fits GROUP BY roi"),
     "l21_variance_components": q(lambda s, d: L.variance_components(wide(s, d), ["unit"], "subject", "discount"), "unit n_subjects", "var_residual var_subject icc", "WITH o AS (SELECT unit, subject, count(*) AS m, avg(discount) AS a FROM metrics_wide GROUP BY ALL), g AS (SELECT unit, avg(discount) AS g FROM metrics_wide GROUP BY unit), w AS (SELECT unit, sum(pow(discount - a, 2)) AS sw, count(*) AS n FROM metrics_wide JOIN o USING (unit, subject) GROUP BY unit), b AS (SELECT unit, count(*) AS k, sum(m * pow(a - g, 2)) AS sb, sum(m * m) AS mm FROM o JOIN g USING (unit) GROUP BY unit), v AS (SELECT unit, k, sw / (n - k) AS vr, greatest(0, (sb / (k - 1) - sw / (n - k)) / ((n - mm / n) / (k - 1))) AS vs FROM b JOIN w USING (unit)) SELECT unit, k AS n_subjects, vr AS var_residual, vs AS var_subject, vs / (vs + vr) AS icc FROM v", "metrics_wide"),
     "l22_required_sample": q(lambda s, d: L.required_sample(curve(s, d), ["metric"], 0.8, 80), "metric n_required verdict", "", f"WITH {CURVE}, r AS (SELECT metric, min(n) FILTER (power >= 0.8) AS n_required FROM curve GROUP BY metric) SELECT metric, n_required, CASE WHEN n_required IS NULL THEN 'not reached' WHEN n_required <= 80 THEN 'sufficient' ELSE 'recruit more' END AS verdict FROM r"),
-    "l23_results_report": q(lambda s, d: fits(s, d).groupBy("roi").agg(F.count("*").alias("n")).selectExpr("'models' AS what", "roi AS name", "n").unionAll(V.trials(s, d).groupBy("unit").count().selectExpr("'trials'", "unit", "count")), "what name n", "", f"WITH {FITS} SELECT 'models' AS what, roi AS name, count(*) AS n FROM fits GROUP BY roi UNION ALL SELECT 'trials', unit, count(*) FROM trials GROUP BY unit", "trials"),
+    "l23_results_report": q(report, "what name statistic significant", "value p", f"WITH {TWO}, {FITS}, t AS (SELECT g, avg(x - y) / (stddev_samp(x - y) / sqrt(count(x - y))) AS t FROM two GROUP BY g HAVING count(x - y) >= 3), r AS (SELECT unit, metric_name, pow(corr(metric_value, y), 2) AS r2 FROM metrics_long JOIN (SELECT subject, trial, unit, extendedprice AS y FROM metrics_wide) USING (subject, trial, unit) GROUP BY ALL) SELECT 'paired tests' AS what, g::VARCHAR AS name, 't' AS statistic, t AS value, NULL::DOUBLE AS p, NULL::BOOLEAN AS significant FROM t UNION ALL SELECT 'model fits', roi || ' ' || model_name, 'aic', aic, p, p < 0.1 FROM fits UNION ALL SELECT 'screens', unit || ' ' || metric_name, 'r2', r2, NULL, NULL FROM r", "trials metrics_long metrics_wide"),
     "l24_rank_hits": q(lambda s, d: fit_view(s, d).sql(RANK_HITS.format(t="cadenza_fits")), "roi model_name place", "aic", f"WITH {FITS} " + RANK_HITS.format(t="fits")),
     "l24_vs_baseline": q(lambda s, d: fit_view(s, d).sql(VS_BASELINE.format(t="cadenza_fits")), "roi model_name", "delta_aic", f"WITH {FITS} " + VS_BASELINE.format(t="fits")),
     "l24_better_pairs": q(lambda s, d: fit_view(s, d).sql(BETTER_PAIRS.format(t="cadenza_fits")), "roi model_name", "aic", f"WITH {FITS} " + BETTER_PAIRS.format(t="fits")),

@@ -5,7 +5,7 @@ from __future__ import annotations
 import json
 from collections.abc import Iterable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -38,9 +38,14 @@ GA_ALIASES = {
 }
 
 
-def _csv(spark: SparkSession, path: str, glob: str, sep: str = ",") -> DataFrame:
+def _place() -> Column:
+    """The order of a file's rows: by file and place of the block in it, and within a block as its task reads it."""
+    return F.struct(F.col("_metadata.file_path"), F.col("_metadata.file_block_start"), F.monotonically_increasing_id().alias("row"))
+
+
+def _csv(spark: SparkSession, path: str, glob: str, sep: str = ",", *more: Column) -> DataFrame:
     rows = spark.read.option("header", True).option("recursiveFileLookup", True).option("pathGlobFilter", glob).option("sep", sep).option("inferSchema", False).csv(path)
-    return rows.select("*", F.col("_metadata.file_path").alias("_path"), F.col("_metadata.file_name").alias("_file"))
+    return rows.select("*", F.col("_metadata.file_path").alias("_path"), F.col("_metadata.file_name").alias("_file"), *more)
 
 
 def scan_behaviour(spark: SparkSession, path: str, experiments: Iterable[str], glob: str = "*_behaviour.csv") -> DataFrame:
@@ -58,18 +63,23 @@ def scan_participants(spark: SparkSession, path: str, glob: str = "participants.
 
 
 def scan_cap_size(spark: SparkSession, path: str) -> DataFrame:
+    """experiment_name, experiment_id, cap_size, one row an experiment; of several sizes the least."""
     rows = spark.read.option("header", True).csv(path)
-    return rows.select("experiment_name", F.col("experiment_id").try_cast("int").alias("experiment_id"), F.col("cap_size").try_cast("int").alias("cap_size")).dropDuplicates(["experiment_name", "experiment_id"])
+    return rows.groupBy("experiment_name", F.col("experiment_id").try_cast("int").alias("experiment_id")).agg(F.min(F.col("cap_size").try_cast("int")).alias("cap_size"))
 
 
 def scan_spectral_long(spark: SparkSession, path: str, glob: str = "*_spectral_chan_by_trial.csv") -> DataFrame:
     """subjid, trial, chan_label, metric_name, metric_value."""
-    return melt(_csv(spark, path, glob).drop("_path", "_file", "chan_idx"), ["subjid", "trial", "chan_label"])
+    return melt(_numbered(_csv(spark, path, glob).drop("_path", "_file", "chan_idx")), ["subjid", "trial", "chan_label"])
 
 
 def scan_source_long(spark: SparkSession, path: str, glob: str = "*_source_trial.csv") -> DataFrame:
     rows = rename_first_match(_csv(spark, path, glob).drop("_path", "_file"), {"subjid": ["subject"]})
-    return melt(rows, ["subjid", "trial", "roi"])
+    return melt(_numbered(rows), ["subjid", "trial", "roi"])
+
+
+def _numbered(rows: DataFrame) -> DataFrame:
+    return rows.withColumns({c: F.col(c).try_cast("int") for c in ("subjid", "trial")})
 
 
 def scan_ga_features(spark: SparkSession, path: str, aliases: dict[str, list[str]] = GA_ALIASES, glob: str = "*_spectral_ga_by_trial.csv") -> DataFrame:
@@ -88,10 +98,10 @@ def scan_source_ga(spark: SparkSession, path: str, glob: str = "*_source_ga*.csv
 
 def scan_ratings(spark: SparkSession, path: str, glob: str = "participants_singletrial_*.csv") -> DataFrame:
     """subject, ordinal (row of the subject in the file), rating; columns are the first candidates present."""
-    rows = normalize_colnames(_csv(spark, path, glob).drop("_path", "_file"))
+    rows = normalize_colnames(_csv(spark, path, glob, ",", _place().alias("row_place")).drop("_path", "_file"))
     pick = lambda names: next(c for c in names if c in rows.columns)
-    numbered = rows.select(F.regexp_extract(pick(RATING_ID), r"(\d+)$", 1).try_cast("int").alias("subject"), coerce_numeric(F.col(pick(RATING_VALUE))).alias("rating"), F.monotonically_increasing_id().alias("_i"))
-    return numbered.withColumn("ordinal", F.row_number().over(Window.partitionBy("subject").orderBy("_i"))).drop("_i")
+    numbered = rows.select(F.regexp_extract(pick(RATING_ID), r"(\d+)$", 1).try_cast("int").alias("subject"), coerce_numeric(F.col(pick(RATING_VALUE))).alias("rating"), F.col("row_place").alias("_place"))
+    return numbered.withColumn("ordinal", F.row_number().over(Window.partitionBy("subject").orderBy("_place"))).drop("_place")
 
 
 def scan_montage(spark: SparkSession, path: str) -> DataFrame:
@@ -100,7 +110,8 @@ def scan_montage(spark: SparkSession, path: str) -> DataFrame:
 
 def scan_channels_tsv(spark: SparkSession, path: str, expected: int) -> DataFrame:
     """ordinal, name; another count than expected, or a repeated name, is an error."""
-    rows = spark.read.option("header", True).option("sep", "\t").csv(path).select(F.trim("name").alias("name"), F.monotonically_increasing_id().alias("_i"))
+    rows = spark.read.option("header", True).option("sep", "\t").csv(path)
+    rows = rows.select(F.trim("name").alias("name"), _place().alias("_i"))
     n, distinct = rows.agg(F.count("*"), F.count_distinct("name")).first()
     if n != expected or distinct != n:
         raise ValueError(f"{n} channels of {distinct} names, not {expected}")
@@ -130,10 +141,11 @@ def scan_signals(spark: SparkSession, path: str) -> DataFrame:
     return require_columns(rows, ["subject", "trial", "unit", "samples"]).withColumn("samples", F.transform("samples", no_nan))
 
 
-def latest_file_per_subject(spark: SparkSession, path: str, preferred: str, fallback: str) -> DataFrame:
-    """subject, path: the newest file whose name matches ``preferred``, or else ``fallback``. Contents aren't read."""
+def latest_file_per_subject(spark: SparkSession, path: str, preferred: str, fallback: str, parts: int = 1) -> DataFrame:
+    """subject, path: the newest file whose name matches ``preferred``, or else ``fallback``; the name is the path's
+    last ``parts`` parts. Contents aren't read."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("path", "modificationTime")
-    name = F.element_at(F.split("path", "/"), -1)
+    name = F.array_join(F.slice(F.split("path", "/"), -parts, parts), "/")
     rank = F.when(F.rlike(name, F.lit(preferred)), 0).when(F.rlike(name, F.lit(fallback)), 1)
     rows = files.select("path", "modificationTime", rank.alias("_k"), F.regexp_extract(name, r"sub-(\d+)", 1).try_cast("int").alias("subject")).where("_k IS NOT NULL AND subject IS NOT NULL")
     w = Window.partitionBy("subject").orderBy("_k", F.desc("modificationTime"), "path")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -73,6 +75,41 @@ def write_report(rows: DataFrame, path: str, csv: bool = True) -> None:
     (rows.write.option("header", True).csv if csv else rows.write.parquet)(path, mode="overwrite")
 
 
+#: Columns of the report tables, in their order.
+REPORTS = {
+    "spectrum_fits": ["subject", "trial", "unit", "offset", "exponent", "r2", "error", "alpha_cf", "alpha_pw", "alpha_bw", "fail_reason"],
+    "evoked_peaks": ["subject", "trial", "unit", "n2_amp", "n2_lat_ms", "p2_amp", "p2_lat_ms", "n2p2_amp"],
+    "channel_psd": ["subject", "trial", "unit", "line_ratio", "hf_ratio", "drift_ratio", "alpha_ratio"],
+    "component_psd": ["subject", "trial", "unit", "peak_hz", "delta", "theta", "alpha", "beta", "gamma", "hf_ratio", "line_ratio"],
+    "phase_correlation": ["subject", "unit", "r_cl", "p_perm"],
+    "epoch_metadata": ["subject", "epoch_index", "code", "condition", "intensity"],
+}
+
+
+def write_named_report(rows: DataFrame, name: str, path: str) -> None:
+    """The table of REPORTS of that name as CSV; columns that ``rows`` lacks are empty, others go."""
+    kept = [F.col(c) if c in rows.columns else F.lit(None).cast("string").alias(c) for c in REPORTS[name]]
+    write_report(rows.select(*kept), path)
+
+
+def read_report(spark: SparkSession, name: str, path: str) -> DataFrame:
+    """A report, all columns as text."""
+    return spark.read.option("header", True).schema(", ".join(f"`{c}` string" for c in REPORTS[name])).csv(path)
+
+
+def _replace(spark: SparkSession, staged: str, path: str) -> None:
+    """Puts a whole written table in another's place. The old one is renamed first and deleted last: a job that
+    is lost between these steps leaves both."""
+    jvm_path = spark._jvm.org.apache.hadoop.fs.Path
+    files = jvm_path(path).getFileSystem(spark._jsc.hadoopConfiguration())
+    old = f"{path}-old-{uuid.uuid4().hex}"
+    if files.exists(jvm_path(path)) and not files.rename(jvm_path(path), jvm_path(old)):
+        raise OSError(f"{path} can't be renamed")
+    if not files.rename(jvm_path(staged), jvm_path(path)):
+        raise OSError(f"{staged} can't be renamed")
+    files.delete(jvm_path(old), True)
+
+
 def upsert_partitioned(new: DataFrame, path: str, key: str, buckets: int = 64) -> None:
     """Replaces the rows of the keys of ``new`` in a table partitioned by hash buckets of the key: only the buckets
     that they fall into are read and written."""
@@ -93,7 +130,7 @@ def write_result_rows(rows: DataFrame, path: str) -> None:
     """Replaces results by (level, group_value, model_name), one write for all models of a job."""
     spark = rows.sparkSession
     if _exists(spark, path):
-        merged = upsert_by_key(spark.read.parquet(path), rows, ["level", "group_value", "model_name"])
-        merged.write.mode("overwrite").parquet(f"{path}-staged")
-        rows = spark.read.parquet(f"{path}-staged")
-    rows.write.mode("overwrite").parquet(path)
+        rows = upsert_by_key(spark.read.parquet(path), rows, ["level", "group_value", "model_name"])
+    staged = f"{path}-staged-{uuid.uuid4().hex}"
+    rows.write.parquet(staged)
+    _replace(spark, staged, path)
