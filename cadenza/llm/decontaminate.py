@@ -2,17 +2,19 @@
 
 Texts and items are compared as tokens: letters and digits, A-Z in lower case, all other ASCII taken as
 white space. Running Karp-Rabin hashes of SEED_TOKENS tokens join documents to items; for a pair
-that shares a seed, the longest match of unmarked tokens is marked again and again (ties: first in the item,
+that shares seeds enough, the longest match of unmarked tokens is marked again and again (ties: first in the item,
 then in the text), so tiles never overlap. The share of the item's tokens under tiles decides.
 
-The benchmark is the query set: it is taken in slices of at most SLICE_TOKENS tokens, and every document is held
-against each slice.
+The benchmark is the query set. Up to HELD_BYTES of text, counted, every task holds its seeds and each document is
+read once and shuffled never. A larger one is joined: distinct seeds of documents and of items meet by their hashes,
+pairs are counted, and only those with seeds enough are tiled.
 """
 
 from __future__ import annotations
 
+import functools
 import heapq
-from collections import defaultdict
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,11 +22,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import whole_text
+from .common import KEY_ROWS, join_small, packed_row, stored, whole_text
 from .vectors import segments, windows, within, words
 
 SEED_TOKENS, COVERAGE = 5, 0.8
-SLICE_TOKENS = 1_000_000
+#: Bytes of items that tasks hold; some ten times as much with their hashes.
+HELD_BYTES = 8_000_000
 _TOKENS = bytes(b if b >= 128 or chr(b).isalnum() and not 65 <= b <= 90 else b + 32 if 65 <= b <= 90 else 32 for b in range(256))
 
 
@@ -62,98 +65,157 @@ def greedy_tiles(item: np.ndarray, text: np.ndarray, seeds: list[tuple[int, int]
     return tiles
 
 
-class Slice:
-    """Some items, ready to be sought: sorted seed hashes with the item and place of each."""
+def _grams(raw: bytes, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes of the tokens, of their runs of ``least``) of one text."""
+    own = words(raw + b" ", np.array([0, len(raw) + 1]))[2]
+    return own, windows(own, least)
+
+
+def tiled(item: bytes, text: bytes, least: int, coverage: float) -> tuple[int, int, int] | None:
+    """(item's tokens, covered ones, tiles) if enough of the item is covered. Hashes find the matches, tokens decide."""
+    (a, seeds_a), (b, seeds_b) = _grams(item, least), _grams(text, least)
+    order = np.argsort(seeds_a, kind="stable")
+    lo, hi = (np.searchsorted(seeds_a[order], seeds_b, side) for side in ("left", "right"))
+    at = np.flatnonzero(hi > lo)
+    pairs = [(int(i), int(j)) for j in at.tolist() for i in order[lo[j] : hi[j]].tolist()]
+    if not len(a) or len({i for i, _ in pairs}) * least < coverage * len(a):
+        return None  # each seed covers at most ``least`` tokens
+    own, other = item.split(), text.split()
+    tiles = greedy_tiles(a, b, [(i, j) for i, j in pairs if own[i : i + least] == other[j : j + least]], least)
+    covered = sum(x[2] for x in tiles)
+    return (len(a), covered, len(tiles)) if covered >= coverage * len(a) else None
+
+
+class Items:
+    """Some items, ready to be sought: sorted seed hashes with the item of each."""
 
     def __init__(self, rows: list[tuple[int, str]], least: int = SEED_TOKENS):
-        self.least, self.ids, self.items = least, [], []
-        hashes, places = [], []
+        self.least, self.ids, self.texts, self.sizes = least, [], [], []
+        hashes, owners = [], []
         for item_id, text in rows:
             raw = tokens(text)
-            own = words(raw + b" ", np.array([0, len(raw) + 1]))[2]
+            own, grams = _grams(raw, least)
             if item_id is None or len(own) < least:
                 continue
-            grams = windows(own, least)
-            hashes.append(grams)
-            places.append(np.stack((np.full(len(grams), len(self.ids)), np.arange(len(grams))), 1))
+            hashes.append(np.unique(grams))
+            owners.append(np.full(len(hashes[-1]), len(self.ids)))
             self.ids.append(item_id)
-            self.items.append(own)
+            self.texts.append(raw)
+            self.sizes.append(len(own))
         all_hashes = np.concatenate(hashes) if hashes else np.zeros(0, np.uint64)
         order = np.argsort(all_hashes, kind="stable")
-        self.hashes, self.places = all_hashes[order], (np.concatenate(places) if places else np.zeros((0, 2), np.int64))[order]
+        self.hashes, self.owners = all_hashes[order], (np.concatenate(owners) if owners else np.zeros(0, np.int64))[order]
 
     def matches(self, texts: list[bytes], coverage: float) -> Iterator[tuple[int, int, int, int, int]]:
         """(document, item_id, item tokens, covered tokens, tiles) of pairs with enough coverage."""
         if not len(self.hashes):
             return
-        for first, last, joined, starts in segments(texts):
+        for first, _, joined, starts in segments(texts):
             _, _, hashes, offsets = words(joined, starts)
             grams = windows(hashes, self.least)
             at = np.searchsorted(self.hashes, grams)
             at[at == len(self.hashes)] = 0
             hit = np.flatnonzero((self.hashes[at] == grams) & within(offsets, self.least, len(grams)))
-            if not len(hit):
-                continue
             docs = np.searchsorted(offsets, hit, side="right") - 1
-            for part in np.split(np.arange(len(hit)), np.flatnonzero(np.diff(docs)) + 1):
-                doc = int(docs[part[0]])
-                base = int(offsets[doc])
-                by_item: dict[int, list[tuple[int, int]]] = defaultdict(list)
-                for p in hit[part].tolist():
-                    lo, hi = np.searchsorted(self.hashes, grams[p], "left"), np.searchsorted(self.hashes, grams[p], "right")
-                    for item, i in self.places[lo:hi].tolist():
-                        by_item[item].append((i, p - base))
-                own = hashes[base : offsets[doc + 1]]
-                for item, seeds in by_item.items():
-                    n = len(self.items[item])
-                    if len({i for i, _ in seeds}) * self.least < coverage * n:
-                        continue  # each seed covers at most `least` tokens
-                    tiles = greedy_tiles(self.items[item], own, seeds, self.least)
-                    covered = sum(x[2] for x in tiles)
-                    if covered >= coverage * n:
-                        yield first + doc, self.ids[item], n, covered, len(tiles)
-
-
-def slices(benchmark: DataFrame, most: int = SLICE_TOKENS) -> Iterator[Slice]:
-    """The benchmark in parts of about ``most`` tokens at most, each fetched when it is needed."""
+            for part in np.split(np.arange(len(hit)), np.flatnonzero(np.diff(docs)) + 1) if len(hit) else []:
+                doc, found = int(docs[part[0]]), np.unique(grams[hit[part]])
+                lo, hi = (np.searchsorted(self.hashes, found, side) for side in ("left", "right"))
+                shared = Counter(x for a, b in zip(lo.tolist(), hi.tolist()) for x in self.owners[a:b].tolist())
+                for item, n in sorted(shared.items()):
+                    if n * self.least >= coverage * self.sizes[item] / self.repeats(item) and (made := tiled(self.texts[item], texts[first + doc], self.least, coverage)):
+                        yield first + doc, self.ids[item], *made
+
+    @functools.cache  # noqa: B019
+    def repeats(self, item: int) -> int:
+        """How often an item has the seed that it has most often: so many places a shared seed stands for at most."""
+        return int(np.unique(_grams(self.texts[item], self.least)[1], return_counts=True)[1].max())
+
+
+def _items(benchmark: DataFrame) -> tuple[DataFrame, bool]:
+    """(item_id, text) of the benchmark, and whether tasks may hold it: it was counted."""
     rows = benchmark.select(F.col("item_id").cast("long").alias("item_id"), whole_text().alias("text"))
-    size = rows.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]
-    n = 1 + size // (4 * most)
-    for k in range(n):
-        part = rows if n == 1 else rows.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k)
-        yield Slice([(r["item_id"], r["text"]) for r in part.orderBy("item_id", "text").collect()])
+    return rows, rows.agg(F.coalesce(F.sum(F.octet_length("text") + 16), F.lit(0))).first()[0] <= HELD_BYTES
+
+
+FOUND = "doc_id long, item_id long, item_tokens long, covered long, tiles long"
+
+
+def _held(rows: DataFrame, items: Items, coverage: float) -> DataFrame:
+    """(doc_id, key, item_id, item_tokens, covered, tiles) of rows (doc_id, key, text)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = list(items.matches([tokens(x.as_py()) for x in batch.column(2)], coverage))
+            at = pa.array([x[0] for x in found], pa.int64())
+            columns = [pa.array([x[i] for x in found], pa.int64()) for i in range(1, 5)]
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), *columns], names=["doc_id", "key", *FOUND.replace(" long", "").split(", ")[1:]])
+
+    return rows.mapInArrow(run, f"key long, {FOUND}".replace("key long, doc_id long", "doc_id long, key long"))
+
+
+def _seeds(rows: DataFrame, keys: list[str], least: int) -> DataFrame:
+    """(keys, n: tokens, seed) of the distinct seeds of rows (keys, text)."""
+    k = len(keys)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i, x in enumerate(batch.column(k)):
+                own, grams = _grams(tokens(x.as_py()), least)
+                seeds, counts = np.unique(grams if len(own) >= least else grams[:0], return_counts=True)
+                at = pa.array(np.full(len(seeds), i))
+                yield pa.RecordBatch.from_arrays([*(c.take(at) for c in batch.columns[:k]), pa.array(np.full(len(seeds), len(own))), pa.array(seeds.view(np.int64)), pa.array(counts)], names=[*keys, "n", "seed", "times"])
+
+    return rows.select(*keys, "text").mapInArrow(run, ", ".join(f"{c} long" for c in [*keys, "n", "seed", "times"]))
+
+
+def _joined(rows: DataFrame, items: DataFrame, coverage: float, least: int = SEED_TOKENS) -> DataFrame:
+    """The same as ``_held`` for items (item_id, text) of any number: a join by seeds."""
+    items = stored(items.where("item_id IS NOT NULL").withColumn("item", F.xxhash64("item_id", "text")).dropDuplicates(["item"]), "items")
+    wanted = _seeds(items, ["item"], least)
+    # A seed of very many documents meets the few items that have it; its documents are spread by salts.
+    salt = F.pmod(F.xxhash64("key"), F.lit(32)).cast("int")
+    asked = _seeds(rows.dropDuplicates(["key"]), ["key"], least).select("key", "seed", salt.alias("salt"))
+    offered = wanted.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(31))))
+    shared = asked.join(offered, ["seed", "salt"]).groupBy("key", "item").agg(F.sum("times").alias("places"), F.first("n").alias("n"))
+    pairs = stored(shared.where(F.col("places") * least >= coverage * F.col("n")).select("key", "item"), "seed-pairs")
+    texts = join_small(rows.select("key", "text"), pairs.select("key").distinct(), "key", "left_semi", most=KEY_ROWS).dropDuplicates(["key"])
+    both = pairs.join(items.withColumnRenamed("text", "item_text"), "item").join(texts, "key")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(len(batch)):
+                key, item_id, item, text = (c[i].as_py() for c in batch.columns)
+                if made := tiled(tokens(item), tokens(text), least, coverage):
+                    yield pa.RecordBatch.from_arrays([pa.array([x], pa.int64()) for x in (key, item_id, *made)], names=["key", *FOUND.replace(" long", "").split(", ")[1:]])
+
+    found = both.select("key", "item_id", "item_text", "text").mapInArrow(run, f"key long, {FOUND.partition(', ')[2]}")
+    return join_small(rows.select("doc_id", "key"), stored(found, "tiles").groupBy("key").agg(F.collect_list(F.struct("item_id", "item_tokens", "covered", "tiles")).alias("hits")), "key", "inner").select("doc_id", "key", F.inline("hits"))
+
+
+def _found(docs: DataFrame, benchmark: DataFrame, coverage: float) -> DataFrame:
+    """(doc_id, key: the text's hash, item_id, item_tokens, covered, tiles) of each row of ``docs`` and each item that it holds."""
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(whole_text()).alias("key"), whole_text().alias("text"))
+    items, small = _items(benchmark)
+    if not small:
+        return _joined(rows, items, coverage)
+    return _held(rows, Items([(r["item_id"], r["text"]) for r in items.distinct().orderBy("item_id", "text").collect()]), coverage)
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE) -> DataFrame:
     """(doc_id, item_id, item_tokens, covered, coverage, tiles) of each document and item with at least
     ``coverage`` of the item's tokens under tiles.
 
-    Items under SEED_TOKENS tokens and null item_ids match nothing; null texts are empty; repeated rows give
-    repeated pairs; rows without doc_id are reported with a null one. An empty benchmark gives no rows."""
-    schema = "doc_id long, item_id long, item_tokens long, covered long, tiles long"
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole_text().alias("text"))
-    out = None
-    for own in slices(benchmark):
-
-        def run(batches: Iterator[pa.RecordBatch], own: Slice = own) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                ids = batch.column(0).to_pylist()
-                found = [(ids[d], *rest) for d, *rest in own.matches([tokens(x.as_py()) for x in batch.column(1)], coverage)]
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found)] if found else [pa.array([], pa.int64())] * 5, names=["doc_id", "item_id", "item_tokens", "covered", "tiles"])
-
-        part = rows.mapInArrow(run, schema)
-        out = part if out is None else out.unionAll(part)
-    return out.select("doc_id", "item_id", "item_tokens", "covered", F.round(F.col("covered") / F.col("item_tokens"), 6).alias("coverage"), "tiles")
+    Items under SEED_TOKENS tokens and null item_ids match nothing; null texts are empty; repeated rows of ``docs`` give
+    repeated pairs, repeated items count once; rows without doc_id are reported with a null one. An empty benchmark or
+    table gives no rows; other columns are left out. Texts of any length are taken whole."""
+    return _found(docs, benchmark, coverage).select("doc_id", "item_id", "item_tokens", "covered", F.round(F.col("covered") / F.col("item_tokens"), 6).alias("coverage"), "tiles")
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE) -> DataFrame:
-    """The rows of ``docs``, with its columns, that hold no benchmark item. Nothing is shuffled."""
-    for own in slices(benchmark):
-
-        def run(batches: Iterator[pa.RecordBatch], own: Slice = own, at: int = docs.columns.index("text")) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                leaked = {d for d, *_ in own.matches([tokens(x.as_py() or "") for x in batch.column(at)], coverage)}
-                yield batch.filter(pa.array([i not in leaked for i in range(len(batch))], pa.bool_()))
+    """The rows of ``docs``, with its columns, whatever they are called, that hold no benchmark item.
 
-        docs = docs.mapInArrow(run, docs.schema)
-    return docs
+    Null and empty texts stay; repeated rows stay or go together; a null doc_id doesn't matter; an empty benchmark drops
+    nothing and an empty table stays empty. Texts of any length are taken whole."""
+    gone = stored(_found(docs, benchmark, coverage).select("key").distinct(), "contaminated")
+    rows = docs.select(packed_row(docs).alias("_row"), F.xxhash64(whole_text()).alias("key"))
+    return join_small(rows, gone, "key", "left_anti", most=KEY_ROWS).select("_row.*")

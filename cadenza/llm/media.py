@@ -51,6 +51,26 @@ def encode_png(data: bytes, width: int = WIDTH) -> bytes:
     return b"".join((SIGNATURE, _chunk(b"IHDR", struct.pack(">IIBBBBB", width, len(rows), 8, 0, 0, 0, 0)), *parts, _chunk(b"IEND", b"")))
 
 
+def _diagonals(kind: int, rows: np.ndarray, above: np.ndarray) -> np.ndarray:
+    """Rows [height, width, samples] with the filter Average (3) or Paeth (4). A sample needs those to its left, above it
+    and between the two, so all samples of one diagonal are undone at once."""
+    height, width, step = rows.shape
+    out = np.zeros((height + 1, width + 1, step), np.int16)
+    out[0, 1:] = above
+    for d in range(height + width - 1):
+        y = np.arange(max(0, d - width + 1), min(height, d + 1))
+        x = d - y
+        left, up, corner = out[y + 1, x], out[y, x + 1], out[y, x]
+        if kind == 3:
+            guess = (left + up) // 2
+        else:
+            p = left + up - corner
+            to_left, to_up, to_corner = abs(p - left), abs(p - up), abs(p - corner)
+            guess = np.where((to_left <= to_up) & (to_left <= to_corner), left, np.where(to_up <= to_corner, up, corner))
+        out[y + 1, x + 1] = (rows[y, x] + guess) & 255
+    return out[1:, 1:].astype(np.uint8)
+
+
 def _unfilter(kinds: np.ndarray, rows: np.ndarray, step: int) -> np.ndarray:
     """``rows`` [height, width*step] as stored; runs of rows with one of the filters None, Sub, Up at once."""
     out, n = np.empty_like(rows), len(rows)
@@ -65,21 +85,7 @@ def _unfilter(kinds: np.ndarray, rows: np.ndarray, step: int) -> np.ndarray:
         elif kind == 2:
             out[a:b] = np.add.accumulate(np.vstack((above[None], part)), axis=0, dtype=np.uint8)[1:]
         elif kind in (3, 4):
-            for y in range(a, b):
-                up = (out[y - 1] if y else np.zeros(rows.shape[1], np.uint8)).astype(np.int64)
-                line = rows[y].astype(np.int64)
-                for x in range(0, rows.shape[1], step):
-                    left = line[x - step : x] if x else np.zeros(step, np.int64)
-                    over = up[x : x + step]
-                    if kind == 3:
-                        guess = (left + over) // 2
-                    else:
-                        corner = up[x - step : x] if x else np.zeros(step, np.int64)
-                        p = left + over - corner
-                        da, db, dc = abs(p - left), abs(p - over), abs(p - corner)
-                        guess = np.where((da <= db) & (da <= dc), left, np.where(db <= dc, over, corner))
-                    line[x : x + step] = (line[x : x + step] + guess) & 255
-                out[y] = line.astype(np.uint8)
+            out[a:b] = _diagonals(kind, part.reshape(len(part), -1, step), above.reshape(-1, step)).reshape(part.shape)
         else:
             raise ValueError(f"row filter {kind} is unknown")
     return out
@@ -134,7 +140,10 @@ def cosine_hash(samples: np.ndarray) -> bytes:
 
 
 def encode(docs: DataFrame) -> DataFrame:
-    """doc_id, n_bytes, media (a PNG) of every document; a null or empty text is one row of spaces."""
+    """doc_id, n_bytes, media (a PNG) of every document; a null or empty text is one row of spaces.
+
+    Equal texts make equal images; a null doc_id stays null; an empty table gives no rows; other columns are left out. A
+    text of any length is one image."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -147,7 +156,8 @@ def encode(docs: DataFrame) -> DataFrame:
 
 
 def features(media: DataFrame) -> DataFrame:
-    """Reads the stored images: payload digests, cosine_hash (binary) and, as feature, the same in hex."""
+    """Reads the stored images: payload digests, cosine_hash (binary) and, as feature, the same in hex. One row an image,
+    whatever its doc_id; an empty table gives no rows; a damaged image is an error."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

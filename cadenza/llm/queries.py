@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from . import context_tree, decontaminate, media, mixing, quality, secrets, simhash, substring_dedup, tokens, window_dedup
-from .common import read
+from .common import read, stored
 
 TOKENIZER = "word_bpe_49k.json"
 
@@ -17,7 +17,7 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_png_media(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return media.features(media.encode(read(spark, sf_dir, "documents"))).drop("cosine_hash")
+    return media.features(stored(media.encode(read(spark, sf_dir, "documents")), "media")).drop("cosine_hash")
 
 
 def op3_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:

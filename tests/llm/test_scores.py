@@ -263,10 +263,45 @@ def test_contaminated(spark, data, monkeypatch):
     found = sorted((str(r.doc_id), r.item_id, r.coverage, r.tiles) for r in decontaminate.contaminated(docs, items).collect())
     assert found == [("1", 1, 1.0, 1), ("2", 1, 1.0, 2), ("None", 1, 1.0, 1)]
     assert sorted(r.doc_id for r in decontaminate.drop_contaminated(docs, items).collect()) == [3, 4, 5]
-    monkeypatch.setattr(decontaminate, "SLICE_TOKENS", 5)
-    assert decontaminate.contaminated(docs, items).count() == 3
+    clashing = docs.selectExpr("*", "1 AS key", "2 AS _row", "3 AS item_id", "4 AS tiles")
+    kept = decontaminate.drop_contaminated(clashing, items)
+    assert kept.columns == clashing.columns and {(r.key, r._row, r.item_id, r.tiles) for r in kept.collect()} == {(1, 2, 3, 4)}
     assert decontaminate.contaminated(docs, items.limit(0)).count() == 0
-    real, own = spark.read.parquet(f"{data}/documents.parquet"), spark.read.parquet(f"{data}/benchmark.parquet")
-    texts = {r.item_id: r.text for r in own.collect()}
-    inside = {(r.doc_id, i) for r in real.collect() for i, t in texts.items() if t in r.text}
-    assert inside <= {(r.doc_id, r.item_id) for r in decontaminate.contaminated(real, own).collect()}
+    assert decontaminate.contaminated(docs.limit(0), items).count() == 0 == decontaminate.drop_contaminated(docs.limit(0), items).count()
+
+
+def naive_words(text):
+    return "".join(c if ord(c) > 127 or c.isalnum() else " " for c in "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text)).split(" ")
+
+
+def test_whole_table_of_tiles(spark, data, monkeypatch):
+    """Every document against every item, tiled by the naive routine; held items and joined ones alike."""
+    rng = np.random.default_rng(12)
+    items = [(r.item_id, " ".join(r.text.split()[:24])) for r in spark.read.parquet(f"{data}/benchmark.parquet").orderBy("item_id").limit(6).collect()] + [(77, "the of the of the of the of the of"), (78, "a b c"), (None, "x y z u v w")]
+    base = [r.text[:700] for r in spark.read.parquet(f"{data}/documents.parquet").orderBy("doc_id").limit(8).collect()]
+    docs = [(i, t) for i, t in enumerate(base)]
+    for n, (_, text) in enumerate(items[:6]):
+        w = text.split()
+        cut = int(rng.integers(8, 16))
+        for k, made in enumerate((w, w[cut:] + ["zzz"] + w[:cut], w[: len(w) * 3 // 4], [x if j % 6 else "qq" for j, x in enumerate(w)])):
+            docs.append((100 * (n + 1) + k, "before it, " + " ".join(made).upper() + "! after"))
+    docs += [(900, "The of the of the of, the of the"), (901, None), (902, ""), (100, "twice")]
+    expected = []
+    for d, t in docs:
+        b = [x for x in naive_words(t or "") if x]
+        for i, text in items:
+            a = [x for x in naive_words(text) if x]
+            if i is None or len(a) < 5:
+                continue
+            tiles = naive_tiles(a, b, 5)
+            covered = sum(x[2] for x in tiles)
+            if covered >= 0.8 * len(a):
+                expected.append((d, i, len(a), covered, len(tiles)))
+    table, own = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    assert len(expected) >= 12
+    for most in (decontaminate.HELD_BYTES, 0):
+        monkeypatch.setattr(decontaminate, "HELD_BYTES", most)
+        found = decontaminate.contaminated(table, own).select("doc_id", "item_id", "item_tokens", "covered", "tiles")
+        assert sorted(map(tuple, found.collect())) == sorted(expected)
+        gone = {d for d, *_ in expected}
+        assert sorted(r.doc_id for r in decontaminate.drop_contaminated(table, own).collect()) == sorted(d for d, t in docs if d not in gone or t == "twice")
