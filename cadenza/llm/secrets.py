@@ -80,17 +80,17 @@ def spans(pairs: str) -> Column:
 
 
 def base_spans(docs: DataFrame) -> DataFrame:
-    """doc_id, and arrays assign, access, hex, tokens of (start, end, found), without the texts.
+    """row (a number of the row), doc_id, and arrays assign, access, hex, tokens of (start, end, found), without the texts.
 
     Texts are read once; the matches, without them, are written."""
     text, none = F.col("_text"), F.array().cast(_MATCHES)
     rows = docs.select("doc_id", whole_text().alias("_text"))
     hints = {"assign": (F.rlike(text, F.lit(ASSIGN_HINT)), ASSIGN), "access": (F.contains(text, F.lit("AKIA")), ACCESS)}
     hints |= {k: (F.rlike(text, F.lit(p)), p) for k, p in (("hex", HEX), ("tokens", TOKEN))}
-    found = stored(rows.select("doc_id", *[F.when(hint, matches(text, p)).otherwise(none).alias(k) for k, (hint, p) in hints.items()]), "secret-matches")
-    placed = found.select("doc_id", *[spans(k).alias(k) for k in hints])
-    long_value = F.filter("assign", lambda x: F.length(F.regexp_extract(x["found"], ASSIGN, 2)) >= 12)
-    return placed.withColumns({"assign": long_value, "tokens": F.filter("tokens", lambda x: encoding(x["found"]).isNotNull())})
+    matched = [F.when(hint, matches(text, p)).otherwise(none).alias(k) for k, (hint, p) in hints.items()]
+    found = stored(rows.select(F.monotonically_increasing_id().alias("row"), "doc_id", *matched), "secret-matches")
+    placed = found.select("row", "doc_id", *[spans(k).alias(k) for k in hints])
+    return placed.withColumn("assign", F.filter("assign", lambda x: F.length(F.regexp_extract(x["found"], ASSIGN, 2)) >= 12))
 
 
 def encoding(token: Column) -> Column:
@@ -133,58 +133,52 @@ def _pairs(values: Column) -> Column:
     return F.zip_with(F.slice(values, 1, F.size(values) - 1), F.slice(values, 2, F.size(values)), lambda a, b: F.struct(a.alias("a"), b.alias("b")))
 
 
-def token_facts(x: Column) -> Column:
-    """start, end, kind, size, k (letters of the alphabet), equal (sum of squared counts of its letters), places and
-    classes (of capitals, small letters, digits and others) of a token (start, end, found)."""
-    kind = encoding(x["found"])
-    own = plain(x["found"], kind)
-    squares = F.aggregate(F.array_distinct(_characters(own)), F.lit(0).cast("long"), lambda a, c: a + F.pow(F.length(own) - F.length(F.replace(own, c, F.lit(""))), F.lit(2)).cast("long"))
-    places = F.transform(_characters(own), lambda c: F.position(c, _letters(kind)) - 1)
-    classes = F.transform(_characters(F.regexp_replace(F.regexp_replace(F.regexp_replace(x["found"], "[a-z]", "a"), "[A-Z]", "A"), "[0-9]", "0")), lambda c: c)
-    return F.struct(x["start"].alias("start"), x["end"].alias("end"), kind.alias("kind"), F.length(own).alias("size"), F.length(_letters(kind)).alias("k"), squares.alias("equal"), places.alias("places"), classes.alias("classes"))
-
-
-def token_sums(t: Column) -> Column:
-    """The token's facts with sums in place of its arrays."""
-    mean = F.aggregate(t["places"], F.lit(0.0), lambda a, x: a + x) / t["size"]
-    half = F.floor(t["k"] / 2)
-    moved = F.size(F.filter(_pairs(t["places"]), lambda p: (p["a"] >= half) != (p["b"] >= half)))
-    joint = F.aggregate(_pairs(t["places"]), F.lit(0.0), lambda a, p: a + p["a"] * p["b"])
-    squares = F.aggregate(t["places"], F.lit(0.0), lambda a, x: a + x * x)
-    changes = F.size(F.filter(_pairs(t["classes"]), lambda p: p["a"] != p["b"]))
-    high = F.size(F.filter(t["places"], lambda x: x >= half))
-    ends = (F.element_at(t["places"], 1) + F.element_at(t["places"], -1)).cast("double")
-    sums = {"mean": mean, "high": high.cast("double"), "runs": (moved + 1).cast("double"), "joint": joint, "squares": squares, "ends": ends, "changes": changes.cast("double")}
-    return F.struct(*[t[c].alias(c) for c in ("start", "end", "kind")], t["size"].cast("double").alias("n"), t["k"].cast("double").alias("k"), t["equal"].cast("double").alias("equal"), *[v.alias(c) for c, v in sums.items()])
-
-
-def battery(t: Column) -> Column:
-    """The combined p-value of the three tests of a token that is random, from its ``token_sums``."""
-    n, k = t["n"], t["k"]
-    # The exact mean and variance of the statistic for n draws from k letters.
-    z_chi = (t["equal"] * k / n - n - (k - 1)) / F.sqrt(2.0 * (k - 1) * (n - 1) / n)
-    low = n - t["high"]
-    mean_runs = 2 * t["high"] * low / n + 1
-    var_runs = (mean_runs - 1) * (mean_runs - 2) / (n - 1)
-    z_runs = F.when(var_runs > 0, F.abs(t["runs"] - mean_runs) / F.sqrt(var_runs)).otherwise(F.lit(9.0))
-    spread = t["squares"] - n * t["mean"] * t["mean"]
+def token_sums(tokens: DataFrame) -> DataFrame:
+    """Adds to tokens (found) kind and, as numbers: n, its size, k, the letters of its alphabet, equal, the sum of squared
+    counts of its letters, and of its letters' places in the alphabet mean, squares, joint (products of neighbours), ends
+    (the first and the last), high (in the upper half) and runs; and changes between capitals, small letters and digits.
+
+    Each step is a projection of its own: an expression that is used twice isn't written out twice."""
+    rows = tokens.withColumn("kind", encoding(F.col("found"))).where("kind IS NOT NULL")
+    rows = rows.withColumns({"own": plain(F.col("found"), F.col("kind")), "letters": _letters(F.col("kind")), "shape": F.regexp_replace(F.regexp_replace(F.regexp_replace("found", "[a-z]", "a"), "[A-Z]", "A"), "[0-9]", "0")})
+    rows = rows.withColumns({"characters": _characters(F.col("own")), "classes": _characters(F.col("shape")), "size": F.length("own"), "half": F.floor(F.length("letters") / 2)})
+    squares = F.aggregate(F.array_distinct("characters"), F.lit(0).cast("long"), lambda a, c: a + F.pow(F.col("size") - F.length(F.replace(F.col("own"), c, F.lit(""))), F.lit(2)).cast("long"))
+    rows = rows.withColumns({"places": F.transform("characters", lambda c: F.position(c, F.col("letters")) - 1), "equal": squares.cast("double")})
+    rows = rows.withColumns({"pairs": _pairs(F.col("places")), "class_pairs": _pairs(F.col("classes"))})
+    sums = {
+        "n": F.col("size"), "k": F.length("letters"), "mean": F.aggregate("places", F.lit(0.0), lambda a, x: a + x) / F.col("size"),
+        "squares": F.aggregate("places", F.lit(0.0), lambda a, x: a + x * x), "joint": F.aggregate("pairs", F.lit(0.0), lambda a, p: a + p["a"] * p["b"]),
+        "ends": F.element_at("places", 1) + F.element_at("places", -1), "high": F.size(F.filter("places", lambda x: x >= F.col("half"))),
+        "runs": F.size(F.filter("pairs", lambda p: (p["a"] >= F.col("half")) != (p["b"] >= F.col("half")))) + 1, "changes": F.size(F.filter("class_pairs", lambda p: p["a"] != p["b"])),
+    }
+    return rows.select(*tokens.columns, "kind", "equal", *[v.cast("double").alias(c) for c, v in sums.items()])
+
+
+def p_values(sums: DataFrame) -> DataFrame:
+    """Adds to ``token_sums`` random, the battery's combined p-value of a token that is random, and name, how likely a name has
+    as few equal pairs and as many changes of kind."""
+    col = F.col
+    n, k = col("n"), col("k")
+    rate = F.greatest(F.lit(COINCIDENCE), 2 / k)
+    change = F.when(col("kind").isin("alnum", "base64"), CHANGES[0]).otherwise(CHANGES[1])
+    mean_runs = 2 * col("high") * (n - col("high")) / n + 1
+    rows = sums.withColumns({"mean_runs": mean_runs, "spread": col("squares") - n * col("mean") * col("mean"), "expected": n * (n - 1) / 2 * rate, "change": change})
     # The sum of products of neighbours' distances from the mean.
-    joint = t["joint"] - t["mean"] * (2 * n * t["mean"] - t["ends"]) + (n - 1) * t["mean"] * t["mean"]
-    z_serial = F.when(spread > 0, F.abs(joint / spread + 1 / n) * F.sqrt(n)).otherwise(F.lit(9.0))
-    worst = F.least(upper_tail(z_chi), 2 * upper_tail(z_runs), 2 * upper_tail(z_serial), F.lit(1.0))
-    return 1 - F.pow(1 - worst, F.lit(3.0))
-
-
-def name_p(t: Column) -> Column:
-    """How likely a name has as few equal pairs and as many changes of kind as the token, from its ``token_sums``."""
-    n = t["n"]
-    rate = F.greatest(F.lit(COINCIDENCE), 2 / t["k"])
-    expected = n * (n - 1) / 2 * rate
-    few = upper_tail((expected - (t["equal"] - n) / 2 - 0.5) / F.sqrt(expected))
-    change = F.when(t["kind"].isin("alnum", "base64"), CHANGES[0]).otherwise(CHANGES[1])
-    many = upper_tail((t["changes"] - 0.5 - (n - 1) * change) / F.sqrt((n - 1) * change * (1 - change)))
-    both = few * many
-    return F.when(both > 0, F.least(F.lit(1.0), both * (1 - F.log(both)))).otherwise(F.lit(0.0))
+    joint = col("joint") - col("mean") * (2 * n * col("mean") - col("ends")) + (n - 1) * col("mean") * col("mean")
+    rows = rows.withColumns({"var_runs": (col("mean_runs") - 1) * (col("mean_runs") - 2) / (n - 1), "joint": joint})
+    rows = rows.withColumns(
+        {
+            # The exact mean and variance of the statistic for n draws from k letters.
+            "z_chi": (col("equal") * k / n - n - (k - 1)) / F.sqrt(2.0 * (k - 1) * (n - 1) / n),
+            "z_runs": F.when(col("var_runs") > 0, F.abs(col("runs") - col("mean_runs")) / F.sqrt("var_runs")).otherwise(F.lit(9.0)),
+            "z_serial": F.when(col("spread") > 0, F.abs(col("joint") / col("spread") + 1 / n) * F.sqrt(n)).otherwise(F.lit(9.0)),
+            "z_few": (col("expected") - (col("equal") - n) / 2 - 0.5) / F.sqrt("expected"),
+            "z_many": (col("changes") - 0.5 - (n - 1) * col("change")) / F.sqrt((n - 1) * col("change") * (1 - col("change"))),
+        }
+    )
+    rows = rows.withColumns({"worst": F.least(upper_tail(col("z_chi")), 2 * upper_tail(col("z_runs")), 2 * upper_tail(col("z_serial")), F.lit(1.0)), "both": upper_tail(col("z_few")) * upper_tail(col("z_many"))})
+    fisher = F.when(col("both") > 0, F.least(F.lit(1.0), col("both") * (1 - F.log("both")))).otherwise(F.lit(0.0))
+    return rows.withColumns({"random": 1 - F.pow(1 - col("worst"), F.lit(3.0)), "name": fisher})
 
 
 def _bin(p: Column) -> Column:
@@ -196,25 +190,38 @@ def length_class(n: Column) -> Column:
     return F.least(F.lit(15), F.floor(2 * F.log2(n / 12.0))).cast("int")
 
 
-def judged(found: DataFrame) -> DataFrame:
-    """``found`` with tokens as (start, end, stratum, bin, apart: it meets no base span); bin is -1 for those that aren't random."""
-    rows = found.withColumn("tokens", F.transform("tokens", token_facts))
-    rows = rows.withColumn("tokens", F.transform("tokens", token_sums))
+def in_assignments(tokens: DataFrame, found: DataFrame) -> DataFrame:
+    """(row, start) of the tokens that meet a span of ``assign``: both meet by stretches of 32 code points."""
 
-    def one(t: Column) -> Column:
-        stratum = F.concat_ws(":", t["kind"], length_class(t["n"]).cast("string"))
-        bin_ = F.when(battery(t) < EXCLUDE, F.lit(-1)).otherwise(_bin(name_p(t)))
-        apart = ~F.exists(F.concat("assign", "access", "hex"), lambda y: (y["start"] < t["end"]) & (t["start"] < y["end"]))
-        return F.struct(t["start"].alias("start"), t["end"].alias("end"), stratum.alias("stratum"), bin_.alias("bin"), apart.alias("apart"))
+    def pieces(rows: DataFrame, name: str) -> DataFrame:
+        cut = F.explode(F.sequence(F.floor(F.col("start") / 32), F.floor((F.col("end") - 1) / 32)))
+        return rows.select("row", F.col("start").alias(f"start_{name}"), F.col("end").alias(f"end_{name}"), cut.alias("piece"))
+
+    left = pieces(tokens, "t")
+    right = pieces(found.select("row", F.explode("assign").alias("a")).select("row", "a.start", "a.end"), "a")
+    met = left.join(right, ["row", "piece"]).where((F.col("start_t") < F.col("end_a")) & (F.col("start_a") < F.col("end_t")))
+    return met.select("row", F.col("start_t").alias("start")).distinct()
+
+
+def judged(found: DataFrame) -> DataFrame:
+    """(row, start, end, stratum, bin, apart: it meets no base span) of each token; bin is -1 for those that aren't random.
 
-    return rows.withColumn("tokens", F.transform("tokens", one))
+    A token ends where no letter of it can follow, so codes and hexadecimal runs that it meets lie inside it."""
+    tokens = found.select("row", F.explode("tokens").alias("t")).select("row", "t.start", "t.end", "t.found")
+    inside = F.rlike("found", F.lit(HEX)) | F.rlike("found", F.lit(ACCESS))
+    # A table between the two steps keeps their code small enough to be compiled.
+    rows = p_values(stored(token_sums(tokens.withColumn("inside", inside)).drop("found"), "secret-token-sums"))
+    rows = rows.select("row", "start", "end", "inside", F.concat_ws(":", "kind", length_class(F.col("n")).cast("string")).alias("stratum"), F.when(F.col("random") < EXCLUDE, F.lit(-1)).otherwise(_bin(F.col("name"))).alias("bin"))
+    rows = stored(rows, "secret-p-values")
+    met = in_assignments(rows, found).withColumn("met", F.lit(True))
+    return rows.join(met, ["row", "start"], "left").select("row", "start", "end", "stratum", "bin", (~F.col("inside") & F.col("met").isNull()).alias("apart"))
 
 
 def named_bins(tokens: DataFrame, share: float = FALSE_DISCOVERIES) -> dict[str, int]:
     """Of each stratum with discoveries the lowest bin number whose tokens are named.
 
     At most encodings x length classes strata come to the driver."""
-    counts = tokens.select(F.explode("tokens").alias("t")).groupBy("t.stratum", "t.bin").agg(F.count("*").alias("n"))
+    counts = tokens.groupBy("stratum", "bin").agg(F.count("*").alias("n"))
     down = Window.partitionBy("stratum").orderBy(F.desc("bin"))
     whole = Window.partitionBy("stratum")
     ranked = counts.withColumns({"rank": F.sum("n").over(down), "all": F.sum("n").over(whole)})
@@ -237,13 +244,17 @@ def scan(docs: DataFrame) -> DataFrame:
 
     Null and empty texts have no spans; repeated rows repeat theirs; a null doc_id stays null; an empty table gives no
     rows. Texts of any length are taken whole, and other columns are left out."""
-    found = stored(judged(base_spans(docs)), "secret-candidates")
-    limits = named_bins(found)
+    found = base_spans(docs)
+    tokens = stored(judged(found), "secret-tokens")
+    limits = named_bins(tokens)
     limit = F.create_map(*[v for k, b in limits.items() for v in (F.lit(k), F.lit(b))]) if limits else F.create_map().cast("map<string,int>")
-    named = lambda apart: F.filter("tokens", lambda x: (x["apart"] == apart) & (x["bin"] >= F.coalesce(F.try_element_at(limit, x["stratum"]), F.lit(P_BINS))))
+    named = tokens.where(F.col("bin") >= F.coalesce(F.try_element_at(limit, F.col("stratum")), F.lit(P_BINS)))
+    listed = lambda apart: F.array_sort(F.collect_list(F.when(F.col("apart") == apart, F.struct("start", "end"))))
+    named = named.groupBy("row").agg(listed(True).alias("random"), listed(False).alias("confirmed"))
     place = lambda c: F.transform(c, lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end")))
-    base = [place(F.col(c)).alias(c) for c in KINDS[:3]]
-    return found.select("doc_id", *base, place(named(True)).alias("random"), place(named(False)).alias("confirmed"))
+    base = found.select("row", "doc_id", *[place(F.col(c)).alias(c) for c in KINDS[:3]])
+    none = F.array().cast("array<struct<start:int,end:int>>")
+    return base.join(named, "row", "left").select("doc_id", *KINDS[:3], *[F.coalesce(c, none).alias(c) for c in ("random", "confirmed")])
 
 
 def secret_report(docs: DataFrame) -> DataFrame:
