@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from .common import stored
 from .exchange import ANSWERED, Chunk, Corpus, joined, loosen, parted, split_sorted, squeeze
-from .vectors import segments, words
+from .vectors import numbered, runs, segments, spread, words
 
 #: Bytes of context; 3 to 7, so that a gram is one 64-bit key.
 DEPTH = 5
@@ -80,13 +80,16 @@ def chunk_words(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return (np.concatenate(hashes) if hashes else np.zeros(0, np.uint64)), np.concatenate(offsets)
 
 
-def _counted(keys: np.ndarray, taught: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct keys, and how often each is in ``taught``."""
-    all_keys = np.unique(keys)
-    own, counts = np.unique(taught, return_counts=True)
-    out = np.zeros(len(all_keys), np.uint32)
-    out[np.searchsorted(all_keys, own)] = counts
-    return all_keys, out
+def _counted(keys: np.ndarray, taught: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys of so many bits, and how often each is among those that are ``taught``."""
+    if bits < 64:
+        ordered = np.sort(keys << np.uint64(1) | taught)
+        ordered, flags = ordered >> np.uint64(1), ordered & np.uint64(1)
+    else:
+        order = np.argsort(keys)
+        ordered, flags = keys[order], taught[order]
+    run = runs(ordered)
+    return ordered[run], (np.add.reduceat(flags.astype(np.int64), run) if len(run) else run).astype(np.uint32)
 
 
 _HALF = np.r_[math.lgamma(0.5), math.lgamma(0.5) + np.cumsum(np.log(np.arange(1 << 16) + 0.5))]
@@ -248,7 +251,7 @@ def score(docs: DataFrame, depth: int = DEPTH) -> DataFrame:
     def asks(chunk: Chunk) -> Iterator[tuple[int, bytes]]:
         texts, taught = [t.lower() for t in chunk.texts], training(chunk)
         for what, (keys, offsets), size, bits in ((WORDS, chunk_words(texts), 64, word_bits), (GRAMS, grams(texts, depth), key_bits, gram_bits)):
-            distinct, counts = _counted(keys, keys[np.repeat(taught, np.diff(offsets))])
+            distinct, counts = _counted(keys, np.repeat(taught, np.diff(offsets)), size)
             for lead, a, b in split_sorted(distinct, size - bits):
                 yield lead << 1 | what, joined(squeeze(np.diff(distinct[a:b], prepend=distinct.dtype.type(0))), squeeze(counts[a:b]))
 
@@ -292,7 +295,8 @@ def score(docs: DataFrame, depth: int = DEPTH) -> DataFrame:
         for what, (keys, offsets), kind in ((WORDS, chunk_words(texts), np.uint64), (GRAMS, grams(texts, depth), np.float32)):
             values = [loosen(replies[b], kind) for b in sorted(replies) if b % 2 == what]
             values = np.concatenate(values) if values else np.zeros(0, kind)
-            each = values[np.searchsorted(np.unique(keys), keys)]
+            _, order, counts = numbered(keys)
+            each = spread(values, order, counts)
             for x in ((np.log10(each + 1.0), each > 0) if what == WORDS else (each,)):
                 running = np.r_[0.0, np.cumsum(x, dtype=np.float64)]
                 out.append(running[offsets[1:]] - running[offsets[:-1]])

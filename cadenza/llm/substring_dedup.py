@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from .common import stored
 from .exchange import Chunk, Corpus, answer, joined, loosen, parted, split_sorted, squeeze
-from .vectors import byte_sums, mixed, segments, stretch_hashes
+from .vectors import byte_sums, counted, mixed, numbered, segments, spread, stretch_hashes
 
 LENGTH, GRAM = 400, 256
 #: Longer texts are looked at in overlapping stretches of so many starts.
@@ -166,7 +166,8 @@ def suffix_order(text: np.ndarray, at: np.ndarray, length: int) -> tuple[np.ndar
         words = words << np.uint64(8) | padded[k : k + len(text)]
     known = 8
     while True:
-        ranks = np.unique(words, return_inverse=True)[1].astype(np.uint64)
+        distinct, order, counts = numbered(words)
+        ranks = spread(np.arange(len(distinct), dtype=np.uint64), order, counts)
         step = min(known, length - known)
         later = np.zeros(len(text), np.uint64)
         later[: len(text) - step] = ranks[step:]
@@ -184,7 +185,7 @@ def sort_entries(asked: list[bytes], length: int) -> list[bytes]:
     sizes, texts = zip(*[(loosen(size, np.uint32).astype(np.int64), loosen(text, np.uint8)) for size, text in map(parted, asked)])
     size = np.concatenate(sizes)
     starts = np.cumsum(size) - size
-    at = _spread(starts, size - length + 1)
+    at = _steps(starts, size - length + 1)
     order, same = suffix_order(np.concatenate(texts), at, length)
     repeated = np.zeros(len(at), bool)
     repeated[order[same]] = True
@@ -193,7 +194,7 @@ def sort_entries(asked: list[bytes], length: int) -> list[bytes]:
     return [np.packbits(x).tobytes() for x in np.split(repeated, ends)]
 
 
-def _spread(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
+def _steps(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
     """start, start + 1 and so on, ``counts`` of each."""
     return np.repeat(starts - np.r_[0, np.cumsum(counts)[:-1]][: len(counts)], counts) + np.arange(counts.sum())
 
@@ -208,9 +209,9 @@ def _answers(found: DataFrame, whole: Callable, digested: Callable) -> DataFrame
     return own.unionAll(answer(found.where((F.col("block") >= 0) & (F.col("block") < _DIGESTS)), whole)).unionAll(answer(found.where(F.col("block") >= _DIGESTS), digested))
 
 
-def _routes(spread: np.ndarray, trigger: np.ndarray, high: np.ndarray, bits: int) -> Iterator[tuple[int, int, int]]:
-    """(block, start, end) of entries sorted by (spread, trigger or digest)."""
-    n = int(len(spread) - spread.sum())
+def _routes(hot: np.ndarray, trigger: np.ndarray, high: np.ndarray, bits: int) -> Iterator[tuple[int, int, int]]:
+    """(block, start, end) of entries sorted by (hot, trigger or digest)."""
+    n = int(len(hot) - hot.sum())
     yield from split_sorted(trigger[:n], 64 - bits)
     for lead, a, b in split_sorted(high[n:], 64 - bits):
         yield _DIGESTS + lead, n + a, n + b
@@ -230,25 +231,25 @@ def dedup_substrings(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) ->
     bits = corpus.bits(corpus.bytes * 2 / (length - gram + 1))
 
     def asks(chunk: Chunk) -> Iterator[tuple[int, bytes]]:
-        keys, counts = np.unique(phrases(chunk.texts, length, gram)[3], return_counts=True)
+        keys, counts = counted(phrases(chunk.texts, length, gram)[3])
         for lead, a, b in split_sorted(keys, 64 - bits):
             yield lead, joined(squeeze(np.diff(keys[a:b], prepend=np.uint64(0))), squeeze(counts[a:b].astype(np.uint32)))
 
     def entries(chunk: Chunk, answers: dict[int, bytes]) -> pa.Table:
         doc, low, high, trigger = phrases(chunk.texts, length, gram)
-        keys, inverse = np.unique(trigger, return_inverse=True)
-        verdict = np.concatenate([loosen(x, np.uint8) for x in _replies(answers, 0, _DIGESTS)] or [np.zeros(0, np.uint8)])[inverse]
+        _, order, counts = numbered(trigger)
+        verdict = spread(np.concatenate([loosen(x, np.uint8) for x in _replies(answers, 0, _DIGESTS)] or [np.zeros(0, np.uint8)]), order, counts)
         some = verdict != DROPPED
-        doc, low, high, trigger, spread = doc[some], low[some], high[some], trigger[some], verdict[some] == SPREAD
+        doc, low, high, trigger, hot = doc[some], low[some], high[some], trigger[some], verdict[some] == SPREAD
         n = len(doc)
         if not n:
             return _table([], 0)
         key = digests((chunk.texts[d][i : j + length] for d, i, j in zip(doc.tolist(), low.tolist(), high.tolist())), n)
-        order, run, number = _distinct(spread, np.where(spread, key[:, 0], trigger), trigger, key[:, 0], key[:, 1])
+        order, run, number = _distinct(hot, np.where(hot, key[:, 0], trigger), trigger, key[:, 0], key[:, 1])
         first = order[run]
         many, size = _runs_over_one(run, n), (high - low + length)[first].astype(np.uint32)
-        rows = [(-1, joined(*(squeeze(x.astype(np.uint32)) for x in (doc, low, high - low)), squeeze(number), squeeze(spread[first].view(np.uint8)), squeeze(trigger[first])))]
-        for block, a, b in _routes(spread[first], trigger[first], key[first, 0], bits):
+        rows = [(-1, joined(*(squeeze(x.astype(np.uint32)) for x in (doc, low, high - low)), squeeze(number), squeeze(hot[first].view(np.uint8)), squeeze(trigger[first])))]
+        for block, a, b in _routes(hot[first], trigger[first], key[first, 0], bits):
             rows.append((block, joined(squeeze(trigger[first[a:b]]), squeeze(key[first[a:b], 0]), squeeze(key[first[a:b], 1]), squeeze(many[a:b]), squeeze(size[a:b]))))
         return _table(rows, chunk.number)
 
@@ -259,21 +260,21 @@ def dedup_substrings(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) ->
     def edges(chunk: Chunk, answers: dict[int, bytes]) -> pa.Table:
         if -1 not in answers:
             return _table([], 0)
-        doc, low, extra, number, spread, trigger = (loosen(x, k) for x, k in zip(parted(answers.pop(-1)), [np.uint32] * 4 + [np.uint8, np.uint64]))
+        doc, low, extra, number, hot, trigger = (loosen(x, k) for x, k in zip(parted(answers.pop(-1)), [np.uint32] * 4 + [np.uint8, np.uint64]))
         doc, low, extra = (x.astype(np.int64) for x in (doc, low, extra))
         verdict = np.concatenate([loosen(x, np.uint8) for x in _replies(answers, 0, 2 * _DIGESTS)])
         whole = verdict[number] != UNIQUE
         # The first occurrence in this chunk stands for the entry.
         first = np.unique(number, return_index=True)[1]
         listed = first[verdict != REPEATED]
-        apart = spread[number[listed]] == 1
+        apart = hot[number[listed]] == 1
         rows: list[tuple[int, bytes]] = []
         sort, digest = listed[~apart], listed[apart]
         for lead, a, b in split_sorted(trigger[number[sort]], 64 - sort_bits):
             size = extra[sort[a:b]] + length
             raw = b"".join(chunk.texts[doc[i]][low[i] : low[i] + n] for i, n in zip(sort[a:b], size))
             rows.append((lead, joined(squeeze(size.astype(np.uint32)), squeeze(np.frombuffer(raw, np.uint8)))))
-        holder, place = np.repeat(doc[digest], extra[digest] + 1), _spread(low[digest], extra[digest] + 1)
+        holder, place = np.repeat(doc[digest], extra[digest] + 1), _steps(low[digest], extra[digest] + 1)
         key = digests((chunk.texts[d][i : i + length] for d, i in zip(holder.tolist(), place.tolist())), len(place))
         order, run, string = _distinct(key[:, 0], key[:, 1])
         many, head = _runs_over_one(run, len(order)), key[order[run]]
@@ -292,7 +293,7 @@ def dedup_substrings(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) ->
             bits_of = {b: np.unpackbits(np.frombuffer(x, np.uint8)).astype(bool) for b, x in answers.items() if b < _DIGESTS}
             sizes = np.bincount(block, weights=e + 1).astype(np.int64) if len(block) else []
             hit = np.concatenate([bits_of[b][: sizes[b]] for b in sorted(bits_of)] or [np.zeros(0, bool)])
-            d, p = np.repeat(d, e + 1)[hit], _spread(p, e + 1)[hit]
+            d, p = np.repeat(d, e + 1)[hit], _steps(p, e + 1)[hit]
             again = np.concatenate([loosen(x, np.uint8) for x in _replies(answers, _DIGESTS, 2 * _DIGESTS)] or [np.zeros(0, np.uint8)]).astype(bool)[string]
             owner, begin = np.r_[doc, d, holder[again]], np.r_[low, p, place[again]]
             end = np.r_[low + extra, p, place[again]] + length

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from .common import stored
 from .exchange import Chunk, Corpus, answer, joined, loosen, parted, split_sorted, squeeze
-from .vectors import mixed, segments, windows, within, words
+from .vectors import counted, mixed, numbered, segments, spread, windows, within, words
 
 WINDOW, DEPTH = 13, 2
 
@@ -55,7 +55,7 @@ def counters(hashes: np.ndarray, row: int, bits: int) -> np.ndarray:
 def sketch(hashes: np.ndarray, bits: int, block_bits: int) -> Iterator[tuple[int, bytes]]:
     """The rows' counters that aren't 0, in blocks: differences of sorted counters, and which are over 1."""
     for row in range(DEPTH):
-        cells, counts = np.unique(counters(hashes, row, bits), return_counts=True)
+        cells, counts = counted(counters(hashes, row, bits))
         for lead, a, b in split_sorted(cells, bits - block_bits):
             yield row << block_bits | lead, joined(squeeze(np.diff(cells[a:b], prepend=np.uint64(0))), np.packbits(counts[a:b] > 1).tobytes())
 
@@ -80,11 +80,11 @@ def estimated_repeated(hashes: np.ndarray, answers: dict[int, bytes], bits: int,
     """Which windows have an estimate over 1 in every row of the merged sketch."""
     out = np.ones(len(hashes), bool)
     for row in range(DEPTH):
-        cells, inverse = np.unique(counters(hashes, row, bits), return_inverse=True)
+        cells, order, counts = numbered(counters(hashes, row, bits))
         over = np.zeros(len(cells), bool)
         for lead, a, b in split_sorted(cells, bits - block_bits):
             over[a:b] = np.unpackbits(np.frombuffer(answers[row << block_bits | lead], np.uint8), count=b - a).astype(bool)
-        out &= over[inverse]
+        out &= spread(over, order, counts)
     return out
 
 
