@@ -5,7 +5,7 @@ from __future__ import annotations
 
 import functools
 import math
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -162,17 +162,45 @@ def model_registry(spark, models: list[tuple[str, list[str], bool, bool, bool]])
     return spark.createDataFrame(models, "name string, terms array<string>, aperiodic boolean, cap boolean, tensor boolean")
 
 
-def products(df: DataFrame, keys: list[str], terms: list[str], outcome: str, one: Column | None = None) -> DataFrame:
-    """(keys, n, yy, xy array, xx array of rows): sums of products of the terms and an intercept (``one``, where it isn't 1).
+def products(df: DataFrame, keys: list[str], terms: list[str], outcome: str) -> DataFrame:
+    """(keys, n, yy, xy array, xx array of rows): sums of products of the terms and an intercept.
 
     A row of sums for each key, made by partial sums on each node; downdates and replicates use nothing else."""
-    names = [F.lit(1.0) if one is None else one, *[F.col(t).cast("double") for t in terms]]
+    names = [F.lit(1.0), *[F.col(t).cast("double") for t in terms]]
     rows = df.where(F.lit(True) if not terms else F.expr(" AND ".join(f"`{c}` IS NOT NULL" for c in [*terms, outcome])))
     y = F.col(outcome).cast("double")
     xx = F.array(*[F.sum(a * b) for a in names for b in names])
     return rows.groupBy(*keys).agg(F.count("*").alias("n"), F.sum(y * y).alias("yy"), F.sum(y).alias("sy"), F.array(*[F.sum(a * y) for a in names]).alias("xy"), xx.alias("xx"))
 
 
+def wide_products(df: DataFrame, keys: list[str], terms: list[str], outcome: str, one: Column) -> DataFrame:
+    """The same sums for dozens of terms: a product of matrices for each batch and key, summed on each node and then by key."""
+    columns = [F.col(outcome).cast("double").alias("_y"), one.cast("double").alias("_one"), *[F.col(t).cast("double").alias(t) for t in terms]]
+    rows = df.select(*keys, *columns)
+    k = len(terms) + 1
+    kinds = ", ".join(f"`{c}` {t}" for c, t in rows.dtypes[: len(keys)]) + ", n long, yy double, sy double, xy array<double>, xx array<double>"
+
+    def table(sums: dict[tuple, np.ndarray]) -> pd.DataFrame:
+        made = [[*key, int(v[0]), v[1], v[2], v[3 : 3 + k], v[3 + k :]] for key, v in sums.items()]
+        return pd.DataFrame(made, columns=[*keys, "n", "yy", "sy", "xy", "xx"])
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        sums: dict[tuple, np.ndarray] = {}
+        for batch in batches:
+            for key, own in batch.groupby(keys, sort=False, dropna=False):
+                y, x = own["_y"].to_numpy(), own.iloc[:, len(keys) + 1 :].to_numpy()
+                part = np.concatenate(([len(own), y @ y, y.sum()], x.T @ y, (x.T @ x).ravel()))
+                sums[key] = sums[key] + part if key in sums else part
+        yield table(sums)
+
+    def merge(parts: pd.DataFrame) -> pd.DataFrame:
+        one = parts.iloc[0]
+        arrays = [np.sum(np.stack(parts[c].to_numpy()), axis=0) for c in ("xy", "xx")]
+        return pd.DataFrame([[*(one[c] for c in keys), parts["n"].sum(), parts["yy"].sum(), parts["sy"].sum(), *arrays]], columns=parts.columns)
+
+    return rows.mapInPandas(run, kinds).groupBy(*keys).applyInPandas(merge, kinds)
+
+
 def _solved(n: float, yy: float, sy: float, xy: np.ndarray, xx: np.ndarray, ridge: float = 0.0) -> dict:
     k = len(xy)
     a = xx.reshape(k, k) + ridge * np.diag([0.0] + [1.0] * (k - 1))
@@ -308,7 +336,7 @@ def additive_mixed_fit(
     moved = rows.join(means, within).select(*within, "_theta", *[(F.col(c) - F.col("_theta") * F.col(f"_m_{c}")).alias(c) for c in [*terms, outcome]])
     spread = moved.groupBy(*keys).agg(*[F.stddev_pop(c).alias(f"_s_{c}") for c in terms], F.count_distinct(subject).alias("n_subjects"))
     scaled = moved.join(spread, keys).select(*keys, "n_subjects", outcome, "_theta", *[F.coalesce(F.col(c) / F.nullif(F.col(f"_s_{c}"), F.lit(0.0)), F.lit(0.0)).alias(c) for c in terms])
-    sums = products(scaled, [*keys, "n_subjects"], terms, outcome, 1 - F.col("_theta"))
+    sums = wide_products(scaled, [*keys, "n_subjects"], terms, outcome, 1 - F.col("_theta"))
     place = {c: i for i, c in enumerate(terms, 1)}
     fits = _solve_additive(sums, [c in soft for c in terms], [[place[c] for c in columns] for columns, _ in blocks.values()], penalties)
     left = F.greatest(F.lit(1.0), F.col("n") - F.col("edf"))
