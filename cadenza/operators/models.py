@@ -249,7 +249,7 @@ def loso_cv(df: DataFrame, keys: list[str], fold: str, terms: list[str], outcome
     rest = own.where(F.col("n") >= least).alias("o").join(whole.alias("w"), keys)
     left = rest.select(*keys, fold, *[(F.col(f"w.{c}") - F.col(f"o.{c}")).alias(c) for c in ("n", "yy", "sy")], *[_minus(F.col(f"w.{c}"), F.col(f"o.{c}")).alias(c) for c in ("xy", "xx")])
     scored = predict(df, solve(left.where("n > 0")), [*keys, fold], terms)
-    folds = eval_metrics(scored, [*keys, fold], outcome, "predicted")
+    folds = eval_metrics(scored, [*keys, fold], outcome, "predicted", split=False)
     metrics = ["pearson_r", "rmse", "mae", "r_sq"]
     over = folds.groupBy(*keys).agg(*[f(m).alias(f"{m}_{n}") for m in metrics for n, f in (("mean", F.avg), ("sd", F.stddev_samp))], F.count("pearson_r").alias("n_complete"))
     return folds, over
@@ -258,10 +258,11 @@ def loso_cv(df: DataFrame, keys: list[str], fold: str, terms: list[str], outcome
 def external_cv(df: DataFrame, fits: DataFrame, keys: list[str], terms: list[str], outcome: str, groups: list[str]) -> DataFrame:
     """Scores of held-out rows overall, and by each of ``groups``."""
     scored = predict(df, fits, keys, terms)
-    out = eval_metrics(scored, keys, outcome, "predicted").select(*keys, F.lit("overall").alias("cv_type"), F.lit("all").alias("fold_id"), "n_obs", "pearson_r", "rmse", "mae", "r_sq")
+    metrics = ["n_obs", "pearson_r", "rmse", "mae", "r_sq", "spearman_rho"]
+    out = eval_metrics(scored, keys, outcome, "predicted").select(*keys, F.lit("overall").alias("cv_type"), F.lit("all").alias("fold_id"), *metrics)
     for g in groups:
-        part = eval_metrics(scored, [*keys, g], outcome, "predicted")
-        out = out.unionAll(part.select(*keys, F.lit(g).alias("cv_type"), F.col(g).cast("string").alias("fold_id"), "n_obs", "pearson_r", "rmse", "mae", "r_sq"))
+        part = eval_metrics(scored, [*keys, g], outcome, "predicted", split=False)
+        out = out.unionAll(part.select(*keys, F.lit(g).alias("cv_type"), F.col(g).cast("string").alias("fold_id"), *metrics))
     return out
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from cadenza.functions.cleaning import hemisphere, region
 from cadenza.operators.filters import guarded_corr
+from cadenza.operators.windows import avg_rank, exact_percentiles
 
 
 def subject_unit_means(df: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
@@ -29,13 +30,13 @@ def pivot_metrics(long: DataFrame, keys: list[str], names: list[str]) -> DataFra
     return long.groupBy(*keys).pivot("metric_name", names).agg(F.max("metric_value"))
 
 
-def eval_metrics(df: DataFrame, keys: list[str], actual: str, predicted: str, ranks: bool = True) -> DataFrame:
-    """(keys, n_obs, pearson_r, rmse, r_sq, mae, spearman_rho) of complete pairs; null correlations under 3."""
+def eval_metrics(df: DataFrame, keys: list[str], actual: str, predicted: str, ranks: bool = True, split: bool = True) -> DataFrame:
+    """(keys, n_obs, pearson_r, rmse, r_sq, mae, spearman_rho) of complete pairs; null correlations under 3.
+
+    Ranks are made in buckets of values; without ``split``, for keys of bounded size such as a subject, in one task a key."""
     rows = df.where(F.col(actual).isNotNull() & F.col(predicted).isNotNull())
     if ranks:
-        w = lambda c: Window.partitionBy(*keys).orderBy(c)
-        tie = lambda c: (F.count("*").over(Window.partitionBy(*keys, c)) - 1) / 2
-        rows = rows.withColumns({"_ra": F.rank().over(w(actual)) + tie(actual), "_rp": F.rank().over(w(predicted)) + tie(predicted)})
+        rows = avg_rank(avg_rank(rows, keys, actual, "_ra", split), keys, predicted, "_rp", split)
     e = F.col(actual) - F.col(predicted)
     out = [F.count("*").alias("n_obs"), guarded_corr(actual, predicted).alias("pearson_r"), F.sqrt(F.avg(e * e)).alias("rmse"), F.avg(F.abs(e)).alias("mae")]
     out += [guarded_corr("_ra", "_rp").alias("spearman_rho")] if ranks else []
@@ -53,8 +54,7 @@ def fold_summary(folds: DataFrame, keys: list[str], metrics: list[str]) -> DataF
 
 
 def ci_quantiles(df: DataFrame, keys: list[str], value: str, wide_over: float = 0.2) -> DataFrame:
-    q = F.percentile(value, F.array(F.lit(0.025), F.lit(0.5), F.lit(0.975)))
-    rows = df.groupBy(*keys).agg(q.alias("_q"))
+    rows = exact_percentiles(df, keys, value, [0.025, 0.5, 0.975])
     width = F.col("_q")[2] - F.col("_q")[0]
     return rows.select(*keys, F.col("_q")[0].alias("ci_low"), F.col("_q")[1].alias("median"), F.col("_q")[2].alias("ci_high"), width.alias("width"), (width >= wide_over).alias("wide"))
 
