@@ -37,11 +37,23 @@ def bandpower(psd: DataFrame, keys: list[str], bands: dict[str, tuple[float, flo
     return with_next(psd, keys).groupBy(*keys).agg(*[trapz(lo, hi, half_open=half_open).alias(n) for n, (lo, hi) in bands.items()])
 
 
-def bandpower_array(f: str, p: str, low: float, high: float) -> Column:
-    """The same over array columns, without a shuffle."""
-    pairs = F.filter(F.arrays_zip(F.col(f).alias("f"), F.col(p).alias("p")), lambda z: z["f"].between(low, high))
-    seg = F.zip_with(F.slice(pairs, 1, F.greatest(F.size(pairs) - 1, F.lit(0))), F.slice(pairs, 2, F.size(pairs)), lambda a, b: (b["f"] - a["f"]) * (a["p"] + b["p"]) / 2)
-    return F.when(F.size(pairs) > 0, F.aggregate(seg, F.lit(0.0), lambda a, x: a + x))
+def bandpower_array(f: str, p: str, low: float, high: float, by_frequency: bool = False) -> Column:
+    """The same area over array columns, without a shuffle; of f * p with ``by_frequency``."""
+    value = (lambda z: z["f"] * z["p"]) if by_frequency else (lambda z: z["p"])
+    inside = F.filter(F.arrays_zip(F.col(f).alias("f"), F.col(p).alias("p")), lambda z: z["f"].between(low, high))
+    pairs = F.zip_with(F.slice(inside, 1, F.greatest(F.size(inside) - 1, F.lit(0))), F.slice(inside, 2, F.size(inside)), lambda a, b: (b["f"] - a["f"]) * (value(a) + value(b)) / 2)
+    return F.when(F.size(inside) > 0, F.aggregate(pairs, F.lit(0.0), lambda a, x: a + x))
+
+
+def bandpower_of(spectra: DataFrame, bands: dict[str, tuple[float, float]]) -> DataFrame:
+    """Adds each band's power to spectra whose f and p are arrays."""
+    return spectra.withColumns({n: bandpower_array("f", "p", lo, hi) for n, (lo, hi) in bands.items()})
+
+
+def alpha_features_of(spectra: DataFrame) -> DataFrame:
+    """Adds what ``alpha_features`` gives to spectra whose f and p are arrays."""
+    sums = bandpower_of(spectra, {"pow_slow_alpha": SLOW, "pow_fast_alpha": FAST, "pow_alpha_total": ALPHA})
+    return _alpha_shares(sums.withColumn("paf_cog_hz", bandpower_array("f", "p", *ALPHA, True) / (F.col("pow_alpha_total") + EPS)))
 
 
 def paf_cog(psd: DataFrame, keys: list[str], band: tuple[float, float] = ALPHA, method: str = "trapz") -> DataFrame:
@@ -60,6 +72,10 @@ def alpha_features(psd: DataFrame, keys: list[str]) -> DataFrame:
         (trapz(*ALPHA, fp, fp2) / (trapz(*ALPHA) + EPS)).alias("paf_cog_hz"),
         trapz(*SLOW).alias("pow_slow_alpha"), trapz(*FAST).alias("pow_fast_alpha"), trapz(*ALPHA).alias("pow_alpha_total"),
     )
+    return _alpha_shares(sums)
+
+
+def _alpha_shares(sums: DataFrame) -> DataFrame:
     slow, fast, total = F.col("pow_slow_alpha"), F.col("pow_fast_alpha"), F.col("pow_alpha_total")
     return sums.withColumns(
         {

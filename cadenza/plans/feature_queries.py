@@ -40,13 +40,18 @@ def win_psd(s, d):
 
 
 def powers(s, d):
-    rows = E.bandpower(win_psd(s, d), [*IDS, "window"], {"slow": E.SLOW, "fast": E.FAST, "alpha": E.ALPHA})
+    rows = E.bandpower_of(J.windowed_psd(V.signals(s, d), V.FS, HALVES, 1.0), {"slow": E.SLOW, "fast": E.FAST, "alpha": E.ALPHA})
     at = lambda w, b: F.max(F.when(F.col("window") == w, F.col(b))).alias(f"{w}_{b}")
     return rows.groupBy(*IDS).agg(*[at(w, b) for w in ("pre", "post") for b in ("slow", "fast", "alpha")])
 
 
 def features(s, d):
-    return E.psi_cog(E.alpha_features(V.psd(s, d), IDS))
+    return E.psi_cog(E.alpha_features_of(spectra(s, d)).drop("f", "p", "samples"))
+
+
+def spectra(s, d):
+    """The spectra of ``views.psd``, arrays still."""
+    return J.welch_psd(V.signals(s, d), V.FS, 1.0, 0.5)
 
 
 def phases_at(s, d):
@@ -75,8 +80,8 @@ QUERIES = {
     "j1_welch_psd": q(lambda s, d: V.psd(s, d), "subject trial unit", "f p", "SELECT * FROM psd", "psd"),
     "j2_windowed_psd": q(win_psd, "subject trial unit window", "f p", "SELECT * FROM win_psd", "win_psd"),
     "e1_ga_psd": q(lambda s, d: E.ga_psd(V.psd(s, d), ["subject", "unit"]), "subject unit", "f p", "SELECT subject, unit, f, avg(p) AS p FROM psd GROUP BY ALL", "psd"),
-    "e2_bandpower": q(lambda s, d: E.bandpower(V.psd(s, d), IDS, {"theta": (4.0, 8.0), "alpha": (8.0, 12.0), "none": (40.0, 50.0)}), "subject trial unit", "theta alpha none", f"WITH {SEG} SELECT subject, trial, unit, {tz(4, 8)} AS theta, {tz(8, 12)} AS alpha, {tz(40, 50)} AS none FROM seg GROUP BY ALL", "psd"),
-    "e3_paf_cog": q(lambda s, d: E.paf_cog(V.psd(s, d), IDS), "subject trial unit", "paf_cog_hz", f"WITH {SEG} SELECT subject, trial, unit, {COG} AS paf_cog_hz FROM seg GROUP BY ALL", "psd"),
+    "e2_bandpower": q(lambda s, d: E.bandpower_of(spectra(s, d), {"theta": (4.0, 8.0), "alpha": (8.0, 12.0), "none": (40.0, 50.0)}), "subject trial unit", "theta alpha none", f"WITH {SEG} SELECT subject, trial, unit, {tz(4, 8)} AS theta, {tz(8, 12)} AS alpha, {tz(40, 50)} AS none FROM seg GROUP BY ALL", "psd"),
+    "e3_paf_cog": q(lambda s, d: spectra(s, d).withColumn("paf_cog_hz", E.bandpower_array("f", "p", *E.ALPHA, True) / (E.bandpower_array("f", "p", *E.ALPHA) + E.EPS)), "subject trial unit", "paf_cog_hz", f"WITH {SEG} SELECT subject, trial, unit, {COG} AS paf_cog_hz FROM seg GROUP BY ALL", "psd"),
     "e3_paf_cog_sum": q(lambda s, d: E.paf_cog(V.psd(s, d), IDS, method="sum"), "subject trial unit", "paf_cog_hz", "SELECT subject, trial, unit, sum(f * p) / sum(p) AS paf_cog_hz FROM psd WHERE f BETWEEN 8 AND 12 GROUP BY ALL", "psd"),
     "e4_alpha_features": q(features, "subject trial unit", "paf_cog_hz pow_slow_alpha pow_fast_alpha pow_alpha_total rel_slow_alpha rel_fast_alpha sf_ratio sf_logratio sf_balance slow_alpha_frac", f"WITH {SEG}, {FEAT} SELECT subject, trial, unit, cog AS paf_cog_hz, slow AS pow_slow_alpha, fast AS pow_fast_alpha, total AS pow_alpha_total, slow / (total + 1e-12) AS rel_slow_alpha, fast / (total + 1e-12) AS rel_fast_alpha, slow / (fast + 1e-12) AS sf_ratio, ln((slow + 1e-12) / (fast + 1e-12)) AS sf_logratio, sf_balance, slow / (slow + fast + 1e-12) AS slow_alpha_frac FROM feat", "psd"),
     "e5_psi_cog": q(features, "subject trial unit", "psi_cog", f"WITH {SEG}, {FEAT} SELECT subject, trial, unit, sf_balance * (cog - 10) AS psi_cog FROM feat", "psd"),

@@ -99,6 +99,11 @@ def channel_vs_source(s, d):
     return L.ttest_statistics(both, ["g"], "channel", "source")
 
 
+def screened(s, d):
+    """The long metrics, each with the price of its row."""
+    return wide(s, d).withColumn("y", F.col("extendedprice")).unpivot(["subject", "trial", "unit", "y"], ["quantity", "extendedprice", "discount", "tax"], "metric_name", "metric_value")
+
+
 def covariates(s, d):
     """Trials with their subject's age, sex, cap and experiment."""
     people = V.subjects(s, d).select("subject", (F.col("age") / 50.0).alias("age"), "sex")
@@ -118,7 +123,7 @@ def report(s, d):
         {
             "paired tests": (L.ttest_statistics(two_metrics(s, d), ["g"], "x", "y"), "g", "t", None),
             "model fits": (fits(s, d), "concat(roi, ' ', model_name)", "aic", "p"),
-            "screens": (L.linear_screen(V.metrics_long(s, d).join(wide(s, d).select("subject", "trial", "unit", F.col("extendedprice").alias("y")), ["subject", "trial", "unit"]), "y"), "concat(unit, ' ', metric_name)", "r2", None),
+            "screens": (L.linear_screen(screened(s, d), "y"), "concat(unit, ' ', metric_name)", "r2", None),
         },
         0.1,
     )
@@ -178,7 +183,7 @@ QUERIES = {
     "l5_rayleigh_fdr": q(lambda s, d: W.fdr_bh(E.rayleigh(V.phase(s, d), ["subject", "unit"]), ["unit"], "p", "subject"), "subject unit n", "r p p_adj", "WITH x AS (SELECT subject, unit, count(*) AS n, sqrt(pow(avg(cos(phase)), 2) + pow(avg(sin(phase)), 2)) AS r FROM phase GROUP BY ALL HAVING count(*) >= 5), y AS (SELECT *, n * r * r AS z FROM x), w AS (SELECT *, greatest(0, least(1, exp(-z) * (1 + (2*z - z*z) / (4*n) - (24*z - 132*z*z + 76*z*z*z - 9*z*z*z*z) / (288*n*n)))) AS p FROM y), k AS (SELECT *, row_number() OVER (PARTITION BY unit ORDER BY p, subject) AS i, count(*) OVER (PARTITION BY unit) AS m FROM w) SELECT subject, unit, n, r, p, least(1, min(p * m / i) OVER (PARTITION BY unit ORDER BY i ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)) AS p_adj FROM k", "phase"),
     "l6_permutation_p": q(lambda s, d: L.permutation_p(replicate_rows(s, d), ["unit"], "event_id", "laser_power", "pain_rating", 1000), "unit n_ge", "r p"),
     "l7_bootstrap_ci": q(lambda s, d: L.bootstrap_ci(V.predictions(s, d), ["model"], "fold", "actual", "predicted", 500), "model metric", "ci_low median ci_high"),
-    "l8_linear_screen": q(lambda s, d: L.linear_screen(V.metrics_long(s, d).join(wide(s, d).select("subject", "trial", "unit", F.col("extendedprice").alias("y")), ["subject", "trial", "unit"]), "y"), "unit metric_name n", "slope r2", "SELECT unit, metric_name, count(*) AS n, corr(metric_value, y) AS slope, pow(corr(metric_value, y), 2) AS r2 FROM metrics_long JOIN (SELECT subject, trial, unit, extendedprice AS y FROM metrics_wide) USING (subject, trial, unit) GROUP BY ALL", "metrics_long metrics_wide"),
+    "l8_linear_screen": q(lambda s, d: L.linear_screen(screened(s, d), "y"), "unit metric_name n", "slope r2", "SELECT unit, metric_name, count(*) AS n, corr(metric_value, y) AS slope, pow(corr(metric_value, y), 2) AS r2 FROM metrics_long JOIN (SELECT subject, trial, unit, extendedprice AS y FROM metrics_wide) USING (subject, trial, unit) GROUP BY ALL", "metrics_long metrics_wide"),
     "l9_additive_mixed": q(lambda s, d: L.additive_mixed_fit(covariates(s, d), ["unit"], ["laser_power", "trial_z"], ["age"], "subject", "pain_rating", ["sex", "cap_size"], [("laser_power", "trial_z")], "experiment_id").selectExpr("*", "posexplode(terms) AS (term, name)").selectExpr("*", "term_edf[term] AS own_edf", "term_f[term] AS own_f", "term_p[term] AS own_p"), "unit n n_subjects name", "penalty edf r_sq aic bic f p own_edf own_f own_p"),
     "l10_safe_k": q(lambda s, d: L.safe_k(V.trials(s, d), ["subject", "unit"], "laser_power", 8), "subject unit k", "", "SELECT subject, unit, greatest(3, least(8, count(DISTINCT laser_power) - 1)) AS k FROM trials GROUP BY ALL", "trials"),
     "l11_guards": q(lambda s, d: L.model_matrix_guards(wide(s, d), ["subject"], ["unit", "discount"]), "subject use_unit use_discount", "", "SELECT subject, count(DISTINCT unit) > 1 AS use_unit, count(DISTINCT discount) > 1 AS use_discount FROM metrics_wide GROUP BY subject", "metrics_wide"),
