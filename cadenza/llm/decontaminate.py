@@ -12,7 +12,6 @@ pairs are counted, and only those with seeds enough are tiled.
 
 from __future__ import annotations
 
-import functools
 import heapq
 from collections import Counter, defaultdict
 from collections.abc import Iterator
@@ -90,18 +89,20 @@ class Items:
     """Some items, ready to be sought: sorted seed hashes with the item of each."""
 
     def __init__(self, rows: list[tuple[int, str]], least: int = SEED_TOKENS):
-        self.least, self.ids, self.texts, self.sizes = least, [], [], []
+        self.least, self.ids, self.texts, self.least_seeds = least, [], [], []
         hashes, owners = [], []
         for item_id, text in rows:
             raw = tokens(text)
             own, grams = _grams(raw, least)
             if item_id is None or len(own) < least:
                 continue
-            hashes.append(np.unique(grams))
+            distinct, counts = np.unique(grams, return_counts=True)
+            hashes.append(distinct)
+            # A shared seed covers ``least`` tokens at each of its places in the item, at most.
+            self.least_seeds.append(len(own) / least / int(counts.max()))
             owners.append(np.full(len(hashes[-1]), len(self.ids)))
             self.ids.append(item_id)
             self.texts.append(raw)
-            self.sizes.append(len(own))
         all_hashes = np.concatenate(hashes) if hashes else np.zeros(0, np.uint64)
         order = np.argsort(all_hashes, kind="stable")
         self.hashes, self.owners = all_hashes[order], (np.concatenate(owners) if owners else np.zeros(0, np.int64))[order]
@@ -122,14 +123,9 @@ class Items:
                 lo, hi = (np.searchsorted(self.hashes, found, side) for side in ("left", "right"))
                 shared = Counter(x for a, b in zip(lo.tolist(), hi.tolist()) for x in self.owners[a:b].tolist())
                 for item, n in sorted(shared.items()):
-                    if n * self.least >= coverage * self.sizes[item] / self.repeats(item) and (made := tiled(self.texts[item], texts[first + doc], self.least, coverage)):
+                    if n + 1e-9 >= coverage * self.least_seeds[item] and (made := tiled(self.texts[item], texts[first + doc], self.least, coverage)):
                         yield first + doc, self.ids[item], *made
 
-    @functools.cache  # noqa: B019
-    def repeats(self, item: int) -> int:
-        """How often an item has the seed that it has most often: so many places a shared seed stands for at most."""
-        return int(np.unique(_grams(self.texts[item], self.least)[1], return_counts=True)[1].max())
-
 
 def _items(benchmark: DataFrame) -> tuple[DataFrame, bool]:
     """(item_id, text) of the benchmark, and whether tasks may hold it: it was counted."""
