@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import context_tree, decontaminate, media, mixing, quality, secrets, simhash, substring_dedup, tokens, window_dedup
+from . import context_tree, decontaminate, media, mixing, periodicity, quality, secrets, simhash, substring_dedup, tokens, window_dedup
 from .common import read, stored
 
 TOKENIZER = "word_bpe_49k.json"
@@ -52,6 +52,10 @@ def op10_benchmark_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contaminated(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
 
+def op12_block_convolution(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodicity.run_report(periodicity.planted(read(spark, sf_dir, "documents")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -65,6 +69,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_simhash_components,
         op9_token_archives,
         op10_benchmark_tiles,
+        op12_block_convolution,
     )
 }
 ORACLES: dict[str, str] = {"op3_source_mix": mixing.ORACLE, "op6_count_min_windows": window_dedup.ORACLE}
