@@ -6,10 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import context_tree, decontaminate, media, mixing, periodicity, quality, secrets, simhash, substring_dedup, tokens, window_dedup
+from . import alignment, context_tree, decontaminate, media, mixing, periodicity, quality, secrets, simhash, substring_dedup, tokens, window_dedup
 from .common import read, stored
 
 TOKENIZER = "word_bpe_49k.json"
+#: The two of op13.
+ALIGNED = ("byte_bpe_50k.json", "piece_bpe_32k.model")
 
 
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -56,6 +58,10 @@ def op12_block_convolution(spark: SparkSession, sf_dir: str) -> DataFrame:
     return periodicity.run_report(periodicity.planted(read(spark, sf_dir, "documents")))
 
 
+def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.alignment_report(read(spark, sf_dir, "documents"), *map(tokens.public_tokenizer, ALIGNED))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -70,6 +76,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op9_token_archives,
         op10_benchmark_tiles,
         op12_block_convolution,
+        op13_token_alignment,
     )
 }
 ORACLES: dict[str, str] = {"op3_source_mix": mixing.ORACLE, "op6_count_min_windows": window_dedup.ORACLE}
