@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import alignment, context_tree, decontaminate, media, mixing, periodicity, quality, secrets, simhash, substring_dedup, tokens, window_dedup
+from . import alignment, context_tree, decontaminate, media, mixing, periodicity, quality, secrets, simhash, substring_dedup, templates, tokens, window_dedup
 from .common import read, stored
 
 TOKENIZER = "word_bpe_49k.json"
@@ -54,6 +54,10 @@ def op10_benchmark_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contaminated(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
 
+def op11_site_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return templates.main_texts(read(spark, sf_dir, "pages"))
+
+
 def op12_block_convolution(spark: SparkSession, sf_dir: str) -> DataFrame:
     return periodicity.run_report(periodicity.planted(read(spark, sf_dir, "documents")))
 
@@ -75,6 +79,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_simhash_components,
         op9_token_archives,
         op10_benchmark_tiles,
+        op11_site_templates,
         op12_block_convolution,
         op13_token_alignment,
     )
