@@ -49,7 +49,8 @@ class WordEncoder(dict[bytes, bytes]):
 
     For tokenizers that drop white space and whose normaliser and splitter never look across it, the
     ids of a text are those of its words in order. The library encodes each distinct word; of a tokenizer that
-    lower-cases and parts letters from marks, as here, its small letters and the mark that ends it.
+    lower-cases and parts letters from marks, as here, the small letters of a word of ASCII, and apart a mark after an ASCII letter.
+    Other words are encoded as they are: composing comes before lower-casing, and a capital may not compose where its small letter does.
     """
 
     def __init__(self, path: str, remembered: int = REMEMBERED):
@@ -65,7 +66,7 @@ class WordEncoder(dict[bytes, bytes]):
         if ids is None:
             if word[-1:] in MARKS and word[-2:-1].isalpha() and b"<|" not in word:
                 ids = self[word[:-1]] + self[word[-1:]]
-            elif (small := word.lower()) != word and b"<|" not in word:
+            elif word.isascii() and (small := word.lower()) != word and b"<|" not in word:
                 ids = self[small]
             else:
                 ids = array("I", self.tokenizer.encode(word.decode(), add_special_tokens=False).ids).tobytes()

@@ -126,7 +126,11 @@ def test_token_archives(spark, data):
 def test_words_have_the_ids_of_whole_texts():
     own = tokens.WordEncoder(tokens.public_tokenizer("word_bpe_49k.json"), remembered=500)
     rng = np.random.default_rng(4)
-    texts = ["".join(map(chr, rng.integers(0, 0x250, n))) for n in rng.integers(1, 12, 4000)] + ["\x7féa", "a\x85é", "<|STARTOFTEXT|>. It's A.B, DON'T! a\u0301. É\u0327. x²? ĳ; ", "I\u0307. K\u0301!", "é" * 5000 + " \u0301b"]
+    texts = ["".join(map(chr, rng.integers(0, 0x370, n))) for n in rng.integers(1, 12, 4000)]
+    letters = [*range(65, 91), *range(97, 123), *range(0x300, 0x370), *range(0x370, 0x400), *range(0x1100, 0x1113), *range(0x1161, 0x1176), *range(0x1E00, 0x1F00), *map(ord, " .,'-")]
+    texts += ["".join(map(chr, rng.choice(letters, n))) for n in rng.integers(1, 12, 12000)]
+    texts += [chr(c) + chr(m) + end for c in range(65, 91) for m in range(0x300, 0x370) for end in ("", ".", "x,")] + ["J\u030c H\u0331 T\u0308 W\u030a Y\u030a"]
+    texts += ["\x7féa", "a\x85é", "<|STARTOFTEXT|>. It's A.B, DON'T! a\u0301. É\u0327. x²? ĳ; ", "I\u0307. K\u0301!", "é" * 5000 + " \u0301b"]
     wanted = [np.array(own.tokenizer.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
     assert list(map(own.encode, texts)) == wanted
 
