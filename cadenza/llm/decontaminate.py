@@ -12,17 +12,16 @@ pairs are counted, and only those with seeds enough are tiled.
 
 from __future__ import annotations
 
-import heapq
-from collections import Counter, defaultdict
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import KEY_ROWS, join_small, packed_row, stored, whole_text
-from .vectors import segments, windows, within, words
+from .vectors import mixed, segments, stretch_hashes, token_sums, windows, within, words
 
 SEED_TOKENS, COVERAGE = 5, 0.8
 #: Bytes of items that tasks hold; some ten times as much with their hashes.
@@ -34,36 +33,78 @@ def tokens(text: str) -> bytes:
     return text.encode("utf-8", "surrogatepass").translate(_TOKENS)
 
 
-def greedy_tiles(item: np.ndarray, text: np.ndarray, seeds: list[tuple[int, int]], least: int = SEED_TOKENS) -> list[tuple[int, int, int]]:
-    """Non-overlapping (start in item, start in text, length), longest first, from (item, text) starts of
-    matches of ``least`` tokens."""
-    runs: list[tuple[int, int, int]] = []
-    by_diagonal: dict[int, list[int]] = defaultdict(list)
-    for i, j in seeds:
-        by_diagonal[j - i].append(i)
-    for d, starts in by_diagonal.items():
-        a = np.unique(starts)
-        for part in np.split(a, np.flatnonzero(np.diff(a) > 1) + 1):
-            runs.append((-int(part[-1] - part[0] + least), int(part[0]), int(part[0]) + d))
-    heapq.heapify(runs)
-    used_item, used_text = np.zeros(len(item), bool), np.zeros(len(text), bool)
-    tiles = []
-    while runs:
-        minus, i, j = heapq.heappop(runs)
-        n = -minus
-        taken = used_item[i : i + n] | used_text[j : j + n]
-        if taken.any():
-            free = np.flatnonzero(np.diff(~taken, prepend=False, append=False))
-            for a, b in zip(free[::2].tolist(), free[1::2].tolist()):
-                if b - a >= least:
-                    heapq.heappush(runs, (a - b, i + a, j + a))
-            continue
-        used_item[i : i + n] = True
-        used_text[j : j + n] = True
-        tiles.append((i, j, n))
+def _free(taken: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """From each place on: the tokens up to the next taken one or the end of its stretch."""
+    stops = np.append(np.flatnonzero(taken), len(taken))
+    return np.minimum(ends, stops[np.searchsorted(stops, np.arange(len(taken)))]) - np.arange(len(taken))
+
+
+def greedy_tiles(item: np.ndarray, text: np.ndarray, least: int = SEED_TOKENS) -> list[tuple[int, int, int]]:
+    """Non-overlapping (start in item, start in text, length) of equal tokens, given as numbers, ``least`` or longer.
+
+    The longest match of tokens that aren't marked is marked, again and again; of equal ones that which comes first in the item, then
+    in the text. Its length is found by bisection, by running hashes of the stretches of a length that aren't marked."""
+    near = np.flatnonzero(np.isin(windows(_hashed(text), least), windows(_hashed(item), least)))
+    cover = np.zeros(len(text) + 1, np.int64)
+    np.add.at(cover, near, 1)
+    np.add.at(cover, near + least, -1)
+    places = np.flatnonzero(np.cumsum(cover)[:-1] > 0)  # of the text only what seeds cover
+    if not len(places):
+        return []
+    own = text[places]
+    breaks = np.append(np.flatnonzero(np.diff(places) > 1) + 1, len(places))
+    ends = breaks[np.searchsorted(breaks, np.arange(len(places)), "right")]
+    sums = [token_sums(_hashed(x)) for x in (item, own)]
+    taken = [np.zeros(len(x), bool) for x in (item, own)]
+    whole = [np.full(len(item), len(item)), ends]
+    tiles, longest = [], len(item)
+
+    def starts(size: int) -> list[tuple[np.ndarray, np.ndarray]]:
+        out = []
+        for k in (0, 1):
+            at = np.flatnonzero(free[k] >= size)
+            out.append((at, stretch_hashes(sums[k], at, at + size)))
+        return out
+
+    while longest >= least:
+        free = [_free(t, e) for t, e in zip(taken, whole)]
+        low, high = least - 1, min(longest, int(free[0].max()), int(free[1].max()))
+        while low < high:
+            size = (low + high + 1) >> 1
+            (_, a), (_, b) = starts(size)
+            if len(a) and len(b) and np.isin(a, b).any():
+                low = size
+            else:
+                high = size - 1
+        if low < least:
+            break
+        (at, a), (to, b) = starts(low)
+        order = np.argsort(b, kind="stable")
+        to, b = to[order], b[order]
+        free_from = 0
+        for i, lo, hi in zip(at.tolist(), np.searchsorted(b, a).tolist(), np.searchsorted(b, a, "right").tolist()):
+            if lo == hi or i < free_from:
+                continue
+            while lo < hi:
+                j = int(to[lo])
+                marked = np.flatnonzero(taken[1][j : j + low])
+                if len(marked):
+                    lo += int(np.searchsorted(to[lo:hi], j + int(marked[-1]) + 1))
+                elif (item[i : i + low] == own[j : j + low]).all():
+                    taken[0][i : i + low] = taken[1][j : j + low] = True
+                    tiles.append((i, int(places[j]), low))
+                    free_from = i + low
+                    break
+                else:
+                    lo += 1
+        longest = low - 1
     return tiles
 
 
+def _hashed(numbers: np.ndarray) -> np.ndarray:
+    return mixed(numbers.astype(np.uint64) + np.uint64(1))
+
+
 def _grams(raw: bytes, least: int) -> tuple[np.ndarray, np.ndarray]:
     """(hashes of the tokens, of their runs of ``least``) of one text."""
     own = words(raw + b" ", np.array([0, len(raw) + 1]))[2]
@@ -71,16 +112,14 @@ def _grams(raw: bytes, least: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def tiled(item: bytes, text: bytes, least: int, coverage: float) -> tuple[int, int, int] | None:
-    """(item's tokens, covered ones, tiles) if enough of the item is covered. Hashes find the matches, tokens decide."""
-    (a, seeds_a), (b, seeds_b) = _grams(item, least), _grams(text, least)
-    order = np.argsort(seeds_a, kind="stable")
-    lo, hi = (np.searchsorted(seeds_a[order], seeds_b, side) for side in ("left", "right"))
-    at = np.flatnonzero(hi > lo)
-    pairs = [(int(i), int(j)) for j in at.tolist() for i in order[lo[j] : hi[j]].tolist()]
-    if not len(a) or len({i for i, _ in pairs}) * least < coverage * len(a):
+    """(item's tokens, covered ones, tiles) if enough of the item is covered. Seeds' hashes exclude pairs, tokens decide."""
+    (a, seeds_a), (_, seeds_b) = _grams(item, least), _grams(text, least)
+    if not len(a) or int(np.isin(seeds_a, seeds_b).sum()) * least < coverage * len(a):
         return None  # each seed covers at most ``least`` tokens
-    own, other = item.split(), text.split()
-    tiles = greedy_tiles(a, b, [(i, j) for i, j in pairs if own[i : i + least] == other[j : j + least]], least)
+    numbers: dict[bytes, int] = {}
+    own = np.array([numbers.setdefault(w, len(numbers)) for w in item.split()])
+    other = np.array([numbers.get(w, len(numbers)) for w in text.split()])  # one number for all that the item lacks
+    tiles = greedy_tiles(own, other, least)
     covered = sum(x[2] for x in tiles)
     return (len(a), covered, len(tiles)) if covered >= coverage * len(a) else None
 
@@ -167,13 +206,20 @@ def _seeds(rows: DataFrame, keys: list[str], least: int) -> DataFrame:
 def _joined(rows: DataFrame, items: DataFrame, coverage: float, least: int = SEED_TOKENS) -> DataFrame:
     """The same as ``_held`` for items (item_id, text) of any number: a join by seeds."""
     items = stored(items.where("item_id IS NOT NULL").withColumn("item", F.xxhash64("item_id", "text")).dropDuplicates(["item"]), "items")
-    wanted = _seeds(items, ["item"], least)
+    wanted = stored(_seeds(items, ["item"], least), "item-seeds")
+    # An item that is covered shares seeds at coverage * n / least places or more. So those of its seeds that most items have needn't
+    # meet documents, as long as they are at fewer places: the others must still share the rest.
+    counted = join_small(wanted, wanted.groupBy("seed").agg(F.count("*").alias("items")), "seed", "inner")
+    before = F.sum("times").over(Window.partitionBy("item").orderBy(F.desc("items"), "seed"))
+    ranked = counted.withColumn("dropped", (F.col("items") > 1) & (before * least < coverage * F.col("n")))
+    ranked = ranked.withColumn("left_out", F.sum(F.when(F.col("dropped"), F.col("times")).otherwise(0)).over(Window.partitionBy("item")))
+    ranked = stored(ranked.where(~F.col("dropped")).select("item", "n", "seed", "times", "left_out"), "rare-seeds")
     # A seed of very many documents meets the few items that have it; its documents are spread by salts.
     salt = F.pmod(F.xxhash64("key"), F.lit(32)).cast("int")
     asked = _seeds(rows.dropDuplicates(["key"]), ["key"], least).select("key", "seed", salt.alias("salt"))
-    offered = wanted.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(31))))
-    shared = asked.join(offered, ["seed", "salt"]).groupBy("key", "item").agg(F.sum("times").alias("places"), F.first("n").alias("n"))
-    pairs = stored(shared.where(F.col("places") * least >= coverage * F.col("n")).select("key", "item"), "seed-pairs")
+    offered = ranked.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(31))))
+    shared = asked.join(offered, ["seed", "salt"]).groupBy("key", "item").agg(F.sum("times").alias("places"), F.first("n").alias("n"), F.first("left_out").alias("left_out"))
+    pairs = stored(shared.where((F.col("places") + F.col("left_out")) * least >= coverage * F.col("n")).select("key", "item"), "seed-pairs")
     texts = join_small(rows.select("key", "text"), pairs.select("key").distinct(), "key", "left_semi", most=KEY_ROWS).dropDuplicates(["key"])
     both = pairs.join(items.withColumnRenamed("text", "item_text"), "item").join(texts, "key")
 

@@ -69,6 +69,14 @@ def byte_sums(data: np.ndarray) -> np.ndarray:
     return sums
 
 
+def token_sums(hashes: np.ndarray) -> np.ndarray:
+    """The same of tokens, given by hashes."""
+    up, _ = _tables(len(hashes) + 1)
+    sums = np.zeros(len(hashes) + 1, np.uint64)
+    np.cumsum(hashes * up[: len(hashes)], out=sums[1:])
+    return sums
+
+
 def stretch_hashes(sums: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     _, down = _tables(len(sums))
     return mixed((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64))

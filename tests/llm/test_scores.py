@@ -298,8 +298,23 @@ def test_tiles_match_naive():
     for _ in range(30):
         a = rng.integers(0, 3, 14).tolist()
         b = (a[7:] + rng.integers(0, 3, 4).tolist() + a[:8]) if rng.random() < 0.5 else rng.integers(0, 3, 20).tolist()
-        seeds = [(i, j) for i in range(len(a) - 2) for j in range(len(b) - 2) if a[i : i + 3] == b[j : j + 3]]
-        assert decontaminate.greedy_tiles(np.array(a), np.array(b), seeds, 3) == naive_tiles(a, b, 3)
+        assert decontaminate.greedy_tiles(np.array(a), np.array(b), 3) == naive_tiles(a, b, 3)
+    for _ in range(60):
+        a = rng.integers(0, int(rng.integers(1, 5)), int(rng.integers(3, 40))).tolist()
+        b = [x for _ in range(4) for x in (a[int(rng.integers(len(a))) :], rng.integers(0, 5, 3).tolist())[int(rng.integers(2))]]
+        assert decontaminate.greedy_tiles(np.array(a), np.array(b, dtype=int), 3) == naive_tiles(a, b, 3)
+
+
+def test_long_repetitive_texts():
+    """An item of 1,000 equal tokens and one of a short period against a million tokens of a log, in little time and memory."""
+    import resource
+    import time
+
+    began, before = time.time(), resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+    assert decontaminate.tiled(b"zero " * 1000, b"zero " * 1_000_000, 5, 0.8) == (1000, 1000, 1)
+    assert decontaminate.tiled(b"a b " * 500 + b"c", (b"a b " * 100 + b"x ") * 4000, 5, 0.8) == (1001, 1000, 5)
+    assert decontaminate.tiled(b"one two three four five six", b"zero " * 1_000_000, 5, 0.8) is None
+    assert time.time() - began < 60 and resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before < 700_000
 
 
 def test_contaminated(spark, data, monkeypatch):
