@@ -28,11 +28,23 @@ def scratch_dir(spark: SparkSession) -> str:
     return named
 
 
+#: Bytes of a batch of rows that goes to a Python worker, where the session doesn't say; texts may be long.
+BATCH_BYTES = "2m"
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Batches of rows are bounded by bytes for the session, unless it has its own bound: Spark's default of 64 MB is held
+    several times over by the executor and its worker."""
+    if spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch", None) is None:
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Writes ``df`` as a table in the shared folder and reads it back: its lineage ends there.
 
     Lost executors lose none of it. The session's end deletes it."""
     spark = df.sparkSession
+    small_batches(spark)
     path = f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     delete_at_end(spark, path)
@@ -45,6 +57,7 @@ def delete_at_end(spark: SparkSession, path: str) -> None:
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
