@@ -5,7 +5,7 @@ from __future__ import annotations
 
 import functools
 import math
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -14,9 +14,10 @@ from pyspark.sql import functions as F
 
 from cadenza.functions.distributions import f_upper, t_quantile, t_two_sided
 from cadenza.operators.filters import guarded_corr
-from cadenza.operators.joins import unit_pairs
+from cadenza.operators.joins import dimension, unit_pairs
 from cadenza.operators.summaries import eval_metrics
-from cadenza.operators.windows import avg_rank, fdr_bh
+from cadenza.operators.windows import fdr_bh
+from cadenza.sources.scratch import scratch_path
 
 
 def paired_ttest(df: DataFrame, keys: list[str], x: str, y: str, least: int = 3) -> DataFrame:
@@ -387,48 +388,116 @@ def seeded(seed: int, *columns: str) -> Column:
     return F.pmod(F.xxhash64(F.lit(seed), *columns), F.lit(1 << 52)) / float(1 << 52)
 
 
+#: Rows that are permuted together, and rows of a key up to which a task makes the ranks of its replicates.
+BLOCK_ROWS, HELD_ROWS = 1 << 17, 2_000_000
+
+
 def permutation_p(df: DataFrame, keys: list[str], row: str, x: str, y: str, n_perm: int = 1000, seed: int = 42, plus_one: bool = True) -> DataFrame:
     """(keys, r, n_ge, p): |r| against shuffles of y within keys; (c + 1) / (n + 1), or c / n but 1 / n at least.
 
-    A replicate pairs the k-th row with the k-th y of its seeded order: replicates are rows, so no group
-    is held whole by one task beyond its sort."""
-    rows = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).withColumn("_k", F.row_number().over(Window.partitionBy(*keys).orderBy(row)))
-    reps = rows.select(*keys, row, y, F.explode(F.sequence(F.lit(1), F.lit(n_perm))).alias("rep"))
-    shuffled = reps.withColumn("_k", F.row_number().over(Window.partitionBy(*keys, "rep").orderBy(seeded(seed, "rep", row), row))).select(*keys, "rep", "_k", F.col(y).alias("_y"))
-    r = guarded_corr(x, "_y")
-    draws = shuffled.join(rows.select(*keys, "_k", x), [*keys, "_k"]).groupBy(*keys, "rep").agg(r.alias("_r"))
-    true = rows.groupBy(*keys).agg(guarded_corr(x, y).alias("r"))
-    count = draws.join(true, keys).groupBy(*keys).agg(F.first("r").alias("r"), F.count_if(F.abs("_r") >= F.abs("r") - 1e-12).alias("n_ge"), F.count("_r").alias("_n"))
+    A key's rows are shuffled between tasks once, whatever ``n_perm`` is: permutations are made where they lie, and a replicate is one
+    sum of products. Beyond BLOCK_ROWS a key's rows are dealt by a hash into blocks of about so many, and y is permuted within each:
+    under the hypothesis rows can be exchanged, so also within parts that don't depend on them. Rows are taken in the
+    order of ``row`` and the values, and seeds follow from the keys, so the same seed gives the same p."""
+    rows = df.where(F.col(x).isNotNull() & F.col(y).isNotNull())
+    stats = rows.groupBy(*keys).agg(F.count("*").alias("_n"), F.avg(x).alias("_mx"), F.avg(y).alias("_my"), guarded_corr(x, y).alias("r"))
+    placed = rows.join(dimension(stats), keys)
+    block = F.pmod(F.xxhash64(F.lit(seed), F.lit("block"), row), F.ceil(F.col("_n") / BLOCK_ROWS))
+    placed = placed.select(*keys, block.alias("_block"), F.col(row).alias("_row"), (F.col(x) - F.col("_mx")).alias("_x"), (F.col(y) - F.col("_my")).alias("_y"))
+    placed = placed.withColumn("_seed", F.xxhash64(F.lit(seed), *[F.col(k).cast("string") for k in keys], "_block"))
+    kinds = ", ".join(f"`{c}` {t}" for c, t in placed.dtypes[: len(keys)]) + ", xx double, yy double, xy array<double>"
+
+    def run(own: pd.DataFrame) -> pd.DataFrame:
+        own = own.sort_values(["_row", "_x", "_y"])
+        a, b = own["_x"].to_numpy(float), own["_y"].to_numpy(float)
+        rng = np.random.default_rng(int(own["_seed"].iloc[0]) % (1 << 64))
+        return pd.DataFrame([[*(own[k].iloc[0] for k in keys), a @ a, b @ b, [float(a @ rng.permutation(b)) for _ in range(n_perm)]]], columns=[*keys, "xx", "yy", "xy"])
+
+    sums = placed.groupBy(*keys, "_block").applyInPandas(run, kinds)
+    draws = sums.select(*keys, "xx", "yy", F.posexplode("xy").alias("rep", "xy")).groupBy(*keys, "rep").agg(*[F.sum(c).alias(c) for c in ("xx", "yy", "xy")])
+    draws = draws.select(*keys, (F.col("xy") / F.sqrt(F.nullif(F.col("xx") * F.col("yy"), F.lit(0.0)))).alias("_r"))
+    count = draws.join(dimension(stats.select(*keys, "r")), keys).groupBy(*keys).agg(F.first("r").alias("r"), F.count_if(F.col("r").isNotNull() & (F.abs("_r") >= F.abs("r") - 1e-12)).alias("n_ge"), F.count(F.when(F.col("r").isNotNull(), F.col("_r"))).alias("_n"))
     p = (F.col("n_ge") + 1) / (F.col("_n") + 1) if plus_one else F.greatest(F.col("n_ge"), F.lit(1)) / F.nullif("_n", F.lit(0))
     return count.withColumn("p", F.when(F.col("r").isNotNull(), p)).drop("_n")
 
 
+def weighted_spearman(x: np.ndarray, y: np.ndarray, weights: Iterable[np.ndarray]) -> list[float | None]:
+    """For each of ``weights`` the correlation of the ranks that the points have when each is repeated so often."""
+    codes = [np.unique(v, return_inverse=True)[1] for v in (x, y)]
+    out: list[float | None] = []
+    for w in weights:
+        n, ranks, spreads = float(w.sum()), [], []
+        for c in codes:
+            at = np.bincount(c, w)
+            rank = np.cumsum(at) - (at - 1) / 2 - (n + 1) / 2  # the middle of its copies, from the mean
+            ranks.append(rank[c])
+            spreads.append(float(at @ (rank * rank)))
+        norm = math.sqrt(spreads[0] * spreads[1])
+        out.append(float((w * ranks[0]) @ ranks[1]) / norm if norm > 0 else None)
+    return out
+
+
+def _replicate_ranks(rows: DataFrame, drawn: DataFrame, keys: list[str], x: str, y: str, parts: int = 4) -> DataFrame:
+    """(keys, rep, spearman_rho) of rows (keys, _k: subject) weighted by ``drawn`` (keys, rep, _k, c).
+
+    Keys of up to HELD_ROWS rows: each of ``parts`` tasks holds a key's rows and makes the ranks of its share of the replicates.
+    Larger ones: rows meet their weights in a join, and windows, which spill, make the ranks."""
+    sizes = rows.groupBy(*keys).agg(F.count("*").alias("_size"))
+    sized = rows.select(*keys, "_k", F.col(x).cast("double").alias("_x"), F.col(y).cast("double").alias("_y")).join(dimension(sizes), keys)
+    kinds = ", ".join(f"`{c}` {t}" for c, t in sized.dtypes[: len(keys)]) + ", rep int, spearman_rho double"
+
+    def run(own: pd.DataFrame, draws: pd.DataFrame) -> pd.DataFrame:
+        if own.empty or draws.empty:
+            return pd.DataFrame(columns=[*keys, "rep", "spearman_rho"])
+        reps, at = np.unique(draws["rep"].to_numpy(), return_inverse=True)
+        subjects, of = np.unique(own["_k"].to_numpy(), return_inverse=True)
+        place = np.searchsorted(subjects, draws["_k"].to_numpy())
+        chosen = np.zeros((len(reps), len(subjects)))
+        chosen[at, place] = draws["c"].to_numpy()
+        rho = weighted_spearman(own["_x"].to_numpy(), own["_y"].to_numpy(), (w[of] for w in chosen))
+        return pd.DataFrame({k: [own[k].iloc[0]] * len(reps) for k in keys} | {"rep": reps, "spearman_rho": pd.Series(rho, dtype="float64")})
+
+    small = sized.where(F.col("_size") <= HELD_ROWS).withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+    held = small.groupBy(*keys, "_part").cogroup(drawn.withColumn("_part", F.pmod("rep", F.lit(parts))).groupBy(*keys, "_part")).applyInPandas(run, kinds)
+    if sizes.where(F.col("_size") > HELD_ROWS).isEmpty():
+        return held
+    weighed = sized.where(F.col("_size") > HELD_ROWS).join(drawn, [*keys, "_k"])
+    whole = Window.partitionBy(*keys, "rep")
+
+    def rank(v: str) -> Column:
+        upto = F.sum("c").over(whole.orderBy(v).rangeBetween(Window.unboundedPreceding, Window.currentRow))
+        return upto - (F.sum("c").over(Window.partitionBy(*keys, "rep", v)) - 1) / 2 - (F.sum("c").over(whole) + 1) / 2
+
+    ranked = weighed.withColumns({"_p": rank("_x"), "_q": rank("_y")})
+    total = lambda a, b: F.sum(F.col("c") * F.col(a) * F.col(b))
+    rho = total("_p", "_q") / F.sqrt(F.nullif(total("_p", "_p") * total("_q", "_q"), F.lit(0.0)))
+    return held.unionAll(ranked.groupBy(*keys, "rep").agg(rho.alias("spearman_rho")))
+
+
 def bootstrap_ci(df: DataFrame, keys: list[str], subject: str, x: str, y: str, n_boot: int = 500, seed: int = 42) -> DataFrame:
-    """(keys, metric, ci_low, median, ci_high): subjects drawn with replacement; the metrics follow from each subject's
-    sums, weighted by how often a replicate drew it, so rows aren't repeated. spearman_rho is the correlation, in a
-    replicate, of the rows' ranks among all rows: ranks aren't made anew for each replicate."""
+    """(keys, metric, ci_low, median, ci_high): subjects drawn with replacement. A replicate is a weight of each subject:
+    pearson_r, r_sq, rmse and mae follow from subjects' sums, spearman_rho from the ranks that the rows have in the
+    replicate, made of sums of weights over sorted values, so rows aren't repeated."""
     e = F.col(x) - F.col(y)
-    a, b, p, q = F.col(x), F.col(y), F.col("_p"), F.col("_q")
-    rows = avg_rank(avg_rank(df.where(a.isNotNull() & b.isNotNull()), keys, x, "_p"), keys, y, "_q")
-    # Ranks are centred, about, so that sums of their squares stay exact.
-    half = rows.groupBy(*keys).agg((F.count("*") / 2).alias("_h"))
-    rows = rows.join(half, keys).withColumns({"_p": p - F.col("_h"), "_q": q - F.col("_h")})
-    summed = {"sx": a, "sy": b, "sxx": a * a, "syy": b * b, "sxy": a * b, "se": e * e, "sa": F.abs(e), "px": p, "py": q, "pxx": p * p, "pyy": q * q, "pxy": p * q}
+    a, b = F.col(x), F.col(y)
+    rows = df.where(a.isNotNull() & b.isNotNull() & F.col(subject).isNotNull())
+    summed = {"sx": a, "sy": b, "sxx": a * a, "syy": b * b, "sxy": a * b, "se": e * e, "sa": F.abs(e)}
     sums = rows.groupBy(*keys, subject).agg(F.count("*").alias("n"), *[F.sum(v).alias(c) for c, v in summed.items()])
     w = Window.partitionBy(*keys)
     placed = sums.withColumns({"_k": F.row_number().over(w.orderBy(subject)) - 1, "_m": F.count("*").over(w)})
+    path = scratch_path(df.sparkSession, "subject-sums")
+    placed.write.parquet(path)
+    placed = df.sparkSession.read.parquet(path)
     draws = placed.select(*keys, "_m", "_k", F.explode(F.sequence(F.lit(1), F.lit(n_boot))).alias("rep"))
     drawn = draws.withColumn("_d", F.floor(seeded(seed, "rep", "_k") * F.col("_m"))).groupBy(*keys, "rep", F.col("_d").alias("_k")).agg(F.count("*").alias("c"))
     total = drawn.join(placed.drop("_m"), [*keys, "_k"]).groupBy(*keys, "rep").agg(*[F.sum(F.col(c) * F.col("c")).alias(c) for c in ("n", *summed)])
     n = F.col("n")
-
-    def correlation(k: str) -> Column:
-        cov, vx, vy = (F.col(k + u) - F.col(k + v) * F.col(k + w) / n for u, v, w in (("xy", "x", "y"), ("xx", "x", "x"), ("yy", "y", "y")))
-        return F.when((vx > 1e-12) & (vy > 1e-12), cov / F.sqrt(F.nullif(vx * vy, F.lit(0.0))))
-
-    pearson = correlation("s")
-    metrics = total.select(*keys, "rep", pearson.alias("pearson_r"), (pearson * pearson).alias("r_sq"), F.sqrt(F.col("se") / n).alias("rmse"), (F.col("sa") / n).alias("mae"), correlation("p").alias("spearman_rho"))
-    long = metrics.unpivot([*keys, "rep"], ["pearson_r", "r_sq", "rmse", "mae", "spearman_rho"], "metric", "value")
+    cov, vx, vy = (F.col(u) - F.col(v) * F.col(z) / n for u, v, z in (("sxy", "sx", "sy"), ("sxx", "sx", "sx"), ("syy", "sy", "sy")))
+    pearson = F.when((vx > 1e-12) & (vy > 1e-12), cov / F.sqrt(F.nullif(vx * vy, F.lit(0.0))))
+    metrics = total.select(*keys, "rep", pearson.alias("pearson_r"), (pearson * pearson).alias("r_sq"), F.sqrt(F.col("se") / n).alias("rmse"), (F.col("sa") / n).alias("mae"))
+    own = rows.join(dimension(placed.select(*keys, subject, "_k")), [*keys, subject])
+    ranks = _replicate_ranks(own, drawn, keys, x, y).unpivot([*keys, "rep"], ["spearman_rho"], "metric", "value")
+    long = metrics.unpivot([*keys, "rep"], ["pearson_r", "r_sq", "rmse", "mae"], "metric", "value").unionByName(ranks)
     q = F.percentile("value", F.array(F.lit(0.025), F.lit(0.5), F.lit(0.975)))
     return long.groupBy(*keys, "metric").agg(q.alias("_q")).select(*keys, "metric", *[F.col("_q")[i].alias(c) for i, c in enumerate(("ci_low", "median", "ci_high"))])
 

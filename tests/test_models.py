@@ -72,6 +72,55 @@ def test_resampling_is_seeded(table, spark):
     assert len(halves) == 10 and all(h.r > 0.99 for h in halves)
 
 
+def ranks(v):
+    order = np.sort(v)
+    return (np.searchsorted(order, v) + np.searchsorted(order, v, "right") + 1) / 2
+
+
+def test_replicate_ranks_are_those_of_repeated_rows():
+    rng = np.random.default_rng(2)
+    x, y = rng.integers(0, 9, 60).astype(float), rng.normal(size=60)
+    weights = rng.integers(0, 4, (5, 60)).astype(float)
+    for w, rho in zip(weights, L.weighted_spearman(x, y, weights)):
+        a, b = (np.repeat(v, w.astype(int)) for v in (x, y))
+        assert rho == pytest.approx(np.corrcoef(ranks(a), ranks(b))[0, 1])
+    assert L.weighted_spearman(np.ones(4), np.arange(4.0), np.ones((1, 4))) == [None]
+
+
+def test_bootstrap_of_ranks(spark, monkeypatch):
+    """Held and windowed replicates agree with ranking the drawn rows one by one."""
+    rng = np.random.default_rng(6)
+    data = [(u, s, float(rng.integers(0, 6) + s % 3), float(rng.normal() + s % 3)) for u in "ab" for s in range(9) for _ in range(int(rng.integers(1, 7)))]
+    df = spark.createDataFrame(data, "unit string, subject int, x double, y double")
+    found = {}
+    for most in (L.HELD_ROWS, 0):
+        monkeypatch.setattr(L, "HELD_ROWS", most)
+        found[most] = {(r.unit, r.metric): (r.ci_low, r["median"], r.ci_high) for r in L.bootstrap_ci(df, ["unit"], "subject", "x", "y", 40).collect()}
+    assert all(found[0][k] == pytest.approx(v) for k, v in found[2_000_000].items()) and len(found[0]) == 10
+    picks = spark.range(9).withColumnRenamed("id", "_k").selectExpr("cast(_k as int) AS _k", "explode(sequence(1, 40)) AS rep").withColumn("d", F.floor(L.seeded(42, "rep", "_k") * 9)).collect()
+    rhos = []
+    for rep in range(1, 41):
+        drawn = [r for p in picks if p.rep == rep for r in data if r[0] == "a" and r[1] == p.d]
+        a, b = (np.array([r[i] for r in drawn]) for i in (2, 3))
+        rhos.append(np.corrcoef(ranks(a), ranks(b))[0, 1])
+    assert found[0]["a", "spearman_rho"] == pytest.approx(tuple(np.percentile(rhos, [2.5, 50, 97.5])))
+
+
+def test_permutations_in_blocks(spark, monkeypatch):
+    rng = np.random.default_rng(1)
+    x = rng.normal(size=400)
+    df = spark.createDataFrame([(u, i, float(a), float(0.12 * a * (u == "a") + b)) for u in "ab" for i, (a, b) in enumerate(zip(x, rng.normal(size=400)))] + [("c", i, 1.0, float(i)) for i in range(9)], "unit string, row int, x double, y double")
+    run = lambda: {r.unit: r for r in L.permutation_p(df, ["unit"], "row", "x", "y", 200).collect()}
+    whole = run()
+    again = L.permutation_p(df.repartition(3), ["unit"], "row", "x", "y", 200).collect()
+    assert {r.unit: (r.n_ge, r.p) for r in again} == {u: (r.n_ge, r.p) for u, r in whole.items()}
+    monkeypatch.setattr(L, "BLOCK_ROWS", 50)
+    parts = run()
+    assert whole["c"].p is None and whole["c"].n_ge == 0
+    for u in "ab":
+        assert parts[u].r == whole[u].r and abs(parts[u].p - whole[u].p) < 0.15
+
+
 def test_variance_components(spark):
     rng = np.random.default_rng(9)
     data = [(s, float(m + rng.normal())) for s, m in enumerate(rng.normal(scale=3, size=300)) for _ in range(10)]
