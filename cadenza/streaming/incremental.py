@@ -6,6 +6,8 @@ from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.query import StreamingQuery
 
 from cadenza.operators.sets import skip_completed
@@ -22,23 +24,51 @@ def ingest_new_files(spark: SparkSession, source: str, schema: str, target: str,
     return stream.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(upsert).start()
 
 
-def assign_stream(subjects: DataFrame, strata: str = "cap_size", key: str = "subject", share: float = 0.75) -> DataFrame:
-    """A stream of subjects to (key, strata, split_group): the state of a stratum is its counts of train and all, and a
-    subject joins train while the share is under ``share``."""
-    kinds = dict(subjects.dtypes)
+#: Map state needs the store that keeps its rows on disk.
+STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
-    def assign(group: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        train, n = state.get if state.exists else (0, 0)
-        for rows in batches:
-            made = []
-            for _ in range(len(rows)):
-                hit = n == 0 or train / n < share
-                made.append("train" if hit else "holdout")
-                train, n = train + hit, n + 1
-            state.update((train, n))
-            yield pd.DataFrame({key: rows[key], strata: rows[strata], "split_group": made})
 
-    return subjects.groupBy(strata).applyInPandasWithState(assign, f"{key} {kinds[key]}, {strata} {kinds[strata]}, split_group string", "train long, n long", "append", "NoTimeout")
+class _Assigner(StatefulProcessor):
+    """The subjects that were assigned, and each stratum's counts of train and all."""
+
+    def __init__(self, key: str, strata: str, kinds: dict[str, str], share: float):
+        self.key, self.strata, self.kinds, self.share = key, strata, kinds, share
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.assigned = handle.getMapState("assigned", f"{self.key} {self.kinds[self.key]}", "split_group string")
+        self.counts = handle.getMapState("counts", f"{self.strata} string", "train long, n long")
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        for batch in rows:
+            made = []
+            for subject, stratum in zip(batch[self.key].tolist(), batch[self.strata].tolist()):
+                if self.assigned.containsKey((subject,)):
+                    continue
+                name = (str(stratum),)
+                train, n = self.counts.getValue(name) if self.counts.containsKey(name) else (0, 0)
+                hit = n == 0 or train / n < self.share
+                self.counts.updateValue(name, (train + hit, n + 1))
+                group = "train" if hit else "holdout"
+                self.assigned.updateValue((subject,), (group,))
+                made.append((subject, stratum, group))
+            if made:
+                yield pd.DataFrame(made, columns=[self.key, self.strata, "split_group"])
+
+    def close(self) -> None:
+        pass
+
+
+def assign_stream(subjects: DataFrame, strata: str = "cap_size", key: str = "subject", share: float = 0.75, shards: int = 1) -> DataFrame:
+    """A stream of subjects to (key, strata, split_group), once for each subject: a subject joins train while its stratum's share is
+    under ``share``. A subject that comes again, in the same or a later run and in whatever stratum, keeps its group and
+    gives no row; a null subject is left out.
+
+    Subjects are dealt to ``shards`` by a hash; each is a task with its own counts of every stratum, so the share holds within
+    one subject for each stratum and shard. The session's state store must keep map state (STORE)."""
+    kinds = dict(subjects.dtypes)
+    dealt = subjects.where(F.col(key).isNotNull()).withColumn("_shard", F.pmod(F.xxhash64(key), F.lit(shards)))
+    schema = f"{key} {kinds[key]}, {strata} {kinds[strata]}, split_group string"
+    return dealt.groupBy("_shard").transformWithStateInPandas(_Assigner(key, strata, kinds, share), schema, "Append", "None")
 
 
 def pending(work: DataFrame, manifest: DataFrame, keys: list[str]) -> DataFrame:
@@ -48,8 +78,6 @@ def pending(work: DataFrame, manifest: DataFrame, keys: list[str]) -> DataFrame:
 
 def retry(work: DataFrame, done: DataFrame, errors: DataFrame, key: str) -> DataFrame:
     """Subjects that failed and weren't done since, and those never tried, with ``retried``."""
-    from pyspark.sql import functions as F
-
     left = work.join(done.select(key), key, "left_anti")
     failed = errors.select(key).distinct().withColumn("retried", F.lit(True))
     return left.join(failed, key, "left").fillna(False, ["retried"])

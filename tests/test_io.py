@@ -64,3 +64,27 @@ def test_sinks(spark, tmp_path):
     sinks.append_cv_rows(results, f"{root}/cv")
     sinks.append_cv_rows(results, f"{root}/cv")
     assert spark.read.parquet(f"{root}/cv").count() == 4
+
+
+def test_stream_remembers_subjects(spark, tmp_path):
+    from cadenza.streaming import incremental
+
+    source, target, mark = (str(tmp_path / n) for n in ("in", "out", "mark"))
+    first = [(i, f"c{i % 2}") for i in range(20)] + [(3, "c1"), (4, "c1"), (None, "c0")]
+    second = [(i, "c1") for i in range(5)] + [(i, f"c{i % 2}") for i in range(20, 31)] + [(25, "c1"), (99, None)]
+    before = spark.conf.get("spark.sql.streaming.stateStore.providerClass")
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", incremental.STORE)
+    try:
+        kept = []
+        for rows in (first, second):
+            spark.createDataFrame(rows, "subject long, cap_size string").coalesce(1).write.mode("append").parquet(source)
+            stream = incremental.assign_stream(spark.readStream.schema("subject long, cap_size string").parquet(source))
+            stream.writeStream.option("checkpointLocation", mark).trigger(availableNow=True).format("parquet").option("path", target).outputMode("append").start().awaitTermination()
+            kept.append({r.subject: (r.cap_size, r.split_group) for r in spark.read.parquet(target).collect()})
+    finally:
+        spark.conf.set("spark.sql.streaming.stateStore.providerClass", before)
+    assert spark.read.parquet(target).count() == 32 == len(kept[1])
+    assert all(kept[1][k] == v for k, v in kept[0].items())
+    for cap in ("c0", "c1"):
+        groups = [g for c, g in kept[1].values() if c == cap]
+        assert abs(groups.count("train") - 0.75 * len(groups)) <= 1
