@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cadenza.functions.cleaning import hemisphere, region
 from cadenza.operators.filters import guarded_corr
-from cadenza.operators.windows import avg_rank, exact_percentiles
+from cadenza.operators.windows import avg_rank, avg_ranks, exact_percentiles
 
 
 def subject_unit_means(df: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
@@ -36,7 +38,10 @@ def eval_metrics(df: DataFrame, keys: list[str], actual: str, predicted: str, ra
     Ranks are made in buckets of values; without ``split``, for keys of bounded size such as a subject, in one task a key."""
     rows = df.where(F.col(actual).isNotNull() & F.col(predicted).isNotNull())
     if ranks:
-        rows = avg_rank(avg_rank(rows, keys, actual, "_ra", split), keys, predicted, "_rp", split)
+        # A join and a window carry only what the metrics need.
+        rows = rows.select(*keys, actual, predicted)
+        names = {actual: "_ra", predicted: "_rp"}
+        rows = avg_ranks(rows, keys, names) if split else reduce(lambda r, v: avg_rank(r, keys, v, names[v], False), names, rows)
     e = F.col(actual) - F.col(predicted)
     out = [F.count("*").alias("n_obs"), guarded_corr(actual, predicted).alias("pearson_r"), F.sqrt(F.avg(e * e)).alias("rmse"), F.avg(F.abs(e)).alias("mae")]
     out += [guarded_corr("_ra", "_rp").alias("spearman_rho")] if ranks else []

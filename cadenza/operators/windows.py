@@ -7,6 +7,9 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from cadenza.operators.joins import dimension
+from cadenza.sources.scratch import scratch_path
+
 
 def trial_index(df: DataFrame, keys: list[str], order: str) -> DataFrame:
     return df.withColumn("trial_index", F.row_number().over(Window.partitionBy(*keys).orderBy(order)))
@@ -49,43 +52,66 @@ def _same(a: str, b: str, keys: list[str]) -> Column:
     return reduce(lambda x, y: x & y, [F.col(f"{a}.{k}").eqNullSafe(F.col(f"{b}.{k}")) for k in keys], F.lit(True))
 
 
-def value_buckets(df: DataFrame, keys: list[str], value: str, parts: int = 64) -> tuple[DataFrame, DataFrame]:
-    """``df`` with _b, a bucket of its values that rises with them (nulls first), and (keys, _b, _before: rows in lower
-    buckets, _n: rows in it, _all: rows of the keys). About ``parts`` buckets for each of the keys, cut by an approximate
-    quantile sketch: whatever the cuts, ranks from the counts are exact, and no task holds all rows of a key."""
+def _kept(df: DataFrame, name: str) -> DataFrame:
+    """A small table, written and read back, so that it is made once."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def value_buckets(df: DataFrame, keys: list[str], values: list[str], parts: int = 64) -> tuple[DataFrame, list[DataFrame]]:
+    """``df`` with _b0, _b1, ... of ``values``: buckets of a value that rise with it (nulls first); and for each of them (keys, _b, _before:
+    rows in lower buckets, _n: rows in it, _all: rows of the keys). About ``parts`` buckets for each of the keys, cut by approximate
+    quantile sketches: whatever the cuts, ranks from the counts are exact, and no task holds all rows of a key but
+    those of equal values. The tables of cuts and counts are a few rows for each of the keys, counted before they are broadcast."""
     shares = F.array(*[F.lit(i / parts) for i in range(1, parts)])
-    cuts = df.groupBy(*keys).agg(F.percentile_approx(value, shares, F.lit(20 * parts)).alias("_cuts"))
-    rows = df.alias("d").join(cuts.alias("c"), _same("d", "c", keys), "left").select("d.*", "_cuts")
-    place = F.when(F.col(value).isNull(), F.lit(-1)).otherwise(F.coalesce(F.size(F.filter("_cuts", lambda c: c < F.col(value))), F.lit(0)))
-    rows = rows.withColumn("_b", place).drop("_cuts")
-    own = Window.partitionBy(*keys)
-    counts = rows.groupBy(*keys, "_b").agg(F.count("*").alias("_n"))
-    return rows, counts.withColumns({"_before": F.sum("_n").over(own.orderBy("_b")) - F.col("_n"), "_all": F.sum("_n").over(own)})
+    cuts = df.groupBy(*keys).agg(*[F.percentile_approx(v, shares, F.lit(20 * parts)).alias(f"_cuts{i}") for i, v in enumerate(values)])
+    rows = df.alias("d").join(dimension(_kept(cuts, "cuts")).alias("c"), _same("d", "c", keys), "left")
+
+    def place(i: int, v: str) -> Column:
+        return F.when(F.col(f"d.{v}").isNull(), F.lit(-1)).otherwise(F.coalesce(F.size(F.filter(f"_cuts{i}", lambda c: c < F.col(f"d.{v}"))), F.lit(0)))
+
+    rows = rows.select("d.*", *[place(i, v).alias(f"_b{i}") for i, v in enumerate(values)])
+    each = rows.select(*keys, F.posexplode(F.array(*[F.col(f"_b{i}") for i in range(len(values))])).alias("_which", "_b"))
+    own = Window.partitionBy(*keys, "_which")
+    counts = each.groupBy(*keys, "_which", "_b").agg(F.count("*").alias("_n"))
+    counts = _kept(counts.withColumns({"_before": F.sum("_n").over(own.orderBy("_b")) - F.col("_n"), "_all": F.sum("_n").over(own)}), "bucket-counts")
+    return rows, [counts.where(F.col("_which") == i).drop("_which") for i in range(len(values))]
+
+
+def avg_ranks(df: DataFrame, keys: list[str], names: dict[str, str]) -> DataFrame:
+    """Adds for each value its rank within keys under a name: ties share their mean, nulls are lowest. One shuffle for each value."""
+    out, counts = value_buckets(df, keys, list(names))
+    for i, (value, name) in enumerate(names.items()):
+        known = dimension(counts[i].select(*keys, F.col("_b").alias(f"_b{i}"), "_before"))
+        placed = out.alias("d").join(known.alias("c"), _same("d", "c", [*keys, f"_b{i}"])).select("d.*", "_before")
+        own = [*keys, f"_b{i}"]
+        ties = F.count("*").over(Window.partitionBy(*own, value))
+        out = placed.withColumn(name, F.col("_before") + F.rank().over(Window.partitionBy(*own).orderBy(value)) + (ties - 1) / 2).drop(f"_b{i}", "_before")
+    return out
 
 
 def avg_rank(df: DataFrame, keys: list[str], value: str, name: str = "rank", split: bool = True) -> DataFrame:
     """Ranks, ties sharing their mean; nulls are lowest. With ``split`` a key's rows are ranked in buckets of values."""
-    if not split:
-        ties = F.count("*").over(Window.partitionBy(*keys, value))
-        return df.withColumn(name, F.rank().over(Window.partitionBy(*keys).orderBy(value)) + (ties - 1) / 2)
-    rows, counts = value_buckets(df, keys, value)
-    placed = rows.alias("d").join(counts.alias("c"), _same("d", "c", [*keys, "_b"])).select("d.*", "_before")
-    ties = F.count("*").over(Window.partitionBy(*keys, "_b", value))
-    rank = F.col("_before") + F.rank().over(Window.partitionBy(*keys, "_b").orderBy(value)) + (ties - 1) / 2
-    return placed.withColumn(name, rank).drop("_b", "_before")
+    if split:
+        return avg_ranks(df, keys, {value: name})
+    ties = F.count("*").over(Window.partitionBy(*keys, value))
+    return df.withColumn(name, F.rank().over(Window.partitionBy(*keys).orderBy(value)) + (ties - 1) / 2)
 
 
 def exact_percentiles(df: DataFrame, keys: list[str], value: str, shares: list[float]) -> DataFrame:
     """(keys, _q: the interpolated percentiles): only the buckets that hold one are sorted."""
-    rows, counts = value_buckets(df.where(F.col(value).isNotNull()).select(*keys, value), keys, value)
+    rows, (counts,) = value_buckets(df.where(F.col(value).isNotNull()).select(*keys, value), keys, [value])
+    rows = rows.withColumnRenamed("_b0", "_b")
     wanted = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), (F.lit(p) * (F.col("_all") - 1)).alias("at")) for i, p in enumerate(shares)]))
     wanted = counts.select(*keys, "_b", "_before", "_n", wanted.alias("_w")).select(*keys, "_b", "_before", "_n", "_w.i", "_w.at")
     # The two neighbours of a place may lie in two buckets.
     wanted = wanted.select("*", F.explode(F.array_distinct(F.array(F.floor("at"), F.ceil("at")))).alias("_row")).where((F.col("_row") >= F.col("_before")) & (F.col("_row") < F.col("_before") + F.col("_n")))
-    buckets = wanted.select(*keys, "_b", "_before").distinct()
+    wanted = dimension(_kept(wanted, "wanted-ranks"))
+    buckets = dimension(wanted.select(*keys, "_b", "_before").distinct())
     inside = rows.alias("d").join(buckets.alias("c"), _same("d", "c", [*keys, "_b"])).select("d.*", "_before")
     numbered = inside.withColumn("_row", F.col("_before") + F.row_number().over(Window.partitionBy(*keys, "_b").orderBy(value)) - 1)
-    found = wanted.alias("w").join(numbered.alias("r"), _same("w", "r", [*keys, "_row"])).select(*[f"w.{k}" for k in keys], "i", "at", "w._row", f"r.{value}")
+    found = numbered.alias("r").join(wanted.alias("w"), _same("w", "r", [*keys, "_row"])).select(*[f"w.{k}" for k in keys], "i", "at", "w._row", f"r.{value}")
     weight = F.when(F.floor("at") == F.ceil("at"), 1.0).otherwise(1 - F.abs(F.col("at") - F.col("_row")))
     each = found.groupBy(*keys, "i").agg(F.sum(F.col(value) * weight).alias("v"))
     return each.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "v"))), lambda x: x["v"]).alias("_q"))
@@ -167,4 +193,4 @@ def first_crossing(curve: DataFrame, keys: list[str], n: str, power: str, target
 
 def percentile_flag(df: DataFrame, keys: list[str], value: str, share: float) -> DataFrame:
     limits = exact_percentiles(df, keys, value, [share]).withColumn("_p", F.col("_q")[0]).drop("_q")
-    return df.join(limits, keys).withColumn("flag", (F.col(value) < F.col("_p")).cast("int")).drop("_p")
+    return df.join(dimension(limits), keys).withColumn("flag", (F.col(value) < F.col("_p")).cast("int")).drop("_p")
