@@ -5,6 +5,7 @@ Each takes a 2-D block of equally long rows; ``by_length`` groups a batch accord
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from fractions import Fraction
 
 import numpy as np
 
@@ -78,16 +79,44 @@ def zero_phase(x: np.ndarray, taps: np.ndarray) -> np.ndarray:
     return full[:, half + pad : half + pad + x.shape[1]]
 
 
+def rational_rate(fs: float, target: float) -> tuple[int, int]:
+    """(up, down) with target = fs * up / down."""
+    share = Fraction(target).limit_denominator(10**6) / Fraction(fs).limit_denominator(10**6)
+    share = share.limit_denominator(10_000)
+    return share.numerator, share.denominator
+
+
+def polyphase_taps(up: int, down: int, half: int = 10) -> np.ndarray:
+    """A low-pass for the rate fs * up, below the lower of both Nyquist frequencies: ``half`` of its zeros on either side, under a Kaiser window."""
+    wide = max(up, down)
+    t = np.arange(-half * wide, half * wide + 1)
+    h = np.sinc(t / wide) / wide * np.kaiser(len(t), 5.0)
+    return h / h.sum() * up
+
+
 def resample(x: np.ndarray, fs: float, target: float) -> np.ndarray:
-    """Anti-aliased below the lower Nyquist frequency, then read at the new times."""
-    if target == fs:
+    """A polyphase filter bank of a rational rate: what zeros between samples, the filter and every ``down``-th value
+    would give, each output from the branch of taps that meets samples. The ends are mirrored."""
+    up, down = rational_rate(fs, target)
+    if up == down:
         return x
-    if target < fs:
-        x = zero_phase(x, sinc_taps(fs, None, 0.45 * target))
-    at = np.arange(int(np.floor((x.shape[1] - 1) * target / fs + 1e-9)) + 1) * fs / target
-    left = np.minimum(at.astype(int), x.shape[1] - 2)
-    share = at - left
-    return x[:, left] * (1 - share) + x[:, left + 1] * share
+    h = polyphase_taps(up, down)
+    half, n = len(h) // 2, x.shape[1]
+    size = -(-len(h) // up)
+    bank = np.zeros((up, size))
+    for phase in range(up):
+        branch = h[phase::up]
+        bank[phase, : len(branch)] = branch
+    pad = min(size, n - 1)
+    wide = np.concatenate((2 * x[:, :1] - x[:, pad:0:-1], x, 2 * x[:, -1:] - x[:, -2 : -pad - 2 : -1]), axis=1) if pad else x
+    wide = np.pad(wide, ((0, 0), (size - pad, size - pad)))
+    at = np.arange(-(-n * up // down)) * down + half
+    first, phase = at // up + size, at % up
+    out = np.empty((len(x), len(at)))
+    for p in np.unique(phase):
+        some = np.flatnonzero(phase == p)
+        out[:, some] = wide[:, first[some][:, None] - np.arange(size)] @ bank[p]
+    return out
 
 
 def analytic(x: np.ndarray) -> np.ndarray:
@@ -125,17 +154,25 @@ def _half_height(x: np.ndarray, y: np.ndarray, i: int) -> tuple[float, float]:
 
 
 def fit_aperiodic(f: np.ndarray, p: np.ndarray, low: float = 2.0, high: float = 40.0, band: tuple[float, float] = (8.0, 12.0), knee: bool = False, peaks: int = 4, threshold: float = 2.0, rounds: int = 5) -> dict[str, float | str | None]:
-    """Offset, exponent (and knee) of a 1/f spectrum with Gaussian peaks, and the strongest peak in ``band``.
+    """Offset, exponent (and knee) of a 1/f spectrum with Gaussian peaks, and the strongest peak in ``band``. A spectrum that
+    can't be fitted has null numbers and a reason."""
+    fit, found = fit_spectrum(f, p, low, high, knee, peaks, threshold, rounds)
+    own = max((q for q in found if band[0] <= q[0] <= band[1]), key=lambda q: q[1], default=(None,) * 3)
+    return fit | dict(zip(("alpha_cf", "alpha_pw", "alpha_bw"), own))
+
+
+def fit_spectrum(f: np.ndarray, p: np.ndarray, low: float, high: float, knee: bool = False, peaks: int = 4, threshold: float = 2.0, rounds: int = 5) -> tuple[dict[str, float | str | None], list[tuple[float, float, float]]]:
+    """The fit, and its peaks (centre, height, width) from the highest down.
 
     A robust line in log-log axes, Gaussians taken off the flattened spectrum from the highest down, and the line
-    again on what is left. A spectrum that can't be fitted has null numbers and a reason."""
-    names = ("offset", "exponent", "knee", "r2", "error", "alpha_cf", "alpha_pw", "alpha_bw")
+    again on what is left."""
+    names = ("offset", "exponent", "knee", "r2", "error")
     empty = dict.fromkeys(names)
     keep = (f >= low) & (f <= high) & (f > 0)
     if keep.sum() < 5:
-        return empty | {"fail_reason": "too few bins"}
+        return empty | {"fail_reason": "too few bins"}, []
     if not np.all(np.isfinite(p[keep])) or np.any(p[keep] <= 0):
-        return empty | {"fail_reason": "powers aren't positive"}
+        return empty | {"fail_reason": "powers aren't positive"}, []
     x, y = f[keep], np.log10(p[keep])
 
     def line(values: np.ndarray, share: float) -> tuple[float, float, float]:
@@ -172,5 +209,4 @@ def fit_aperiodic(f: np.ndarray, p: np.ndarray, low: float = 2.0, high: float =
     fitted = shape(o, e, k) + bumps
     error = float(np.abs(y - fitted).mean())
     r2 = float(np.corrcoef(y, fitted)[0, 1] ** 2) if y.std() > 0 and fitted.std() > 0 else None
-    own = max((q for q in found if band[0] <= q[0] <= band[1]), key=lambda q: q[1], default=(None,) * 3)
-    return dict(zip(names, (o, e, k if knee else None, r2, error, *own))) | {"fail_reason": None}
+    return dict(zip(names, (o, e, k if knee else None, r2, error))) | {"fail_reason": None}, found

@@ -96,12 +96,28 @@ def label_events(events: DataFrame, mapping: DataFrame, code: str = "code", orde
 
 
 def interpolate(points: DataFrame, grid: DataFrame, keys: list[str]) -> DataFrame:
-    """(keys, x, y): linear between the neighbouring points of each grid x, the end values beyond them."""
-    rows = points.select(*keys, "x", F.col("y").alias("py"), F.col("x").alias("px"), F.lit(False).alias("asked"))
-    asked = grid.select(*keys, "x", F.lit(None).cast("double").alias("py"), F.lit(None).cast("double").alias("px"), F.lit(True).alias("asked"))
-    w = Window.partitionBy(*keys).orderBy("x", "asked")
+    """(keys, x, y): linear between the neighbouring points of each grid x, the end values beyond them.
+
+    Points and grid are dealt to buckets of x by one set of cuts, and of each bucket's neighbours the nearest points are carried
+    into it, so no window holds all points of a key."""
+    from cadenza.operators.windows import bucket_of, same_keys, value_cuts
+
+    cuts = value_cuts(points, keys, ["x"])
+    dealt = [df.alias("d").join(dimension(cuts).alias("c"), same_keys("d", "c", keys), "left").select("d.*", bucket_of("d.x", "_cuts0").alias("_b")) for df in (points.select(*keys, "x", "y").where("x IS NOT NULL"), grid.select(*keys, "x"))]
+    edge = lambda f: f(F.struct("x", "y"))
+    edges = dealt[0].groupBy(*keys, "_b").agg(edge(F.min).alias("first"), edge(F.max).alias("last"))
+    asked = dealt[1].select(*keys, "_b", F.lit(None).cast(edges.schema["first"].dataType).alias("first"), F.lit(None).cast(edges.schema["last"].dataType).alias("last")).distinct()
+    every = edges.unionAll(asked).groupBy(*keys, "_b").agg(F.first("first", ignorenulls=True).alias("first"), F.first("last", ignorenulls=True).alias("last"))
+    own = Window.partitionBy(*keys).orderBy("_b")  # a row for each bucket
+    before = F.last("last", ignorenulls=True).over(own.rowsBetween(Window.unboundedPreceding, -1))
+    after = F.first("first", ignorenulls=True).over(own.rowsBetween(1, Window.unboundedFollowing))
+    carried = every.withColumns({"_before": before, "_after": after}).select(*keys, "_b", F.explode(F.array("_before", "_after")).alias("_p")).where("_p IS NOT NULL").select(*keys, "_p.x", "_p.y", "_b")
+    known = dealt[0].select(*keys, "x", "y", "_b").unionAll(carried)
+    rows = known.select(*keys, "_b", "x", F.col("y").alias("py"), F.col("x").alias("px"), F.lit(False).alias("asked"))
+    sought = dealt[1].select(*keys, "_b", "x", F.lit(None).cast("double").alias("py"), F.lit(None).cast("double").alias("px"), F.lit(True).alias("asked"))
+    w = Window.partitionBy(*keys, "_b").orderBy("x", "asked")
     back, ahead = w.rowsBetween(Window.unboundedPreceding, 0), w.rowsBetween(0, Window.unboundedFollowing)
-    near = rows.unionByName(asked).withColumns(
+    near = rows.unionByName(sought).withColumns(
         {f"{n}{s}": f(c, ignorenulls=True).over(v) for s, f, v in (("0", F.last, back), ("1", F.first, ahead)) for n, c in (("x", "px"), ("y", "py"))}
     )
     slope = (F.col("y1") - F.col("y0")) / F.nullif(F.col("x1") - F.col("x0"), F.lit(0.0))

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -136,6 +138,90 @@ def hilbert_phases(signals: DataFrame, fs: float, low: float, high: float, taps:
     return _on_arrays(signals, lambda x: np.angle(kernels.analytic(kernels.zero_phase(x, h)))).withColumnRenamed("samples", "phases")
 
 
+#: Cells of a matrix of channels that every task may hold.
+MATRIX_CELLS = 1_000_000
+
+
+def _matrix(weights: DataFrame) -> tuple[list[str], list[str], np.ndarray] | None:
+    """(outputs, inputs, matrix) of weights (unit_in, unit_out, w), or none of more than MATRIX_CELLS rows."""
+    rows = weights.limit(MATRIX_CELLS + 1).collect()
+    if len(rows) > MATRIX_CELLS:
+        return None
+    outputs, inputs = (sorted({r[c] for r in rows}) for c in ("unit_out", "unit_in"))
+    if len(outputs) * len(inputs) > MATRIX_CELLS:
+        return None
+    made = np.zeros((len(outputs), len(inputs)))
+    row, column = ({u: i for i, u in enumerate(names)} for names in (outputs, inputs))
+    for r in rows:
+        made[row[r["unit_out"]], column[r["unit_in"]]] += r["w"]
+    return outputs, inputs, made
+
+
+def _by_matrix(signals: DataFrame, keys: list[str], outputs: list[str], inputs: list[str], matrix: np.ndarray, base: bool) -> DataFrame:
+    """(keys, unit, samples): the matrix times the packed channels of each of the keys; with ``base`` each channel minus
+    its row of the product, channels without a row as they are."""
+    place = {u: k for k, u in enumerate(inputs)}
+    packed = signals.groupBy(*keys).agg(F.collect_list(F.struct("unit", "samples")).alias("_c"))
+    packed = packed.select(*keys, F.transform("_c", lambda c: c["unit"]).alias("_units"), F.transform("_c", lambda c: c["samples"]).alias("_samples"))
+    k = len(keys)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(len(batch)):
+                units = batch.column(k)[i].as_py()
+                waves = [np.nan_to_num(np.array(w, float)) for w in batch.column(k + 1)[i].as_py()]
+                size = max(map(len, waves), default=0)
+                x, lengths = np.zeros((len(inputs), size)), np.zeros(len(inputs), int)
+                for u, w in zip(units, waves):
+                    if u in place:
+                        x[place[u], : len(w)] = w
+                        lengths[place[u]] = len(w)
+                product = matrix @ x
+                if base:
+                    of = {u: product[r] for r, u in enumerate(outputs)}
+                    names, made = units, [w - of[u][: len(w)] if u in of else w for u, w in zip(units, waves)]
+                else:
+                    long = [int(max(lengths[matrix[r] != 0], default=0)) for r in range(len(outputs))]
+                    names, made = zip(*[(u, product[r, : long[r]]) for r, u in enumerate(outputs) if long[r]]) if any(long) else ((), ())
+                at = pa.array([i] * len(names), pa.int64())
+                yield pa.RecordBatch.from_arrays([*(c.take(at) for c in batch.columns[:k]), pa.array(names, pa.string()), pa.array(list(made), pa.list_(pa.float64()))], names=[*keys, "unit", "samples"])
+
+    kinds = ", ".join(f"`{c}` {t}" for c, t in packed.dtypes[:k])
+    return packed.mapInArrow(run, f"{kinds}, unit string, samples array<double>")
+
+
+def _long(signals: DataFrame, keys: list[str]) -> DataFrame:
+    return signals.select(*keys, "unit", F.posexplode("samples").alias("i", "x"))
+
+
+def _arrays(samples: DataFrame, keys: list[str]) -> DataFrame:
+    points = F.array_sort(F.collect_list(F.struct("i", "x")))
+    return samples.groupBy(*keys, "unit").agg(F.transform(points, lambda p: p["x"]).alias("samples"))
+
+
+def apply_matrix(signals: DataFrame, weights: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, unit, samples): arrays of weights (unit_in, unit_out, w) times the channels (keys, unit, samples) of each of the keys.
+
+    What is shuffled is one array a channel, and a channel that is missing or shorter, or a missing sample, counts as 0. Weights
+    of more than MATRIX_CELLS are joined, with a row for each sample."""
+    made = _matrix(weights)
+    if made is None:
+        return _arrays(apply_linear(_long(signals, keys), weights, keys), keys)
+    return _by_matrix(signals, keys, *made, base=False)
+
+
+def remove_parts(signals: DataFrame, unmix: DataFrame, mix: DataFrame, drop: list[str], keys: list[str]) -> DataFrame:
+    """Arrays minus the part of the dropped components, mixing (unit_in component) of unmixing (unit_out component): both are
+    one matrix between channels."""
+    one, two = _matrix(unmix.where(F.col("unit_out").isin(drop))), _matrix(mix.where(F.col("unit_in").isin(drop)))
+    if one is None or two is None or len(one[1]) * len(two[0]) > MATRIX_CELLS:
+        return _arrays(remove_components(_long(signals, keys), unmix, mix, drop, keys), keys)
+    names, inputs, w = one
+    outputs, parts, a = two
+    through = np.array([[a[r, parts.index(c)] if c in parts else 0.0 for c in names] for r in range(len(outputs))]).reshape(len(outputs), len(names))
+    return _by_matrix(signals, keys, outputs, inputs, through @ w, base=True)
+
+
 def apply_linear(samples: DataFrame, weights: DataFrame, keys: list[str]) -> DataFrame:
     """(keys, unit, i, x): x of unit_out is the sum of w * x over unit_in, at every sample."""
     rows = samples.withColumnRenamed("unit", "unit_in").join(F.broadcast(weights) if weights.count() <= 100_000 else weights, "unit_in")
@@ -175,6 +261,21 @@ def fit_aperiodic(psd: DataFrame, low: float = 2.0, high: float = 40.0, band: tu
     return psd.withColumn("fit", run("f", "p")).drop("f", "p")
 
 
+@F.udtf(returnType="cf double, pw double, bw double")
+class SpectralPeaks:
+    """A row for each peak of a spectrum above its aperiodic part, from the highest down: centre, height in log power, width."""
+
+    def eval(self, f: list, p: list, low: float, high: float, most: int) -> Iterator[tuple[float, float, float]]:
+        if f is not None and p is not None:
+            yield from kernels.fit_spectrum(np.asarray(f, float), np.asarray(p, float), low, high, peaks=most)[1]
+
+
+def spectral_peaks(psd: DataFrame, low: float = 2.0, high: float = 40.0, most: int = 6) -> DataFrame:
+    """psd (ids, f, p arrays) to (ids, cf, pw, bw): all its peaks, up to ``most`` a spectrum; one without peaks has no row."""
+    found = SpectralPeaks(F.col("f").outer(), F.col("p").outer(), F.lit(low), F.lit(high), F.lit(most))
+    return psd.lateralJoin(found).drop("f", "p")
+
+
 def aperiodic_line(psd_long: DataFrame, keys: list[str], low: float, high: float) -> DataFrame:
     """(keys, offset, exponent, r2) of the ordinary log-log line, in one aggregation."""
     rows = psd_long.where(F.col("f").between(low, high) & (F.col("p") > 0) & (F.col("f") > 0)).select(*keys, F.log10("f").alias("x"), F.log10("p").alias("y"))

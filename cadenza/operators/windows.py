@@ -48,7 +48,7 @@ def fdr_bh(df: DataFrame, family: list[str], p: str = "p", tie: str | None = Non
     return ranked.withColumn("p_adj", F.when(F.col(p).isNotNull(), adjusted)).drop("_r", "_n")
 
 
-def _same(a: str, b: str, keys: list[str]) -> Column:
+def same_keys(a: str, b: str, keys: list[str]) -> Column:
     return reduce(lambda x, y: x & y, [F.col(f"{a}.{k}").eqNullSafe(F.col(f"{b}.{k}")) for k in keys], F.lit(True))
 
 
@@ -59,19 +59,25 @@ def _kept(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def value_cuts(df: DataFrame, keys: list[str], values: list[str], parts: int = 64) -> DataFrame:
+    """(keys, _cuts0, _cuts1, ...): approximate quantiles of the values, written; a row for each of the keys."""
+    shares = F.array(*[F.lit(i / parts) for i in range(1, parts)])
+    return _kept(df.groupBy(*keys).agg(*[F.percentile_approx(v, shares, F.lit(20 * parts)).alias(f"_cuts{i}") for i, v in enumerate(values)]), "cuts")
+
+
+def bucket_of(value: str, cuts: str) -> Column:
+    """How many cuts lie below the value; -1 for null."""
+    return F.when(F.col(value).isNull(), F.lit(-1)).otherwise(F.coalesce(F.size(F.filter(cuts, lambda c: c < F.col(value))), F.lit(0)))
+
+
 def value_buckets(df: DataFrame, keys: list[str], values: list[str], parts: int = 64) -> tuple[DataFrame, list[DataFrame]]:
     """``df`` with _b0, _b1, ... of ``values``: buckets of a value that rise with it (nulls first); and for each of them (keys, _b, _before:
     rows in lower buckets, _n: rows in it, _all: rows of the keys). About ``parts`` buckets for each of the keys, cut by approximate
     quantile sketches: whatever the cuts, ranks from the counts are exact, and no task holds all rows of a key but
     those of equal values. The tables of cuts and counts are a few rows for each of the keys, counted before they are broadcast."""
-    shares = F.array(*[F.lit(i / parts) for i in range(1, parts)])
-    cuts = df.groupBy(*keys).agg(*[F.percentile_approx(v, shares, F.lit(20 * parts)).alias(f"_cuts{i}") for i, v in enumerate(values)])
-    rows = df.alias("d").join(dimension(_kept(cuts, "cuts")).alias("c"), _same("d", "c", keys), "left")
-
-    def place(i: int, v: str) -> Column:
-        return F.when(F.col(f"d.{v}").isNull(), F.lit(-1)).otherwise(F.coalesce(F.size(F.filter(f"_cuts{i}", lambda c: c < F.col(f"d.{v}"))), F.lit(0)))
-
-    rows = rows.select("d.*", *[place(i, v).alias(f"_b{i}") for i, v in enumerate(values)])
+    cuts = value_cuts(df, keys, values, parts)
+    rows = df.alias("d").join(dimension(cuts).alias("c"), same_keys("d", "c", keys), "left")
+    rows = rows.select("d.*", *[bucket_of(f"d.{v}", f"_cuts{i}").alias(f"_b{i}") for i, v in enumerate(values)])
     each = rows.select(*keys, F.posexplode(F.array(*[F.col(f"_b{i}") for i in range(len(values))])).alias("_which", "_b"))
     own = Window.partitionBy(*keys, "_which")
     counts = each.groupBy(*keys, "_which", "_b").agg(F.count("*").alias("_n"))
@@ -84,7 +90,7 @@ def avg_ranks(df: DataFrame, keys: list[str], names: dict[str, str]) -> DataFram
     out, counts = value_buckets(df, keys, list(names))
     for i, (value, name) in enumerate(names.items()):
         known = dimension(counts[i].select(*keys, F.col("_b").alias(f"_b{i}"), "_before"))
-        placed = out.alias("d").join(known.alias("c"), _same("d", "c", [*keys, f"_b{i}"])).select("d.*", "_before")
+        placed = out.alias("d").join(known.alias("c"), same_keys("d", "c", [*keys, f"_b{i}"])).select("d.*", "_before")
         own = [*keys, f"_b{i}"]
         ties = F.count("*").over(Window.partitionBy(*own, value))
         out = placed.withColumn(name, F.col("_before") + F.rank().over(Window.partitionBy(*own).orderBy(value)) + (ties - 1) / 2).drop(f"_b{i}", "_before")
@@ -109,9 +115,9 @@ def exact_percentiles(df: DataFrame, keys: list[str], value: str, shares: list[f
     wanted = wanted.select("*", F.explode(F.array_distinct(F.array(F.floor("at"), F.ceil("at")))).alias("_row")).where((F.col("_row") >= F.col("_before")) & (F.col("_row") < F.col("_before") + F.col("_n")))
     wanted = dimension(_kept(wanted, "wanted-ranks"))
     buckets = dimension(wanted.select(*keys, "_b", "_before").distinct())
-    inside = rows.alias("d").join(buckets.alias("c"), _same("d", "c", [*keys, "_b"])).select("d.*", "_before")
+    inside = rows.alias("d").join(buckets.alias("c"), same_keys("d", "c", [*keys, "_b"])).select("d.*", "_before")
     numbered = inside.withColumn("_row", F.col("_before") + F.row_number().over(Window.partitionBy(*keys, "_b").orderBy(value)) - 1)
-    found = numbered.alias("r").join(wanted.alias("w"), _same("w", "r", [*keys, "_row"])).select(*[f"w.{k}" for k in keys], "i", "at", "w._row", f"r.{value}")
+    found = numbered.alias("r").join(wanted.alias("w"), same_keys("w", "r", [*keys, "_row"])).select(*[f"w.{k}" for k in keys], "i", "at", "w._row", f"r.{value}")
     weight = F.when(F.floor("at") == F.ceil("at"), 1.0).otherwise(1 - F.abs(F.col("at") - F.col("_row")))
     each = found.groupBy(*keys, "i").agg(F.sum(F.col(value) * weight).alias("v"))
     return each.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "v"))), lambda x: x["v"]).alias("_q"))

@@ -68,6 +68,15 @@ def by_channel(s, d):
     return V.samples(s, d).groupBy("subject", "unit", "i").agg(F.avg("x").alias("x"))
 
 
+def waves(s, d):
+    """The same as arrays."""
+    return J.collect_samples(by_channel(s, d), ["subject", "unit"])
+
+
+def channels_long(signals):
+    return signals.select("subject", "unit", F.posexplode("samples").alias("i", "x")).withColumn("i", F.col("i").cast("long"))
+
+
 CHAN = "chan AS (SELECT subject, unit, i, avg(x) AS x FROM samples GROUP BY ALL)"
 LINES = """line AS (SELECT subject, trial, unit, regr_intercept(log10(p), log10(f)) AS o, -regr_slope(log10(p), log10(f)) AS e, regr_r2(log10(p), log10(f)) AS r2 FROM psd WHERE f BETWEEN 2 AND 30 AND p > 0 GROUP BY ALL)"""
 
@@ -125,9 +134,9 @@ QUERIES = {
     "j6_rereference": q(lambda s, d: J.rereference(by_channel(s, d), ["subject"]), "subject unit i", "x", f"WITH {CHAN} SELECT subject, unit, i, x - avg(x) OVER (PARTITION BY subject, i) AS x FROM chan", "samples"),
     "j7_baseline": q(lambda s, d: J.explode_samples(J.baseline_correct(V.signals(s, d), 0, 31), V.FS), "subject trial unit i", "x", "SELECT subject, trial, unit, i, x - avg(x) FILTER (i <= 31) OVER (PARTITION BY subject, trial, unit) AS x FROM samples", "samples"),
     "j8_hilbert_phase": q(lambda s, d: J.hilbert_phase(V.signals(s, d), V.FS, 8.0, 10.0, V.STIMULUS, 33), "subject trial unit", "phase"),
-    "j9_apply_linear": q(lambda s, d: J.apply_linear(by_channel(s, d), rotation(s), ["subject"]), "subject unit i", "x", f"WITH {CHAN}, k(unit, o, w) AS (VALUES ('ch0','a',0.5),('ch1','a',0.5),('ch2','b',1.0),('ch3','b',-1.0)) SELECT subject, o AS unit, i, sum(w * x) AS x FROM chan JOIN k USING (unit) GROUP BY ALL", "samples"),
+    "j9_apply_linear": q(lambda s, d: channels_long(J.apply_matrix(waves(s, d), rotation(s), ["subject"])), "subject unit i", "x", f"WITH {CHAN}, k(unit, o, w) AS (VALUES ('ch0','a',0.5),('ch1','a',0.5),('ch2','b',1.0),('ch3','b',-1.0)) SELECT subject, o AS unit, i, sum(w * x) AS x FROM chan JOIN k USING (unit) GROUP BY ALL", "samples"),
     "j10_remove_components": q(
-        lambda s, d: J.remove_components(by_channel(s, d), rotation(s), s.createDataFrame([("a", "ch0", 0.9), ("a", "ch1", 0.3), ("b", "ch2", 0.2)], "unit_in string, unit_out string, w double"), ["a"], ["subject"]),
+        lambda s, d: channels_long(J.remove_parts(waves(s, d), rotation(s), s.createDataFrame([("a", "ch0", 0.9), ("a", "ch1", 0.3), ("b", "ch2", 0.2)], "unit_in string, unit_out string, w double"), ["a"], ["subject"])),
         "subject unit i", "x", f"WITH {CHAN}, c AS (SELECT subject, i, 0.5 * sum(x) AS a FROM chan WHERE unit IN ('ch0', 'ch1') GROUP BY ALL) SELECT subject, unit, i, x - CASE unit WHEN 'ch0' THEN 0.9 * a WHEN 'ch1' THEN 0.3 * a ELSE 0 END AS x FROM chan JOIN c USING (subject, i)", "samples",
     ),
     "j11_roi_time_course": q(lambda s, d: J.roi_time_course(by_channel(s, d), s.createDataFrame([("ch0", "left", 1), ("ch1", "left", -1), ("ch2", "right", 1), ("ch0", "whole", 1)], "unit string, roi string, sign int"), ["subject"]), "subject unit i", "x", f"WITH {CHAN}, m(unit, roi, s) AS (VALUES ('ch0','left',1),('ch1','left',-1),('ch2','right',1),('ch0','whole',1)) SELECT subject, roi AS unit, i, avg(s * x) AS x FROM chan JOIN m USING (unit) GROUP BY ALL", "samples"),
@@ -137,6 +146,7 @@ QUERIES = {
     ),
     "j13_aperiodic_line": q(lines, "subject trial unit", "offset exponent r2", f'WITH {LINES} SELECT subject, trial, unit, o AS "offset", e AS exponent, r2 FROM line', "psd"),
     "j13_fit_aperiodic": q(lambda s, d: J.fit_aperiodic(J.welch_psd(V.signals(s, d), V.FS, 1.0, 0.5), 2.0, 30.0).select(*IDS, "fit.*"), "subject trial unit fail_reason", "offset exponent r2 error alpha_cf alpha_pw alpha_bw"),
+    "j13_spectral_peaks": q(lambda s, d: J.spectral_peaks(J.welch_psd(V.signals(s, d), V.FS, 1.0, 0.5), 2.0, 30.0), "subject trial unit", "cf pw bw"),
     "j14_epoch_builder": q(
         lambda s, d: J.explode_samples(J.build_epochs(V.signals(s, d).withColumn("subject", F.concat_ws("_", "subject", "trial")).drop("trial"), V.signals(s, d).select(F.concat_ws("_", "subject", "trial").alias("subject"), F.explode(F.array(*map(F.lit, (10, 32, 50)))).alias("at")).selectExpr("subject", "at", "if(at = 32, 'S1', if(at = 50, 'S9', 'S2')) AS code"), s.createDataFrame([("S1", "stim", "high", 1), ("S1", "other", "low", 2), ("S2", "rest", "none", 3)], "code string, condition string, intensity string, position int"), V.FS, 0.125, 0.25, (-0.125, 0.0)), V.FS),
         "subject unit epoch_index code condition intensity i", "x",

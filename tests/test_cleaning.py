@@ -65,6 +65,20 @@ def test_epoch_forms_agree(spark):
     assert found.groupBy("event_id", "offset").count().where("count > 1").count() == 0
 
 
+def test_interpolate_in_buckets(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(0)
+    x = {k: np.unique(rng.normal(size=n).round(3)) for k, n in (("a", 700), ("b", 2), ("c", 1))}
+    y = {k: rng.normal(size=len(v)) for k, v in x.items()}
+    g = {k: rng.uniform(-4, 4, 300) for k in "abcd"}
+    p = spark.createDataFrame([(k, float(a), float(b)) for k in x for a, b in zip(x[k], y[k])], "k string, x double, y double")
+    found = {(r.k, r.x): r.y for r in joins.interpolate(p, spark.createDataFrame([(k, float(v)) for k in g for v in g[k]], "k string, x double"), ["k"]).collect()}
+    assert len(found) == 1200 and all(found["d", float(v)] is None for v in g["d"])
+    for k in x:
+        assert np.allclose([found[k, float(v)] for v in g[k]], np.interp(g[k], x[k], y[k]))
+
+
 def test_interpolate(spark):
     p = spark.createDataFrame([("a", 0.0, 0.0), ("a", 2.0, 4.0), ("b", 1.0, 7.0)], "k string, x double, y double")
     g = spark.createDataFrame([("a", -1.0), ("a", 0.5), ("a", 2.0), ("a", 3.0), ("b", 5.0)], "k string, x double")

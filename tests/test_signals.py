@@ -60,6 +60,49 @@ def test_filters_keep_time(spark):
     assert half.shape == (1, 64) and np.abs(half[0] - np.sin(2 * np.pi * 5 * np.arange(64) / 32))[15:-15].max() < 0.05
 
 
+def test_resampling_is_upsampling_filtering_and_decimating():
+    rng = np.random.default_rng(0)
+    for fs, target, n in ((64.0, 48.0, 90), (64.0, 32.0, 91), (64.0, 160.0, 40), (100.0, 64.0, 75)):
+        up, down = kernels.rational_rate(fs, target)
+        x = rng.normal(size=(2, n))
+        h = kernels.polyphase_taps(up, down)
+        pad = min(-(-len(h) // up), n - 1)
+        wide = np.concatenate((2 * x[:, :1] - x[:, pad:0:-1], x, 2 * x[:, -1:] - x[:, -2 : -pad - 2 : -1]), axis=1)
+        zeros = np.zeros((2, wide.shape[1] * up))
+        zeros[:, ::up] = wide
+        full = np.array([np.convolve(z, h) for z in zeros])[:, len(h) // 2 + pad * up :][:, ::down]
+        assert np.allclose(kernels.resample(x, fs, target), full[:, : -(-n * up // down)])
+    assert kernels.resample(x, 64.0, 64.0) is x
+    t = np.arange(256) / 64
+    wave = kernels.resample(np.sin(2 * np.pi * 5 * t)[None], 64.0, 48.0)[0]
+    assert np.abs(wave - np.sin(2 * np.pi * 5 * np.arange(192) / 48))[20:-20].max() < 0.02
+
+
+def test_all_peaks_of_a_spectrum(spark):
+    f = np.arange(1, 46, 0.5)
+    planted = [(6.0, 0.9, 0.8), (11.0, 1.2, 1.0), (24.0, 0.6, 1.5)]
+    p = 10 ** (2 - 1.1 * np.log10(f) + sum(h * np.exp(-((f - c) ** 2) / (2 * w * w)) for c, h, w in planted))
+    df = spark.createDataFrame([("a", f.tolist(), p.tolist()), ("flat", f.tolist(), (f**-1.0).tolist()), ("none", None, None)], "unit string, f array<double>, p array<double>")
+    found = J.spectral_peaks(df, 1.0, 45.0).collect()
+    assert {r.unit for r in found} == {"a"}
+    for c, h, w in planted:
+        assert any(abs(r.cf - c) <= 0.5 and abs(r.pw - h) < 0.2 and abs(r.bw - 2 * w) < 1 for r in found)
+
+
+def test_packed_matrices(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    data = [(s, u, rng.normal(size=5 if u != "d" else 3).tolist()) for s in (1, 2) for u in "abcd" if (s, u) != (2, "a")]
+    df = spark.createDataFrame(data, "subject int, unit string, samples array<double>")
+    k = spark.createDataFrame([("a", "x", 1.0), ("b", "x", -2.0), ("d", "y", 0.5), ("b", "y", 0.25), ("z", "w", 1.0)], "unit_in string, unit_out string, w double")
+    back = spark.createDataFrame([("x", "a", 0.5), ("x", "c", 2.0), ("y", "b", 1.0)], "unit_in string, unit_out string, w double")
+    run = lambda: [{(r.subject, r.unit): r.samples for r in made.collect()} for made in (J.apply_matrix(df, k, ["subject"]), J.remove_parts(df, k, back, ["x", "y"], ["subject"]))]
+    packed = run()
+    monkeypatch.setattr(J, "MATRIX_CELLS", 0)
+    joined = run()
+    for one, two in zip(packed, joined):
+        assert one.keys() == two.keys() and all(one[c] == pytest.approx(two[c]) for c in one)
+
+
 def test_phase(waves):
     found = {r.unit: r.phase for r in J.hilbert_phase(waves, FS, 7.0, 13.0, 64, 33).collect()}
     assert found["slow"] == pytest.approx(0, abs=0.15) and abs(found["fast"]) == pytest.approx(0, abs=0.15)
