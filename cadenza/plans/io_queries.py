@@ -18,7 +18,7 @@ from cadenza.plans.cleaning_queries import SPLIT
 from cadenza.plans.feature_queries import IDS, features
 from cadenza.plans.feature_queries import QUERIES as FEATURES
 from cadenza.plans.spec import q
-from cadenza.sources import scans, sinks
+from cadenza.sources import scans, sinks, snapshots
 from cadenza.sources.scratch import scratch_path
 from cadenza.streaming import incremental
 
@@ -97,7 +97,7 @@ def upserted(s, d):
     rows = V.metrics_wide(s, d).select("subject", "trial", "unit", "tax")
     sinks.upsert_partitioned(rows, path, "subject", 16)
     sinks.upsert_partitioned(rows.where("subject % 3 = 0 AND tax > 0.04").selectExpr("subject", "trial", "unit", "-tax AS tax"), path, "subject", 16)
-    return s.read.parquet(path)
+    return snapshots.read_snapshot(s, path)
 
 
 def streamed(s, d):
@@ -107,7 +107,7 @@ def streamed(s, d):
     for part in (rows, rows.where("subject % 4 = 1").selectExpr("subject", "trial", "unit", "tax + 1 AS tax")):
         part.write.mode("append").parquet(source)
         incremental.ingest_new_files(s, source, "subject long, trial long, unit string, tax double", target, mark).awaitTermination()
-    return s.read.parquet(target)
+    return snapshots.read_snapshot(s, target)
 
 
 def streamed_split(s, d):
@@ -213,7 +213,7 @@ def result_rows(s, d):
     rows = V.metrics_wide(s, d).groupBy(F.lit("source").alias("level"), F.col("unit").alias("group_value"), (F.col("subject") % 5).alias("model_name")).agg(F.avg("tax").alias("aic"))
     sinks.write_result_rows(rows, path)
     sinks.write_result_rows(rows.where("group_value = 'AF'").withColumn("aic", -F.col("aic")), path)
-    return s.read.parquet(path)
+    return snapshots.read_snapshot(s, path)
 
 
 def cv_rows(s, d):

@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cadenza.operators.joins import full_merge
-from cadenza.operators.sets import upsert_by_key
+from cadenza.sources.snapshots import upsert_snapshot
 
 SCHEMAS = {
     "subjects": "global_subjid string, experiment_id int, subject int, age double, sex string, cap_size string",
@@ -97,40 +95,12 @@ def read_report(spark: SparkSession, name: str, path: str) -> DataFrame:
     return spark.read.option("header", True).schema(", ".join(f"`{c}` string" for c in REPORTS[name])).csv(path)
 
 
-def _replace(spark: SparkSession, staged: str, path: str) -> None:
-    """Puts a whole written table in another's place. The old one is renamed first and deleted last: a job that
-    is lost between these steps leaves both."""
-    jvm_path = spark._jvm.org.apache.hadoop.fs.Path
-    files = jvm_path(path).getFileSystem(spark._jsc.hadoopConfiguration())
-    old = f"{path}-old-{uuid.uuid4().hex}"
-    if files.exists(jvm_path(path)) and not files.rename(jvm_path(path), jvm_path(old)):
-        raise OSError(f"{path} can't be renamed")
-    if not files.rename(jvm_path(staged), jvm_path(path)):
-        raise OSError(f"{staged} can't be renamed")
-    files.delete(jvm_path(old), True)
-
-
 def upsert_partitioned(new: DataFrame, path: str, key: str, buckets: int = 64) -> None:
-    """Replaces the rows of the keys of ``new`` in a table partitioned by hash buckets of the key: only the buckets
-    that they fall into are read and written."""
-    spark = new.sparkSession
-    tagged = new.withColumn("bucket", F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int"))
-    if _exists(spark, path):
-        # Buckets are at most ``buckets`` numbers.
-        touched = [r[0] for r in tagged.select("bucket").distinct().collect()]
-        old = spark.read.parquet(path).where(F.col("bucket").isin(touched))
-        tagged = upsert_by_key(old, tagged, [key])
-        staged = f"{path}-staged"
-        tagged.write.mode("overwrite").parquet(staged)
-        tagged = spark.read.parquet(staged)
-    tagged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path)
+    """Replaces the rows of the keys of ``new`` in a versioned table: only the hash buckets that they fall into are read and
+    written. ``snapshots.read_snapshot`` reads it."""
+    upsert_snapshot(new, path, [key], buckets)
 
 
 def write_result_rows(rows: DataFrame, path: str) -> None:
-    """Replaces results by (level, group_value, model_name), one write for all models of a job."""
-    spark = rows.sparkSession
-    if _exists(spark, path):
-        rows = upsert_by_key(spark.read.parquet(path), rows, ["level", "group_value", "model_name"])
-    staged = f"{path}-staged-{uuid.uuid4().hex}"
-    rows.write.parquet(staged)
-    _replace(spark, staged, path)
+    """Replaces results by (level, group_value, model_name) in a versioned table, one version for all models of a job."""
+    upsert_snapshot(rows, path, ["level", "group_value", "model_name"], 8)

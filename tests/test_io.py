@@ -5,7 +5,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from cadenza.sources import scans, sinks
+from cadenza.sources import scans, sinks, snapshots
 
 
 def test_scan_behaviour(spark, tmp_path):
@@ -60,7 +60,7 @@ def test_sinks(spark, tmp_path):
     results = spark.createDataFrame([("s", "g", "m", 1.0), ("s", "g", "k", 2.0)], "level string, group_value string, model_name string, aic double")
     sinks.write_result_rows(results, f"{root}/fits")
     sinks.write_result_rows(results.where("model_name = 'm'").withColumn("aic", F.lit(9.0)), f"{root}/fits")
-    assert sorted(r.aic for r in spark.read.parquet(f"{root}/fits").collect()) == [2.0, 9.0]
+    assert sorted(r.aic for r in snapshots.read_snapshot(spark, f"{root}/fits").collect()) == [2.0, 9.0]
     sinks.append_cv_rows(results, f"{root}/cv")
     sinks.append_cv_rows(results, f"{root}/cv")
     assert spark.read.parquet(f"{root}/cv").count() == 4
@@ -88,3 +88,55 @@ def test_stream_remembers_subjects(spark, tmp_path):
     for cap in ("c0", "c1"):
         groups = [g for c, g in kept[1].values() if c == cap]
         assert abs(groups.count("train") - 0.75 * len(groups)) <= 1
+
+
+TABLE = "k int, v string"
+
+
+def held(spark, root, version=None):
+    return sorted((r.k, r.v) for r in snapshots.read_snapshot(spark, root, version).collect())
+
+
+def test_lost_writers_leave_a_table(spark, tmp_path, monkeypatch):
+    root = str(tmp_path / "t")
+    frame = lambda *rows: spark.createDataFrame(rows, TABLE)
+    assert snapshots.upsert_snapshot(frame((1, "a"), (2, "b"), (3, "c")), root, ["k"], 4) == 1
+    assert snapshots.upsert_snapshot(frame((2, "B"), (4, "d")), root, ["k"]) == 2
+    assert held(spark, root) == [(1, "a"), (2, "B"), (3, "c"), (4, "d")] and held(spark, root, 1) == [(1, "a"), (2, "b"), (3, "c")]
+    # Lost after its folder was written, before the commit.
+    monkeypatch.setattr(snapshots, "commit", lambda *a: (_ for _ in ()).throw(KeyboardInterrupt))
+    with pytest.raises(KeyboardInterrupt):
+        snapshots.upsert_snapshot(frame((1, "lost")), root, ["k"])
+    monkeypatch.undo()
+    assert held(spark, root)[0] == (1, "a")
+    # Lost amid its manifest: readers wait a while, then pass over it, and the next writer takes the number after.
+    (tmp_path / "t/versions" / f"{3:020d}").write_text('{"schema": "k int')
+    monkeypatch.setattr(snapshots, "GRACE", 0.5)
+    assert held(spark, root)[0] == (1, "a")
+    assert snapshots.upsert_snapshot(frame((1, "A")), root, ["k"]) == 4
+    assert held(spark, root) == [(1, "A"), (2, "B"), (3, "c"), (4, "d")]
+    # What no version names goes, but not yet what is young.
+    assert snapshots.vacuum(spark, root) == 0 and snapshots.vacuum(spark, root, older_than=0) >= 1
+    assert held(spark, root) == [(1, "A"), (2, "B"), (3, "c"), (4, "d")]
+
+
+def test_two_writers_do_not_mix(spark, tmp_path, monkeypatch):
+    root = str(tmp_path / "t")
+    frame = lambda *rows: spark.createDataFrame(rows, TABLE)
+    snapshots.upsert_snapshot(frame((1, "a"), (2, "b")), root, ["k"], 1)
+    own, first = snapshots.commit, []
+
+    def late(*args):
+        if not first:
+            first.append(1)
+            snapshots.upsert_snapshot(frame((2, "other"), (5, "e")), root, ["k"])  # comes between this writer's read and its commit
+        own(*args)
+
+    monkeypatch.setattr(snapshots, "commit", late)
+    assert snapshots.upsert_snapshot(frame((1, "mine")), root, ["k"]) == 3
+    assert held(spark, root) == [(1, "mine"), (2, "other"), (5, "e")]
+    wider = spark.createDataFrame([(7, "g", 1.5)], f"{TABLE}, extra double")
+    snapshots.upsert_snapshot(wider, root, ["k"])
+    assert {r.k: r.extra for r in snapshots.read_snapshot(spark, root).collect()} == {1: None, 2: None, 5: None, 7: 1.5}
+    with pytest.raises(FileNotFoundError):
+        snapshots.read_snapshot(spark, str(tmp_path / "none"))
