@@ -4,7 +4,7 @@ Shingles have one order for all documents: those that a sample of the documents
 at the very end, the others by their hash. Two sets of similarity t share one of their first n - ceil(t n) + 1 shingles
 in any such order, so no pair is lost, whatever the sample holds; it only keeps the lists of shared shingles short.
 
-Every list is first linked to its least member. Pairs that links have joined already need no check; every other pair of
+Every list is first linked to a few of its members. Pairs that links have joined already need no check; every other pair of
 a list is checked. A pair is linked if its fingerprints are near, or if its whole sets reach the similarity; texts
 are read only where sizes and parities allow that. A set's parities are bits, each of them whether an odd number of
 shingles falls on it: as many as differ, and no fewer, are the shingles that only one of two sets has.
@@ -18,7 +18,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import KEY_ROWS, join_small, stored
@@ -27,6 +27,8 @@ from .vectors import segments, windows, words
 
 SEED = 42
 LIST_BLOCK = 2048
+#: Members of a list that all its others are compared with first.
+HUBS = 3
 LEAST_BITS = 64
 #: Documents of the sample, in how many of them a shingle is frequent, and the most that are told apart.
 SAMPLE, FREQUENT, FREQUENT_MOST = 4_000, 4, 50_000
@@ -151,37 +153,49 @@ def verified(pairs: DataFrame, sets: DataFrame, keyed: DataFrame, similarity: fl
     return stored(whole.mapInArrow(run, "u long, v long"), "overlap-links")
 
 
+def _edges(roots: DataFrame) -> DataFrame:
+    """(u, v): each node and its root, which join the same nodes as the links that they came from."""
+    return roots.where("node != root").select(F.col("node").alias("u"), F.col("root").alias("v"))
+
+
 def overlap_links(own: DataFrame, keyed: DataFrame, known: DataFrame, similarity: float, shingle: int, bits: int) -> DataFrame:
-    """``known`` links (u, v) between the fingerprints fp of ``own`` (_h, fp, s: a number of the shingle set, size, odd:
-    its parities, first: its prefix), and links that join all other pairs of sets of ``similarity`` or more,
+    """Links that join what the ``known`` links (u, v) join between the fingerprints fp of ``own`` (_h, fp, s: a number of the
+    shingle set, size, odd: its parities, first: its prefix), all other pairs of sets of ``similarity`` or more,
     and all that share a shingle of their prefixes and have fingerprints at ``bits`` or less."""
     some = own.where("size > 0")
     light = some.groupBy("s").agg(F.min(F.struct("fp", "_h", "size", "odd")).alias("m")).select("s", "m.*")
     equal = some.select("s", F.col("fp").alias("u")).distinct().join(light.select("s", F.col("fp").alias("v")), "s").where("u != v").select("u", "v")
-    known = stored(known.unionAll(equal), "known-links")
-    sets = stored(_rooted(light, known), "shingle-sets")
-    over = Window.partitionBy("token")
+    roots = components(known.unionAll(equal))
+    sets = stored(_rooted(light, roots), "shingle-sets")
     tokens = some.select("s", "first").dropDuplicates(["s"]).select("s", F.explode("first").alias("token"))
-    listed = tokens.withColumns({"n": F.count("*").over(over), "least": F.min("s").over(over)}).where("n > 1")
-    listed = stored(listed, "shared-shingles")
+    # A list's hubs: its least member, and the least in other orders; a list may hold a third of all sets, so it is counted, not gathered.
+    hubs = [F.min("s"), *[F.min_by("s", F.xxhash64(F.lit(k), "s")) for k in range(1, HUBS)]]
+    counted = tokens.groupBy("token").agg(F.count("*").alias("n"), F.array(*hubs).alias("hubs")).where("n > 1")
+    listed = stored(tokens.join(counted, "token"), "shared-shingles")
 
     of = lambda k: sets.select(*[F.col(c).alias(f"{c}_{k}") for c in ("s", "fp", "size", "root")])
-    hubs = listed.where("s != least").select(F.col("s").alias("s_u"), F.col("least").alias("s_v")).distinct()
-    hubs = hubs.join(of("u"), "s_u").join(of("v"), "s_v").where(F.col("root_u") != F.col("root_v")).where(near(bits) | similar_sizes(similarity))
-    links = stored(known.unionAll(decided(hubs.select("s_u", "s_v", "fp_u", "fp_v"), sets, keyed, similarity, shingle, bits)), "hub-links")
+    spokes = listed.select("s", F.explode("hubs").alias("hub")).where("s != hub").select(F.greatest("s", "hub").alias("s_u"), F.least("s", "hub").alias("s_v")).distinct()
+    spokes = spokes.join(of("u"), "s_u").join(of("v"), "s_v").where(F.col("root_u") != F.col("root_v")).where(near(bits) | similar_sizes(similarity))
+    roots = components(_edges(roots).unionAll(decided(spokes.select("s_u", "s_v", "fp_u", "fp_v"), sets, keyed, similarity, shingle, bits)))
 
-    labelled = stored(_rooted(sets.drop("root"), links).select("s", "fp", "size", "root"), "overlap-roots")
+    labelled = stored(_rooted(sets.drop("root"), roots).select("s", "fp", "size", "root"), "overlap-roots")
     apart = listed.select("token", "s", "n").join(labelled, "s")
-    apart = apart.withColumns({"low": F.min("root").over(over), "high": F.max("root").over(over)}).where("low != high")
-    apart = stored(apart.select("token", "s", "fp", "size", "root", F.ceil(F.col("n") / LIST_BLOCK).cast("int").alias("blocks")), "overlap-apart")
+    torn = apart.groupBy("token").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low != high").select("token")
+    apart = stored(apart.join(torn, "token").select("token", "s", "fp", "size", "root", F.ceil(F.col("n") / LIST_BLOCK).cast("int").alias("blocks")), "overlap-apart")
     left = apart.withColumn("block", F.pmod(F.xxhash64("s"), "blocks").cast("int"))
     right = apart.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     # Each block of a long list meets its whole list, in several parts.
     side = lambda rows, k: rows.select("token", "block", *[F.col(c).alias(f"{c}_{k}") for c in ("s", "fp", "size", "root")])
     pairs = side(left, "u").join(side(right, "v"), ["token", "block"]).where((F.col("s_u") > F.col("s_v")) & (F.col("root_u") != F.col("root_v")))
-    pairs = pairs.where(near(bits) | similar_sizes(similarity)).select("s_u", "s_v", "fp_u", "fp_v").distinct()
-    return links.unionAll(decided(pairs, sets, keyed, similarity, shingle, bits))
-
-
-def _rooted(sets: DataFrame, links: DataFrame) -> DataFrame:
-    return sets.join(components(links).withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    pairs = stored(pairs.where(near(bits) | similar_sizes(similarity)).select("s_u", "s_v", "fp_u", "fp_v", "root_u", "root_v").distinct(), "candidate-pairs")
+    # What is joined already is joined by its roots, so one link for each pair of roots is enough.
+    close = pairs.where(near(bits)).select(F.greatest("root_u", "root_v").alias("u"), F.least("root_u", "root_v").alias("v")).distinct()
+    roots = components(_edges(roots).unionAll(close))
+    now = lambda k: roots.select(F.col("node").alias(f"root_{k}"), F.col("root").alias(f"now_{k}"))
+    rest = pairs.where(~near(bits)).join(now("u"), "root_u", "left").join(now("v"), "root_v", "left")
+    rest = rest.where(F.coalesce("now_u", "root_u") != F.coalesce("now_v", "root_v")).select("s_u", "s_v")
+    return _edges(roots).unionAll(verified(rest, sets, keyed, similarity, shingle))
+
+
+def _rooted(sets: DataFrame, roots: DataFrame) -> DataFrame:
+    return sets.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
