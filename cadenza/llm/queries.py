@@ -19,7 +19,7 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_png_media(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return media.features(stored(media.encode(read(spark, sf_dir, "documents")), "media")).drop("cosine_hash")
+    return media.features(stored(media.encode(read(spark, sf_dir, "documents")), "media"))
 
 
 def op3_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
