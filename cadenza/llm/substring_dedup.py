@@ -31,10 +31,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import stored
-from .exchange import Chunk, Corpus, answer, joined, loosen, parted, split_sorted, squeeze
+from .exchange import ANSWERED, Chunk, Corpus, answer, joined, loosen, parted, split_sorted, squeeze
 from .vectors import byte_sums, counted, mixed, numbered, segments, spread, stretch_hashes
 
 LENGTH, GRAM = 400, 256
+#: Of shorter strings, whose bytes are counted only.
+SHORTER, SHORTER_GRAM = 256, 112
 #: Longer texts are looked at in overlapping stretches of so many starts.
 STRETCH = 1 << 19
 _PLACE_BITS = np.uint64(24)
@@ -48,6 +50,8 @@ UNIQUE, REPEATED, SHOWN = 0, 1, 2
 ROWS = "block long, chunk long, asked binary"
 #: Blocks of entries dealt by digest have numbers from here.
 _DIGESTS = 1 << 40
+#: The block under which a chunk gets what another pass has found.
+_BESIDE = -2
 
 
 def _least(keys: np.ndarray, width: int) -> np.ndarray:
@@ -221,13 +225,12 @@ def _replies(answers: dict[int, bytes], low: int, high: int) -> list[bytes]:
     return [answers[b] for b in sorted(answers) if low <= b < high]
 
 
-def dedup_substrings(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept (binary: the remaining bytes) of every row.
+Spans = list[list[tuple[int, int]]]
 
-    Null and empty texts, and those under ``length`` bytes, keep all they have. Repeated rows are each other's copies.
-    Strings are judged on the input; a run of one byte repeats itself and is removed. An empty table gives no rows; a
-    null doc_id stays null; other columns are left out. Texts of any length are taken whole, long ones in stretches."""
-    corpus = Corpus(docs)
+
+def _matched(corpus: Corpus, length: int, gram: int, finish: Callable[[Chunk, Spans, bytes | None], pa.Table], schema: str, beside: DataFrame | None = None) -> DataFrame:
+    """What ``finish`` makes of each chunk, of the maximal runs in each of its texts under strings of ``length`` bytes that start anywhere
+    else, and of what ``beside`` (ANSWERED, block _BESIDE) has for the chunk."""
     bits = corpus.bits(corpus.bytes * 2 / (length - gram + 1))
 
     def asks(chunk: Chunk) -> Iterator[tuple[int, bytes]]:
@@ -288,6 +291,7 @@ def dedup_substrings(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) ->
 
     def clear(chunk: Chunk, answers: dict[int, bytes]) -> pa.Table:
         owner, begin, end = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        note = answers.pop(_BESIDE, None)
         if -1 in answers:
             doc, low, extra, d, p, e, holder, place, string, block = (loosen(x, np.uint32).astype(np.int64) for x in parted(answers.pop(-1)))
             bits_of = {b: np.unpackbits(np.frombuffer(x, np.uint8)).astype(bool) for b, x in answers.items() if b < _DIGESTS}
@@ -300,19 +304,42 @@ def dedup_substrings(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) ->
         order = np.lexsort((begin, owner))
         owner, begin, end = owner[order], begin[order], end[order]
         edge = np.searchsorted(owner, np.arange(len(chunk.texts) + 1))
+        return finish(chunk, [union(begin[a:b], end[a:b]) for a, b in zip(edge, edge[1:])], note)
+
+    found = _answers(listed, lambda x: sort_entries(x, length), judge_strings)
+    return corpus.tell(found if beside is None else found.unionAll(beside), clear, schema)
+
+
+def dedup_substrings(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, shorter: tuple[int, int] | None = None) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans, kept (binary: the remaining bytes) of every row; and, with ``shorter`` (another length and
+    gram), n_repeated: the bytes under strings of that length that start anywhere else, which are kept.
+
+    Null and empty texts, and those under ``length`` bytes, keep all they have. Repeated rows are each other's copies.
+    Strings are judged on the input; a run of one byte repeats itself and is removed. An empty table gives no rows; a
+    null doc_id stays null; other columns are left out. Texts of any length are taken whole, long ones in stretches."""
+    corpus = Corpus(docs)
+
+    def covered(chunk: Chunk, spans: Spans, _: bytes | None) -> pa.Table:
+        sums = squeeze(np.array([sum(b - a for a, b in own) for own in spans], np.int64))
+        return pa.table({"chunk": pa.array([chunk.number], pa.int64()), "block": pa.array([_BESIDE], pa.int64()), "answer": pa.array([sums], pa.binary())})
+
+    def cut(chunk: Chunk, spans: Spans, note: bytes | None) -> pa.Table:
         rows, ids = [], chunk.doc_ids()
+        repeated = loosen(note, np.int64).tolist() if note is not None else [None] * len(spans)
         for i, text in enumerate(chunk.texts):
-            spans = union(begin[edge[i] : edge[i + 1]], end[edge[i] : edge[i + 1]])
             at, kept = 0, []
-            for a, b in spans:
+            for a, b in spans[i]:
                 kept.append(text[at:a])
                 at = b
             kept.append(text[at:])
             left = b"".join(kept)
-            rows.append((ids[i], len(text), len(text) - len(left), len(spans), left))
-        return pa.table([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()))], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept"])
+            rows.append((ids[i], len(text), len(text) - len(left), len(spans[i]), repeated[i], left))
+        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
+        return pa.table([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names=["doc_id", "n_bytes", "n_removed", "n_spans", "n_repeated", "kept"])
 
-    return corpus.tell(_answers(listed, lambda x: sort_entries(x, length), judge_strings), clear, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
+    beside = _matched(corpus, *shorter, covered, ANSWERED) if shorter else None
+    out = _matched(corpus, length, gram, cut, "doc_id long, n_bytes long, n_removed long, n_spans long, n_repeated long, kept binary", beside)
+    return out if shorter else out.drop("n_repeated")
 
 
 def union(begin: np.ndarray, end: np.ndarray) -> list[tuple[int, int]]:
@@ -342,5 +369,7 @@ def _sizes(found: DataFrame, judged: DataFrame, length: int) -> tuple[int, int]:
 
 
 def substring_report(docs: DataFrame) -> DataFrame:
-    """The digest of ``dedup_substrings``: doc_id, n_bytes, n_removed, n_spans, kept_sha256."""
-    return dedup_substrings(docs).select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+    """The digest of ``dedup_substrings``: doc_id, n_bytes, n_removed, n_spans, kept_sha256, and n_repeated, the bytes under repeated
+    strings of SHORTER bytes, about forty words: passages of fifty words are often shorter than LENGTH."""
+    rows = dedup_substrings(docs, shorter=(SHORTER, SHORTER_GRAM))
+    return rows.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"), "n_repeated")

@@ -42,15 +42,20 @@ def test_substrings(documents, small_chunks, monkeypatch, hot, stretch):
     monkeypatch.setattr(substring_dedup, "HOT", hot)
     monkeypatch.setattr(substring_dedup, "STRETCH", stretch)
     rows = [(r.doc_id, (r.text or "").encode()) for r in documents.collect()]
-    seen = Counter(t[p : p + 400] for _, t in rows for p in range(len(t) - 399))
+    seen = {n: Counter(t[p : p + n] for _, t in rows for p in range(len(t) - n + 1)) for n in (256, 400)}
     expected = []
+
+    def covered(t, n):
+        out = bytearray(len(t))
+        for p in range(len(t) - n + 1):
+            if seen[n][t[p : p + n]] > 1:
+                out[p : p + n] = b"\1" * n
+        return out
+
     for i, t in rows:
-        gone = bytearray(len(t))
-        for p in range(len(t) - 399):
-            if seen[t[p : p + 400]] > 1:
-                gone[p : p + 400] = b"\1" * 400
+        gone = covered(t, 400)
         runs = sum(1 for k in range(len(gone)) if gone[k] and (k == 0 or not gone[k - 1]))
-        expected.append((i, len(t), sum(gone), runs, hashlib.sha256(bytes(x for x, g in zip(t, gone) if not g)).hexdigest()))
+        expected.append((i, len(t), sum(gone), runs, hashlib.sha256(bytes(x for x, g in zip(t, gone) if not g)).hexdigest(), sum(covered(t, 256))))
     assert plain(substring_dedup.substring_report(documents).collect()) == plain(expected)
 
 
