@@ -242,7 +242,7 @@ def score(docs: DataFrame, depth: int = DEPTH) -> DataFrame:
 
     Null and empty texts have the end only. A null doc_id is never held out; repeated rows are scored alike; an empty
     table gives no rows. Without a training row all counts are 0 and every decision costs one bit. Texts of any length
-    are taken whole."""
+    are taken whole; other columns, whatever they are called, are left out."""
     if not TOP <= depth <= 7:
         raise ValueError(f"a context has {TOP} to 7 bytes")
     corpus = Corpus(docs)

@@ -27,8 +27,8 @@ from .common import delete_at_end, scratch_dir, whole_text
 CHUNK_BYTES = 4_000_000
 #: Small corpora have smaller chunks, about so many.
 LEAST_CHUNKS = 64
-#: A bucket is a task of about BUCKET_CHUNKS chunks, up to BUCKETS buckets.
-BUCKET_CHUNKS, BUCKETS = 2, 20_000
+#: A bucket is a task of about BUCKET_CHUNKS chunks; beyond FINE_BUCKETS buckets they are as many as hold BUCKET_BYTES each, taken chunk by chunk.
+BUCKET_CHUNKS, FINE_BUCKETS, BUCKET_BYTES = 2, 20_000, 512_000_000
 BLOCK_KEYS = 1_500_000
 #: Stands for a null doc_id, as larger than all others.
 NULL_ID = np.iinfo(np.int64).max
@@ -82,8 +82,11 @@ class Corpus:
         self.bytes = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
         size = chunk_bytes or min(CHUNK_BYTES, max(CHUNK_BYTES // 16, self.bytes // LEAST_CHUNKS))
         rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole_text().alias("text"))
-        buckets = int(min(BUCKETS, 1 + self.bytes // (size * BUCKET_CHUNKS)))
-        self.packed = _bucketed(rows.mapInArrow(lambda batches: _pack(batches, size), "chunk long, blob binary"), buckets)
+        fine = int(1 + self.bytes // (size * BUCKET_CHUNKS))
+        buckets = min(fine, max(FINE_BUCKETS, int(self.bytes // BUCKET_BYTES)))
+        packed = rows.mapInArrow(lambda batches: _pack(batches, size), "chunk long, blob binary")
+        # Few buckets are written where chunks are packed, a file for each chunk; many are gathered first, a file for each bucket.
+        self.packed = _bucketed(packed if fine <= FINE_BUCKETS else packed.repartition(buckets, "chunk"), buckets)
 
     def bits(self, keys: float) -> int:
         """Leading bits by which about so many keys, over the corpus, fall into blocks of BLOCK_KEYS."""

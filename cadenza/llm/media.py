@@ -157,7 +157,7 @@ def encode(docs: DataFrame) -> DataFrame:
 
 def features(media: DataFrame) -> DataFrame:
     """Reads the stored images: payload digests, cosine_hash (binary) and, as feature, the same in hex. One row an image,
-    whatever its doc_id; an empty table gives no rows; a damaged image is an error."""
+    whatever its doc_id; an empty table gives no rows; a damaged image is an error; other columns are left out."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

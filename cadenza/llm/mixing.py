@@ -115,7 +115,8 @@ def mix_report(docs: DataFrame) -> DataFrame:
     """doc_id, size, source_size, target, taken (words, repeats counted) and copies of every document.
 
     Null texts have no words; rows with one doc_id have one hash and are taken alike; a document without words
-    takes none, and is copied as its hash says. A null source is a source of its own. An empty table gives an empty report."""
+    takes none, and is copied as its hash says. A null source is a source of its own. An empty table gives an empty report;
+    texts of any length are counted whole; other columns, whatever they are called, are left out."""
     sized, limits = plan(docs)
     rows = join_small(sized, limits, "source_key").withColumn("copies", times_taken())
     return rows.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "copies")

@@ -160,7 +160,8 @@ def fit(docs: DataFrame, labels: DataFrame, keep: list[str] | None = None) -> tu
 
 def score_documents(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> DataFrame:
     """doc_id, held_out, score, predicted for every row. Null and empty texts have the statistics 0 and a score;
-    repeated rows are scored alike; a null doc_id is never held out and never labelled."""
+    repeated rows are scored alike; a null doc_id is never held out and never labelled. An empty table gives no rows;
+    texts of any length are taken whole; other columns, whatever they are called, are left out."""
     stats, model = fit(docs, labels)
     score = model.score()
     return stats.select("doc_id", held_out().alias("held_out"), score.alias("score"), (score >= threshold).cast("int").alias("predicted"))

@@ -2,8 +2,8 @@
 
 Each fingerprint is mapped to the bit counts of its SEGMENTS segments. The Manhattan distance of two such vectors is
 at most the Hamming distance of the fingerprints, so a range join under Manhattan distance loses no link.
-The join's grid: the segments are dealt into GROUPS groups, and vectors at distance d or less agree wholly in
-GROUPS - d groups or more; those cells are the join keys. Candidates pass the Manhattan test, then the bits are compared.
+The join's grid: the segments are dealt into g groups, by GROUPS as many as the fingerprints' number asks for, and vectors at
+distance d or less agree wholly in g - d groups or more; those cells are the join keys. Candidates pass the Manhattan test, then the bits are compared.
 
 Only distinct fingerprints are joined, so copies cost nothing. A cell with more than CELL distinct fingerprints is
 cut into blocks of about CELL, every pair of blocks is one task, and of the links that it finds it returns a
@@ -25,7 +25,9 @@ from .common import KEY_ROWS, join_small, packed_row, stored, whole_text
 from .components import components
 from .overlap import SEED, frequent_shingles, overlap_links, parities, prefix, shingle_hashes, shingles, slices
 
-SEGMENT_BITS, GROUPS = 2, 6
+SEGMENT_BITS = 2
+#: Groups of segments for so many distinct fingerprints; more groups are more but smaller cells.
+GROUPS = ((10**9, 6), (10**10, 7), (10**11, 8), (10**12, 9))
 SEGMENTS = 64 // SEGMENT_BITS
 CELL = 256
 
@@ -63,12 +65,16 @@ def segment_counts(fp: str = "fp") -> Column:
     return F.array(*[F.bit_count(F.shiftrightunsigned(fp, SEGMENT_BITS * i).bitwiseAND(F.lit(mask))) for i in range(SEGMENTS)])
 
 
-def _group_keys(fp: str = "fp") -> list[Column]:
+def groups_for(n: int) -> int:
+    return next((g for most, g in GROUPS if n <= most), GROUPS[-1][1])
+
+
+def _group_keys(groups: int, fp: str = "fp") -> list[Column]:
     """Of each group of segments, its counts as digits of one number."""
     mask, base, out = (1 << SEGMENT_BITS) - 1, SEGMENT_BITS + 1, []
-    for g in range(GROUPS):
+    for g in range(groups):
         total = F.lit(0).cast("long")
-        for i in range(g, SEGMENTS, GROUPS):
+        for i in range(g, SEGMENTS, groups):
             total = total * base + F.bit_count(F.shiftrightunsigned(fp, SEGMENT_BITS * i).bitwiseAND(F.lit(mask)))
         out.append(total)
     return out
@@ -82,10 +88,10 @@ def _manhattan(a: str, b: str) -> Column:
     return total
 
 
-def cells(distinct: DataFrame, most: int) -> DataFrame:
+def cells(distinct: DataFrame, most: int, groups: int) -> DataFrame:
     """(cell, fp): a row for each choice of the groups that must agree; cell hashes the choice and its counts."""
-    keyed = distinct.select("fp", *[k.alias(f"k{g}") for g, k in enumerate(_group_keys())])
-    chosen = list(combinations(range(GROUPS), max(0, GROUPS - most)))
+    keyed = distinct.select("fp", *[k.alias(f"k{g}") for g, k in enumerate(_group_keys(groups))])
+    chosen = list(combinations(range(groups), max(0, groups - most)))
     made = [F.xxhash64(F.lit(i), *[F.col(f"k{g}") for g in some]) for i, some in enumerate(chosen)]
     return keyed.select("fp", F.explode(F.array(*made)).alias("cell"))
 
@@ -113,10 +119,10 @@ def _pairs(found: list[tuple[int, int]]) -> pa.Table:
     return pa.table({"u": pa.array(u, pa.int64()), "v": pa.array(v, pa.int64())})
 
 
-def links(distinct: DataFrame, most: int = 3) -> DataFrame:
+def links(distinct: DataFrame, most: int = 3, groups: int | None = None) -> DataFrame:
     """(u, v) of distinct fingerprints at Hamming distance ``most`` or less: all links of cells of CELL fingerprints at
     most, by a join; of a larger one a spanning forest of each pair of its blocks of about CELL, so that nothing linked is torn apart."""
-    placed = stored(cells(distinct, most), "cells")
+    placed = stored(cells(distinct, most, groups or groups_for(distinct.count())), "cells")
     counted = placed.groupBy("cell").agg(F.count("*").alias("n")).where("n > 1")
     shared = placed.join(counted, "cell")
     small, large = shared.where(F.col("n") <= CELL), shared.where(F.col("n") > CELL)
@@ -142,7 +148,8 @@ def near_duplicates(docs: DataFrame, most: int = 3, shingle: int = 3) -> DataFra
     """doc_id, fingerprint (16 hex digits), component_id (the least doc_id reachable over links) of every row.
 
     Null and empty texts have fingerprint 0 and link like any other; rows with one doc_id may lie in two components;
-    a component of null doc_ids only has a null component_id."""
+    a component of null doc_ids only has a null component_id. An empty table gives no rows; texts of any length are taken whole;
+    other columns, whatever they are called, are left out."""
     own = stored(fingerprints(docs, ["doc_id"], shingle), "fingerprints")
     labelled = component_table(own, links(own.select("fp").distinct(), most))
     return join_hot(own, labelled).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")

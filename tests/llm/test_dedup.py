@@ -260,3 +260,23 @@ def test_all_pairs_of_high_overlap_go(spark, monkeypatch):
     order = overlap.frequent_shingles(spark.createDataFrame([(t,) for _, t in docs], "_text string").selectExpr("_text", "xxhash64(_text) AS _h"), 5)
     near = {docs[x][0] for p in naive_near(docs, order) for x in p}
     assert all(d in kept for d, _ in docs if d not in near)
+
+
+@pytest.mark.parametrize("groups", [4, 7, 9])
+def test_any_number_of_groups_links_the_same(spark, groups):
+    rng = np.random.default_rng(5)
+    values = rng.integers(0, 2**63, 60).tolist()
+    for v in values[:30]:
+        flips = rng.choice(63, int(rng.integers(1, 6)), replace=False).tolist()
+        values.append(v ^ sum(1 << int(b) for b in flips))
+    found = simhash.links(spark.createDataFrame([(v,) for v in values], "fp long").distinct(), 3, groups).collect()
+    near = {(a, b) for a in values for b in values if a > b and (a ^ b).bit_count() <= 3}
+    assert {(max(r.u, r.v), min(r.u, r.v)) for r in found} == near and simhash.groups_for(10**9 + 1) == 7
+
+
+def test_gathered_buckets(documents, monkeypatch):
+    expected = plain(window_dedup.window_report(documents).collect())
+    monkeypatch.setattr(window_dedup, "Corpus", lambda d: exchange.Corpus(d, 60_000))
+    monkeypatch.setattr(exchange, "FINE_BUCKETS", 1)
+    monkeypatch.setattr(exchange, "BUCKET_BYTES", 200_000)
+    assert plain(window_dedup.window_report(documents).collect()) == expected
