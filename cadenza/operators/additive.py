@@ -25,12 +25,13 @@ from pyspark.sql import functions as F
 from cadenza.functions.distributions import beta_share
 from cadenza.operators.filters import guarded_corr
 from cadenza.operators.joins import dimension
-from cadenza.operators.models import LEVELS
 from cadenza.sources.scratch import scratch_path
 
 #: Penalties that are tried, as shares of the rows; knots of a curve; points of an effect.
 PENALTIES = (0.0, 1e-4, 1e-3, 1e-2, 0.1, 1.0, 10.0, 100.0)
 KNOTS, POINTS = 6, 200
+#: Levels that a factor may have.
+LEVELS = 64
 #: Subjects whose sums a task holds before it hands them on.
 HELD_SUBJECTS = 20_000
 
@@ -314,7 +315,7 @@ def _fitted(m: Model, design: Design, n: int, people: int, ratio: float, raw: np
     }
 
 
-def fit_models(df: DataFrame, keys: list[str], models: list[Model], subject: str, outcome: str, knots: int = KNOTS, intercepts: bool = True) -> DataFrame:
+def additive_mixed_fits(df: DataFrame, keys: list[str], models: list[Model], subject: str, outcome: str, knots: int = KNOTS, intercepts: bool = True) -> DataFrame:
     """A row of FIT for each of the keys and models: what the reference's screens list, each term's edf, F, p and penalty,
     and of each curve its partial effect on POINTS places of its range with the standard error at each.
 

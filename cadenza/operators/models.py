@@ -5,7 +5,7 @@ from __future__ import annotations
 
 import functools
 import math
-from collections.abc import Callable, Iterable, Iterator
+from collections.abc import Callable, Iterable
 
 import numpy as np
 import pandas as pd
@@ -174,34 +174,6 @@ def products(df: DataFrame, keys: list[str], terms: list[str], outcome: str) ->
     return rows.groupBy(*keys).agg(F.count("*").alias("n"), F.sum(y * y).alias("yy"), F.sum(y).alias("sy"), F.array(*[F.sum(a * y) for a in names]).alias("xy"), xx.alias("xx"))
 
 
-def wide_products(df: DataFrame, keys: list[str], terms: list[str], outcome: str, one: Column) -> DataFrame:
-    """The same sums for dozens of terms: a product of matrices for each batch and key, summed on each node and then by key."""
-    columns = [F.col(outcome).cast("double").alias("_y"), one.cast("double").alias("_one"), *[F.col(t).cast("double").alias(t) for t in terms]]
-    rows = df.select(*keys, *columns)
-    k = len(terms) + 1
-    kinds = ", ".join(f"`{c}` {t}" for c, t in rows.dtypes[: len(keys)]) + ", n long, yy double, sy double, xy array<double>, xx array<double>"
-
-    def table(sums: dict[tuple, np.ndarray]) -> pd.DataFrame:
-        made = [[*key, int(v[0]), v[1], v[2], v[3 : 3 + k], v[3 + k :]] for key, v in sums.items()]
-        return pd.DataFrame(made, columns=[*keys, "n", "yy", "sy", "xy", "xx"])
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        sums: dict[tuple, np.ndarray] = {}
-        for batch in batches:
-            for key, own in batch.groupby(keys, sort=False, dropna=False):
-                y, x = own["_y"].to_numpy(), own.iloc[:, len(keys) + 1 :].to_numpy()
-                part = np.concatenate(([len(own), y @ y, y.sum()], x.T @ y, (x.T @ x).ravel()))
-                sums[key] = sums[key] + part if key in sums else part
-        yield table(sums)
-
-    def merge(parts: pd.DataFrame) -> pd.DataFrame:
-        one = parts.iloc[0]
-        arrays = [np.sum(np.stack(parts[c].to_numpy()), axis=0) for c in ("xy", "xx")]
-        return pd.DataFrame([[*(one[c] for c in keys), parts["n"].sum(), parts["yy"].sum(), parts["sy"].sum(), *arrays]], columns=parts.columns)
-
-    return rows.mapInPandas(run, kinds).groupBy(*keys).applyInPandas(merge, kinds)
-
-
 def _solved(n: float, yy: float, sy: float, xy: np.ndarray, xx: np.ndarray, ridge: float = 0.0) -> dict:
     k = len(xy)
     a = xx.reshape(k, k) + ridge * np.diag([0.0] + [1.0] * (k - 1))
@@ -267,122 +239,6 @@ def external_cv(df: DataFrame, fits: DataFrame, keys: list[str], terms: list[str
     return out
 
 
-def spline_basis(df: DataFrame, column: str, knots: list[float], name: str) -> tuple[DataFrame, list[str]]:
-    """Adds a natural cubic spline basis: the column and one bend for each inner knot."""
-    last, before = knots[-1], knots[-2]
-    cube = lambda k: F.pow(F.greatest(F.lit(0.0), F.col(column) - k), F.lit(3.0))
-    bend = lambda k: (cube(k) - cube(last)) / (last - k)
-    made = {f"{name}_0": F.col(column)} | {f"{name}_{i}": bend(k) - bend(before) for i, k in enumerate(knots[:-2], 1)}
-    return df.withColumns(made), list(made)
-
-
-#: Penalties that are tried, as shares of the rows.
-PENALTIES = (0.0, 1e-4, 1e-3, 1e-2, 0.1, 1.0)
-#: Levels that a factor may have.
-LEVELS = 64
-
-
-def dummies(df: DataFrame, factor: str) -> tuple[DataFrame, list[str]]:
-    """Adds a column of 0 and 1 for each level but the first."""
-    levels = [r[0] for r in df.select(factor).where(F.col(factor).isNotNull()).distinct().orderBy(factor).limit(LEVELS + 1).collect()]
-    if len(levels) > LEVELS:
-        raise ValueError(f"{factor} has more than {LEVELS} levels")
-    made = {f"{factor}_{i}": (F.col(factor) == F.lit(v)).cast("double") for i, v in enumerate(levels[1:], 1)}
-    return df.withColumns(made), list(made)
-
-
-def additive_mixed_fit(
-    df: DataFrame, keys: list[str], smooths: list[str], linear: list[str], subject: str, outcome: str,
-    factors: list[str] | None = None, tensors: list[tuple[str, str]] | None = None, group: str | None = None, knots: int = 5, penalties: tuple[float, ...] = PENALTIES,
-) -> DataFrame:
-    """Splines of ``smooths``, tensor products of spline pairs, linear terms and factors, random intercepts of
-    subjects and of a ``group`` above them: (keys, n, n_subjects, terms, coef, penalty, rss, edf, r_sq, dev_expl, aic, bic, f,
-    p, and of each term term_edf, term_f, term_p).
-
-    Subjects' intercepts are taken out by the transform of generalised least squares: of each column a share of the
-    subject's mean, from the moments of a one-way layout, is subtracted, so terms that differ between subjects only
-    are estimated too. Groups' intercepts are penalised columns. One penalty on bends, products and groups is
-    chosen by generalised cross-validation. f and p are those of all terms together. Knots are quantiles of the whole table, to a ten-thousandth of the ranks. The
-    numbers are those of this estimator, not of a REML fit."""
-    tensors, factors = tensors or [], factors or []
-    curves = list(dict.fromkeys([*smooths, *(c for pair in tensors for c in pair)]))
-    rows = df.dropna(subset=[*curves, *linear, *factors, outcome, subject, *([group] if group else [])])
-    shares = [i / (knots - 1) for i in range(knots)]
-    at = rows.agg(*[F.percentile_approx(s, F.array(*map(F.lit, shares)), F.lit(10_000)).alias(s) for s in curves]).first() if curves else {}
-    basis: dict[str, list[str]] = {}
-    for s in curves:
-        own = sorted(set(at[s] or []))
-        rows, basis[s] = spline_basis(rows, s, own, f"s_{s}") if len(own) >= 3 else (rows.withColumn(f"s_{s}_0", F.col(s)), [f"s_{s}_0"])
-    blocks = {c: ([c], []) for c in linear}
-    for f in factors:
-        rows, made = dummies(rows, f)
-        blocks[f] = made, []
-    for s in smooths:
-        blocks[s] = basis[s], basis[s][1:]
-    for a, b in tensors:
-        made = {f"t_{i}_{j}_{a}": F.col(i) * F.col(j) for i in basis[a] for j in basis[b]}
-        rows = rows.withColumns(made)
-        mains = [c for s in (a, b) if s not in smooths for c in basis[s]]
-        blocks[f"{a}:{b}"] = [*mains, *made], [*(c for c in mains if not c.endswith("_0")), *made]
-    if group:
-        rows, made = dummies(rows, group)
-        blocks[group] = made, made
-    blocks = {k: v for k, v in blocks.items() if v[0]}
-    terms = [c for columns, _ in blocks.values() for c in columns]
-    soft = {c for _, columns in blocks.values() for c in columns}
-
-    within = [*keys, subject]
-    ratio = variance_components(rows, keys, subject, outcome).select(*keys, F.coalesce(F.col("var_subject") / F.nullif("var_residual", F.lit(0.0)), F.lit(0.0)).alias("_v"))
-    means = rows.groupBy(*within).agg(F.count("*").alias("_n"), *[F.avg(c).alias(f"_m_{c}") for c in [*terms, outcome]]).join(ratio, keys, "left")
-    means = means.withColumn("_theta", 1 - 1 / F.sqrt(1 + F.col("_n") * F.coalesce("_v", F.lit(0.0))))
-    moved = rows.join(means, within).select(*within, "_theta", *[(F.col(c) - F.col("_theta") * F.col(f"_m_{c}")).alias(c) for c in [*terms, outcome]])
-    spread = moved.groupBy(*keys).agg(*[F.stddev_pop(c).alias(f"_s_{c}") for c in terms], F.count_distinct(subject).alias("n_subjects"))
-    scaled = moved.join(spread, keys).select(*keys, "n_subjects", outcome, "_theta", *[F.coalesce(F.col(c) / F.nullif(F.col(f"_s_{c}"), F.lit(0.0)), F.lit(0.0)).alias(c) for c in terms])
-    sums = wide_products(scaled, [*keys, "n_subjects"], terms, outcome, 1 - F.col("_theta"))
-    place = {c: i for i, c in enumerate(terms, 1)}
-    fits = _solve_additive(sums, [c in soft for c in terms], [[place[c] for c in columns] for columns, _ in blocks.values()], penalties)
-    left = F.greatest(F.lit(1.0), F.col("n") - F.col("edf"))
-    p = F.transform(F.arrays_zip("term_f", "term_edf"), lambda t: F.struct(t["term_f"].alias("f"), t["term_edf"].alias("d")))
-    # The distribution takes columns, so the terms, a few, are named one by one.
-    fits = fits.withColumn("_t", p).withColumn("terms", F.array(*map(F.lit, blocks)).cast("array<string>"))
-    fits = fits.withColumn("term_p", F.array(*[f_upper(F.col("_t")[i]["f"], F.col("_t")[i]["d"], left) for i in range(len(blocks))])).drop("_t")
-    df1 = F.col("edf") - 1
-    f = (F.col("r_sq") / F.nullif(df1, F.lit(0.0))) / F.nullif((1 - F.col("r_sq")) / left, F.lit(0.0))
-    return fits.withColumns({"f": f, "dev_expl": F.col("r_sq")}).withColumn("p", f_upper(F.col("f"), df1, left))
-
-
-def _solve_additive(sums: DataFrame, soft: list[bool], blocks: list[list[int]], penalties: tuple[float, ...]) -> DataFrame:
-    """Penalised fits to rows of ``products`` of standardised terms, the penalty with the least n rss / (n - edf)^2."""
-    kinds = "coef array<double>, penalty double, rss double, r_sq double, edf double, aic double, bic double, term_edf array<double>, term_f array<double>"
-    ridge = np.diag([0.0, *map(float, soft)])
-
-    def one(n: float, yy: float, xy: np.ndarray, xx: np.ndarray) -> list:
-        k = len(xy)
-        xx, best = xx.reshape(k, k), None
-        for penalty in penalties:
-            s = np.linalg.pinv(xx + penalty * n * ridge, rcond=1e-11, hermitian=True)
-            b, hat = s @ xy, s @ xx
-            edf, rss = float(np.trace(hat)), max(float(yy - 2 * b @ xy + b @ xx @ b), 1e-300)
-            score = n * rss / max(n - edf, 1.0) ** 2
-            if best is None or score < best[0] * (1 - 1e-9):
-                best = score, penalty, s, b, hat, edf, rss
-        _, penalty, s, b, hat, edf, rss = best
-        null = yy - xy[0] ** 2 / xx[0, 0] if xx[0, 0] > 0 else yy
-        sigma = rss / max(n - edf, 1.0)
-        own = [max(float(np.trace(hat[np.ix_(j, j)])), 1e-9) for j in blocks]
-        f = [float(b[j] @ np.linalg.pinv(s[np.ix_(j, j)], rcond=1e-9, hermitian=True) @ b[j] / sigma / e) for j, e in zip(blocks, own)]
-        loglik = -0.5 * n * (math.log(2 * math.pi * rss / n) + 1)
-        return [b.tolist(), penalty, rss, 1 - rss / null if null > 0 else None, edf, 2 * (edf + 1) - 2 * loglik, math.log(n) * (edf + 1) - 2 * loglik, own, f]
-
-    @F.pandas_udf(f"struct<{', '.join(x.replace(' ', ':', 1) for x in kinds.split(', '))}>")
-    def run(n: pd.Series, yy: pd.Series, xy: pd.Series, xx: pd.Series) -> pd.DataFrame:
-        made = [one(float(a), b, np.asarray(c, float), np.asarray(e, float)) for a, b, c, e in zip(n, yy, xy, xx)]
-        return pd.DataFrame(made, columns=[x.split()[0] for x in kinds.split(", ")])
-
-    keep = [c for c in sums.columns if c not in ("yy", "sy", "xy", "xx")]
-    return sums.withColumn("_f", run("n", "yy", "xy", "xx")).select(*keep, "_f.*")
-
-
 def seeded(seed: int, *columns: str) -> Column:
     """A number in [0, 1) that depends on nothing but the seed and the columns."""
     return F.pmod(F.xxhash64(F.lit(seed), *columns), F.lit(1 << 52)) / float(1 << 52)

@@ -10,6 +10,7 @@ from cadenza.operators import windows as W
 from cadenza.operators.models import MODELS, results_report
 from cadenza.plans import views as V
 from cadenza.plans.spec import q
+from cadenza.plans.statistics_queries import covariates
 
 BASE = A.Model("base", (), ("laser_power", "trial_index"), ("age",), ("sex",), (), ("experiment_id",))
 REGION = A.listed(MODELS["region"], BASE)
@@ -54,7 +55,7 @@ def wanted(s: SparkSession, d: str, models: list[A.Model], keys: list[str]) -> D
 
 
 def fits(s: SparkSession, d: str, models: list[A.Model], keys: list[str]) -> DataFrame:
-    return A.fit_models(wanted(s, d, models, keys), keys, models, "subject", "pain_rating")
+    return A.additive_mixed_fits(wanted(s, d, models, keys), keys, models, "subject", "pain_rating")
 
 
 def concepts(s: SparkSession) -> DataFrame:
@@ -80,7 +81,7 @@ PLAIN_SQL = f"""WITH {FEATURES}, x AS (SELECT * FROM lines UNPIVOT (v FOR model
 
 
 def plain(s: SparkSession, d: str) -> DataFrame:
-    made = A.fit_models(wanted(s, d, PLAIN, ["unit"]), ["unit"], PLAIN, "subject", "pain_rating", intercepts=False)
+    made = A.additive_mixed_fits(wanted(s, d, PLAIN, ["unit"]), ["unit"], PLAIN, "subject", "pain_rating", intercepts=False)
     return made.select("*", F.col("coef")[1].alias("slope"), (F.col("aic") / F.col("n")).alias("aic_n"), (F.col("bic") / F.col("n")).alias("bic_n"))
 
 
@@ -97,8 +98,20 @@ def report(s: SparkSession, d: str) -> DataFrame:
     )
 
 
+#: The base formula with a surface of both curves, on the trials.
+SURFACE = A.Model("surface", (), ("laser_power", "trial_z"), ("age",), ("sex", "cap_size"), (("laser_power", "trial_z"),), ("experiment_id",))
+
+
+def surface_terms(s: SparkSession, d: str) -> DataFrame:
+    """Each term of the surface model of each unit, with the model's own numbers."""
+    made = A.additive_mixed_fits(covariates(s, d), ["unit"], [SURFACE], "subject", "pain_rating")
+    own = F.inline(F.transform("terms", lambda t: F.struct(t["term"].alias("name"), t["penalty"].alias("penalty"), t["edf"].alias("own_edf"), t["f"].alias("own_f"), t["p"].alias("own_p"))))
+    return made.select("unit", "n", "n_subjects", "edf", "r_sq", "aic", "bic", "f", "p", own)
+
+
 STATS = "edf deviance dev_expl r_sq aic bic f p"
 QUERIES = {
+    "l9_additive_mixed": q(surface_terms, "unit n n_subjects name", "penalty edf r_sq aic bic f p own_edf own_f own_p"),
     "l9_listed_region": q(lambda s, d: fits(s, d, REGION, ["unit"]), "unit model n_metrics n n_subjects", STATS),
     "l9_listed_channel": q(lambda s, d: fits(s, d, CHANNEL, []), "model n_metrics n n_subjects", STATS),
     "l9_listed_aperiodic": q(lambda s, d: A.term_rows(fits(s, d, APERIODIC, []), []), "model term", "edf f p penalty"),

@@ -184,7 +184,6 @@ QUERIES = {
     "l6_permutation_p": q(lambda s, d: L.permutation_p(replicate_rows(s, d), ["unit"], "event_id", "laser_power", "pain_rating", 1000), "unit n_ge", "r p"),
     "l7_bootstrap_ci": q(lambda s, d: L.bootstrap_ci(V.predictions(s, d), ["model"], "fold", "actual", "predicted", 500), "model metric", "ci_low median ci_high"),
     "l8_linear_screen": q(lambda s, d: L.linear_screen(screened(s, d), "y"), "unit metric_name n", "slope r2", "SELECT unit, metric_name, count(*) AS n, corr(metric_value, y) AS slope, pow(corr(metric_value, y), 2) AS r2 FROM metrics_long JOIN (SELECT subject, trial, unit, extendedprice AS y FROM metrics_wide) USING (subject, trial, unit) GROUP BY ALL", "metrics_long metrics_wide"),
-    "l9_additive_mixed": q(lambda s, d: L.additive_mixed_fit(covariates(s, d), ["unit"], ["laser_power", "trial_z"], ["age"], "subject", "pain_rating", ["sex", "cap_size"], [("laser_power", "trial_z")], "experiment_id").selectExpr("*", "posexplode(terms) AS (term, name)").selectExpr("*", "term_edf[term] AS own_edf", "term_f[term] AS own_f", "term_p[term] AS own_p"), "unit n n_subjects name", "penalty edf r_sq aic bic f p own_edf own_f own_p"),
     "l10_safe_k": q(lambda s, d: L.safe_k(V.trials(s, d), ["subject", "unit"], "laser_power", 8), "subject unit k", "", "SELECT subject, unit, greatest(3, least(8, count(DISTINCT laser_power) - 1)) AS k FROM trials GROUP BY ALL", "trials"),
     "l11_guards": q(lambda s, d: L.model_matrix_guards(wide(s, d), ["subject"], ["unit", "discount"]), "subject use_unit use_discount", "", "SELECT subject, count(DISTINCT unit) > 1 AS use_unit, count(DISTINCT discount) > 1 AS use_discount FROM metrics_wide GROUP BY subject", "metrics_wide"),
     "l13_predict": q(lambda s, d: L.predict(train(s, d, "holdout"), L.solve(L.products(train(s, d, "train"), ["unit"], TERMS, "pain_rating")), ["unit"], TERMS), "subject trial unit", "predicted", SPLIT + f", {TRIALS}, tr AS (SELECT * FROM m JOIN split USING (subject) WHERE split_group = 'train' AND laser_power IS NOT NULL), {ordinary(TERMS, 'unit')} SELECT m.subject, m.trial, m.unit, b0 + b1 * laser_power + b2 * trial_z AS predicted FROM m JOIN f USING (unit) WHERE laser_power IS NOT NULL AND m.subject IN (SELECT subject FROM split WHERE split_group = 'holdout')", "subjects trials"),

@@ -42,18 +42,18 @@ def close(a, b):
 
 def test_together_is_as_alone(spark):
     df = spark.createDataFrame(rows(), SCHEMA)
-    both = {(r.unit, r.model): r for r in A.fit_models(df, ["unit"], MODELS, "subject", "y").collect()}
+    both = {(r.unit, r.model): r for r in A.additive_mixed_fits(df, ["unit"], MODELS, "subject", "y").collect()}
     assert set(both) == {(u, m.name) for u in "uv" for m in MODELS}
     assert both["u", "m1"].n < both["u", "m0"].n
     for m in (MODELS[0], MODELS[2]):
-        for r in A.fit_models(df, ["unit"], [m], "subject", "y").collect():
+        for r in A.additive_mixed_fits(df, ["unit"], [m], "subject", "y").collect():
             assert close(comparable(r), comparable(both[r.unit, r.model]))
 
 
 def test_fit_against_numpy(spark):
     data = rows(seed=3)
     df = spark.createDataFrame(data, SCHEMA)
-    fits = {(r.unit, r.model): r for r in A.fit_models(df, ["unit"], MODELS, "subject", "y", knots=5).collect()}
+    fits = {(r.unit, r.model): r for r in A.additive_mixed_fits(df, ["unit"], MODELS, "subject", "y", knots=5).collect()}
     fit = fits["u", "m1"]
     design = A._design(df, MODELS, 5)
     own = [r for r in data if r[0] == "u" and r[6] is not None]
@@ -94,16 +94,41 @@ def test_fit_against_numpy(spark):
 def test_variance_ratio_and_plain_least_squares(spark):
     data = [r for r in rows(seed=5, missing=False) if r[0] == "u"]
     df = spark.createDataFrame(data, SCHEMA)
-    r = A.fit_models(df, ["unit"], MODELS[:1], "subject", "y").first()
+    r = A.additive_mixed_fits(df, ["unit"], MODELS[:1], "subject", "y").first()
     parts = L.variance_components(df, ["unit"], "subject", "y").first()
     assert r.theta_ratio == pytest.approx(parts.var_subject / parts.var_residual)
-    plain = A.fit_models(df, [], [MODELS[3]], "subject", "y", intercepts=False).first()
+    plain = A.additive_mixed_fits(df, [], [MODELS[3]], "subject", "y", intercepts=False).first()
     x, y = np.array([[1, q[5], q[4]] for q in data]), np.array([q[8] for q in data])
     b, rss = np.linalg.lstsq(x, y, rcond=None)[:2]
     assert plain.coef == pytest.approx(b.tolist(), rel=1e-6) and plain.deviance == pytest.approx(rss[0]) and plain.edf == pytest.approx(3)
     assert plain.dev_expl == pytest.approx(1 - rss[0] / ((y - y.mean()) ** 2).sum())
 
 
+def test_a_surface_is_found(spark):
+    rng = np.random.default_rng(4)
+    data = [("u", s, f"e{s % 3}", "fm"[s % 2], 1.0, float(x), float(z), 0.0, float(np.sin(x) * z + s % 3 + 0.5 * (s % 2) + 0.1 * rng.normal())) for s in range(24) for x, z in rng.uniform(0, 3, (40, 2))]
+    df = spark.createDataFrame(data, SCHEMA)
+    both = A.Model("surface", (), ("x", "z"), (), ("sex",), (("x", "z"),), ("experiment",)), A.Model("apart", (), ("x", "z"), (), ("sex",), (), ("experiment",)), A.Model("line", (), (), ("x",))
+    found = {r.model: r for r in A.additive_mixed_fits(df, ["unit"], list(both), "subject", "y").collect()}
+    surface = found["surface"]
+    assert [t["term"] for t in surface.terms] == ["s(x)", "s(z)", "te(x,z)", "sex", "experiment"]
+    assert surface.dev_expl > 0.98 > found["apart"].dev_expl > found["line"].dev_expl and surface.bic < found["apart"].bic < found["line"].bic
+    assert surface.terms[2]["p"] < 1e-9
+
+
+def test_generalised_least_squares(spark):
+    """Without penalties the fit is that under equal covariances within subjects, of the same variance ratio."""
+    rng = np.random.default_rng(3)
+    data = [("u", s, "e", "f", float(s % 7), float(x), None, None, float(0.4 * x + 0.3 * (s % 7) + u + rng.normal())) for s, u in enumerate(rng.normal(scale=1.5, size=30)) for x in rng.uniform(0, 3, rng.integers(4, 15))]
+    fit = A.additive_mixed_fits(spark.createDataFrame(data, SCHEMA), ["unit"], [MODELS[3]], "subject", "y").first()
+    a = np.array([[r[1], r[5], r[4], r[8]] for r in data])
+    v = np.eye(len(a)) + fit.theta_ratio * (a[:, :1] == a[:, 0])
+    design, w = np.c_[np.ones(len(a)), a[:, 1], a[:, 2]], np.linalg.inv(v)
+    wanted = np.linalg.solve(design.T @ w @ design, design.T @ w @ a[:, 3])
+    assert fit.coef == pytest.approx(wanted.tolist(), rel=1e-5) and fit.theta_ratio > 0.5
+    assert [t["edf"] for t in fit.terms] == pytest.approx([1, 1], abs=1e-6) and fit.terms[0]["p"] < 1e-3
+
+
 def test_curvature_is_the_integral():
     knots = [0.0, 0.4, 1.1, 2.0, 3.0]
     at = np.linspace(0, 3, 200_001)
@@ -113,8 +138,8 @@ def test_curvature_is_the_integral():
 
 def test_effects_and_their_concordance(spark):
     df = spark.createDataFrame(rows(seed=8), SCHEMA)
-    fits = A.fit_models(df, ["unit"], MODELS, "subject", "y")
-    pooled = A.fit_models(df, [], MODELS, "subject", "y")
+    fits = A.additive_mixed_fits(df, ["unit"], MODELS, "subject", "y")
+    pooled = A.additive_mixed_fits(df, [], MODELS, "subject", "y")
     effects = A.smooth_effects(fits, ["unit"])
     assert effects.where("model = 'm1' AND term = 'x' AND unit = 'u'").count() == A.POINTS
     at = {round(r.x, 1): r.effect for r in effects.where("model = 'm1' AND term = 'x' AND unit = 'u'").collect()}
@@ -142,6 +167,6 @@ def test_combinations():
 
 def test_edges(spark):
     df = spark.createDataFrame([("few", 1, "e", "f", 1.0, 1.0, 1.0, 1.0, 1.0), ("flat", 1, "e", "f", 1.0, 1.0, None, 1.0, 2.0)] + [("flat", i % 4, "e", "f", 1.0, 2.0, None, 1.0, float(i % 3)) for i in range(40)], SCHEMA)
-    found = {(r.unit, r.model): r for r in A.fit_models(df, ["unit"], MODELS, "subject", "y").collect()}
+    found = {(r.unit, r.model): r for r in A.additive_mixed_fits(df, ["unit"], MODELS, "subject", "y").collect()}
     assert ("few", "m0") not in found and ("flat", "m1") not in found and found["flat", "m0"].n == 41
-    assert A.fit_models(df.limit(0), ["unit"], MODELS, "subject", "y").count() == 0
+    assert A.additive_mixed_fits(df.limit(0), ["unit"], MODELS, "subject", "y").count() == 0

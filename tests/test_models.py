@@ -128,43 +128,6 @@ def test_variance_components(spark):
     assert r.var_residual == pytest.approx(1, rel=0.1) and r.var_subject == pytest.approx(9, rel=0.25)
 
 
-def test_additive_fit_finds_a_bend(spark):
-    rng = np.random.default_rng(7)
-    data = [(int(s), float(x), float(np.sin(2 * x) + s + 0.1 * rng.normal())) for s in range(20) for x in rng.uniform(0, 3, 30)]
-    df = spark.createDataFrame(data, "subject int, x double, y double").withColumn("unit", F.lit("u"))
-    bent = L.additive_mixed_fit(df, ["unit"], ["x"], [], "subject", "y").first()
-    line = L.additive_mixed_fit(df, ["unit"], [], ["x"], "subject", "y").first()
-    assert bent.r_sq > 0.95 > line.r_sq and bent.p < 1e-6 and bent.aic < line.aic
-
-
-def test_additive_fit_is_generalised_least_squares(spark):
-    """Without curves or penalties it is the fit under equal covariances within subjects, of the same variance ratio."""
-    rng = np.random.default_rng(3)
-    data = [(s, float(s % 7), float(x), float(0.4 * x + 0.3 * (s % 7) + u + rng.normal())) for s, u in enumerate(rng.normal(scale=1.5, size=30)) for x in rng.uniform(0, 3, rng.integers(4, 15))]
-    df = spark.createDataFrame(data, "subject int, age double, x double, y double").withColumn("unit", F.lit("u"))
-    fit = L.additive_mixed_fit(df, ["unit"], [], ["x", "age"], "subject", "y", penalties=(0.0,)).first()
-    ratio = L.variance_components(df, ["unit"], "subject", "y").first()
-    a = np.array(data)
-    v = np.eye(len(a)) + (ratio.var_subject / ratio.var_residual) * (a[:, :1] == a[:, 0])
-    design, w = np.c_[np.ones(len(a)), a[:, 2], a[:, 1]], np.linalg.inv(v)
-    wanted = np.linalg.solve(design.T @ w @ design, design.T @ w @ a[:, 3])
-    theta = {s: 1 - 1 / np.sqrt(1 + (a[:, 0] == s).sum() * ratio.var_subject / ratio.var_residual) for s in set(a[:, 0])}
-    moved = np.array([[r[c] - theta[r[0]] * a[a[:, 0] == r[0], c].mean() for c in (2, 1)] for r in a])
-    assert fit.terms == ["x", "age"] and fit.coef[0] == pytest.approx(wanted[0], rel=1e-6)
-    assert [c / sd for c, sd in zip(fit.coef[1:], moved.std(axis=0))] == pytest.approx(wanted[1:].tolist(), rel=1e-6)
-    assert fit.term_edf == pytest.approx([1, 1], abs=1e-6) and fit.term_p[0] < 1e-3
-
-
-def test_additive_fit_of_a_surface(spark):
-    rng = np.random.default_rng(4)
-    data = [(s, int(s % 3), "fm"[s % 2], float(x), float(z), float(np.sin(x) * z + s % 3 + 0.5 * (s % 2) + 0.1 * rng.normal())) for s in range(24) for x, z in rng.uniform(0, 3, (40, 2))]
-    df = spark.createDataFrame(data, "subject int, experiment int, sex string, x double, z double, y double").withColumn("unit", F.lit("u"))
-    fit = lambda **more: L.additive_mixed_fit(df, ["unit"], ["x", "z"], [], "subject", "y", ["sex"], group="experiment", **more).first()
-    surface, apart = fit(tensors=[("x", "z")]), fit()
-    assert surface.terms == ["sex", "x", "z", "x:z", "experiment"] and surface.r_sq > 0.98 > apart.r_sq and surface.bic < apart.bic
-    assert surface.term_p[3] < 1e-9
-
-
 def test_effect_has_its_own_error(spark):
     rng = np.random.default_rng(5)
     x, z = rng.normal(size=(2, 200))
