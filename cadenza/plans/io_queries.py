@@ -12,7 +12,6 @@ from cadenza.operators import joins
 from cadenza.operators import models as L
 from cadenza.operators import signals as J
 from cadenza.operators import summaries as S
-from cadenza.operators import windows as W
 from cadenza.plans import views as V
 from cadenza.plans.cleaning_queries import SPLIT
 from cadenza.plans.feature_queries import IDS, features
