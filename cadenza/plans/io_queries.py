@@ -148,10 +148,10 @@ def montage(s, d):
 
 
 def supplier_files(s, d, name):
-    """A folder of small text files, one for each supplier and stage."""
+    """Folders of text files by stage for each of up to 1,000 subjects, among whom the suppliers are dealt: a subject may have many files."""
     path = scratch_path(s, name)
     rows = V.table(s, d, "supplier").withColumn("stage", F.explode(F.expr("if(s_suppkey % 2 = 0, array('raw', 'clean'), array('raw'))")))
-    rows.select(F.concat(F.lit("sub-"), F.col("s_suppkey").cast("string"), F.lit("_s1_"), F.col("stage")).alias("k"), F.col("s_name").alias("value")).write.partitionBy("k").text(path)
+    rows.select(F.concat(F.lit("sub-"), (F.col("s_suppkey") % 1000).cast("string"), F.lit("_s1_"), F.col("stage")).alias("k"), F.col("s_name").alias("value")).write.partitionBy("k").text(path)
     return path
 
 
@@ -162,9 +162,11 @@ def latest_files(s, d):
 
 
 def channels(s, d):
-    """A file of channel names: the ordinals are those of the file."""
-    names = V.table(s, d, "supplier").orderBy("s_suppkey").select(F.col("s_name").alias("name")).coalesce(1)
-    return scans.scan_channels_tsv(s, csv(names, scratch_path(s, "channels"), "\t"), V.table(s, d, "supplier").count())
+    """A file of channel names for each session of ten: the ordinals are those of its file."""
+    path = scratch_path(s, "channels")
+    names = V.table(s, d, "supplier").select(F.expr("(s_suppkey - 1) DIV 10").alias("session"), "s_suppkey", F.col("s_name").alias("name"))
+    names.repartition("session").sortWithinPartitions("session", "s_suppkey").drop("s_suppkey").write.partitionBy("session").option("header", True).option("sep", "\t").csv(path)
+    return scans.scan_channels_tsv(s, path).withColumn("session", F.regexp_extract("file", r"session=(\d+)", 1).cast("long"))
 
 
 def config(s, d):
@@ -235,9 +237,9 @@ def registry_sql():
 
 
 QUERIES = {
-    "a10_channels": q(channels, "ordinal name", "", "SELECT row_number() OVER (ORDER BY s_suppkey) AS ordinal, s_name AS name FROM supplier"),
+    "a10_channels": q(channels, "session ordinal name", "", "SELECT (s_suppkey - 1) // 10 AS session, row_number() OVER (PARTITION BY (s_suppkey - 1) // 10 ORDER BY s_suppkey) AS ordinal, s_name AS name FROM supplier"),
     "a11_config": q(config, "exp_n", "exp_top psd_overlap", "SELECT count(*) AS exp_n, max(laser_power) AS exp_top, 0.5 AS psd_overlap FROM trials", "trials"),
-    "a13_latest_file": q(newest, "subject name", "", "SELECT s_suppkey::INT AS subject, 'sub-' || s_suppkey || CASE s_suppkey % 2 WHEN 0 THEN '_s1_clean' ELSE '_s1_raw' END AS name FROM supplier"),
+    "a13_latest_file": q(newest, "subject name", "", "SELECT DISTINCT (s_suppkey % 1000)::INT AS subject, 'sub-' || s_suppkey % 1000 || CASE s_suppkey % 2 WHEN 0 THEN '_s1_clean' ELSE '_s1_raw' END AS name FROM supplier"),
     "a15_read_table": q(lambda s, d: scans.read_table(s, d, "supplier"), "s_suppkey s_name", "s_acctbal", "SELECT s_suppkey, s_name, s_acctbal FROM supplier"),
     "b1_clean_names": q(lambda s, d: C.clean_names(V.table(s, d, "customer").selectExpr("c_custkey AS ` c key `", "c_acctbal AS `acct.bal^2`")), "c_key", "acct_balr2", "SELECT c_custkey AS c_key, c_acctbal AS acct_balr2 FROM customer"),
     "b2_normalize_colnames": q(lambda s, d: C.normalize_colnames(V.table(s, d, "customer").selectExpr("c_custkey AS `Cust-Key`", "c_acctbal AS `--`")), "cust_key", "col2", "SELECT c_custkey AS cust_key, c_acctbal AS col2 FROM customer"),
@@ -264,7 +266,7 @@ QUERIES = {
     "a7_scan_source_ga": q(source_ga, "subject roi", "itc_mean", "SELECT subject, unit AS roi, avg(pain_rating) AS itc_mean FROM trials GROUP BY ALL", "trials"),
     "a8_scan_ratings": q(ratings, "subject ordinal", "rating", "SELECT subject, trial AS ordinal, pain_rating AS rating FROM trials", "trials"),
     "a12_scan_signals": q(signals, "subject trial unit i", "x", "SELECT * FROM samples", "samples"),
-    "a14_session_files": q(latest_files, "subject session name", "", "SELECT s_suppkey::INT AS subject, 1 AS session, 'sub-' || s_suppkey || CASE s_suppkey % 2 WHEN 0 THEN '_s1_clean' ELSE '_s1_raw' END AS name FROM supplier"),
+    "a14_session_files": q(latest_files, "subject session name", "", "SELECT DISTINCT (s_suppkey % 1000)::INT AS subject, 1 AS session, 'sub-' || s_suppkey % 1000 || CASE s_suppkey % 2 WHEN 0 THEN '_s1_clean' ELSE '_s1_raw' END AS name FROM supplier"),
     "a16_scan_fits": q(fits_json, "trial fail_reason", "aperiodic_offset aperiodic_exponent r2 error alpha_cf alpha_pw alpha_bw"),
     "k1_write_unit_trial": q(unit_trial, "subject trial unit", "sf_balance", None),
     "k2_ga_trial": q(ga_trial, "subject trial source", "sf_balance fit_offset fit_exponent cf_filled"),

@@ -108,14 +108,16 @@ def scan_montage(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.option("header", True).csv(path).select(F.trim("raw_label").alias("raw_label"), F.trim("std_label").alias("std_label"))
 
 
-def scan_channels_tsv(spark: SparkSession, path: str, expected: int) -> DataFrame:
-    """ordinal, name; another count than expected, or a repeated name, is an error."""
-    rows = spark.read.option("header", True).option("sep", "\t").csv(path)
-    rows = rows.select(F.trim("name").alias("name"), _place().alias("_i"))
-    n, distinct = rows.agg(F.count("*"), F.count_distinct("name")).first()
-    if n != expected or distinct != n:
-        raise ValueError(f"{n} channels of {distinct} names, not {expected}")
-    return rows.select(F.row_number().over(Window.orderBy("_i")).alias("ordinal"), "name")
+def scan_channels_tsv(spark: SparkSession, path: str, expected: int | None = None) -> DataFrame:
+    """file, ordinal (row of the file), name, of one session's file or of a folder with many; in any file another count than
+    expected, or a repeated name, is an error."""
+    rows = spark.read.option("header", True).option("sep", "\t").option("recursiveFileLookup", True).csv(path)
+    rows = rows.select(F.col("_metadata.file_path").alias("file"), F.trim("name").alias("name"), _place().alias("_i"))
+    counts = rows.groupBy("file").agg(F.count("*").alias("n"), F.count_distinct("name").alias("names"))
+    wrong = counts.where((F.col("n") != F.col("names")) | (F.lit(False) if expected is None else F.col("n") != expected)).first()
+    if wrong:
+        raise ValueError(f"{wrong['file']}: {wrong['n']} channels of {wrong['names']} names, {expected} expected")
+    return rows.select("file", F.row_number().over(Window.partitionBy("file").orderBy("_i")).alias("ordinal"), "name")
 
 
 def scan_config(spark: SparkSession, path: str, defaults: dict[str, object]) -> DataFrame:
