@@ -8,7 +8,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from cadenza.llm import exchange, overlap, simhash, substring_dedup, window_dedup
+from cadenza.llm import components, exchange, overlap, simhash, substring_dedup, window_dedup
 
 SCHEMA = "doc_id long, text string, lang string, chunk int, block int"
 
@@ -125,6 +125,7 @@ def naive_print(text):
 @pytest.mark.parametrize("cell", [256, 2])
 def test_simhash(documents, monkeypatch, cell):
     monkeypatch.setattr(simhash, "CELL", cell)
+    monkeypatch.setattr(components, "AT_ONCE", 20_000 if cell == 256 else 0)
     prints = [(r.doc_id, naive_print(r.text)) for r in documents.collect()]
     found = simhash.near_duplicates(documents).where("doc_id IS NOT NULL").collect()
     assert sorted(map(tuple, found)) == brute_components(prints)
@@ -280,3 +281,18 @@ def test_gathered_buckets(documents, monkeypatch):
     monkeypatch.setattr(exchange, "FINE_BUCKETS", 1)
     monkeypatch.setattr(exchange, "BUCKET_BYTES", 200_000)
     assert plain(window_dedup.window_report(documents).collect()) == expected
+
+
+def test_components_of_chains_and_stars(spark, monkeypatch):
+    rng = np.random.default_rng(1)
+    pairs = [(i, i + 1) for i in range(300)] + [(1000, int(x)) for x in rng.integers(1001, 1100, 90)] + rng.integers(2000, 2150, (100, 2)).tolist() + [(7, 7), (5000, 5000)]
+    root = {n: n for p in pairs for n in p}
+    for _ in range(400):
+        for a, b in pairs:
+            root[a] = root[b] = min(root[a], root[b])
+    expected = {n: r for n, r in root.items() if n != 5000}
+    frame = spark.createDataFrame([(int(a), int(b)) for a, b in pairs], "u long, v long")
+    for most in (20_000, 0, 150):
+        monkeypatch.setattr(components, "AT_ONCE", most)
+        assert {r.node: r.root for r in components.components(frame).collect()} == expected
+    assert components.components(frame.limit(0)).count() == 0
