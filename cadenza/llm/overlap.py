@@ -29,7 +29,7 @@ SEED = 42
 LIST_BLOCK = 2048
 #: Members of a list that all its others are compared with first.
 HUBS = 3
-LEAST_BITS = 64
+LEAST_BITS, SHORT_BITS = 64, 256
 #: Documents of the sample, in how many of them a shingle is frequent, and the most that are told apart.
 SAMPLE, FREQUENT, FREQUENT_MOST = 4_000, 4, 50_000
 
@@ -83,6 +83,20 @@ def parities(distinct: np.ndarray) -> np.ndarray:
     return np.packbits(odd.astype(np.uint8)).view(np.int64)
 
 
+def short_parities(distinct: np.ndarray) -> np.ndarray:
+    """SHORT_BITS bits for a set of any size, by which small sets are told apart in passing."""
+    odd = np.bincount((distinct >> np.uint64(40)).astype(np.int64) % SHORT_BITS, minlength=SHORT_BITS) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
+def likely(similarity: float) -> Column:
+    """Whether sizes and short parities of the pair size_u, q0_u, ..., size_v, q0_v, ... leave the similarity possible."""
+    apart = F.lit(0)
+    for i in range(SHORT_BITS // 64):
+        apart = apart + F.bit_count(F.col(f"q{i}_u").bitwiseXOR(F.col(f"q{i}_v")))
+    return similar_sizes(similarity) & (apart <= (1 - similarity) / (1 + similarity) * (F.col("size_u") + F.col("size_v")) + 1e-6)
+
+
 def possible(similarity: float) -> Column:
     """Whether sizes and parities of the pair size_u, odd_u, size_v, odd_v leave the similarity possible.
 
@@ -160,10 +174,10 @@ def _edges(roots: DataFrame) -> DataFrame:
 
 def overlap_links(own: DataFrame, keyed: DataFrame, known: DataFrame, similarity: float, shingle: int, bits: int) -> DataFrame:
     """Links that join what the ``known`` links (u, v) join between the fingerprints fp of ``own`` (_h, fp, s: a number of the
-    shingle set, size, odd: its parities, first: its prefix), all other pairs of sets of ``similarity`` or more,
+    shingle set, size, odd and short: its parities, first: its prefix), all other pairs of sets of ``similarity`` or more,
     and all that share a shingle of their prefixes and have fingerprints at ``bits`` or less."""
     some = own.where("size > 0")
-    light = some.groupBy("s").agg(F.min(F.struct("fp", "_h", "size", "odd")).alias("m")).select("s", "m.*")
+    light = some.groupBy("s").agg(F.min(F.struct("fp", "_h", "size", "odd", "short")).alias("m")).select("s", "m.*")
     equal = some.select("s", F.col("fp").alias("u")).distinct().join(light.select("s", F.col("fp").alias("v")), "s").where("u != v").select("u", "v")
     roots = components(known.unionAll(equal))
     sets = stored(_rooted(light, roots), "shingle-sets")
@@ -173,21 +187,23 @@ def overlap_links(own: DataFrame, keyed: DataFrame, known: DataFrame, similarity
     counted = tokens.groupBy("token").agg(F.count("*").alias("n"), F.array(*hubs).alias("hubs")).where("n > 1")
     listed = stored(tokens.join(counted, "token"), "shared-shingles")
 
-    of = lambda k: sets.select(*[F.col(c).alias(f"{c}_{k}") for c in ("s", "fp", "size", "root")])
+    shorts = [f"q{i}" for i in range(SHORT_BITS // 64)]
+    flat = lambda rows: rows.select("s", "fp", "size", "root", *[F.col("short")[i].alias(q) for i, q in enumerate(shorts)])
+    of = lambda k: flat(sets).select(*[F.col(c).alias(f"{c}_{k}") for c in ("s", "fp", "size", "root", *shorts)])
     spokes = listed.select("s", F.explode("hubs").alias("hub")).where("s != hub").select(F.greatest("s", "hub").alias("s_u"), F.least("s", "hub").alias("s_v")).distinct()
-    spokes = spokes.join(of("u"), "s_u").join(of("v"), "s_v").where(F.col("root_u") != F.col("root_v")).where(near(bits) | similar_sizes(similarity))
+    spokes = spokes.join(of("u"), "s_u").join(of("v"), "s_v").where(F.col("root_u") != F.col("root_v")).where(near(bits) | likely(similarity))
     roots = components(_edges(roots).unionAll(decided(spokes.select("s_u", "s_v", "fp_u", "fp_v"), sets, keyed, similarity, shingle, bits)))
 
-    labelled = stored(_rooted(sets.drop("root"), roots).select("s", "fp", "size", "root"), "overlap-roots")
+    labelled = stored(flat(_rooted(sets.drop("root"), roots)), "overlap-roots")
     apart = listed.select("token", "s", "n").join(labelled, "s")
     torn = apart.groupBy("token").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low != high").select("token")
-    apart = stored(apart.join(torn, "token").select("token", "s", "fp", "size", "root", F.ceil(F.col("n") / LIST_BLOCK).cast("int").alias("blocks")), "overlap-apart")
+    apart = stored(apart.join(torn, "token").select("token", "s", "fp", "size", "root", *shorts, F.ceil(F.col("n") / LIST_BLOCK).cast("int").alias("blocks")), "overlap-apart")
     left = apart.withColumn("block", F.pmod(F.xxhash64("s"), "blocks").cast("int"))
     right = apart.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     # Each block of a long list meets its whole list, in several parts.
-    side = lambda rows, k: rows.select("token", "block", *[F.col(c).alias(f"{c}_{k}") for c in ("s", "fp", "size", "root")])
+    side = lambda rows, k: rows.select("token", "block", *[F.col(c).alias(f"{c}_{k}") for c in ("s", "fp", "size", "root", *shorts)])
     pairs = side(left, "u").join(side(right, "v"), ["token", "block"]).where((F.col("s_u") > F.col("s_v")) & (F.col("root_u") != F.col("root_v")))
-    pairs = stored(pairs.where(near(bits) | similar_sizes(similarity)).select("s_u", "s_v", "fp_u", "fp_v", "root_u", "root_v").distinct(), "candidate-pairs")
+    pairs = stored(pairs.where(near(bits) | likely(similarity)).select("s_u", "s_v", "fp_u", "fp_v", "root_u", "root_v").distinct(), "candidate-pairs")
     # What is joined already is joined by its roots, so one link for each pair of roots is enough.
     close = pairs.where(near(bits)).select(F.greatest("root_u", "root_v").alias("u"), F.least("root_u", "root_v").alias("v")).distinct()
     roots = components(_edges(roots).unionAll(close))

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from .common import KEY_ROWS, join_small, packed_row, stored, whole_text
 from .components import components
-from .overlap import SEED, frequent_shingles, overlap_links, parities, prefix, shingle_hashes, shingles, slices
+from .overlap import SEED, frequent_shingles, overlap_links, parities, prefix, shingle_hashes, shingles, short_parities, slices
 
 SEGMENT_BITS = 2
 #: Groups of segments for so many distinct fingerprints; more groups are more but smaller cells.
@@ -172,9 +172,9 @@ def join_hot(rows: DataFrame, labelled: DataFrame) -> DataFrame:
 
 
 def profiles(keyed: DataFrame, keep: list[str], shingle: int, similarity: float) -> DataFrame:
-    """The kept columns, fp; and of the set of shingles s, its number, size, odd, its parities, and first, its prefix."""
+    """The kept columns, fp; and of the set of shingles s, its number, size, odd and short, its parities, and first, its prefix."""
     frequent, places = frequent_shingles(keyed, shingle)
-    kinds = (pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int64()))
+    kinds = (pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.int64()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for some in slices(batches):
@@ -182,13 +182,13 @@ def profiles(keyed: DataFrame, keep: list[str], shingle: int, similarity: float)
             for hashes in shingles(some.column(len(keep)).to_pylist(), shingle):
                 own = np.unique(hashes)
                 number = np.uint64(xxhash.xxh64_intdigest(own.tobytes(), SEED)).view(np.int64)
-                made.append((majority(hashes), number, len(own), parities(own), prefix(own, similarity, frequent, places).view(np.int64)))
+                made.append((majority(hashes), number, len(own), parities(own), short_parities(own), prefix(own, similarity, frequent, places).view(np.int64)))
             columns = [pa.array([m[i] for m in made], kind) for i, kind in enumerate(kinds)]
-            yield pa.RecordBatch.from_arrays([*some.columns[: len(keep)], *columns], names=[*keep, "fp", "s", "size", "odd", "first"])
+            yield pa.RecordBatch.from_arrays([*some.columns[: len(keep)], *columns], names=[*keep, "fp", "s", "size", "odd", "short", "first"])
 
     rows = keyed.select(*keep, "_text")
     types = ", ".join(f"`{c}` {t}" for c, t in rows.dtypes[:-1])
-    return rows.mapInArrow(run, f"{types}, fp long, s long, size int, odd array<long>, first array<long>")
+    return rows.mapInArrow(run, f"{types}, fp long, s long, size int, odd array<long>, short array<long>, first array<long>")
 
 
 def one_of_each(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, most: int = 3) -> DataFrame:

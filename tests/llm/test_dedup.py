@@ -202,11 +202,13 @@ def test_parities_never_exclude(spark):
         a, b = np.unique(a), np.unique(b)
         both = len(np.intersect1d(a, b))
         similar.append(10 * both >= 8 * (len(a) + len(b) - both))
-        rows.append((len(a), len(b), overlap.parities(a).tolist(), overlap.parities(b).tolist()))
-    table = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "i int, size_u int, size_v int, odd_u array<long>, odd_v array<long>")
+        rows.append((len(a), len(b), overlap.parities(a).tolist(), overlap.parities(b).tolist(), *overlap.short_parities(a).tolist(), *overlap.short_parities(b).tolist()))
+    shorts = ", ".join(f"q{i}_{k} long" for k in "uv" for i in range(4))
+    table = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], f"i int, size_u int, size_v int, odd_u array<long>, odd_v array<long>, {shorts}")
     passed = {r.i for r in table.where(overlap.possible(0.8)).collect()}
     assert {i for i, x in enumerate(similar) if x} <= passed and 20 < sum(similar)
     assert len(passed) < sum(similar) + 60
+    assert {i for i, x in enumerate(similar) if x} <= {r.i for r in table.where(overlap.likely(0.8)).collect()}
 
 
 def test_empty_tables(spark):
