@@ -1,8 +1,9 @@
 """Links between documents by the sets of their word shingles, with a prefix filter for candidates.
 
-Shingles have one order for all documents: those that a sample of the documents finds often come last, the most frequent
-at the very end, the others by their hash. Two sets of similarity t share one of their first n - ceil(t n) + 1 shingles
-in any such order, so no pair is lost, whatever the sample holds; it only keeps the lists of shared shingles short.
+Shingles have one order for all documents: those that stand in many of them come last, the most frequent at the very
+end, the others by their hash. Two sets of similarity t share one of their first n - ceil(t n) + 1 shingles in any such
+order, so no pair is lost; this one keeps the lists of shared shingles short. All documents are counted: a sketch tells
+which shingles may be frequent, and those are counted exactly.
 
 Every list is first linked to a few of its members. Pairs that links have joined already need no check; every other pair of
 a list is checked. A pair is linked if its fingerprints are near, or if its whole sets reach the similarity; texts
@@ -13,6 +14,7 @@ shingles falls on it: as many as differ, and no fewer, are the shingles that onl
 from __future__ import annotations
 
 import math
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,8 +32,12 @@ LIST_BLOCK = 2048
 #: Members of a list that all its others are compared with first.
 HUBS = 3
 LEAST_BITS, SHORT_BITS = 64, 256
-#: Documents of the sample, in how many of them a shingle is frequent, and the most that are told apart.
-SAMPLE, FREQUENT, FREQUENT_MOST = 4_000, 4, 50_000
+#: A shingle is frequent in so many documents, and in that share of all; the most that are told apart.
+FREQUENT, FREQUENT_SHARE, FREQUENT_MOST = 4, 0.001, 50_000
+#: Rows of the sketch, bits of a counter's number in a row, and blocks in which the tasks' counters are added up.
+SKETCH_ROWS, SKETCH_BITS, SKETCH_BLOCKS = 2, 20, 256
+#: Shingles that are gathered before they are added to a task's counters.
+SKETCH_STEP = 1 << 19
 
 
 def shingle_hashes(text: str, shingle: int) -> np.ndarray:
@@ -112,17 +118,66 @@ def possible(similarity: float) -> Column:
     return similar_sizes(similarity) & (apart <= (1 - similarity) / (1 + similarity) * (F.col("size_u") + F.col("size_v")) + 1e-6)
 
 
+def _counters(hashes: np.ndarray, row: int) -> np.ndarray:
+    return ((hashes >> np.uint64(row * SKETCH_BITS)) & np.uint64((1 << SKETCH_BITS) - 1)).astype(np.int64)
+
+
+def maybe_frequent(keyed: DataFrame, shingle: int, least: int) -> np.ndarray:
+    """Of each counter of a count-min sketch of all texts whether it reaches ``least``, by row: a shingle in as many texts has
+    only such counters. Tasks send their counters in blocks; of each counter one bit comes to the driver."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, held, size = np.zeros((SKETCH_ROWS, 1 << SKETCH_BITS), np.int32), [], 0
+
+        def add() -> None:
+            hashes = np.concatenate(held)
+            for row in range(SKETCH_ROWS):
+                total[row] += np.bincount(_counters(hashes, row), minlength=1 << SKETCH_BITS).astype(np.int32)
+            held.clear()
+
+        for batch in slices(batches):
+            for own in shingles(batch.column(0).to_pylist(), shingle):
+                held.append(own)
+                size += len(own)
+                if size >= SKETCH_STEP:
+                    add()
+                    size = 0
+        if held:
+            add()
+        for i, part in enumerate(np.split(total.ravel(), SKETCH_BLOCKS)):
+            if part.any():
+                yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([zlib.compress(part.tobytes(), 1)], pa.binary())], names=["block", "counts"])
+
+    def merge(table: pa.Table) -> pa.Table:
+        total = np.zeros(SKETCH_ROWS * (1 << SKETCH_BITS) // SKETCH_BLOCKS, np.int64)
+        for counts in table["counts"]:
+            total += np.frombuffer(zlib.decompress(counts.as_py()), np.int32)
+        return pa.table({"block": table["block"][:1], "bits": pa.array([np.packbits(total >= least).tobytes()], pa.binary())})
+
+    rows = keyed.select("_text").mapInArrow(count, "block int, counts binary").groupBy("block").applyInArrow(merge, "block int, bits binary").collect()
+    bits = np.zeros((SKETCH_BLOCKS, SKETCH_ROWS * (1 << SKETCH_BITS) // SKETCH_BLOCKS // 8), np.uint8)
+    for r in rows:
+        bits[r["block"]] = np.frombuffer(r["bits"], np.uint8)
+    return bits.reshape(SKETCH_ROWS, -1)
+
+
 def frequent_shingles(keyed: DataFrame, shingle: int) -> tuple[np.ndarray, np.ndarray]:
-    """(sorted shingles, their places from 1 by rising frequency) of a sample of distinct texts; at most FREQUENT_MOST come to the driver."""
+    """(sorted shingles, their places from 1 by rising frequency) of those in FREQUENT texts and FREQUENT_SHARE of all rows
+    of ``keyed`` or more, each counted over all rows; the FREQUENT_MOST most frequent come to the driver."""
+    least = max(FREQUENT, math.ceil(FREQUENT_SHARE * keyed.count()))
+    bits = maybe_frequent(keyed, shingle, least)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        often = np.unpackbits(bits, axis=1).view(bool)
         for batch in slices(batches):
+            found = []
             for own in shingles(batch.column(0).to_pylist(), shingle):
-                yield pa.RecordBatch.from_arrays([pa.array(np.unique(own).view(np.int64))], names=["token"])
+                for row in range(SKETCH_ROWS):
+                    own = own[often[row][_counters(own, row)]]
+                found.append(np.unique(own))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found).view(np.int64))], names=["token"])
 
-    share = max(1, keyed.count() // SAMPLE)
-    some = keyed.where(F.pmod("_h", F.lit(share)) == 0).dropDuplicates(["_h"]).select("_text")
-    counts = some.mapInArrow(run, "token long").groupBy("token").agg(F.count("*").alias("n")).where(F.col("n") >= FREQUENT)
+    counts = keyed.select("_text").mapInArrow(run, "token long").groupBy("token").agg(F.count("*").alias("n")).where(F.col("n") >= least)
     rows = counts.orderBy(F.desc("n"), "token").limit(FREQUENT_MOST).collect()
     tokens = np.array([r["token"] for r in rows], np.int64).view(np.uint64)
     order = np.argsort(tokens)

@@ -298,3 +298,15 @@ def test_components_of_chains_and_stars(spark, monkeypatch):
         monkeypatch.setattr(components, "AT_ONCE", most)
         assert {r.node: r.root for r in components.components(frame).collect()} == expected
     assert components.components(frame.limit(0)).count() == 0
+
+
+def test_frequent_shingles_are_counted_over_all_documents(spark):
+    rng = random.Random(12)
+    words = ["".join(rng.choices("abcdefgh", k=5)) for _ in range(9)]
+    texts = [" ".join(rng.choices(words, k=rng.randrange(0, 12))) for _ in range(9000)] + ["one text of many copies " * 3] * 200
+    docs = spark.createDataFrame([(t,) for t in texts], "_text string").selectExpr("_text", "xxhash64(_text) AS _h")
+    seen = Counter(x for own in overlap.shingles(texts, 5) for x in np.unique(own).view(np.int64).tolist())
+    wanted = sorted((x for x, n in seen.items() if n >= 10), key=lambda x: (-seen[x], x))
+    tokens, places = overlap.frequent_shingles(docs, 5)
+    assert len(wanted) > 9 and tokens.tolist() == sorted(tokens.tolist())
+    assert tokens[np.argsort(-places)].view(np.int64).tolist() == wanted
