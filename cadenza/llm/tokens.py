@@ -81,15 +81,15 @@ class WordEncoder(dict[bytes, bytes]):
         return b"".join(map(self.__getitem__, text.encode("utf-8", "surrogatepass").split()))
 
 
-_ENCODERS: dict[str, WordEncoder] = {}
+_ENCODERS: dict[tuple[str, int], WordEncoder] = {}
 
 
-def encoder(path: str) -> WordEncoder:
-    """One for each worker process and vocabulary; a task has one core."""
-    if path not in _ENCODERS:
+def encoder(path: str, remembered: int = REMEMBERED) -> WordEncoder:
+    """One for each worker process, vocabulary and number of words; a task has one core. It stays as long as its worker does."""
+    if (path, remembered) not in _ENCODERS:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        _ENCODERS[path] = WordEncoder(path)
-    return _ENCODERS[path]
+        _ENCODERS[path, remembered] = WordEncoder(path, remembered)
+    return _ENCODERS[path, remembered]
 
 
 def pack_archive(doc_ids: list[int | None], ids: list[bytes]) -> bytes:
@@ -166,17 +166,17 @@ def read_documents(image: bytes, wanted: set[int] | None = None) -> Iterator[tup
         yield i, doc, int(starts[i]), raw[at : at + 4 * int(counts[i])]
 
 
-def write_archives(docs: DataFrame, tokenizer_path: str, partitions: int | None = None, name: str = "tokens") -> DataFrame:
+def write_archives(docs: DataFrame, tokenizer_path: str, partitions: int | None = None, name: str = "tokens", remembered: int = REMEMBERED) -> DataFrame:
     """The table of archives, stored: documents in ascending doc_id order (null first, ties by text) over
     (part, archive). ``docs`` needs doc_id and text; null texts count as empty, other columns are left out.
 
     A text of any length is one document in one frame of its own; repeated rows are stored each. An empty table gives
-    no archive."""
+    no archive. ``remembered``: as for WordEncoder; fewer words need less memory and more time, ids are the same."""
     spark = docs.sparkSession
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, part, number = encoder(tokenizer_path), TaskContext.get().partitionId(), 0
+        own, part, number = encoder(tokenizer_path, remembered), TaskContext.get().partitionId(), 0
         doc_ids: list[int | None] = []
         ids: list[bytes] = []
         size = 0

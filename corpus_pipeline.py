@@ -10,6 +10,9 @@ from cadenza.llm import decontaminate, mixing, quality, simhash, tokens
 from cadenza.llm.common import read, stored
 from cadenza.llm.queries import TOKENIZER
 
+#: Words that a worker's encoder remembers: workers and their memory stay with the session, whatever it runs next.
+REMEMBERED = 150_000
+
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the rule ensemble, fitted on the labels, doesn't reject."""
@@ -33,7 +36,7 @@ def mixed_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def token_archives(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents of the token archives, read back: doc_id, start, n_tokens, ids_crc32."""
-    return tokens.token_index(tokens.write_archives(docs, tokens.public_tokenizer(TOKENIZER)))
+    return tokens.token_index(tokens.write_archives(docs, tokens.public_tokenizer(TOKENIZER), remembered=REMEMBERED))
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [

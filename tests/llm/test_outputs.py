@@ -5,6 +5,7 @@ import zlib
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from cadenza.llm import common, media, mixing, tokens
@@ -166,3 +167,20 @@ def test_pipeline(spark, data):
     empty = docs.limit(0)
     for _, stage in p.STAGES:
         assert stage(spark, empty, data).count() == 0
+
+
+def test_the_pipeline_bounds_what_workers_remember(spark, monkeypatch):
+    import corpus_pipeline
+
+    monkeypatch.setattr(corpus_pipeline, "REMEMBERED", 40)
+    docs = spark.range(600).selectExpr("id AS doc_id", "concat('w', id * 7919, ' ', sha2(string(id), 256), ' q', id) AS text")
+    whole = tokens.token_index(tokens.write_archives(docs, path := tokens.public_tokenizer("word_bpe_49k.json")))
+    assert sorted(corpus_pipeline.token_archives(spark, docs, "").collect()) == sorted(whole.collect())
+
+    def held(batches):
+        for batch in batches:
+            own = tokens._ENCODERS.get((path, 40))
+            yield pa.RecordBatch.from_arrays([pa.array([len(own) + len(own.older) if own else 0] * len(batch))], names=["n"])
+
+    most = max(r.n for r in spark.range(0, 40, 1, 8).mapInArrow(held, "n long").collect())
+    assert 0 < most <= 2 * (40 + 6)
