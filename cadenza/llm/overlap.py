@@ -2,8 +2,11 @@
 
 Shingles have one order for all documents: those that stand in many of them come last, the most frequent at the very
 end, the others by their hash. Two sets of similarity t share one of their first n - ceil(t n) + 1 shingles in any such
-order, so no pair is lost; this one keeps the lists of shared shingles short. All documents are counted: a sketch tells
-which shingles may be frequent, and those are counted exactly.
+order, so no pair is lost; this one keeps the lists of shared shingles short. All documents are counted. Most prefixes
+hold only shingles of low hashes: those are all counted exactly, and are frequent from a fixed number of documents on, so that
+lists don't grow with the corpus. Of the others a sketch tells which may be frequent in a share of all documents, and those are counted.
+
+The first shingle that two sets share has all that they share behind it in both; where too few follow, it doesn't make the pair.
 
 Every list is first linked to a few of its members. Pairs that links have joined already need no check; every other pair of
 a list is checked. A pair is linked if its fingerprints are near, or if its whole sets reach the similarity; texts
@@ -33,7 +36,10 @@ LIST_BLOCK = 2048
 HUBS = 3
 LEAST_BITS, SHORT_BITS = 64, 256
 #: A shingle is frequent in so many documents, and in that share of all; the most that are told apart.
-FREQUENT, FREQUENT_SHARE, FREQUENT_MOST = 4, 0.001, 50_000
+FREQUENT, FREQUENT_SHARE, FREQUENT_MOST = 4, 0.001, 300_000
+#: Hashes below LOW are frequent in COMMON documents, however small a share that is: a prefix is a fifth of a set, so it
+#: reaches beyond LOW only where over 0.6 of the lower ones are frequent.
+LOW, COMMON = 1 << 63, 10
 #: Rows of the sketch, bits of a counter's number in a row, and blocks in which the tasks' counters are added up.
 SKETCH_ROWS, SKETCH_BITS, SKETCH_BLOCKS = 2, 20, 256
 #: Shingles that are gathered before they are added to a task's counters.
@@ -123,8 +129,8 @@ def _counters(hashes: np.ndarray, row: int) -> np.ndarray:
 
 
 def maybe_frequent(keyed: DataFrame, shingle: int, least: int) -> np.ndarray:
-    """Of each counter of a count-min sketch of all texts whether it reaches ``least``, by row: a shingle in as many texts has
-    only such counters. Tasks send their counters in blocks; of each counter one bit comes to the driver."""
+    """Of each counter of a count-min sketch of all texts whether it reaches ``least``, by row: a shingle from LOW on in as many
+    texts has only such counters. Tasks send their counters in blocks; of each counter one bit comes to the driver."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total, held, size = np.zeros((SKETCH_ROWS, 1 << SKETCH_BITS), np.int32), [], 0
@@ -137,8 +143,8 @@ def maybe_frequent(keyed: DataFrame, shingle: int, least: int) -> np.ndarray:
 
         for batch in slices(batches):
             for own in shingles(batch.column(0).to_pylist(), shingle):
-                held.append(own)
-                size += len(own)
+                held.append(own[own >= np.uint64(LOW)])
+                size += len(held[-1])
                 if size >= SKETCH_STEP:
                     add()
                     size = 0
@@ -163,7 +169,8 @@ def maybe_frequent(keyed: DataFrame, shingle: int, least: int) -> np.ndarray:
 
 def frequent_shingles(keyed: DataFrame, shingle: int) -> tuple[np.ndarray, np.ndarray]:
     """(sorted shingles, their places from 1 by rising frequency) of those in FREQUENT texts and FREQUENT_SHARE of all rows
-    of ``keyed`` or more, each counted over all rows; the FREQUENT_MOST most frequent come to the driver."""
+    of ``keyed`` or more, below LOW also of those in COMMON, each counted over all rows. At most FREQUENT_MOST come to the
+    driver: those in as many texts as leaves no more."""
     least = max(FREQUENT, math.ceil(FREQUENT_SHARE * keyed.count()))
     bits = maybe_frequent(keyed, shingle, least)
 
@@ -172,16 +179,28 @@ def frequent_shingles(keyed: DataFrame, shingle: int) -> tuple[np.ndarray, np.nd
         for batch in slices(batches):
             found = []
             for own in shingles(batch.column(0).to_pylist(), shingle):
+                low = own < np.uint64(LOW)
+                high = own[~low]
                 for row in range(SKETCH_ROWS):
-                    own = own[often[row][_counters(own, row)]]
-                found.append(np.unique(own))
+                    high = high[often[row][_counters(high, row)]]
+                found += [np.unique(own[low]), np.unique(high)]
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found).view(np.int64))], names=["token"])
 
-    counts = keyed.select("_text").mapInArrow(run, "token long").groupBy("token").agg(F.count("*").alias("n")).where(F.col("n") >= least)
-    rows = counts.orderBy(F.desc("n"), "token").limit(FREQUENT_MOST).collect()
-    tokens = np.array([r["token"] for r in rows], np.int64).view(np.uint64)
-    order = np.argsort(tokens)
-    return tokens[order], np.arange(len(rows), 0, -1)[order]
+    wanted = F.when(F.col("token") >= 0, min(least, COMMON)).otherwise(least)
+    counts = keyed.select("_text").mapInArrow(run, "token long").groupBy("token").agg(F.count("*").alias("n")).where(F.col("n") >= wanted)
+    counts = stored(counts, "frequent-shingles")
+    enough, seen = 0, 0
+    for n, tokens_n in sorted(map(tuple, counts.groupBy("n").agg(F.count("*")).collect()), reverse=True):
+        seen += tokens_n
+        if seen > FREQUENT_MOST:
+            enough = n + 1
+            break
+    rows = counts.where(F.col("n") >= enough).toArrow()
+    tokens, n = rows["token"].to_numpy(), rows["n"].to_numpy()
+    places = np.empty(len(tokens), np.int32)
+    places[np.lexsort((tokens, -n))] = np.arange(len(tokens), 0, -1)
+    order = np.argsort(tokens.view(np.uint64))
+    return tokens.view(np.uint64)[order], places[order]
 
 
 def near(bits: int) -> Column:
@@ -192,6 +211,12 @@ def similar_sizes(similarity: float) -> Column:
     return F.least("size_u", "size_v") >= similarity * F.greatest("size_u", "size_v") - 1e-9
 
 
+def fits(similarity: float) -> Column:
+    """Whether the similarity is possible of sets whose first shared shingle stands at pos_u and pos_v (from 0) in their order."""
+    behind = F.least(F.col("size_u") - F.col("pos_u"), F.col("size_v") - F.col("pos_v"))
+    return behind >= similarity / (1 + similarity) * (F.col("size_u") + F.col("size_v")) - 1e-6
+
+
 def decided(pairs: DataFrame, sets: DataFrame, keyed: DataFrame, similarity: float, shingle: int, bits: int) -> DataFrame:
     """(u, v) as fp of those pairs (s_u, s_v, fp_u, fp_v) that are near, or whose whole sets reach the similarity."""
     pairs = stored(pairs, "candidate-pairs")
@@ -236,7 +261,7 @@ def overlap_links(own: DataFrame, keyed: DataFrame, known: DataFrame, similarity
     equal = some.select("s", F.col("fp").alias("u")).distinct().join(light.select("s", F.col("fp").alias("v")), "s").where("u != v").select("u", "v")
     roots = components(known.unionAll(equal))
     sets = stored(_rooted(light, roots), "shingle-sets")
-    tokens = some.select("s", "first").dropDuplicates(["s"]).select("s", F.explode("first").alias("token"))
+    tokens = some.select("s", "first").dropDuplicates(["s"]).select("s", F.posexplode("first").alias("pos", "token"))
     # A list's hubs: its least member, and the least in other orders; a list may hold a third of all sets, so it is counted, not gathered.
     hubs = [F.min("s"), *[F.min_by("s", F.xxhash64(F.lit(k), "s")) for k in range(1, HUBS)]]
     counted = tokens.groupBy("token").agg(F.count("*").alias("n"), F.array(*hubs).alias("hubs")).where("n > 1")
@@ -250,15 +275,16 @@ def overlap_links(own: DataFrame, keyed: DataFrame, known: DataFrame, similarity
     roots = components(_edges(roots).unionAll(decided(spokes.select("s_u", "s_v", "fp_u", "fp_v"), sets, keyed, similarity, shingle, bits)))
 
     labelled = stored(flat(_rooted(sets.drop("root"), roots)), "overlap-roots")
-    apart = listed.select("token", "s", "n").join(labelled, "s")
+    apart = listed.select("token", "pos", "s", "n").join(labelled, "s")
     torn = apart.groupBy("token").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low != high").select("token")
-    apart = stored(apart.join(torn, "token").select("token", "s", "fp", "size", "root", *shorts, F.ceil(F.col("n") / LIST_BLOCK).cast("int").alias("blocks")), "overlap-apart")
+    apart = stored(apart.join(torn, "token").select("token", "pos", "s", "fp", "size", "root", *shorts, F.ceil(F.col("n") / LIST_BLOCK).cast("int").alias("blocks")), "overlap-apart")
     left = apart.withColumn("block", F.pmod(F.xxhash64("s"), "blocks").cast("int"))
     right = apart.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     # Each block of a long list meets its whole list, in several parts.
-    side = lambda rows, k: rows.select("token", "block", *[F.col(c).alias(f"{c}_{k}") for c in ("s", "fp", "size", "root", *shorts)])
+    side = lambda rows, k: rows.select("token", "block", *[F.col(c).alias(f"{c}_{k}") for c in ("s", "pos", "fp", "size", "root", *shorts)])
     pairs = side(left, "u").join(side(right, "v"), ["token", "block"]).where((F.col("s_u") > F.col("s_v")) & (F.col("root_u") != F.col("root_v")))
-    pairs = stored(pairs.where(near(bits) | likely(similarity)).select("s_u", "s_v", "fp_u", "fp_v", "root_u", "root_v").distinct(), "candidate-pairs")
+    pairs = pairs.where(near(bits) | fits(similarity) & likely(similarity))
+    pairs = stored(pairs.select("s_u", "s_v", "fp_u", "fp_v", "root_u", "root_v").distinct(), "candidate-pairs")
     # What is joined already is joined by its roots, so one link for each pair of roots is enough.
     close = pairs.where(near(bits)).select(F.greatest("root_u", "root_v").alias("u"), F.least("root_u", "root_v").alias("v")).distinct()
     roots = components(_edges(roots).unionAll(close))
