@@ -310,3 +310,31 @@ def test_frequent_shingles_are_counted_over_all_documents(spark):
     tokens, places = overlap.frequent_shingles(docs, 5)
     assert len(wanted) > 9 and tokens.tolist() == sorted(tokens.tolist())
     assert tokens[np.argsort(-places)].view(np.int64).tolist() == wanted
+
+
+def test_low_shingles_are_frequent_in_a_fixed_number_of_documents(spark, monkeypatch):
+    monkeypatch.setattr(overlap, "FREQUENT", 50)  # as in a large corpus, of which a share is many documents
+    rng = random.Random(21)
+    passage = " ".join(f"p{i}" for i in range(200))
+    texts = [" ".join(f"w{rng.randrange(10**9)}" for _ in range(60)) + " " + passage for _ in range(12)]
+    docs = spark.createDataFrame([(t,) for t in texts], "_text string").selectExpr("_text", "xxhash64(_text) AS _h")
+    seen = Counter(x for own in overlap.shingles(texts, 5) for x in np.unique(own).tolist())
+    tokens, _ = overlap.frequent_shingles(docs, 5)
+    assert tokens.tolist() == sorted(x for x, n in seen.items() if n >= 10 and x < 1 << 63) and len(tokens) > 50
+
+
+def test_first_shared_shingles_of_similar_sets_fit(spark):
+    rng = np.random.default_rng(17)
+    rows, similar = [], []
+    for n in rng.integers(1, 300, 200).tolist():
+        a = rng.integers(0, 1 << 63, n)
+        b = np.r_[a[: n - int(n * rng.random() * 0.25)], rng.integers(0, 1 << 63, int(n * rng.random() * 0.2))]
+        a, b = np.unique(a), np.unique(b)
+        both = np.intersect1d(a, b)
+        similar.append(10 * len(both) >= 8 * (len(a) + len(b) - len(both)))
+        rows.append((len(rows), len(a), len(b), int(np.searchsorted(a, both[0])), int(np.searchsorted(b, both[0]))))
+    table = spark.createDataFrame(rows, "i int, size_u int, size_v int, pos_u int, pos_v int")
+    passed = {r.i for r in table.where(overlap.fits(0.8)).collect()}
+    assert {i for i, x in enumerate(similar) if x} <= passed and 20 < sum(similar)
+    late = spark.createDataFrame([(0, 100, 100, 12, 0), (1, 100, 100, 11, 11), (2, 100, 80, 20, 0)], table.schema)
+    assert {r.i for r in late.where(overlap.fits(0.8)).collect()} == {1, 2}
