@@ -75,9 +75,10 @@ def join_small(big: DataFrame, small: DataFrame, key: str, how: str = "left", sa
     """Joins on ``key``; ``small`` has one row a key, and one key may hold a third of ``big``.
 
     ``small`` is counted: up to ``most`` (BROADCAST_ROWS) rows it is broadcast, beyond that its rows are repeated for
-    ``salts`` salts that spread each key of ``big``, also where its rows are equal: by their places."""
+    ``salts`` salts that spread each key of ``big``, also where its rows are equal: by their places. Spark takes repeated rows
+    for as many as there were before, so that join is sorted by a hint: else they could all be broadcast through the driver."""
     if small.count() <= (BROADCAST_ROWS if most is None else most):
         return big.join(F.broadcast(small), key, how)
-    salted = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    salted = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))).hint("merge")
     spread = big.withColumn("_salt", F.pmod(F.monotonically_increasing_id(), F.lit(salts)).cast("int"))
     return spread.join(salted, [key, "_salt"], how).drop("_salt")

@@ -102,6 +102,15 @@ def test_join_beyond_the_broadcast_bound(spark, monkeypatch):
     assert sorted((r.id, r.v) for r in common.join_small(big, small, "k").collect()) == [(i, i % 3 * 10) for i in range(100)]
 
 
+def test_repeated_rows_are_not_broadcast(spark, monkeypatch):
+    """Beyond the bound the salted rows are many times those that Spark expects."""
+    monkeypatch.setattr(common, "BROADCAST_ROWS", 0)
+    big, small = spark.range(100).selectExpr("id", "id % 3 AS k"), spark.range(2).selectExpr("id AS k")
+    for how, left in (("left_anti", 33), ("left_semi", 67), ("inner", 67), ("left", 100)):
+        joined = common.join_small(big, small, "k", how)
+        assert joined.count() == left and "Broadcast" not in joined._jdf.queryExecution().executedPlan().toString()
+
+
 ODD = ["It's he'LL  ’s naïve ＡＢＣ ΣΑΣ <|endoftext|> x<|startoftext|>y²³ 1234 a b\u0085c\x1cd İ ǅ é 한글 하 don't'rest \x7f zero​w \xad", "", "  ", "ß ẞ ŉ ɐ Ⱥ", "\x00\x01 nul"]
 
 
