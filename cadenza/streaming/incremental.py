@@ -24,35 +24,29 @@ def ingest_new_files(spark: SparkSession, source: str, schema: str, target: str,
     return stream.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(upsert).start()
 
 
-#: Map state needs the store that keeps its rows on disk.
+#: The store that keeps its rows on disk: states hold every subject.
 STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
 class _Assigner(StatefulProcessor):
-    """The subjects that were assigned, and each stratum's counts of train and all."""
+    """A stratum's counts of train and all, read and written once for all rows of a call."""
 
-    def __init__(self, key: str, strata: str, kinds: dict[str, str], share: float):
-        self.key, self.strata, self.kinds, self.share = key, strata, kinds, share
+    def __init__(self, key: str, strata: str, share: float):
+        self.key, self.strata, self.share = key, strata, share
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.assigned = handle.getMapState("assigned", f"{self.key} {self.kinds[self.key]}", "split_group string")
-        self.counts = handle.getMapState("counts", f"{self.strata} string", "train long, n long")
+        self.counts = handle.getValueState("counts", "train long, n long")
 
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        train, n = self.counts.get() if self.counts.exists() else (0, 0)
         for batch in rows:
-            made = []
-            for subject, stratum in zip(batch[self.key].tolist(), batch[self.strata].tolist()):
-                if self.assigned.containsKey((subject,)):
-                    continue
-                name = (str(stratum),)
-                train, n = self.counts.getValue(name) if self.counts.containsKey(name) else (0, 0)
+            groups = []
+            for _ in range(len(batch)):
                 hit = n == 0 or train / n < self.share
-                self.counts.updateValue(name, (train + hit, n + 1))
-                group = "train" if hit else "holdout"
-                self.assigned.updateValue((subject,), (group,))
-                made.append((subject, stratum, group))
-            if made:
-                yield pd.DataFrame(made, columns=[self.key, self.strata, "split_group"])
+                train, n = train + hit, n + 1
+                groups.append("train" if hit else "holdout")
+            yield batch[[self.key, self.strata]].assign(split_group=groups)
+        self.counts.update((train, n))
 
     def close(self) -> None:
         pass
@@ -63,12 +57,13 @@ def assign_stream(subjects: DataFrame, strata: str = "cap_size", key: str = "sub
     under ``share``. A subject that comes again, in the same or a later run and in whatever stratum, keeps its group and
     gives no row; a null subject is left out.
 
-    Subjects are dealt to ``shards`` by a hash; each is a task with its own counts of every stratum, so the share holds within
-    one subject for each stratum and shard. The session's state store must keep map state (STORE)."""
+    Subjects that came before are dropped by Spark's own state, dealt by subject; the others, each once, are dealt to ``shards`` of
+    their stratum by a hash and pass its task in batches, which keeps two numbers. The share holds within one subject for
+    each stratum and shard. The session's state store must be one that transformWithState takes (STORE)."""
     kinds = dict(subjects.dtypes)
-    dealt = subjects.where(F.col(key).isNotNull()).withColumn("_shard", F.pmod(F.xxhash64(key), F.lit(shards)))
+    new = subjects.where(F.col(key).isNotNull()).select(key, strata, F.pmod(F.xxhash64(key), F.lit(shards)).alias("_shard")).dropDuplicates([key])
     schema = f"{key} {kinds[key]}, {strata} {kinds[strata]}, split_group string"
-    return dealt.groupBy("_shard").transformWithStateInPandas(_Assigner(key, strata, kinds, share), schema, "Append", "None")
+    return new.groupBy(strata, "_shard").transformWithStateInPandas(_Assigner(key, strata, share), schema, "Append", "None")
 
 
 def pending(work: DataFrame, manifest: DataFrame, keys: list[str]) -> DataFrame:

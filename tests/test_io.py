@@ -90,6 +90,38 @@ def test_stream_remembers_subjects(spark, tmp_path):
         assert abs(groups.count("train") - 0.75 * len(groups)) <= 1
 
 
+def test_stratum_state_is_read_once_for_many_subjects():
+    import pandas as pd
+
+    from cadenza.streaming import incremental
+
+    class State:
+        value, calls = None, 0
+
+        def exists(self):
+            self.calls += 1
+            return self.value is not None
+
+        def get(self):
+            self.calls += 1
+            return self.value
+
+        def update(self, value):
+            self.calls += 1
+            self.value = value
+
+    state = State()
+    assigner = incremental._Assigner("subject", "cap_size", 0.75)
+    assigner.init(type("Handle", (), {"getValueState": lambda self, *a: state})())
+    groups = []
+    for part in range(2):
+        batches = (pd.DataFrame({"subject": range(at, at + 500), "cap_size": "c"}) for at in range(part * 1000, part * 1000 + 1000, 500))
+        groups += [g for out in assigner.handleInputRows(("c", 0), batches, None) for g in out["split_group"]]
+    assert state.calls == 5 and state.value == (1500, 2000) and len(groups) == 2000
+    for n in range(1, 2000):
+        assert abs(groups[:n].count("train") - 0.75 * n) <= 1
+
+
 TABLE = "k int, v string"
 
 
