@@ -1,7 +1,7 @@
 """Additive mixed models of many formulas at once: rows are read once, for all models together.
 
-One pass over the rows makes, for each key, the sums of products of the columns of all terms of all models, and each
-subject's sums of them; a model's normal equations are a part of these. Rows that lack a value take part in the models that don't
+Rows are stored once, in buckets by subject. One pass over them makes, for each key, the sums of products of the columns of all terms
+of all models; a model's normal equations are a part of these. Subjects' sums are made as their rows pass and never leave the task. Rows that lack a value take part in the models that don't
 use it: sums are kept apart by which columns are missing. Subjects' random intercepts are the transform of generalised
 least squares, which follows from the sums: with a share theta of its means taken from each of a subject's n rows, the
 products lose (2 theta - theta^2) / n times the outer product of its sums.
@@ -13,27 +13,26 @@ are those of this estimator, not of a REML fit.
 
 from __future__ import annotations
 
+import functools
 import math
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cadenza.functions.distributions import beta_share
 from cadenza.operators.filters import guarded_corr
 from cadenza.operators.joins import dimension
-from cadenza.sources.scratch import scratch_path
+from cadenza.sources.scratch import bucketed, scratch_path
 
 #: Penalties that are tried, as shares of the rows; knots of a curve; points of an effect.
 PENALTIES = (0.0, 1e-4, 1e-3, 1e-2, 0.1, 1.0, 10.0, 100.0)
 KNOTS, POINTS = 6, 200
 #: Levels that a factor may have.
 LEVELS = 64
-#: Subjects whose sums a task holds before it hands them on.
-HELD_SUBJECTS = 20_000
 
 
 @dataclass(frozen=True)
@@ -103,12 +102,14 @@ def curvature(knots: list[float]) -> np.ndarray:
 
 @dataclass
 class Design:
-    """The columns of all terms of all models. ``at``: the places of each block's columns, the intercept being 0."""
+    """The columns of all terms of all models. ``missing``: inputs that some row lacks; ``at``: the places of each block's columns,
+    the intercept being 0."""
 
     curves: dict[str, list[float]]
     straight: list[str]
     levels: dict[str, list]
     tensors: list[tuple[str, str]]
+    missing: set[str] = field(default_factory=set)
     at: dict[str, list[int]] = field(default_factory=dict)
     width: int = 1
 
@@ -156,36 +157,76 @@ class Design:
         return out + [(c, self.at[c], np.eye(len(self.at[c]))) for c in m.groups if len(self.at[c]) > 1]
 
 
-def _design(df: DataFrame, models: list[Model], knots: int) -> Design:
+def arranged(df: DataFrame, keys: list[str], columns: list[str], subject: str, outcome: str) -> DataFrame:
+    """The columns, _subject and _y, stored in buckets by subject: sums of a subject's rows are made where they lie, whatever is
+    fitted. Values that aren't numbers are missing. If ``df`` is dealt by subject already, no row moves."""
+    real = {c for c, t in df.dtypes if t in ("float", "double")}
+    rows = df.select(*keys, F.col(subject).alias("_subject"), F.col(outcome).cast("double").alias("_y"), *[F.when(~F.isnan(c), F.col(c)).alias(c) if c in real else F.col(c) for c in columns])
+    return bucketed(_together(rows), "model-rows", "_subject")
+
+
+def _together(rows: DataFrame) -> DataFrame:
+    """The rows of a subject follow each other in one task; rows that are dealt by subject stay where they are."""
+    return rows.withColumn("_rows", F.count("*").over(Window.partitionBy("_subject")))
+
+
+def _design(rows: DataFrame, models: list[Model], knots: int) -> Design:
     first = lambda kind: list(dict.fromkeys(c for m in models for c in kind(m)))
     tensors = first(lambda m: m.tensors)
     curves = list(dict.fromkeys([*first(lambda m: m.smooths), *(c for t in tensors for c in t)]))
     shares = F.array(*[F.lit(i / (knots - 1)) for i in range(knots)])
-    cuts = df.agg(*[F.percentile_approx(c, shares, F.lit(10_000)).alias(c) for c in curves]).first() if curves else {}
+    inputs = first(lambda m: m.columns())
+    found = rows.agg(F.count("*").alias("_all"), *[F.count(c).alias(f"_n{i}") for i, c in enumerate(inputs)], *[F.percentile_approx(c, shares, F.lit(10_000)).alias(f"_c{i}") for i, c in enumerate(curves)]).first()
     levels = {}
     for f in first(lambda m: (*m.factors, *m.groups)):
-        levels[f] = [r[0] for r in df.select(f).where(F.col(f).isNotNull()).distinct().orderBy(f).limit(LEVELS + 1).collect()]
+        levels[f] = [r[0] for r in rows.select(f).where(F.col(f).isNotNull()).distinct().orderBy(f).limit(LEVELS + 1).collect()]
         if len(levels[f]) > LEVELS:
             raise ValueError(f"{f} has more than {LEVELS} levels")
-    return Design({c: sorted(set(map(float, cuts[c] or [0.0]))) for c in curves}, first(lambda m: m.linear), levels, tensors)
-
-
-def _sums(df: DataFrame, keys: list[str], design: Design, subject: str, outcome: str) -> DataFrame:
-    """Rows of two kinds, stored: (keys, subject, missing, n, v: sums of outcome and columns) of each subject, and with a null
-    subject (keys, missing, n, v: products, then least and greatest curve values). ``missing``: a bit for each column."""
-    inputs = design.inputs()
-    rows = df.where(F.col(outcome).isNotNull() & F.col(subject).isNotNull()).select(*keys, F.col(subject).alias("_subject"), F.col(outcome).cast("double").alias("_y"), *[F.col(c).cast("double").alias(c) if c not in design.levels else F.col(c) for c in inputs])
-    kinds = ", ".join(f"`{c}` {t}" for c, t in rows.dtypes[: len(keys) + 1]) + ", missing long, n long, v array<double>"
-    names = [*keys, "_subject", "missing", "n", "v"]
+    missing = {c for i, c in enumerate(inputs) if found[f"_n{i}"] < found["_all"]}
+    return Design({c: sorted(set(map(float, found[f"_c{i}"] or [0.0]))) for i, c in enumerate(curves)}, first(lambda m: m.linear), levels, tensors, missing)
+
+
+def _ratios(rows: DataFrame, keys: list[str], missing: Column, needs: list[int], intercepts: bool) -> DataFrame:
+    """(keys, _r0, _k0, _r1, _k1, ...), stored: of the rows that have each need's columns the ratio of the subjects' variance to that within them by
+    the moments of a one-way layout, and the number of subjects."""
+    own = rows.groupBy(*keys, "_subject", missing.alias("_gone")).agg(F.count("*").alias("n"), F.sum("_y").alias("sy"), F.sum(F.col("_y") * F.col("_y")).alias("yy"))
+    each = own.withColumn("_need", F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(need).cast("long").alias("mask")) for i, need in enumerate(needs)])))
+    each = each.where(F.col("_gone").bitwiseAND(F.col("_need.mask")) == 0).groupBy(*keys, "_subject", F.col("_need.i").alias("_need")).agg(*[F.sum(c).alias(c) for c in ("n", "sy", "yy")])
+    moments = {"k": F.count("*"), "nn": F.sum(F.col("n") * F.col("n").cast("double")), "b": F.sum(F.col("sy") * F.col("sy") / F.col("n"))} | {c: F.sum(c) for c in ("n", "sy", "yy")}
+    between = each.groupBy(*keys, "_need").agg(*[v.alias(c) for c, v in moments.items()])
+    inner = (F.col("yy") - F.col("b")) / (F.col("n") - F.col("k"))
+    n0 = (F.col("n") - F.col("nn") / F.col("n")) / (F.col("k") - 1)
+    share = ((F.col("b") - F.col("sy") * F.col("sy") / F.col("n")) / (F.col("k") - 1) - inner) / n0 / F.nullif(inner, F.lit(0.0))
+    usable = F.lit(intercepts) & (F.col("k") > 1) & (F.col("n") > F.col("k"))
+    between = between.withColumn("_r", F.when(usable, F.greatest(F.lit(0.0), F.coalesce(share, F.lit(0.0)))).otherwise(0.0))
+    of = lambda c, i: F.max(F.when(F.col("_need") == i, F.col(c)))
+    wide = between.groupBy(*keys).agg(*[x for i in range(len(needs)) for x in (of("_r", i).alias(f"_r{i}"), of("k", i).alias(f"_k{i}"))])
+    path = scratch_path(rows.sparkSession, "model-ratios")
+    wide.write.parquet(path)
+    return rows.sparkSession.read.parquet(path)
+
+
+def _sums(rows: DataFrame, keys: list[str], design: Design, needs: list[int]) -> DataFrame:
+    """Rows of two kinds, stored: (keys, whole true, part: a bit for each missing column, n, v: products of outcome and columns, then least and
+    greatest curve values), and (keys, whole false, part: a need, v: what the subjects' shares take from its products). Of products the upper
+    halves. ``rows`` hold the needs' ratios; a subject's sums are held only while its rows pass."""
+    inputs, width = design.inputs(), design.width + 1
+    kinds = ", ".join(f"`{c}` {t}" for c, t in rows.dtypes if c in keys) + ", whole boolean, part long, n long, v array<double>"
+    half = np.triu_indices(width)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         whole: dict[tuple, list] = {}
-        people: dict[tuple, list] = {}
+        taken: dict[tuple, np.ndarray] = {}
+        held: dict[tuple, tuple] = {}
+        last = None
+
+        def take(key: tuple, k: int, n: np.ndarray, s: np.ndarray, ratio: float) -> None:
+            if ratio > 0:
+                taken[key, k] = taken.get((key, k), 0.0) + (s * (ratio / (1 + n * ratio))[:, None]).T @ s
 
-        def handed(sums: dict[tuple, list], of: Callable[[tuple], list]) -> pd.DataFrame:
-            made = pd.DataFrame([[*of(key), n, v] for key, (n, v) in sums.items()], columns=names)
-            made["_subject"] = made["_subject"].astype(object).where(made["_subject"].notna(), None)
-            return made
+        def close(some: dict[tuple, tuple]) -> None:
+            for (key, k), (n, s, ratio) in some.items():
+                take(key, k, np.array([n]), s[None], ratio)
 
         for batch in batches:
             x = np.column_stack([batch["_y"].to_numpy(float), design.matrix(batch)])
@@ -193,26 +234,55 @@ def _sums(df: DataFrame, keys: list[str], design: Design, subject: str, outcome:
             for bit, c in enumerate(inputs):
                 gone |= batch[c].isna().to_numpy().astype(np.int64) << bit
             ranges = np.stack([batch[c].to_numpy(float) for c in design.curves], 1) if design.curves else np.zeros((len(batch), 0))
-            batch = batch[[*keys, "_subject"]].assign(missing=gone)
-            for key, at in batch.groupby([*keys, "missing"], sort=False, dropna=False).indices.items():
-                key = key if isinstance(key, tuple) else (key,)
+            named = batch[[*keys, "_subject"]].assign(_gone=gone)
+            for key, at in named.groupby([*keys, "_gone"], sort=False, dropna=False).indices.items():
                 own, edge = x[at], ranges[at]
                 with np.errstate(all="ignore"):
                     low, high = np.fmin.reduce(edge, 0), np.fmax.reduce(edge, 0)
                 n, v, lows, highs = whole.get(key, (0, 0.0, np.full(edge.shape[1], np.nan), np.full(edge.shape[1], np.nan)))
-                whole[key] = n + len(at), v + (own.T @ own).ravel(), np.fmin(low, lows), np.fmax(high, highs)
-            for key, at in batch.groupby([*keys, "_subject", "missing"], sort=False, dropna=False).indices.items():
-                n, v = people.get(key, (0, 0.0))
-                people[key] = n + len(at), v + x[at].sum(0)
-            if len(people) > HELD_SUBJECTS:
-                yield handed(people, list)
-                people = {}
-        yield handed(people, list)
-        yield handed({key: (n, np.concatenate((v, a, b))) for key, (n, v, a, b) in whole.items()}, lambda key: [*key[:-1], None, key[-1]])
-
-    path = scratch_path(df.sparkSession, "model-sums")
+                whole[key] = n + len(at), v + own.T @ own, np.fmin(low, lows), np.fmax(high, highs)
+            group = named.groupby([*keys, "_subject"], sort=False, dropna=False).ngroup().to_numpy()
+            order = np.argsort(group, kind="stable")
+            starts = np.flatnonzero(np.r_[True, np.diff(group[order]) > 0])
+            heads = order[starts]
+            sorted_x, sorted_gone = x[order], gone[order]
+            subjects = batch["_subject"].to_numpy()
+            first, final, of = subjects[0], subjects[-1], subjects[heads]
+            key_of = list(named.iloc[heads][keys].itertuples(index=False, name=None))
+            codes = named.groupby(keys, sort=False, dropna=False).ngroup().to_numpy()[heads]
+            if held and first != last:
+                close(held)
+                held = {}
+            begun, passed = np.flatnonzero(of == first), np.flatnonzero(of == final)
+            new: dict[tuple, tuple] = {}
+            for k, need in enumerate(needs):
+                some = (sorted_gone & need) == 0
+                n = np.add.reduceat(some.astype(float), starts)
+                s = np.add.reduceat(sorted_x if some.all() else sorted_x * some[:, None], starts, axis=0)
+                ratio = batch[f"_r{k}"].fillna(0.0).to_numpy(float)[heads]
+                if held:
+                    for g in begun:
+                        more = held.pop((key_of[g], k), None)
+                        if more:
+                            n[g], s[g] = n[g] + more[0], s[g] + more[1]
+                new |= {(key_of[g], k): (n[g], s[g].copy(), ratio[g]) for g in passed}
+                rest = of != final
+                for code in np.unique(codes[rest]):
+                    at = np.flatnonzero(rest & (codes == code))
+                    take(key_of[at[0]], k, n[at], s[at], ratio[at[0]])
+            if final == first:
+                new |= held
+            else:
+                close(held)
+            held, last = new, final
+        close(held)
+        made = [[*key[:-1], True, key[-1], n, np.concatenate((v[half], a, b))] for key, (n, v, a, b) in whole.items()]
+        made += [[*key, False, k, 0, v[half]] for (key, k), v in taken.items()]
+        yield pd.DataFrame(made, columns=[*keys, "whole", "part", "n", "v"])
+
+    path = scratch_path(rows.sparkSession, "model-sums")
     rows.mapInPandas(run, kinds).write.parquet(path)
-    return df.sparkSession.read.parquet(path)
+    return rows.sparkSession.read.parquet(path)
 
 
 def _merged(parts: DataFrame, keys: list[str], merge: Callable[[list[np.ndarray]], np.ndarray], salts: int = 16) -> DataFrame:
@@ -322,99 +392,62 @@ def additive_mixed_fits(df: DataFrame, keys: list[str], models: list[Model], sub
     A model takes the rows that have its own columns, outcome and subject; with too few it has no row. ``coef`` are those of
     ``columns`` of the design, the intercept first. Knots are quantiles of the whole table. Without ``intercepts`` subjects have
     no random ones. deviance, AIC and BIC are those of the transformed rows: they compare models of one key and outcome."""
-    design = _design(df, models, knots)
+    columns = list(dict.fromkeys(c for m in models for c in m.columns()))
+    return arranged_fits(arranged(df, keys, columns, subject, outcome), keys, models, knots, intercepts)
+
+
+def arranged_fits(rows: DataFrame, keys: list[str], models: list[Model], knots: int = KNOTS, intercepts: bool = True) -> DataFrame:
+    """``additive_mixed_fits`` of rows that are ``arranged``, for these and maybe other keys and models too."""
+    design = _design(rows, models, knots)
     inputs, width = design.inputs(), design.width + 1
     if len(inputs) > 62:
         raise ValueError("more than 62 columns")
-    needs = sorted({sum(1 << inputs.index(c) for c in m.columns()) for m in models})
-    of = {m.name: needs.index(sum(1 << inputs.index(c) for c in m.columns())) for m in models}
-    sums = _sums(df, keys, design, subject, outcome)
-    one = F.lit(0).alias("_one")
+    need = {m.name: sum(1 << inputs.index(c) for c in m.columns() if c in design.missing) for m in models}
+    needs = sorted(set(need.values()))
+    of = {name: needs.index(n) for name, n in need.items()}
     own_keys = keys or ["_one"]
-    people = sums.where("_subject IS NOT NULL").groupBy(*keys, "_subject", "missing").agg(F.sum("n").alias("n"), F.array(*[F.sum(F.col("v")[i]) for i in range(width)]).alias("v"))
-    people = people.groupBy(*keys, "_subject").agg(F.collect_list("missing").alias("missing"), F.collect_list("n").alias("n"), F.collect_list("v").alias("v"))
-    people = people if keys else people.select(one, "*")
-    path = scratch_path(df.sparkSession, "subject-sums")
-    people.write.parquet(path)
-    people = df.sparkSession.read.parquet(path)
-    kinds = ", ".join(f"`{c}` {t}" for c, t in people.dtypes[: len(own_keys)])
-
-    def by_need(rows: pd.DataFrame) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-        """(need, rows, sums) of the subjects of one key over the rows that have a need's columns."""
-        subjects = np.repeat(np.arange(len(rows)), [len(v) for v in rows["n"]])
-        gone, n = (np.concatenate([np.asarray(v) for v in rows[c]]) for c in ("missing", "n"))
-        v = np.concatenate([np.stack(list(x)) for x in rows["v"]])
-        for k, need in enumerate(needs):
-            some = (gone & need) == 0
-            count, sums = np.zeros(len(rows)), np.zeros((len(rows), width))
-            np.add.at(count, subjects[some], n[some])
-            np.add.at(sums, subjects[some], v[some])
-            yield k, count[count > 0], sums[count > 0]
-
-    def moments(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            made = [[*(key if isinstance(key, tuple) else (key,)), k, len(n), n.sum(), (n * n).sum(), s[:, 0].sum(), (s[:, 0] ** 2 / n).sum()] for key, own in batch.groupby(own_keys, sort=False, dropna=False) for k, n, s in by_need(own)]
-            yield pd.DataFrame(made, columns=[*own_keys, "need", "k", "n", "nn", "sy", "b"])
-
-    between = people.mapInPandas(moments, f"{kinds}, need int, k long, n double, nn double, sy double, b double").groupBy(*own_keys, "need").agg(*[F.sum(c).alias(c) for c in ("k", "n", "nn", "sy", "b")])
-    whole = sums.where("_subject IS NULL").select(*(keys or [one]), "missing", "n", "v")
-    size = width * width
-    curves = len(design.curves)
+    used = rows.where(F.col("_y").isNotNull() & F.col("_subject").isNotNull())
+    used = used.select(*([] if keys else [F.lit(0).alias("_one")]), *keys, "_subject", "_y", *[F.col(c) if c in design.levels else F.col(c).cast("double").alias(c) for c in inputs])
+    gone = [F.when(F.col(c).isNull(), F.lit(1 << i)).otherwise(F.lit(0)).cast("long") for i, c in enumerate(inputs) if c in design.missing]
+    ratios = _ratios(used, own_keys, functools.reduce(lambda a, b: a + b, gone, F.lit(0).cast("long")), needs, intercepts)
+    sums = _sums(_together(used.join(dimension(ratios.select(*own_keys, *[f"_r{k}" for k in range(len(needs))])), own_keys)), own_keys, design, needs)
+    kinds = ", ".join(f"`{c}` {t}" for c, t in sums.dtypes[: len(own_keys)])
+    half = np.triu_indices(width)
+    size, curves = len(half[0]), len(design.curves)
     added = lambda some: np.concatenate((np.sum([v[:size] for v in some], 0), np.fmin.reduce([v[size : size + curves] for v in some]), np.fmax.reduce([v[size + curves :] for v in some])))
-    whole = _merged(whole, [*own_keys, "missing"], added).groupBy(*own_keys).agg(*[F.collect_list(c).alias(c) for c in ("missing", "n", "v")])
-
-    def squares(need: int) -> Column:
-        return F.aggregate(F.arrays_zip("missing", "v"), F.lit(0.0), lambda total, t: total + F.when(t["missing"].bitwiseAND(F.lit(need)) == 0, t["v"][0]).otherwise(0.0))
-
-    yy = whole.select(*own_keys, F.posexplode(F.array(*map(squares, needs))).alias("need", "yy"))
-    inner = (F.col("yy") - F.col("b")) / (F.col("n") - F.col("k"))
-    n0 = (F.col("n") - F.col("nn") / F.col("n")) / (F.col("k") - 1)
-    share = ((F.col("b") - F.col("sy") * F.col("sy") / F.col("n")) / (F.col("k") - 1) - inner) / n0 / F.nullif(inner, F.lit(0.0))
-    usable = F.lit(intercepts) & (F.col("k") > 1) & (F.col("n") > F.col("k"))
-    ratios = between.join(yy, [*own_keys, "need"]).select(*own_keys, "need", F.when(usable, F.greatest(F.lit(0.0), F.coalesce(share, F.lit(0.0)))).otherwise(0.0).alias("ratio"), "k")
-    ratios = ratios.groupBy(*own_keys).agg(F.map_from_entries(F.collect_list(F.struct("need", "ratio"))).alias("ratios"), F.map_from_entries(F.collect_list(F.struct("need", "k"))).alias("subjects"))
-    path = scratch_path(df.sparkSession, "model-ratios")
-    ratios.write.parquet(path)
-    ratios = df.sparkSession.read.parquet(path)
-
-    def taken(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        """What the subjects' shares take from the products."""
-        for batch in batches:
-            made = []
-            for key, own in batch.groupby(own_keys, sort=False, dropna=False):
-                ratio = dict(own["ratios"].iloc[0])
-                for k, n, s in by_need(own):
-                    theta = 1 - 1 / np.sqrt(1 + n * ratio.get(k, 0.0))
-                    made.append([*(key if isinstance(key, tuple) else (key,)), k, len(n), ((s * ((2 * theta - theta * theta) / n)[:, None]).T @ s).ravel()])
-            yield pd.DataFrame(made, columns=[*own_keys, "need", "n", "v"])
-
-    lost = people.join(dimension(ratios.select(*own_keys, "ratios")), own_keys).mapInPandas(taken, f"{kinds}, need int, n long, v array<double>")
-    lost = _merged(lost, [*own_keys, "need"], lambda some: np.sum(some, 0)).groupBy(*own_keys).agg(F.map_from_entries(F.collect_list(F.struct("need", "v"))).alias("taken"))
-    ready = whole.join(ratios, own_keys).join(lost, own_keys).withColumn("_model", F.explode(F.sequence(F.lit(0), F.lit(len(models) - 1))))
+    whole = _merged(sums.where("whole").select(*own_keys, "part", "n", "v"), [*own_keys, "part"], added).groupBy(*own_keys).agg(F.collect_list("part").alias("missing"), *[F.collect_list(c).alias(c) for c in ("n", "v")])
+    lost = _merged(sums.where(~F.col("whole")).select(*own_keys, "part", "n", "v"), [*own_keys, "part"], lambda some: np.sum(some, 0)).groupBy(*own_keys).agg(F.map_from_entries(F.collect_list(F.struct("part", "v"))).alias("taken"))
+    ready = whole.join(ratios, own_keys).join(lost, own_keys, "left").withColumn("_model", F.explode(F.sequence(F.lit(0), F.lit(len(models) - 1))))
     # Models of one key are solved apart.
     ready = ready.repartition(*own_keys, "_model")
 
+    def full(v: np.ndarray) -> np.ndarray:
+        out = np.zeros((width, width))
+        out[half] = v
+        return out + np.triu(out, 1).T
+
     def solve(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             made = []
             for r in batch.to_dict("records"):
                 m = models[r["_model"]]
                 k = of[m.name]
-                some = [(n, np.asarray(v)) for gone, n, v in zip(r["missing"], r["n"], r["v"]) if gone & needs[k] == 0]
-                taken = dict(r["taken"])
-                if not some or k not in taken:
+                some = [(n, np.asarray(v)) for gone, n, v in zip(r["missing"], r["n"], r["v"]) if gone & need[m.name] == 0]
+                if not some:
                     continue
-                raw = np.sum([v[:size] for _, v in some], 0).reshape(width, width)
+                taken = dict(r["taken"]) if r["taken"] is not None else {}
+                raw = full(np.sum([v[:size] for _, v in some], 0))
                 with np.errstate(all="ignore"):
                     low, high = np.fmin.reduce([v[size : size + curves] for _, v in some]), np.fmax.reduce([v[size + curves :] for _, v in some])
-                fit = _fitted(m, design, int(sum(n for n, _ in some)), int(dict(r["subjects"])[k]), float(dict(r["ratios"])[k]), raw, raw - np.asarray(taken[k]).reshape(width, width), low, high)
+                moved = raw - full(np.asarray(taken[k])) if k in taken else raw
+                fit = _fitted(m, design, int(sum(n for n, _ in some)), int(r[f"_k{k}"]), float(r[f"_r{k}"]), raw, moved, low, high)
                 if fit:
                     made.append({c: r[c] for c in own_keys} | fit)
             yield pd.DataFrame(made, columns=[*own_keys, *(c.split()[0] for c in _top_level(FIT))])
 
-    path = scratch_path(df.sparkSession, "model-fits")
+    path = scratch_path(rows.sparkSession, "model-fits")
     ready.mapInPandas(solve, f"{kinds}, {FIT}").select(*keys, *(c.split()[0] for c in _top_level(FIT))).write.parquet(path)
-    return df.sparkSession.read.parquet(path)
+    return rows.sparkSession.read.parquet(path)
 
 
 def _top_level(schema: str) -> list[str]:

@@ -42,9 +42,10 @@ def features(s: SparkSession, d: str) -> tuple[DataFrame, dict[str, str]]:
         "n2p2_amp": (F.col("l_partkey") % 31) / 10.0 * fast, "sin_phase": F.sin(phase), "cos_phase": F.cos(phase), "fooof_offset": F.log(F.col("o_totalprice") + 1), "fooof_exponent": F.when(F.col("l_partkey") % 29 != 0, (F.col("l_partkey") % 17) / 10.0),
     }
     same = {"BI_pre": "bi_pre", "LR_pre": "lr_pre", "CoG_pre": "cog_pre", "pow_slow": "pow_slow_alpha", "pow_fast": "pow_fast_alpha", "delta_ERD": "delta_erd"}
-    rows = line.select(F.col("o_custkey").alias("subject"), F.concat("l_returnflag", "l_linestatus").alias("unit"), *[c.cast("double").alias(n) for n, c in made.items()])
     people = V.subjects(s, d).select("subject", (F.col("age") / 50.0).alias("age"), "sex", "cap_size", "experiment_id")
-    return rows.join(people, "subject"), same
+    # Lines meet the people as they are: made columns are wider.
+    rows = line.withColumn("subject", F.col("o_custkey")).join(people, "subject")
+    return rows.select("subject", F.concat("l_returnflag", "l_linestatus").alias("unit"), *[c.cast("double").alias(n) for n, c in made.items()], "age", "sex", "cap_size", "experiment_id"), same
 
 
 def wanted(s: SparkSession, d: str, models: list[A.Model], keys: list[str]) -> DataFrame:

@@ -170,3 +170,27 @@ def test_edges(spark):
     found = {(r.unit, r.model): r for r in A.additive_mixed_fits(df, ["unit"], MODELS, "subject", "y").collect()}
     assert ("few", "m0") not in found and ("flat", "m1") not in found and found["flat", "m0"].n == 41
     assert A.additive_mixed_fits(df.limit(0), ["unit"], MODELS, "subject", "y").count() == 0
+
+
+def test_no_row_is_stored_for_a_subject(spark, monkeypatch):
+    """Sums of products are stored for each task, key and pattern of missing columns; subjects' sums stay in their tasks."""
+    paths = []
+    real = A.scratch_path
+    monkeypatch.setattr(A, "scratch_path", lambda s, name: paths.append((name, real(s, name))) or paths[-1][1])
+    df = spark.createDataFrame(rows(n_subjects=300, seed=4), SCHEMA)
+    A.additive_mixed_fits(df, ["unit"], MODELS, "subject", "y").collect()
+    counts = {name: spark.read.parquet(path).count() for name, path in paths if "sums" in name}
+    assert counts and max(counts.values()) <= 4 * 2 * (4 + 4)
+
+
+def test_subjects_cut_by_batches(spark):
+    df = spark.createDataFrame(rows(n_subjects=12, seed=5), SCHEMA)
+    found = []
+    for size in (None, "7"):
+        if size:
+            spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+        try:
+            found.append({(r.unit, r.model): comparable(r) for r in A.additive_mixed_fits(df, ["unit"], MODELS, "subject", "y").collect()})
+        finally:
+            spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert found[0].keys() == found[1].keys() and all(close(found[0][k], found[1][k]) for k in found[0])
