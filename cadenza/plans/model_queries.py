@@ -67,7 +67,12 @@ def both_levels(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     """Fits of the models of CONCEPTS over all units together, and of each unit."""
     channel = [m for m in CHANNEL if m.name in {c[1] for c in CONCEPTS}]
     region = [m for m in REGION if m.name in {c[3] for c in CONCEPTS}]
-    return fits(s, d, channel, []), fits(s, d, region, ["unit"])
+    rows, same = features(s, d)
+    used = lambda models: dict.fromkeys(c for m in models for c in m.columns())
+    kept = list(dict.fromkeys(same.get(c, c) for c in used([*channel, *region])))
+    rows = A.arranged(rows.select("subject", "unit", "pain_rating", *kept), ["unit"], kept, "subject", "pain_rating")
+    named = rows.select("unit", "_subject", "_y", *[F.col(same.get(c, c)).alias(c) for c in used(region)])
+    return A.arranged_fits(rows, [], channel), A.arranged_fits(named, ["unit"], region)
 
 
 COMBINED = ["bi_pre", "psi_cog", "delta_erd", "n2p2_amp"]
