@@ -16,7 +16,7 @@ from cadenza.functions.distributions import f_upper, t_quantile, t_two_sided
 from cadenza.operators.filters import guarded_corr
 from cadenza.operators.joins import dimension, unit_pairs
 from cadenza.operators.summaries import eval_metrics
-from cadenza.operators.windows import fdr_bh
+from cadenza.operators.windows import bucket_of, fdr_bh, same_keys, value_cuts
 from cadenza.sources.scratch import scratch_path
 
 
@@ -293,31 +293,116 @@ def weighted_spearman(x: np.ndarray, y: np.ndarray, weights: Iterable[np.ndarray
     return out
 
 
-def _replicate_ranks(rows: DataFrame, drawn: DataFrame, keys: list[str], x: str, y: str, parts: int = 4) -> DataFrame:
-    """(keys, rep, spearman_rho) of rows (keys, _k: subject) weighted by ``drawn`` (keys, rep, _k, c).
+def _hashed(value: np.ndarray | int, state: np.ndarray | int) -> np.ndarray:
+    """XXH64 of 32-bit integers on top of a state, as ``seeded`` has it of each of its columns."""
+    p = [np.uint64(x) for x in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5)]
+    h = (np.atleast_1d(state).astype(np.uint64) + p[3] + np.uint64(4)) ^ (np.atleast_1d(value).astype(np.uint64) * p[0])
+    h = ((h << np.uint64(23)) | (h >> np.uint64(41))) * p[1] + p[2]
+    h = (h ^ (h >> np.uint64(33))) * p[1]
+    h = (h ^ (h >> np.uint64(29))) * p[2]
+    return h ^ (h >> np.uint64(32))
+
+
+def times_drawn(seed: int, reps: Iterable[int], m: int) -> Iterable[np.ndarray]:
+    """For each of ``reps`` how often each of m subjects is drawn: draw k is subject floor(seeded(seed, rep, k) * m)."""
+    start, k = _hashed(seed, 42), np.arange(m)
+    for rep in reps:
+        u = (_hashed(k, _hashed(rep, start)) & np.uint64((1 << 52) - 1)) / float(1 << 52)
+        yield np.bincount((u * m).astype(np.int64), minlength=m)
+
+
+#: Values of the side with fewer, up to which a large key's ranks are made in buckets of the other side, and the least rows of a bucket.
+SIDE_VALUES, BUCKET_ROWS = 1000, 250_000
+
+
+def _bucket_ranks(rows: DataFrame, keys: list[str], n_boot: int, seed: int, parts: int) -> DataFrame:
+    """(keys, rep, spearman_rho) of rows (keys, _k, _m, a, b), b of few values, without a row for a replicate: weights of the
+    values of b and of buckets of a are sums of the subjects' counts in them, and a bucket's rows then have both ranks of each replicate."""
+    cuts = value_cuts(rows, keys, ["a"], parts)
+    dealt = rows.alias("d").join(dimension(cuts).alias("c"), same_keys("d", "c", keys)).select("d.*", bucket_of("d.a", "_cuts0").cast("double").alias("_b"))
+    path = scratch_path(rows.sparkSession, "bootstrap-rows")
+    dealt.write.parquet(path)
+    dealt = rows.sparkSession.read.parquet(path)
+    reps = range(1, n_boot + 1)
+    kinds = ", ".join(f"`{c}` {t}" for c, t in dealt.dtypes if c in keys)
+    each = dealt.select(*keys, "_k", "_m", F.inline(F.array(F.struct(F.lit(0).alias("kind"), F.col("_b").alias("at")), F.struct(F.lit(1).alias("kind"), F.col("b").alias("at")))))
+    counts = each.groupBy(*keys, "_k", "_m", "kind", "at").agg(F.count("*").alias("_n")).withColumn("_part", F.pmod(F.xxhash64("kind", "at"), F.lit(max(1, parts // 4))))
+
+    def weigh(own: pd.DataFrame) -> pd.DataFrame:
+        group = own.groupby(["kind", "at"], sort=False).ngroup().to_numpy()
+        k, n = own["_k"].to_numpy(), own["_n"].to_numpy(float)
+        w = np.stack([np.bincount(group, c[k] * n) for c in times_drawn(seed, reps, int(own["_m"].iloc[0]))], 1)
+        return own.drop_duplicates(["kind", "at"])[[*keys, "kind", "at"]].assign(w=list(w))
+
+    weights = counts.groupBy(*keys, "_part").applyInPandas(weigh, f"{kinds}, kind int, at double, w array<double>")
+
+    def table(own: pd.DataFrame) -> pd.DataFrame:
+        (_, buckets), (_, values) = sorted(own.sort_values("at").groupby("kind"), key=lambda x: x[0])
+        w, v = np.stack(list(buckets["w"])), np.stack(list(values["w"]))
+        total = w.sum(0)
+        ranks = np.cumsum(v, 0) - (v - 1) / 2 - (total + 1) / 2
+        out = buckets[[*keys]].assign(_b=buckets["at"], base=list(np.cumsum(w, 0) - w))
+        for c, x in (("total", total), ("spread", (v * ranks * ranks).sum(0)), ("known", values["at"].to_numpy()), ("ranks", ranks.T.ravel())):
+            out[c] = [x] * len(out)
+        return out
+
+    tables = weights.groupBy(*keys).applyInPandas(table, f"{kinds}, _b double, " + ", ".join(f"{c} array<double>" for c in ("base", "total", "spread", "known", "ranks")))
+
+    def score(own: pd.DataFrame, sums: pd.DataFrame) -> pd.DataFrame:
+        own, t = own.sort_values("a"), sums.iloc[0]
+        k, a, known = own["_k"].to_numpy(), own["a"].to_numpy(), np.asarray(t["known"])
+        starts = np.flatnonzero(np.r_[True, a[1:] != a[:-1]])
+        code, ranks = np.searchsorted(known, own["b"].to_numpy()), np.asarray(t["ranks"]).reshape(n_boot, len(known))
+        made = []
+        for i, c in enumerate(times_drawn(seed, reps, int(own["_m"].iloc[0]))):
+            w = c[k].astype(float)
+            at = np.add.reduceat(w, starts)
+            rank = t["base"][i] + np.cumsum(at) - (at - 1) / 2 - (t["total"][i] + 1) / 2
+            made.append((i + 1, float(np.add.reduceat(w * ranks[i][code], starts) @ rank), float(at @ (rank * rank)), float(t["spread"][i])))
+        out = pd.DataFrame(made, columns=["rep", "xy", "xx", "yy"])
+        return out.assign(**{c: t[c] for c in keys})[[*keys, "rep", "xy", "xx", "yy"]]
+
+    scored = dealt.groupBy(*keys, "_b").cogroup(tables.groupBy(*keys, "_b")).applyInPandas(score, f"{kinds}, rep int, xy double, xx double, yy double")
+    rho = F.sum("xy") / F.sqrt(F.nullif(F.sum("xx") * F.max("yy"), F.lit(0.0)))
+    return scored.groupBy(*keys, "rep").agg(rho.alias("spearman_rho"))
+
+
+def _replicate_ranks(rows: DataFrame, placed: DataFrame, keys: list[str], x: str, y: str, n_boot: int, seed: int, parts: int = 4) -> DataFrame:
+    """(keys, rep, spearman_rho) of rows (keys, _k: subject, _m: subjects of the key); ``placed`` has a row for each subject.
 
     Keys of up to HELD_ROWS rows: each of ``parts`` tasks holds a key's rows and makes the ranks of its share of the replicates.
-    Larger ones: rows meet their weights in a join, and windows, which spill, make the ranks."""
-    sizes = rows.groupBy(*keys).agg(F.count("*").alias("_size"))
-    sized = rows.select(*keys, "_k", F.col(x).cast("double").alias("_x"), F.col(y).cast("double").alias("_y")).join(dimension(sizes), keys)
+    Larger ones with few values on a side: in buckets of the other side. Else rows meet their weights in a join, and
+    windows, which spill, make the ranks."""
+    rows = rows.select(*keys, "_k", "_m", F.col(x).cast("double").alias("_x"), F.col(y).cast("double").alias("_y"))
+    sizes = rows.groupBy(*keys).agg(F.count("*").alias("_size"), F.approx_count_distinct("_x").alias("_dx"), F.approx_count_distinct("_y").alias("_dy"))
+    path = scratch_path(rows.sparkSession, "bootstrap-sizes")
+    sizes.write.parquet(path)
+    sizes = rows.sparkSession.read.parquet(path)
+    sized = rows.join(dimension(sizes), keys)
     kinds = ", ".join(f"`{c}` {t}" for c, t in sized.dtypes[: len(keys)]) + ", rep int, spearman_rho double"
 
-    def run(own: pd.DataFrame, draws: pd.DataFrame) -> pd.DataFrame:
-        if own.empty or draws.empty:
-            return pd.DataFrame(columns=[*keys, "rep", "spearman_rho"])
-        reps, at = np.unique(draws["rep"].to_numpy(), return_inverse=True)
-        subjects, of = np.unique(own["_k"].to_numpy(), return_inverse=True)
-        place = np.searchsorted(subjects, draws["_k"].to_numpy())
-        chosen = np.zeros((len(reps), len(subjects)))
-        chosen[at, place] = draws["c"].to_numpy()
-        rho = weighted_spearman(own["_x"].to_numpy(), own["_y"].to_numpy(), (w[of] for w in chosen))
+    def run(own: pd.DataFrame) -> pd.DataFrame:
+        of = own["_k"].to_numpy()
+        reps = [r for r in range(1, n_boot + 1) if r % parts == own["_part"].iloc[0]]
+        rho = weighted_spearman(own["_x"].to_numpy(), own["_y"].to_numpy(), (c[of] for c in times_drawn(seed, reps, int(own["_m"].iloc[0]))))
         return pd.DataFrame({k: [own[k].iloc[0]] * len(reps) for k in keys} | {"rep": reps, "spearman_rho": pd.Series(rho, dtype="float64")})
 
-    small = sized.where(F.col("_size") <= HELD_ROWS).withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
-    held = small.groupBy(*keys, "_part").cogroup(drawn.withColumn("_part", F.pmod("rep", F.lit(parts))).groupBy(*keys, "_part")).applyInPandas(run, kinds)
-    if sizes.where(F.col("_size") > HELD_ROWS).isEmpty():
-        return held
-    weighed = sized.where(F.col("_size") > HELD_ROWS).join(drawn, [*keys, "_k"])
+    large, few = F.col("_size") > HELD_ROWS, F.least("_dx", "_dy") <= SIDE_VALUES
+    small = sized.where(~large).withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+    out = small.groupBy(*keys, "_part").applyInPandas(run, kinds)
+    most = sizes.where(large & few).agg(F.max("_size")).first()[0]
+    if most:
+        swap = F.col("_dx") < F.col("_dy")
+        some = sized.where(large & few).select(*keys, "_k", "_m", F.when(swap, F.col("_y")).otherwise(F.col("_x")).alias("a"), F.when(swap, F.col("_x")).otherwise(F.col("_y")).alias("b"))
+        # Each bucket draws all subjects anew, so it has some rows for each.
+        people = placed.agg(F.max("_m")).first()[0]
+        out = out.unionAll(_bucket_ranks(some, keys, n_boot, seed, max(2, math.ceil(most / max(BUCKET_ROWS, 4 * people)))))
+    if sizes.where(large & ~few).isEmpty():
+        return out
+    draws = placed.join(dimension(sizes.where(large & ~few).select(*keys)), keys).select(*keys, "_m", "_k", F.explode(F.sequence(F.lit(1), F.lit(n_boot))).alias("rep"))
+    drawn = draws.withColumn("_d", F.floor(seeded(seed, "rep", "_k") * F.col("_m"))).groupBy(*keys, "rep", F.col("_d").alias("_k")).agg(F.count("*").alias("c"))
+    # Draws are many times the rows that Spark expects of them.
+    weighed = sized.where(large & ~few).join(drawn.hint("merge"), [*keys, "_k"])
     whole = Window.partitionBy(*keys, "rep")
 
     def rank(v: str) -> Column:
@@ -327,16 +412,17 @@ def _replicate_ranks(rows: DataFrame, drawn: DataFrame, keys: list[str], x: str,
     ranked = weighed.withColumns({"_p": rank("_x"), "_q": rank("_y")})
     total = lambda a, b: F.sum(F.col("c") * F.col(a) * F.col(b))
     rho = total("_p", "_q") / F.sqrt(F.nullif(total("_p", "_p") * total("_q", "_q"), F.lit(0.0)))
-    return held.unionAll(ranked.groupBy(*keys, "rep").agg(rho.alias("spearman_rho")))
+    return out.unionAll(ranked.groupBy(*keys, "rep").agg(rho.alias("spearman_rho")))
 
 
-def bootstrap_ci(df: DataFrame, keys: list[str], subject: str, x: str, y: str, n_boot: int = 500, seed: int = 42) -> DataFrame:
+def bootstrap_ci(df: DataFrame, keys: list[str], subject: str, x: str, y: str, n_boot: int = 500, seed: int = 42, parts: int = 8) -> DataFrame:
     """(keys, metric, ci_low, median, ci_high): subjects drawn with replacement. A replicate is a weight of each subject:
-    pearson_r, r_sq, rmse and mae follow from subjects' sums, spearman_rho from the ranks that the rows have in the
-    replicate, made of sums of weights over sorted values, so rows aren't repeated."""
+    pearson_r, r_sq, rmse and mae follow from subjects' sums, of which each of ``parts`` tasks takes a share of the replicates;
+    spearman_rho from the ranks that the rows have in the replicate, made of sums of weights over sorted values, so rows
+    aren't repeated. Draws are made where they are used; a null key has no row."""
     e = F.col(x) - F.col(y)
     a, b = F.col(x), F.col(y)
-    rows = df.where(a.isNotNull() & b.isNotNull() & F.col(subject).isNotNull())
+    rows = df.where(a.isNotNull() & b.isNotNull() & F.col(subject).isNotNull()).dropna(subset=keys)
     summed = {"sx": a, "sy": b, "sxx": a * a, "syy": b * b, "sxy": a * b, "se": e * e, "sa": F.abs(e)}
     sums = rows.groupBy(*keys, subject).agg(F.count("*").alias("n"), *[F.sum(v).alias(c) for c, v in summed.items()])
     w = Window.partitionBy(*keys)
@@ -344,15 +430,23 @@ def bootstrap_ci(df: DataFrame, keys: list[str], subject: str, x: str, y: str, n
     path = scratch_path(df.sparkSession, "subject-sums")
     placed.write.parquet(path)
     placed = df.sparkSession.read.parquet(path)
-    draws = placed.select(*keys, "_m", "_k", F.explode(F.sequence(F.lit(1), F.lit(n_boot))).alias("rep"))
-    drawn = draws.withColumn("_d", F.floor(seeded(seed, "rep", "_k") * F.col("_m"))).groupBy(*keys, "rep", F.col("_d").alias("_k")).agg(F.count("*").alias("c"))
-    total = drawn.join(placed.drop("_m"), [*keys, "_k"]).groupBy(*keys, "rep").agg(*[F.sum(F.col(c) * F.col("c")).alias(c) for c in ("n", *summed)])
+    columns = ["n", *summed]
+    kinds = ", ".join(f"`{c}` {t}" for c, t in placed.dtypes if c in keys)
+
+    def totals(own: pd.DataFrame) -> pd.DataFrame:
+        own = own.sort_values("_k")
+        reps = [r for r in range(1, n_boot + 1) if r % parts == own["_part"].iloc[0]]
+        v = own[columns].to_numpy(float)
+        made = pd.DataFrame(np.array([c @ v for c in times_drawn(seed, reps, len(own))]).reshape(-1, len(columns)), columns=columns)
+        return made.assign(rep=reps, **{k: own[k].iloc[0] for k in keys})[[*keys, "rep", *columns]]
+
+    total = placed.select(*keys, "_k", *columns, F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("_part")).groupBy(*keys, "_part").applyInPandas(totals, f"{kinds}, rep int, " + ", ".join(f"{c} double" for c in columns))
     n = F.col("n")
     cov, vx, vy = (F.col(u) - F.col(v) * F.col(z) / n for u, v, z in (("sxy", "sx", "sy"), ("sxx", "sx", "sx"), ("syy", "sy", "sy")))
     pearson = F.when((vx > 1e-12) & (vy > 1e-12), cov / F.sqrt(F.nullif(vx * vy, F.lit(0.0))))
     metrics = total.select(*keys, "rep", pearson.alias("pearson_r"), (pearson * pearson).alias("r_sq"), F.sqrt(F.col("se") / n).alias("rmse"), (F.col("sa") / n).alias("mae"))
-    own = rows.join(dimension(placed.select(*keys, subject, "_k")), [*keys, subject])
-    ranks = _replicate_ranks(own, drawn, keys, x, y).unpivot([*keys, "rep"], ["spearman_rho"], "metric", "value")
+    own = rows.join(dimension(placed.select(*keys, subject, "_k", "_m")), [*keys, subject])
+    ranks = _replicate_ranks(own, placed, keys, x, y, n_boot, seed).unpivot([*keys, "rep"], ["spearman_rho"], "metric", "value")
     long = metrics.unpivot([*keys, "rep"], ["pearson_r", "r_sq", "rmse", "mae"], "metric", "value").unionByName(ranks)
     q = F.percentile("value", F.array(F.lit(0.025), F.lit(0.5), F.lit(0.975)))
     return long.groupBy(*keys, "metric").agg(q.alias("_q")).select(*keys, "metric", *[F.col("_q")[i].alias(c) for i, c in enumerate(("ci_low", "median", "ci_high"))])

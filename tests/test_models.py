@@ -106,6 +106,31 @@ def test_bootstrap_of_ranks(spark, monkeypatch):
     assert found[0]["a", "spearman_rho"] == pytest.approx(tuple(np.percentile(rhos, [2.5, 50, 97.5])))
 
 
+def test_draws_are_those_of_seeded(spark):
+    rows = spark.range(50).selectExpr("cast(id as int) AS _k", "explode(array(1, 2, 500)) AS rep").withColumn("d", F.floor(L.seeded(42, "rep", "_k") * 50)).collect()
+    for rep, drawn in zip((1, 2, 500), L.times_drawn(42, (1, 2, 500), 50)):
+        assert drawn.tolist() == np.bincount([r.d for r in rows if r.rep == rep], minlength=50).tolist()
+
+
+def test_large_keys_have_no_row_for_a_replicate(spark, monkeypatch):
+    """In buckets, on either side, as held, by windows; in buckets no join makes more rows than there are."""
+    rng = np.random.default_rng(8)
+    data = [(u, s, float(rng.normal() + s % 3), float(rng.integers(0, 4) + s % 3)) for u in "ab" for s in range(9) for _ in range(int(rng.integers(1, 9)))]
+    data = [(u, s, y, x) if u == "b" else (u, s, x, y) for u, s, x, y in data]
+    df = spark.createDataFrame(data, "unit string, subject int, x double, y double")
+    boot = lambda: L.bootstrap_ci(df, ["unit"], "subject", "x", "y", 40)
+    found = [{(r.unit, r.metric): (r.ci_low, r["median"], r.ci_high) for r in boot().collect()}]
+    monkeypatch.setattr(L, "HELD_ROWS", 0)
+    monkeypatch.setattr(L, "BUCKET_ROWS", 10)
+    asked = boot()
+    found.append({(r.unit, r.metric): (r.ci_low, r["median"], r.ci_high) for r in asked.collect()})
+    assert "Window" not in asked._jdf.queryExecution().executedPlan().toString()
+    monkeypatch.setattr(L, "SIDE_VALUES", 0)
+    found.append({(r.unit, r.metric): (r.ci_low, r["median"], r.ci_high) for r in boot().collect()})
+    for other in found[1:]:
+        assert len(other) == 10 and all(other[k] == pytest.approx(v) for k, v in found[0].items())
+
+
 def test_permutations_in_blocks(spark, monkeypatch):
     rng = np.random.default_rng(1)
     x = rng.normal(size=400)
